@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roundweave.llm import bpe
+from roundweave.llm import bpe, mixing, toxicity
 from roundweave.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -25,8 +25,54 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), *rank_file(), digests=True)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that may be learned from."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("doc_id", "source", mixing.word_count(docs["text"]).alias("size"))
+    return mixing.mix_counts(sized).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP10_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS k
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE no % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, source_size::DOUBLE * 2 AS cap, (sum(source_size) OVER ())::DOUBLE * 1.5 AS budget FROM s
+), l AS (
+  SELECT *, cap / weight AS fill,
+         (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w
+), t AS (
+  SELECT *, CASE WHEN best < fill THEN best * weight ELSE cap END AS target
+  FROM (SELECT *, min(CASE WHEN level <= fill THEN level END) OVER () AS best FROM l)
+), q AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.no, t.budget,
+         sum(d.size) OVER (PARTITION BY t.no ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS e
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT q.no, e, copy, size, budget, sum(size) OVER (ORDER BY (source_size * copy + e) / target, q.no, copy, e ROWS UNBOUNDED PRECEDING) AS run
+  FROM q, (SELECT unnest([0, 1]) AS copy) WHERE size > 0 AND target > 0
+), n AS (SELECT no, e, count(*) AS copies FROM c WHERE run <= floor(budget) GROUP BY ALL)
+SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN coalesce(copies, 0) ELSE 0 END * size)::BIGINT AS taken
+FROM q LEFT JOIN n USING (no, e)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op8_bpe": op8_bpe,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op10_mixing": OP10_SQL,
+}
