@@ -34,6 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from roundweave.llm.common import small_batches, utf8
 
@@ -198,7 +199,8 @@ class Codec(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.any_split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
+        self.any_split = self.pattern.findall
         self.latin = pattern == GPT2_PATTERN
         self.transducer = MergeTransducer(ranks)
         self.token_bytes = self.transducer.bytes_of
@@ -266,7 +268,7 @@ def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, text: str = "tex
     if digests:
         out.add("ids_sha256", "string").add("decoded_sha256", "string")
     else:
-        out.add("token_ids", "array<int>").add("decoded", "string")
+        out.add("token_ids", ArrayType(IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = codec(shared.value, pattern)

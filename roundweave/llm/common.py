@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 #: White space that ends a word; the complement of ``[^\x20\x09-\x0D]``.
 BLANKS = " \t\n\x0b\x0c\r"
 
-#: Rows handed to Python at a time. Texts may be long, so batches are small.
+#: Rows and bytes handed to Python at a time. Texts may be long, so batches are small.
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows in each Arrow batch, and so the memory of a Python worker."""
+    """Bound each Arrow batch, and so the memory of a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roundweave.llm import bpe, mixing, toxicity
+from roundweave.llm import bpe, html, mixing, quality, search, substrings, token_counts, toxicity
 from roundweave.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -25,6 +25,34 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(table(spark, sf_dir, "documents"), *rank_file(), digests=True)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits, by its segment tree."""
+    docs = table(spark, sf_dir, "documents")
+    counted = token_counts.count_tokens(docs, *rank_file(), edits=token_counts.sample_edits(docs["text"]))
+    return counted.select("doc_id", "n_tokens", "n_edits", "n_chars_edited", "n_tokens_edited", "n_encoded")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality measures and verdict of every document."""
+    return quality.quality(table(spark, sf_dir, "documents")).drop("repeats")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best others of every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return search.top_k(vectors, vectors["vec_id"] % 50 == 0, k=5)
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the strings that repeat anywhere."""
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that may be learned from."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -67,12 +95,33 @@ FROM q LEFT JOIN n USING (no, e)
 """
 
 
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s
+) WHERE rank <= 5
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
+    "op6_html": op6_html,
+    "op7_search": op7_search,
     "op8_bpe": op8_bpe,
+    "op9_substrings": op9_substrings,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_search": OP7_SQL,
     "op10_mixing": OP10_SQL,
 }
