@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roundweave.llm import bpe, html, mixing, near_dedup, quality, search, substrings, token_counts, toxicity
+from roundweave.llm import bpe, html, mixing, near_dedup, pii, quality, search, substrings, token_counts, toxicity
 from roundweave.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_near_dedup": op4_near_dedup,
+    "op5_pii": op5_pii,
     "op6_html": op6_html,
     "op7_search": op7_search,
     "op8_bpe": op8_bpe,
