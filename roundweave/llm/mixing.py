@@ -71,7 +71,8 @@ def source_targets(sizes: DataFrame, share: float, max_repeats: int, weights: tu
         .withColumn("__w_open", F.sum("__weight").over(filled.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("__budget", F.sum("source_size").over(Window.partitionBy()) * F.lit(share))
         .withColumn("__level", level)
-        .withColumn("__level", F.min(F.when(F.col("__level") <= F.col("__fill"), F.col("__level"))).over(Window.partitionBy()))
+        # these levels fall from the first source on that is above its own, and that one's holds
+        .withColumn("__level", F.max(F.when(F.col("__level") <= F.col("__fill"), F.col("__level"))).over(Window.partitionBy()))
         .withColumn("target", F.when(F.col("__level") < F.col("__fill"), F.col("__level") * F.col("__weight")).otherwise(F.col("__cap")))
         .select(F.col("source").alias("__of"), F.col("__no").alias("__src"), "source_size", "__rows", "target", F.floor("__budget").alias("__budget"))
     )

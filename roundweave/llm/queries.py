@@ -91,7 +91,7 @@ WITH d AS (
   FROM w
 ), t AS (
   SELECT *, CASE WHEN best < fill THEN best * weight ELSE cap END AS target
-  FROM (SELECT *, min(CASE WHEN level <= fill THEN level END) OVER () AS best FROM l)
+  FROM (SELECT *, max(CASE WHEN level <= fill THEN level END) OVER () AS best FROM l)
 ), q AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.no, t.budget,
          sum(d.size) OVER (PARTITION BY t.no ORDER BY d.k, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS e
