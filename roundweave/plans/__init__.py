@@ -1,0 +1,4 @@
+"""Queries over the reference operators, with the SQL they are checked against."""
+
+ORACLES: dict[str, str] = {}
+QUERIES: dict = {}
