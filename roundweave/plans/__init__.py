@@ -1,4 +1,6 @@
 """Queries over the reference operators, with the SQL they are checked against."""
 
-ORACLES: dict[str, str] = {}
-QUERIES: dict = {}
+from roundweave.plans import conversation
+
+QUERIES: dict = {**conversation.QUERIES}
+ORACLES: dict[str, str] = {k: v.replace("WITH ", "WITH RECURSIVE ", 1) if v.lstrip().startswith("WITH ") and "RECURSIVE" not in v[:20] else v for k, v in {**conversation.ORACLES}.items()}
