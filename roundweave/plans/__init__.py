@@ -1,6 +1,13 @@
 """Queries over the reference operators, with the SQL they are checked against."""
 
-from roundweave.plans import conversation
+from roundweave.plans import conversation, tables
 
-QUERIES: dict = {**conversation.QUERIES}
-ORACLES: dict[str, str] = {k: v.replace("WITH ", "WITH RECURSIVE ", 1) if v.lstrip().startswith("WITH ") and "RECURSIVE" not in v[:20] else v for k, v in {**conversation.ORACLES}.items()}
+QUERIES: dict = conversation.QUERIES | tables.QUERIES
+
+
+def _recursive(sql: str) -> str:
+    """SQL may use recursion only if it says so in front."""
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1) if sql.lstrip().startswith("WITH ") and "reach(" in sql and "RECURSIVE" not in sql[:20] else sql
+
+
+ORACLES: dict[str, str] = {name: _recursive(sql) for name, sql in (conversation.ORACLES | tables.ORACLES).items()}

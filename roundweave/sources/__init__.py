@@ -1,0 +1,97 @@
+"""Sources and sinks of samples: JSON lines, JSON arrays and other files."""
+
+from __future__ import annotations
+
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+MESSAGES = "array<struct<role:string,content:string>>"
+#: What training needs of a sample.
+TRAINING_COLUMNS = ("messages", "images", "system")
+#: Format of a file by its suffix.
+FORMATS = {"jsonl": "json", "json": "json", "txt": "text", "csv": "csv", "parquet": "parquet", "orc": "orc"}
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, bad_lines: str = "fail") -> DataFrame:
+    """Rows of JSON lines; blank lines are passed over.
+
+    ``bad_lines`` is ``fail`` (any is an error), ``skip``, or ``empty`` (any makes the
+    result empty; a pass over the data finds out).
+    """
+    if bad_lines == "skip":
+        return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    if bad_lines == "empty":
+        try:
+            rows.write.format("noop").mode("overwrite").save()
+        except PySparkException:
+            return spark.createDataFrame([], rows.schema)
+    elif bad_lines != "fail":
+        raise ValueError(f"bad_lines can't be {bad_lines}")
+    return rows
+
+
+def read_json_array(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Rows of a file that is one JSON array."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+
+
+def format_of(path: str) -> str:
+    """Format by suffix; parquet where the suffix says nothing."""
+    return FORMATS.get(path.rsplit(".", 1)[-1].lower(), "parquet")
+
+
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A file or a folder of files, by the suffix of the first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    name = path
+    if fs.getFileStatus(hadoop).isDirectory():
+        names = sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if not f.getPath().getName().startswith(("_", ".")))
+        name = names[0] if names else path
+    fmt = format_of(name)
+    if fmt == "csv":
+        options = {"header": True} | options
+    if fmt == "json" and not name.endswith("jsonl"):
+        first = spark.read.text(path, wholetext=False).filter("trim(value) <> ''").first()
+        options = {"multiLine": bool(first and first[0].lstrip().startswith("["))} | options
+    return spark.read.format(fmt).options(**options).load(path)
+
+
+def load_sources(spark: SparkSession, infos: dict[str, dict]) -> dict[str, DataFrame]:
+    """Sources by name; an info has ``file_name`` and may have ``size`` (first rows)."""
+    found = {}
+    for name, info in infos.items():
+        rows = read_any(spark, info["file_name"])
+        found[name] = rows.limit(info["size"]) if info.get("size") else rows
+    return found
+
+
+def training_view(rows: DataFrame) -> DataFrame:
+    """Only the columns that training needs."""
+    return rows.select(*(c for c in TRAINING_COLUMNS if c in rows.columns))
+
+
+def write_ordered(rows: DataFrame, path: str, order: str = "_idx") -> None:
+    """JSON lines in order: range-sorted, so file by file and line by line."""
+    rows.repartitionByRange(order).sortWithinPartitions(order).write.mode("errorifexists").json(path)
+
+
+def write_with_errors(rows: DataFrame, path: str, errors: str, error: str = "error") -> None:
+    """Rows without an error to one folder, the others (id and error) to another."""
+    rows.filter(F.col(error).isNull()).drop(error).write.mode("append").json(path)
+    rows.filter(F.col(error).isNotNull()).select("_idx", error).write.mode("append").json(errors)
+
+
+def replace_if_clean(rows: DataFrame, bad: DataFrame, path: str) -> None:
+    """Write rows beside ``path`` and put them in its place, only if there is no bad row."""
+    spark = rows.sparkSession
+    if not bad.isEmpty():
+        raise ValueError("rows without a match: nothing was replaced")
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    rows.write.mode("overwrite").json(f"{path}.new")
+    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(old, True)
+    fs.rename(new, old)
