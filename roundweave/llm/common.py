@@ -55,6 +55,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a ``saved`` DataFrame that nothing will read again."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(column: str) -> F.Column:
     """A text column as bytes, null as empty, for Python code that decodes leniently."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))

@@ -14,16 +14,18 @@ is the anchor of.
 
 Documents come in batches. A batch gets its array, which is merge-scanned
 against itself and against the arrays of all levels: a sort-merge join on the
-suffixes' beginnings. Then it becomes level 0; while there are two levels of one
-size they are merged into one of the next, so that there are logarithmically
+suffixes' beginnings. Then it becomes a level; before the next batch comes, two levels
+of one size are merged into one of twice the size, so that there are logarithmically
 many, and an entry is rewritten logarithmically often.
 
 What the scans have matched is decided exactly (up to 128 bits of fingerprints).
 Entries with the same fingerprint repeat in all their windows. Only where
 entries begin alike but differ in their windows, which is at the ends of repeated
-passages, are the windows themselves hashed and counted, in groups that Spark sums up
-before it shuffles; no list of the places of a passage is ever made in one task.
-Lists are collected per document only, and are no longer than its text.
+passages, are the windows themselves hashed and counted. Up to ``GROUP`` such
+entries are brought together with the text around their anchors. A beginning with more
+entries sends the hashes of their windows instead, dealt out by hash to as many
+tasks as it has times ``GROUP`` entries, so that no task holds all places of a
+passage. Other lists are collected per document, and are no longer than its text.
 
 Edge cases: a null text is an empty one; texts under ``length`` bytes lose
 nothing; of repeated rows each is a place of its own, so that both lose what
@@ -43,14 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import saved, small_batches, utf8
+from roundweave.llm.common import discard, saved, small_batches, utf8
 
 LENGTH = 400
 #: Bytes by which suffixes are compared first.
 GRAM = 32
 BATCHES = 4
+#: Entries with one beginning that are compared in one task.
+GROUP = 1000
 #: Bytes whose anchors are looked for together; a place within has 24 bits.
-CHUNK = 2_000_000
+CHUNK = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: One random number for each byte.
@@ -188,16 +192,18 @@ class SuffixIndex:
 
     def add(self, docs: DataFrame) -> None:
         """Take in a batch (doc_id, text_hash, text as bytes), and note what it shares with all before."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (size, one), (_, two) = self.levels.pop(), self.levels.pop()
+            self.levels.append((size + 1, saved(_sorted(one.unionByName(two)), "suffixes")))
+            discard(one)
+            discard(two)
         new = saved(_sorted(_entries(docs, self.length)), "suffixes")
         keys = new.groupBy("key").agg(F.sum(F.size("places")).alias("n"))
-        self.matched.append(keys.filter("n > 1").select("key"))
+        found = keys.filter("n > 1").select("key")
         for _, level in self.levels:
-            self.matched.append(keys.join(level.select("key"), "key", "left_semi").select("key"))
-        size = 0
-        while self.levels and self.levels[-1][0] == size:
-            new = saved(_sorted(self.levels.pop()[1].unionByName(new)), "suffixes")
-            size += 1
-        self.levels.append((size, new))
+            found = found.unionByName(keys.join(level.select("key"), "key", "left_semi").select("key"))
+        self.matched.append(saved(found.distinct(), "matched"))
+        self.levels.append((0, new))
 
     def entries(self) -> DataFrame:
         """The entries whose beginnings the scans have found more than once."""
@@ -210,39 +216,128 @@ class SuffixIndex:
 
 
 def _window_hashes(docs: DataFrame, length: int) -> DataFrame:
-    """Hashes of the windows asked for: ``docs`` has doc_id, text_hash, text and ``asked``."""
+    """Hashes of the windows asked for, dealt out by hash: ``key, shard, doc_id, text_hash,
+    single, starts, hashes``. ``docs`` has doc_id, text_hash, text and ``asked``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(len(batch)):
                 text = np.frombuffer(batch.column(2)[row].as_py(), np.uint8)
                 asked = batch.column(3).slice(row, 1).flatten()
-                at, before, span = (asked.field(i).to_numpy() for i in range(3))
-                first = at - before
-                # a long text is hashed in parts that hold the places asked for
-                for lo in range(0, len(text), CHUNK):
-                    mine = (first >= lo) & (first < lo + CHUNK)
-                    if not mine.any():
-                        continue
-                    hashes = Hashes(text[lo : lo + CHUNK + 2 * length])
-                    n = span[mine] + 1
-                    # offsets from the anchor tell windows of one anchor apart
-                    steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    start = np.repeat(first[mine], n) + steps
-                    whole = hashes.of(start - lo, start - lo + length)
-                    half = mixed(hashes.of(start - lo, start - lo + length // 2))
-                    single = np.repeat(asked.field(3).to_numpy(zero_copy_only=False)[mine], n)
-                    taken = pa.array(np.full(len(start), row))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(start), pa.array(whole.view(np.int64)), pa.array(half.view(np.int64)), pa.array(single)], names=["doc_id", "text_hash", "start", "w1", "w2", "single"])
+                keys, shards, singles, starts, hashes = [], [], [], [], []
+                for at, before, span, single, key, n in zip(*(asked.field(i).to_pylist() for i in range(6))):
+                    first = at - before
+                    whole = Hashes(text[first : first + span + length])
+                    w = mixed(whole.of(slice(0, span + 1), slice(length, None)))
+                    shard = (w >> np.uint64(33)) % np.uint64(n)
+                    for k in np.unique(shard):
+                        mine = np.flatnonzero(shard == k)
+                        keys.append(key)
+                        shards.append(int(k))
+                        singles.append(single)
+                        starts.append(first + mine)
+                        hashes.append(w[mine].view(np.int64))
+                taken = pa.array(np.full(len(keys), row))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.binary()), pa.array(shards, pa.int32()), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(singles), pa.array(starts, pa.list_(pa.int64())), pa.array(hashes, pa.list_(pa.int64()))],
+                    names=["key", "shard", "doc_id", "text_hash", "single", "starts", "hashes"],
+                )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_hash", "text", "asked").mapInArrow(run, f"key binary, shard int, doc_id {kind}, text_hash long, single boolean, starts array<long>, hashes array<long>")
+
+
+RUNS = "array<struct<first:long,last:long>>"
+
+
+def _counted(groups: DataFrame, kind: str) -> DataFrame:
+    """Repeated windows, from rows that hold all windows of one beginning and shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                group = batch.column(0).slice(row, 1).flatten()
+                starts, hashes = group.field(3), group.field(4)
+                entry = np.repeat(np.arange(len(group)), starts.value_lengths().to_numpy())
+                _, which, counts = np.unique(hashes.flatten().to_numpy(), return_inverse=True, return_counts=True)
+                again = (counts[which] > 1) & group.field(2).to_numpy(zero_copy_only=False)[entry]
+                at = starts.flatten().to_numpy()[again]
+                yield _runs(group.field(0), group.field(1), entry[again], at, at)
+
+    return groups.mapInArrow(run, f"doc_id {kind}, text_hash long, runs {RUNS}")
+
+
+def _runs(ids: pa.Array, text_hashes: pa.Array, entry: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.RecordBatch:
+    """A row for each entry that has runs; ``entry`` ascends."""
+    own = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]]) if len(entry) else np.zeros(0, np.int64)
+    taken = pa.array(entry[own])
+    runs = pa.StructArray.from_arrays([pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["first", "last"])
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[own, len(entry)].astype(np.int32)), runs)
+    return pa.RecordBatch.from_arrays([ids.take(taken), text_hashes.take(taken), lists], names=["doc_id", "text_hash", "runs"])
+
+
+AROUND = "key binary, doc_id {id}, text_hash long, first long, single boolean, around binary"
+
+
+def _around(docs: DataFrame, length: int) -> DataFrame:
+    """The text of all windows of the entries asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                text = batch.column(2)[row].as_py()
+                asked = batch.column(3).slice(row, 1).flatten()
+                first = asked.field(0).to_numpy() - asked.field(1).to_numpy()
+                around = [text[f : f + s + length] for f, s in zip(first.tolist(), asked.field(2).to_pylist())]
+                taken = pa.array(np.full(len(first), row))
+                yield pa.RecordBatch.from_arrays([asked.field(4), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(first), asked.field(3), pa.array(around, pa.binary())], names=["key", "doc_id", "text_hash", "first", "single", "around"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_hash", "text", "asked").mapInArrow(run, f"doc_id {kind}, text_hash long, start long, w1 long, w2 long, single boolean")
+    return docs.select("doc_id", "text_hash", "text", "asked").mapInArrow(run, AROUND.format(id=kind))
+
+
+def _compared(groups: DataFrame, kind: str, length: int) -> DataFrame:
+    """Runs of repeated windows, from rows that hold all entries of a beginning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                group = batch.column(0).slice(row, 1).flatten()
+                texts = group.field(4).to_pylist()
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                n = sizes - length + 1
+                begins = np.cumsum(sizes) - sizes
+                entry = np.repeat(np.arange(len(texts)), n)
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                at = begins[entry] + step
+                whole = Hashes(np.frombuffer(b"".join(texts), np.uint8)).of(at, at + length)
+                _, which, counts = np.unique(whole, return_inverse=True, return_counts=True)
+                again = (counts[which] > 1) & group.field(3).to_numpy(zero_copy_only=False)[entry]
+                entry, step = entry[again], step[again]
+                if not len(entry):
+                    continue
+                new = np.r_[True, (entry[1:] != entry[:-1]) | (step[1:] != step[:-1] + 1)]
+                start = np.flatnonzero(new)
+                end = np.r_[start[1:] - 1, len(entry) - 1]
+                first = group.field(2).to_numpy()[entry[start]]
+                yield _runs(group.field(0), group.field(1), entry[start], first + step[start], first + step[end])
+
+    return groups.mapInArrow(run, f"doc_id {kind}, text_hash long, runs {RUNS}")
 
 
 def _same_doc(a: DataFrame, b: DataFrame):
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+def _asked(docs: DataFrame, alike: DataFrame, keys: DataFrame) -> DataFrame:
+    """The texts of the entries with the given beginnings, with a list of these in each."""
+    asked = alike.join(keys.select("key", F.ceil(F.col("kinds") / GROUP).alias("shards")), "key")
+    asked = asked.select("one.doc_id", "one.text_hash", F.struct("one.at", "one.before", "one.span", (F.col("n") == 1).alias("single"), "key", "shards").alias("ask"))
+    asked = asked.groupBy("doc_id", "text_hash").agg(F.collect_list("ask").alias("asked"))
+    # of equal rows, which are not single, one will do
+    return docs.join(asked, _same_doc(docs, asked)).select(docs["doc_id"], docs["text_hash"], "text", "asked")
+
+
 def repeated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
     """``doc_id, text_hash`` and ``starts``: runs (first, last) of windows that repeat.
 
@@ -257,18 +352,19 @@ def repeated(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> D
         F.min(F.struct("doc_id", "text_hash", F.col("places")[0].alias("at"), "before", "span")).alias("one"),
     )
     alike = saved(alike, "alike")
-    mixed_keys = alike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    asked = alike.join(mixed_keys, "key", "left_semi").select("one.doc_id", "one.text_hash", F.struct("one.at", "one.before", "one.span", (F.col("n") == 1).alias("single")).alias("ask"))
-    asked = asked.groupBy("doc_id", "text_hash").agg(F.collect_list("ask").alias("asked"))
-    texts = docs.dropDuplicates(["doc_id", "text_hash"]) if False else docs
-    windows = texts.join(asked, _same_doc(texts, asked)).select(texts["doc_id"], texts["text_hash"], "text", "asked")
-    windows = saved(_window_hashes(windows, length), "windows")
-    often = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n"), F.max("single").alias("single")).filter("n > 1 AND single").select("w1", "w2")
-    some = windows.filter("single").join(often, ["w1", "w2"], "left_semi").select("doc_id", "text_hash", F.col("start").alias("first"), F.col("start").alias("last"))
+    kinds = saved(alike.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 AND least = 1").select("key", "kinds"), "kinds")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    few = _around(_asked(docs, alike, kinds.filter(F.col("kinds") <= GROUP)), length).groupBy("key")
+    some = _compared(few.agg(F.collect_list(F.struct("doc_id", "text_hash", "first", "single", "around")).alias("group")).select("group"), kind, length)
+    many = kinds.filter(F.col("kinds") > GROUP)
+    if not many.isEmpty():
+        windows = _window_hashes(_asked(docs, alike, many), length).groupBy("key", "shard")
+        some = some.unionByName(_counted(windows.agg(F.collect_list(F.struct("doc_id", "text_hash", "single", "starts", "hashes")).alias("group")).select("group"), kind))
     whole = entries.join(alike.filter("n > 1").select("key", "ctx"), ["key", "ctx"], "left_semi")
-    whole = whole.select("doc_id", "text_hash", F.explode("places").alias("at"), "before", "span").select("doc_id", "text_hash", (F.col("at") - F.col("before")).alias("first"), (F.col("at") - F.col("before") + F.col("span")).alias("last"))
+    begin = lambda at: at - F.col("before")
+    whole = whole.select("doc_id", "text_hash", F.transform("places", lambda at: F.struct(begin(at).alias("first"), (begin(at) + F.col("span")).alias("last"))).alias("runs"))
     runs = some.unionByName(whole)
-    return runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    return runs.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("starts"))
 
 
 def keyed(docs: DataFrame, text: str = "text") -> DataFrame:
