@@ -165,7 +165,7 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.page(table(spark, sf_dir, "benchmark"), "item_id", 3)
 
 
-@query("WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) SELECT w."at"::BIGINT AS "at", item_id FROM b JOIN (VALUES (0, 5), (1, 0), (2, 5), (3, 12)) w("at", p) USING (p)")
+@query("""WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) SELECT w."at"::BIGINT AS "at", item_id FROM b JOIN (VALUES (0, 5), (1, 0), (2, 5), (3, 12)) w("at", p) USING (p)""")
 def index_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by a list of positions, repeats and order kept."""
     b = table(spark, sf_dir, "benchmark").select("item_id").withColumn("p", F.row_number().over(Window.orderBy("item_id")).cast("long") - 1)
