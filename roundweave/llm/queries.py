@@ -28,8 +28,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document before and after three edits, by its segment tree."""
     docs = table(spark, sf_dir, "documents")
-    counted = token_counts.count_tokens(docs, *rank_file(), edits=token_counts.sample_edits(docs["text"]))
-    return counted.select("doc_id", "n_tokens", "n_edits", "n_chars_edited", "n_tokens_edited", "n_encoded")
+    return token_counts.count_tokens(docs, *rank_file(), edits=token_counts.sample_edits(docs["text"]), state=False)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from roundweave.llm.bpe import Codec, codec
+from roundweave.llm.bpe import TABLE_ENTRIES, Codec, codec
 from roundweave.llm.common import small_batches, utf8
 
 #: Pre-tokens of a leaf, and how many times that makes it split.
@@ -43,6 +43,22 @@ LOOK_AHEAD = 3
 EDITS = "array<struct<start:long,end:long,text:string>>"
 
 
+class TokenCounts(dict):
+    """Tokens of the pieces seen lately."""
+
+    def __init__(self, encoder: Codec):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) > TABLE_ENTRIES:
+            self.clear()
+        n = len(self.encoder[piece]) // 4
+        if len(piece) < 64:
+            self[piece] = n
+        return n
+
+
 class CountTree:
     """Segment tree over the leaves of one document."""
 
@@ -63,13 +79,13 @@ class CountTree:
         self.chars, self.tokens = sums[0].tolist(), sums[1].tolist()
 
     @classmethod
-    def of(cls, text: str, encoder: Codec) -> CountTree:
-        pieces = encoder.split(text)
+    def of(cls, text: str, counts: TokenCounts) -> CountTree:
+        pieces = counts.encoder.split(text)
         if not pieces:
             return cls([], [])
         starts = np.arange(0, len(pieces), LEAF)
         chars = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), starts)
-        tokens = np.add.reduceat(np.fromiter((len(encoder[p]) for p in pieces), np.int64, len(pieces)) // 4, starts)
+        tokens = np.add.reduceat(np.fromiter(map(counts.__getitem__, pieces), np.int64, len(pieces)), starts)
         return cls(chars.tolist(), tokens.tolist())
 
     @property
@@ -84,7 +100,7 @@ class CountTree:
             self.tokens[node] += more_tokens
             node //= 2
 
-    def edit(self, text: str, edits: list[tuple[int, int, str]], encoder: Codec) -> str:
+    def edit(self, text: str, edits: list[tuple[int, int, str]], counts: TokenCounts) -> str:
         """Apply edits (sorted, apart) to ``text``, whose tree this is; the new text."""
         if not edits:
             return text
@@ -109,7 +125,7 @@ class CountTree:
             if leaf < after:
                 continue
             pos, after = int(begins_now[leaf]) if leaf else 0, leaf + 1
-            found = encoder.pattern.finditer(text, pos)
+            found = counts.encoder.pattern.finditer(text, pos)
             chars, tokens = [], []
             while True:
                 while after < self.leaves and (touched[after] or begins_now[after] < pos):
@@ -118,7 +134,7 @@ class CountTree:
                     break
                 piece = next(found).group()
                 chars.append(len(piece))
-                tokens.append(len(encoder[piece]) // 4)
+                tokens.append(counts[piece])
                 pos += len(piece)
             if pos >= len(text):
                 after = self.leaves
@@ -156,13 +172,13 @@ def clipped(edits: Iterable | None, length: int) -> list[tuple[int, int, str]]:
     return out
 
 
-def count_tokens(docs: DataFrame, rank_file: bytes, pattern: str, edits: Column, text: str = "text", keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+def count_tokens(docs: DataFrame, rank_file: bytes, pattern: str, edits: Column, text: str = "text", keys: Iterable[str] = ("doc_id",), state: bool = True) -> DataFrame:
     """Token counts before and after edits, with the state to go on from.
 
     ``edits`` is a column of type EDITS over ``docs``: places in code points. Returns the
     key columns, ``n_tokens`` (before), ``n_edits``, ``n_chars_edited`` and
     ``n_tokens_edited`` (after), ``n_encoded`` (pre-tokens that the edits had
-    encoded), ``leaf_chars`` and ``leaf_tokens`` (the leaves after the edits).
+    encoded), and with ``state`` ``leaf_chars`` and ``leaf_tokens`` (the leaves after the edits).
     One pass without a shuffle.
     """
     spark = docs.sparkSession
@@ -173,18 +189,20 @@ def count_tokens(docs: DataFrame, rank_file: bytes, pattern: str, edits: Column,
     longs = ["n_tokens", "n_edits", "n_chars_edited", "n_tokens_edited", "n_encoded"]
     for name in longs:
         out.add(name, "long")
-    out.add("leaf_chars", ArrayType(LongType())).add("leaf_tokens", ArrayType(LongType()))
-    kinds = [pa.int64()] * len(longs) + [pa.list_(pa.int64())] * 2
+    kinds = [pa.int64()] * len(longs)
+    if state:
+        out.add("leaf_chars", ArrayType(LongType())).add("leaf_tokens", ArrayType(LongType()))
+        kinds += [pa.list_(pa.int64())] * 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = codec(shared.value, pattern)
+        counts = TokenCounts(codec(shared.value, pattern))
         for batch in batches:
             rows = []
             for value, edit in zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)):
                 body = value.as_py().decode("utf-8", "replace")
-                tree = CountTree.of(body, encoder)
+                tree = CountTree.of(body, counts)
                 before, changes = tree.total, clipped(edit.as_py(), len(body))
-                body = tree.edit(body, changes, encoder)
+                body = tree.edit(body, changes, counts)
                 leaves = slice(tree.width, tree.width + tree.leaves)
                 rows.append((before, len(changes), len(body), tree.total, tree.encoded, tree.chars[leaves], tree.tokens[leaves]))
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
