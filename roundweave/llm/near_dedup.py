@@ -20,8 +20,14 @@ never compared with each other:
    buckets, the one it shares most tables with. The links make components.
 3. What could still be linked are members of a bucket in different components.
    Only buckets that have such members are looked at, in blocks of ``BLOCK`` rows
-   by ``BLOCK`` rows if they are large; signatures rule out the pairs that are too
-   unlike (a pair at 3/4 is ruled out with a chance of 2 in a million), and the rest is verified.
+   by ``BLOCK`` rows if they are large. Signatures rule out the pairs that are too
+   unlike (a pair at 3/4 is ruled out with a chance of 2 in a million); the
+   components that what is left joins are neighbours. No pairs are
+   given out, only as many as it takes to join the components of a bucket.
+4. The members of neighbouring components are brought together with their sets, in
+   blocks of about ``BLOCK_SHINGLES`` shingles by as many. An inverted index
+   over a block's shingles counts what its members have in common, and links between
+   components are given out, again no more than it takes to join them.
 
 Shingles are told apart by 64-bit hashes of their words.
 
@@ -52,6 +58,8 @@ SIDE, ROWS = 16, 2
 HASHES = 2 * SIDE * ROWS
 #: Members of a bucket that one row of the last step holds from one block.
 BLOCK = 512
+#: Shingles that one row of the last step holds from one block, about.
+BLOCK_SHINGLES = 1_000_000
 #: Equal hashes out of HASHES that a pair must have to be verified in the last step.
 LEAST_EQUAL = HASHES // 2
 _RANDOM = np.random.default_rng(75)
@@ -64,7 +72,7 @@ class WordHashes(dict):
     """64-bit hashes of the words seen lately."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -153,29 +161,84 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= 75 * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b").distinct()
 
 
-def _unlike_labels(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of a row in different components whose signatures do not rule them out."""
+class Joined:
+    """Sets that are joined one by one."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart."""
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _neighbours(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components that members of a row join whose signatures don't rule each other out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_a, out_b = [], []
+            out = []
             for row in range(len(batch)):
                 m = batch.column(0).slice(row, 1).flatten()
-                ids, labels, sizes = (m.field(i).to_numpy() for i in range(3))
-                signs = np.frombuffer(b"".join(m.field(3).to_pylist()), np.uint32).reshape(len(ids), HASHES)
+                labels, sizes = m.field(0).to_numpy(), m.field(1).to_numpy()
+                signs = np.frombuffer(b"".join(m.field(2).to_pylist()), np.uint32).reshape(len(labels), HASHES)
                 values, counts = np.unique(labels, return_counts=True)
                 rest = np.flatnonzero(labels != values[counts.argmax()])
+                seen = Joined()
                 for i in range(0, len(rest), 64):
                     r = rest[i : i + 64]
                     equal = (signs[r][:, None, :] == signs[None, :, :]).sum(axis=2)
                     small, large = np.minimum(sizes[r][:, None], sizes), np.maximum(sizes[r][:, None], sizes)
                     x, y = np.nonzero((labels[r][:, None] != labels) & (equal >= LEAST_EQUAL) & (100 * small >= 75 * large))
-                    out_a.append(np.minimum(ids[r[x]], ids[y]))
-                    out_b.append(np.maximum(ids[r[x]], ids[y]))
-            pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=1) if out_a else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                    pairs = np.unique(np.stack([labels[r[x]], labels[y]]), axis=1).T.tolist()
+                    out += [(a, b) for a, b in pairs if seen.join(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def _links(groups: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a row in different components, enough to join what they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in range(len(batch)):
+                m = batch.column(0).slice(row, 1).flatten()
+                ids, labels, lists = m.field(0).to_numpy(), m.field(1).to_numpy(), m.field(2)
+                sizes = lists.value_lengths().to_numpy().astype(np.int64)
+                _, shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+                owner = np.repeat(np.arange(len(ids)), sizes)
+                order = np.argsort(shingle, kind="stable")
+                postings, begins = owner[order], np.r_[0, np.cumsum(np.bincount(shingle))]
+                starts = np.cumsum(sizes) - sizes
+                values, counts = np.unique(labels, return_counts=True)
+                seen = Joined()
+                for y in np.flatnonzero(labels != values[counts.argmax()]).tolist():
+                    mine = shingle[starts[y] : starts[y] + sizes[y]]
+                    n = begins[mine + 1] - begins[mine]
+                    at = np.repeat(begins[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    common = np.bincount(postings[at], minlength=len(ids))
+                    linked = np.flatnonzero((100 * common >= 75 * (sizes + sizes[y] - common)) & (labels != labels[y]))
+                    _, one = np.unique(labels[linked], return_index=True)
+                    out += [(int(ids[y]), int(ids[x])) for x in linked[one] if seen.join(int(labels[y]), int(labels[x]))]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+
+    return groups.mapInArrow(run, "a long, b long")
+
 
-    return members.mapInArrow(run, "a long, b long").distinct()
+def _in_blocks(members: DataFrame, group: str, *columns: str) -> DataFrame:
+    """Rows with the members of every two blocks of a group (``blocks`` says how many it has)."""
+    members = members.withColumn("__mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return members.groupBy(group, F.least("__mine", "__other").alias("lo"), F.greatest("__mine", "__other").alias("hi")).agg(F.collect_list(F.struct(*columns)).alias("members")).select("members")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -212,9 +275,12 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     labelled = tables.join(labels, tables["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     members = labelled.join(open_, "key").join(classes.select("id", "n", "signature"), "id")
-    members = members.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.groupBy("key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).agg(F.collect_list(F.struct("id", "label", "n", "signature")).alias("members"))
-    more = verified(saved(_unlike_labels(members.select("members")), "pairs"), sets)
+    near = components(_neighbours(_in_blocks(members, "key", "label", "n", "signature")))
+    known_labels = labelled.select("id", "label").distinct()
+    held = known_labels.join(near.select(F.col("node").alias("label"), F.col("component").alias("group")), "label")
+    held = held.unionByName(known_labels.join(near.select(F.col("component").alias("label")).distinct(), "label").withColumn("group", F.col("label")))
+    sizes = held.join(classes.select("id", "n"), "id").groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    more = _links(_in_blocks(held.join(sizes, "group").join(sets, "id"), "group", "id", "label", "shingles"))
     final = components(links.unionByName(more))
 
     of_class = classes.select("set_key", "id").join(final, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
