@@ -235,3 +235,51 @@ def lenient_json(c: Column) -> Column:
     fenced = strip(F.regexp_extract(text, r"(?s)```(?:json|JSON)?\s*\n?(.*?)\n?```", 1))
     inner = F.when(F.rlike(text, F.lit(r"(?s)```(?:json|JSON)?\s*\n?(.*?)\n?```")), fenced).otherwise(text)
     return F.coalesce(F.try_parse_json(text), F.try_parse_json(fenced), *(F.try_parse_json(F.regexp_extract(inner, p, 0)) for p in (r"(?s)\[.*\]", r"(?s)\{.*\}")))
+
+
+def has_cjk(c: Column) -> Column:
+    """Whether a text has a character of the unified ideographs."""
+    return F.rlike(c, F.lit("[一-鿿]"))
+
+
+def asks_question(messages: Column) -> Column:
+    """Whether the first message is a question in the expected form."""
+    return F.coalesce(F.contains(F.get(messages, F.lit(0))["content"], F.lit("Input Question")), F.lit(False))
+
+
+def renamed(messages: Column, names: dict[str, str]) -> Column:
+    """Messages with strings of their contents replaced, one after the other."""
+
+    def content(c: Column) -> Column:
+        for old, new in names.items():
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
+
+    return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), content(m["content"]).alias("content")))
+
+
+def message_hash(messages: Column) -> Column:
+    """Fingerprint of messages: SHA-256 of our own canonical form, role and content by line with their lengths."""
+    part = lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"]), F.lit(":"), m["content"])
+    return F.sha2(F.array_join(F.transform(messages, lambda m: F.coalesce(part(m), F.lit("-"))), "\n"), 256)
+
+
+def rendered_results(results: Column, top: int = 10, empty: str = "No results found.") -> Column:
+    """Search results (title, url, snippet) as one text."""
+    item = lambda r: F.concat(F.lit("Title: "), F.coalesce(r["title"], F.lit("")), F.lit("\nURL: "), F.coalesce(r["url"], F.lit("")), F.lit("\nSnippet: "), F.coalesce(r["snippet"], F.lit("")))
+    return F.when(F.coalesce(F.size(results), F.lit(0)) > 0, F.array_join(F.transform(F.slice(results, 1, top), item), "\n\n---\n\n")).otherwise(empty)
+
+
+def cut_ids(ids: Column, cutoff: int = 2048, packing: bool = False) -> Column:
+    """Token ids up to the cutoff; packing keeps one place free."""
+    return F.slice(ids, 1, cutoff - 1 if packing else cutoff)
+
+
+def label_mask(roles: Column, train_on_prompt: bool = False, mask_history: bool = False) -> Column:
+    """Which turns are trained on: the assistant's, only the last of them, or all. The two options exclude each other."""
+    if train_on_prompt and mask_history:
+        raise ValueError("train_on_prompt and mask_history exclude each other")
+    if train_on_prompt:
+        return F.transform(roles, lambda _: F.lit(True))
+    last = F.size(roles) - F.array_position(F.reverse(roles), F.lit("assistant"))
+    return F.transform(roles, lambda r, i: (r == "assistant") & ((i == last) if mask_history else F.lit(True)))

@@ -111,6 +111,17 @@ def relaxed_groups(edges: Column) -> Column:
     return F.transform(classes, lambda x: F.struct(x["node"].alias("node"), F.transform(F.filter(classes, lambda y: y["rep"] == x["rep"]), lambda y: y["node"]).alias("members")))
 
 
+def limited_groups(groups: Column, size: int | None = None, adjacent: bool = False) -> Column:
+    """Groups of more than ``size`` members taken apart again, and with ``adjacent`` those
+    whose numbers leave a gap. A limit on relaxed merging."""
+
+    def stays(m: Column) -> Column:
+        short = F.size(m) <= size if size else F.lit(True)
+        return short & (F.array_max(m) - F.array_min(m) + 1 == F.size(m)) if adjacent else short
+
+    return F.transform(groups, lambda g: F.struct(g["node"].alias("node"), F.when(stays(g["members"]), g["members"]).otherwise(F.array(g["node"])).alias("members")))
+
+
 def label(members: Column, as_text: bool) -> Column:
     """Members joined by ``+``: in the order of their texts, or of their numbers."""
     names = F.transform(members, lambda m: m.cast("string"))

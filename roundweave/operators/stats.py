@@ -79,6 +79,16 @@ def masked_accuracy(predicted: Column, labels: Column, ignored: int = -100) -> C
     return F.when(F.size(counted) > 0, hits / F.size(counted))
 
 
+def unpadded(mask: Column) -> Column:
+    """Places of a mask that aren't padding."""
+    return F.filter(F.transform(mask, lambda x, i: F.when(x != 0, i)), lambda i: i.isNotNull())
+
+
+def throughput(tokens: Column, epochs: float, seconds: float) -> Column:
+    """Effective tokens a second."""
+    return F.sum(tokens) * epochs / seconds
+
+
 def smoothed(values: Column) -> Column:
     """Exponential smoothing whose weight is a sigmoid of the length."""
     weight = F.lit(1.8) * (F.lit(1.0) / (F.lit(1.0) + F.exp(-0.05 * F.size(values))) - 0.5)

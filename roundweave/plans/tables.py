@@ -434,3 +434,69 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily counts of events: the batch form of what the stream counts. Not part of the reference."""
     rows = table(spark, sf_dir, "events").groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     return rows.select("event_type", F.unix_millis(F.col("day").cast("timestamp")).alias("day_ms"), "n")
+
+
+# the rest of the small operators
+
+
+@query("SELECT doc_id, regexp_matches(CASE WHEN doc_id % 3 = 0 THEN text || '\u4e2d' ELSE text END, '[\u4e00-\u9fff]') AS cjk FROM documents")
+def cjk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\u4e2d"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.has_cjk(text).alias("cjk"))
+
+
+@query(f"""WITH {TAGGED_SQL}, m AS (SELECT conv_id, pos, role, replace(replace(content, 'visit', 'open_url'), '<think>second', '<think>2nd') AS c FROM tg WHERE conv_id % 3 > 0),
+q AS (SELECT conv_id, list(role || ':' || len(c) || ':' || c ORDER BY pos) AS m FROM m GROUP BY conv_id)
+SELECT conv_id, sha256(array_to_string(m, chr(10))) AS digest FROM q WHERE contains(m[1], 'Input Question')""")
+def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that ask in the expected form, with names replaced, by the hash of their messages."""
+    rows = conversations(tagged_turns(spark, sf_dir).filter("conv_id % 3 > 0"))
+    made = T.renamed(F.col("messages"), {"visit": "open_url", "<think>second": "<think>2nd"})
+    return rows.filter(T.asks_question(F.col("messages"))).select("conv_id", T.message_hash(made).alias("digest"))
+
+
+@query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, 'Title: d' || doc_id || chr(10) || 'URL: u/' || doc_id || chr(10) || 'Snippet: ' || substring(text, 1, 40) AS s FROM documents WHERE n_chars < 1000)
+SELECT lang, md5(string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM r WHERE k <= 3 GROUP BY lang""")
+def result_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three short documents of a language as a page of results."""
+    docs = table(spark, sf_dir, "documents").filter("n_chars < 1000").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    item = F.struct("doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.concat(F.lit("u/"), "doc_id").alias("url"), F.substring("text", 1, 40).alias("snippet"))
+    rows = docs.filter("k <= 3").groupBy("lang").agg(F.sort_array(F.collect_list(item)).alias("r"))
+    return rows.select("lang", F.md5(T.rendered_results(F.col("r"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(CASE WHEN len(text) > 2000 THEN substring(text, 1, 2000) || chr(10) || chr(10) || '[cut]' ELSE text END) AS digest FROM documents")
+def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.truncated(F.col("text"), 2000, "\n\n[cut]")).alias("digest"))
+
+
+@query("""WITH r AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id)
+SELECT conv_id, len(list_filter(r, lambda x: x = 'assistant'))::BIGINT AS trained, least(1, len(list_filter(r, lambda x: x = 'assistant')))::BIGINT AS trained_last, len(r)::BIGINT AS trained_all,
+  array_to_string(list_transform(range(1, least(len(r), 3) + 1), lambda i: i), ',') AS cut FROM r""")
+def label_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that are trained on under each option, and ids up to a cutoff."""
+    rows = conversations(table(spark, sf_dir, "conversations")).withColumn("r", F.transform("messages", lambda m: m["role"]))
+    n = lambda mask: F.size(F.filter(mask, lambda x: x)).cast("long")
+    r = F.col("r")
+    ids = F.transform(F.sequence(F.lit(1), F.size("r")), lambda x: x.cast("string"))
+    return rows.select("conv_id", n(T.label_mask(r)).alias("trained"), n(T.label_mask(r, mask_history=True)).alias("trained_last"), n(T.label_mask(r, train_on_prompt=True)).alias("trained_all"), F.array_join(T.cut_ids(ids, 4, packing=True), ",").alias("cut"))
+
+
+@query("SELECT round(sum(len(text)) * 3.0::DOUBLE / 120.0, 4) AS tps, count(*)::BIGINT AS n FROM documents")
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters a second of three passes in two minutes."""
+    return table(spark, sf_dir, "documents").agg(F.round(stats.throughput(F.length("text"), 3.0, 120.0), 4).alias("tps"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH m AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: floor(abs(x) * 40)::INT % 4) AS m FROM embeddings)
+SELECT vec_id, coalesce(array_to_string(list_filter(range(0, 12), lambda i: m[i + 1] <> 0), ','), '') AS places FROM m""")
+def unpadded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mask = F.transform(F.slice("embedding", 1, 12), lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(stats.unpadded(mask), lambda i: i.cast("string")), ",").alias("places"))
+
+
+@query()
+def limited_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relaxed merging of two rounds at most, without a gap between them."""
+    rows = edited(spark, sf_dir).withColumn("groups", graph.limited_groups(graph.relaxed_groups(F.col("pruned")), 2, adjacent=True))
+    return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"), as_text=False)))

@@ -100,3 +100,10 @@ def test_cycles_keep_ascending(spark):
 def test_reasons(spark):
     rows = spark.createDataFrame([([(1, 3, "old"), (1, 3, "a"), (2, 3, "b"), (2, 4, "a"), (1, 4, None)], [1, 2], [3, 4])], "r array<struct<src:int,dst:int,reason:string>>, s array<int>, t array<int>")
     assert rows.select(graph.joined_reasons(F.col("r"), F.col("s"), F.col("t"))).first()[0] == "a;\nb"
+
+
+def test_limited_groups(spark):
+    rows = spark.createDataFrame([([(n, m) for m in ([2, 3], [4, 6], [7, 8, 9]) for n in m],)], "g array<struct<node:int,members:array<int>>>")
+    limited = lambda *a, **b: [g["members"] for g in rows.select(graph.limited_groups(F.col("g"), *a, **b)).first()[0]]
+    assert limited(2) == [[2, 3], [2, 3], [4, 6], [4, 6], [7], [8], [9]]
+    assert limited(adjacent=True) == [[2, 3], [2, 3], [4], [6], [7, 8, 9], [7, 8, 9], [7, 8, 9]]
