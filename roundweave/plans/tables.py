@@ -192,13 +192,13 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, seed=42)
 
 
-@query("""WITH t AS (SELECT conv_id, text, sha256(text) AS h FROM conversations WHERE turn = 0),
-s AS (SELECT h, arg_max('img_' || conv_id, conv_id) AS image FROM t WHERE conv_id % 2 = 0 GROUP BY h)
+@query("""WITH t AS (SELECT conv_id, role, text, sha256(text) AS h FROM conversations WHERE turn = 0),
+s AS (SELECT h, arg_max('img_' || conv_id, conv_id) AS image FROM t WHERE role = 'user' GROUP BY h)
 SELECT conv_id, image FROM t LEFT JOIN s USING (h)""")
 def hash_match_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Images found again by the hash of the first turn; of several the last counts."""
-    t = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", F.sha2("text", 256).alias("h"))
-    s = select.latest(t.filter("conv_id % 2 = 0").withColumn("image", F.concat(F.lit("img_"), "conv_id")), "h", "image", "conv_id")
+    """Images of conversations that a user opens, found again by the hash of the first turn; of several the last counts."""
+    t = table(spark, sf_dir, "conversations").filter("turn = 0").select("conv_id", "role", F.sha2("text", 256).alias("h"))
+    s = select.latest(t.filter("role = 'user'").withColumn("image", F.concat(F.lit("img_"), "conv_id")), "h", "image", "conv_id")
     return t.join(s, "h", "left").select("conv_id", "image")
 
 
@@ -445,12 +445,12 @@ def cjk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.has_cjk(text).alias("cjk"))
 
 
-@query(f"""WITH {TAGGED_SQL}, m AS (SELECT conv_id, pos, role, replace(replace(content, 'visit', 'open_url'), '<think>second', '<think>2nd') AS c FROM tg WHERE conv_id % 3 > 0),
+@query(f"""WITH {TAGGED_SQL}, m AS (SELECT conv_id, pos, role, replace(replace(content, 'visit', 'open_url'), '<think>second', '<think>2nd') AS c FROM tg),
 q AS (SELECT conv_id, list(role || ':' || len(c) || ':' || c ORDER BY pos) AS m FROM m GROUP BY conv_id)
 SELECT conv_id, sha256(array_to_string(m, chr(10))) AS digest FROM q WHERE contains(m[1], 'Input Question')""")
 def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that ask in the expected form, with names replaced, by the hash of their messages."""
-    rows = conversations(tagged_turns(spark, sf_dir).filter("conv_id % 3 > 0"))
+    rows = conversations(tagged_turns(spark, sf_dir))
     made = T.renamed(F.col("messages"), {"visit": "open_url", "<think>second": "<think>2nd"})
     return rows.filter(T.asks_question(F.col("messages"))).select("conv_id", T.message_hash(made).alias("digest"))
 
