@@ -50,7 +50,7 @@ HINTS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = [*PATTERNS, "term"]
 CONTEXT = 80
 SUPPORT = 3
-GENERALISE, REMOVE = 0.8, 0.95
+GENERALISE, REMOVE = 0.9, 0.98
 BROADCAST_TERMS = 50_000
 #: A term is a word of letters and digits with at least three characters.
 TERM = r"[\p{L}\p{N}]{3,}"
@@ -143,7 +143,7 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame, support: int = SUPPORT,
     n = rows.count()
     wanted = pairs.select("term").distinct()
     words = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = words.join(_small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
+    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).join(wanted, "term")
     known = F.log(F.lit(float(n)) / F.col("df_entity"))
     given = F.log(F.lit(float(n)) * F.col("joint") / (F.col("df_term") * F.col("df_entity")))
     told = pairs.join(counts, "term").withColumn("disclosure", F.when(known > 0, given / known))
