@@ -19,8 +19,9 @@ products stays under 2^53.
 
 Edge cases: vectors are compared with those of the same length only; an empty
 vector scores 0; an empty table gives an empty table; ties go to the smaller id;
-of rows that share an id the one with the smallest vector counts, and a null id
-takes no part; columns with clashing names are not read.
+a null id takes no part; repeated rows are candidates like others, each with a rank of its own; rows that
+share a query's id are not its candidates, and of several such queries the one
+with the smallest vector counts; columns with clashing names are not read.
 """
 
 from __future__ import annotations
@@ -173,9 +174,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     spark = vectors.sparkSession
     small_batches(spark)
     one = vectors.filter(F.col(key).isNotNull()).withColumn("__v", quantised(F.col(vector))).filter("__v IS NOT NULL")
-    one = one.groupBy(F.col(key).cast("long").alias("id"), is_query.alias("query")).agg(F.min("__v").alias("v"))
-    one = saved(one, "vectors")
-    queries = one.filter("query")
+    one = saved(one.select(F.col(key).cast("long").alias("id"), is_query.alias("query"), F.col("__v").alias("v")), "vectors")
+    queries = one.filter("query").groupBy("id").agg(F.min("v").alias("v"))
     blocks = -(-queries.count() // (BLOCK_QUERIES // 2))
     found = []
     for b in range(blocks):

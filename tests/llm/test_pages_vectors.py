@@ -56,7 +56,7 @@ def test_odd_vectors(spark, monkeypatch):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     monkeypatch.setattr(search, "LEAF_ROWS", 2)
     got = [tuple(r) for r in search.top_k(table, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 50, 98304), (0, 2, 1, 81920), (0, 3, 2, 81920), (50, 1, 0, 98304), (50, 2, 1, 98304), (50, 3, 2, 98304)]
+    assert got == [(0, 1, 50, 98304), (0, 2, 50, 98304), (0, 3, 1, 81920), (50, 1, 0, 98304), (50, 2, 1, 98304), (50, 3, 2, 98304)]
     assert search.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
