@@ -9,7 +9,7 @@ cluster say where the content is: it is the innermost container that holds
 nearly all of their text, an article or main element before others. All blocks of that container are returned, short ones
 too, but for those in elements that hold no content by what they are or are
 called (menus, adverts, forms, comments and so on); such blocks take no part in
-the clustering either. In a page without containers the text reaches from the
+the clustering either. If names leave nothing of a page, they don't count. In a page without containers the text reaches from the
 first block of the upper cluster to the last, with the headings before it.
 
 One pass without a shuffle, and one page in memory at a time.
@@ -41,9 +41,11 @@ NO_TEXT = frozenset("applet audio button canvas datalist footer form head iframe
 ENDS_BEFORE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words in a class, id or role by which an element holds no content.
 NOT_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|widget)s?(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|widget)s?(?:$|[_-])",
     re.IGNORECASE,
 )
+#: Words that only say what a page has, as in has-sidebar or comments-open.
+SAYS_ONLY = re.compile(r"^(?:has|have|is|no|not|with|without|show|hide)[_-]|[_-](?:open|closed|enabled|disabled|on|off)$", re.IGNORECASE)
 SIGMA = 1.0
 #: What the innermost container must hold of the upper cluster's text.
 SHARE = 0.9
@@ -59,17 +61,24 @@ class Block:
         self.tags, self.links, self.path, self.heading = 0, 0, path, heading
 
 
+def names_no_content(value: str) -> bool:
+    """Whether a class, id or role says that an element holds no content."""
+    return any(NOT_CONTENT.search(w) and not SAYS_ONLY.search(w) for w in value.split())
+
+
 class PageEvents(HTMLParser):
     """Turns the parser's events into blocks."""
 
-    def __init__(self):
+    def __init__(self, by_name: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_name = by_name
         self.stack: list[tuple[str, bool, int]] = []  # tag, without content, container's number or -1
         self.path: tuple[int, ...] = ()
         self.hidden = 0
         self.linked = 0
         self.made = 0
         self.articles: set[int] = set()  # the containers that are articles by name
+        self.bodies: set[int] = set()
         self.blocks: list[Block] = []
         self.now: Block | None = None
 
@@ -106,13 +115,15 @@ class PageEvents(HTMLParser):
         if tag in VOID:
             return
         inside = any(t in ("article", "main") for t, _, _ in self.stack) if tag == "header" else False
-        named = tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and NOT_CONTENT.search(v) for k, v in attrs)
+        named = self.by_name and tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and names_no_content(v) for k, v in attrs)
         hides = tag in NO_TEXT or (tag == "header" and not inside) or named or any(k == "hidden" for k, _ in attrs)
         number = -1
         if tag in CONTAINERS:
             number, self.made = self.made, self.made + 1
             if tag in ("article", "main"):
                 self.articles.add(number)
+            elif tag == "body":
+                self.bodies.add(number)
             self.path = (*self.path, number)
         self.hidden += hides
         self.linked += tag == "a"
@@ -171,15 +182,14 @@ def two_means(values: np.ndarray) -> float:
 
 def main_text(page: str) -> str:
     """The main text of a page: its blocks in order, joined by a space."""
-    events = PageEvents()
-    events.feed(page)
-    events.close()
-    blocks = []
-    for block in events.blocks:
-        words = " ".join("".join(block.parts).split())
-        if words:
-            blocks.append((words, block))
-    if not blocks:
+    for by_name in (True, False):  # a page all of which seems to be no content is read without regard to names
+        events = PageEvents(by_name)
+        events.feed(page)
+        events.close()
+        blocks = [(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))]
+        if blocks:
+            break
+    else:
         return ""
     # a link's text counts for nothing, so lists of links have low ratios
     ratios = np.array([max(0, len(w) - b.links) / b.tags for w, b in blocks])
@@ -196,7 +206,7 @@ def main_text(page: str) -> str:
     if chosen:
         # containers are numbered as they open, and these lie in each other
         inner = max(events.articles.intersection(chosen), default=max(chosen))
-        if inner > min(chosen):
+        if inner not in events.bodies:
             return " ".join(w for w, b in blocks if inner in b.path)
     at = np.flatnonzero(upper)
     first, last = at[0], at[-1]

@@ -29,6 +29,8 @@ LONG = "Long paragraph text with many words that go on and on and on."
         (f"<body><header>Site</header><div class='sidebar'>x</div><div id=content><h2>T</h2><p>{LONG}</p><p>a</p></div><div class=comments><p>{LONG}</p></div></body>", f"T {LONG} a"),
         (f"<main><article><header><h1>Title</h1></header><p>{LONG}<ul><li>one<li>two</ul></article><aside>{LONG}</aside></main>", f"Title {LONG} one two"),
         (f"<nav>a</nav><p>{LONG}</p><p>b &lt; c&nbsp;d</p><footer>x</footer>", f"{LONG} b < c d"),
+        (f"<div class='post has-sidebar comments-open'><p>{LONG}</p><div class='sidebar-left'><p>no</div><p>b</div>", f"{LONG} b"),
+        (f"<div class='widget'><p>{LONG}</p></div>", LONG),
         ("plain  text", "plain text"),
         ("", ""),
         ("<script>var x = '<p>no</p>'</script><!-- <p>no</p> -->", ""),
