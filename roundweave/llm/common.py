@@ -5,12 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that ends a word; the complement of ``[^\x20\x09-\x0D]``.
-BLANKS = " \t\n\x0b\x0c\r"
-
 #: Rows and bytes handed to Python at a time. Texts may be long, so batches are small.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -66,3 +64,9 @@ def discard(df: DataFrame) -> None:
 def utf8(column: str) -> F.Column:
     """A text column as bytes, null as empty, for Python code that decodes leniently."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit hashes with their bits spread, so that order and low bits can be used."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import saved, small_batches, utf8
+from roundweave.llm.common import mixed, saved, small_batches, utf8
 from roundweave.llm.components import components
 
 WORDS = 5
@@ -81,11 +81,6 @@ class WordHashes(dict):
 _words = WordHashes()
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def shingle_set(text: bytes) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles. bytes.split() splits at \\x20 and \\x09-\\x0D."""
     words = text.lower().split()

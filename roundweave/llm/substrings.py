@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import discard, saved, small_batches, utf8
+from roundweave.llm.common import discard, mixed, saved, small_batches, utf8
 
 LENGTH = 400
 #: Bytes by which suffixes are compared first.
@@ -79,11 +79,6 @@ class Hashes:
         return (self.sums[end] - self.sums[start]) * self.inverses[: len(self.sums)][start]
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def lowest(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` neighbours."""
     n = len(values)
