@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,7 @@ from roundweave.llm.common import small_batches, utf8
 #: log2 of the number of hash buckets.
 BITS = 20
 MAX_ROWS = 16_000
-MAX_FEATURES = 60_000_000
+MAX_FEATURES = 24_000_000
 WORD = re.compile(r"\w+")
 #: Odd multipliers of the pair hashes, one for each distance. Any would do.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -49,7 +49,7 @@ class WordHashes(dict):
     """Hashes of the words seen lately."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = zlib.crc32(word.encode("utf-8", "replace")) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF
         return h
@@ -136,21 +136,29 @@ def score_ftrl(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text: st
     out = docs.select(*keys).schema.add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = shared.value
-        dense = np.zeros(2**bits + 1)
-        dense[at] = w
-        told = dense != 0
+        score = _scorer(shared.value, bits)
         for batch in batches:
-            scores = []
-            for value in batch.column(batch.num_columns - 1):
-                x = features(value.as_py().decode("utf-8", "replace"), bits)
-                total = dense[np.unique(x[told[x]])].sum() + dense[-1]
-                scores.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+            scores = [score(value.as_py()) for value in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=out.names)
 
     return docs.select(*keys, utf8(text).alias("__text")).mapInArrow(run, out)
 
 
+def _scorer(weights: tuple[np.ndarray, np.ndarray], bits: int) -> Callable[[bytes], float]:
+    """The score of a text in bytes, by the weights."""
+    at, w = weights
+    dense = np.zeros(2**bits + 1)
+    dense[at] = w
+    told = dense != 0
+
+    def score(text: bytes) -> float:
+        x = features(text.decode("utf-8", "replace"), bits)
+        total = dense[np.unique(x[told[x]])].sum() + dense[-1]
+        return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+    return score
+
+
 def learned_from(key: Column) -> Column:
     """The rows whose labels may be learned: two thirds, by the CRC of the key."""
     return F.crc32(key.cast("string").cast("binary")) % 3 != 1
@@ -170,7 +178,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
     return score_ftrl(docs, fit_toxicity(docs, labels, **options)).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text: str = "text", bits: int = BITS, **options) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, with their columns."""
-    weights = fit_toxicity(docs, labels, **options)
-    return score_ftrl(docs, weights, keys=docs.columns).filter(F.col("score") < threshold).select(*docs.columns)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fit_toxicity(docs, labels, bits=bits, **options))
+    small_batches(spark)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scorer(shared.value, bits)
+        for batch in batches:
+            kept = [score(value.as_py() or b"") < threshold for value in batch.column(at).cast(pa.binary())]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
