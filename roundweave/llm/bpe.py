@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import gc
 import hashlib
 import re
 import struct
@@ -84,7 +85,7 @@ class MergeTransducer:
         self.number: dict[tuple, int] = {start: 0}
         self.ends: list[tuple[int, ...] | None] = [()]
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}
 
     def merged(self, data: bytes, below: int | None = None) -> list[bytes]:
         """``data`` after all merges of ranks under ``below``, lowest first, leftmost among equals."""
@@ -121,16 +122,12 @@ class MergeTransducer:
 
         Their latest merges are undone one by one, the later first. They do not
         stay apart if a pair across the border has a rank by which it would have
-        been merged before the merge just undone.
+        been merged before the merge just undone. What is found is kept in ``apart``;
+        a left token of -1 is the begin of the piece.
         """
         self.halves(right)
-        if right in self.unmade:
-            return False
-        if left < 0:
-            return True
-        known = self.apart.get((left, right))
-        if known is None:
-            self.apart[left, right] = known = self._apart(left, right)
+        known = right not in self.unmade and (left < 0 or self._apart(left, right))
+        self.apart[left << 20 | right] = known
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -148,31 +145,33 @@ class MergeTransducer:
                 return True
 
     def _expand(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        trie, tokens, apart = self.next, self.token, self.apart
         live, closed = [], None
         for last, node, pending in self.states[state]:
-            to = self.next[node].get(byte)
+            to = trie[node].get(byte)
             if to is None:
                 continue
-            if self.next[to]:
+            if trie[to]:
                 live.append((last, to, pending))
-            token = self.token[to]
-            if token >= 0 and closed is None and self.stays_apart(last, token):
-                closed = (token, 0, (*pending, token))
+            token = tokens[to]
+            if token >= 0 and closed is None:
+                leaves = apart.get(last << 20 | token)
+                if leaves if leaves is not None else self.stays_apart(last, token):
+                    closed = (*pending, token)
         if closed is not None:
-            live.append(closed)
-        first = live[0][2]
-        agreed = len(first)
-        for _, _, pending in live[1:]:
-            i, most = 0, min(agreed, len(pending))
-            while i < most and pending[i] == first[i]:
-                i += 1
-            agreed = i
-        key = tuple((last, node, pending[agreed:]) for last, node, pending in live)
+            live.append((closed[-1], 0, closed))
+        agreed, first = len(live[0][2]), live[0][2]
+        for _, _, pending in live:
+            while pending[:agreed] != first[:agreed]:
+                agreed -= 1
+        if agreed:
+            live = [(last, node, pending[agreed:]) for last, node, pending in live]
+        key = tuple(live)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.ends.append(next((p for _, node, p in key if node == 0), None))
+            self.ends.append(None if closed is None else closed[agreed:])
         self.step[state << 8 | byte] = made = (to, first[:agreed])
         return made
 
@@ -185,12 +184,10 @@ class MergeTransducer:
             self._forget()
         state, out, step = 0, [], self.step
         for b in piece:
-            move = step.get(state << 8 | b)
-            if move is None:
-                move = self._expand(state, b)
-            state = move[0]
-            if move[1]:
-                out += move[1]
+            key = state << 8 | b
+            state, emitted = step[key] if key in step else self._expand(state, b)
+            if emitted:
+                out += emitted
         return out + list(self.ends[state])
 
 
@@ -243,10 +240,15 @@ _codecs: dict[tuple, Codec] = {}
 
 
 def codec(rank_file: bytes, pattern: str) -> Codec:
-    """The codec of this worker process for a rank file; made once."""
+    """The codec of this worker process for a rank file; made once.
+
+    Its tables hold no cycles, so the collector of cycles need not go through them often.
+    """
     key = (hash(rank_file), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(read_ranks(rank_file), pattern)
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 100)
     return _codecs[key]
 
 
