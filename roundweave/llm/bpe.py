@@ -37,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from roundweave.llm.common import small_batches, utf8
+from roundweave.llm.common import CACHES, only_caches_of, small_batches, utf8
 
-#: Entries after which a table of transitions, pairs or pieces is started afresh.
+#: Entries after which a table of pieces or pairs, or one of transitions, is started afresh.
 TABLE_ENTRIES = 400_000
+TABLE_STEPS = 150_000
 #: The usual pre-token pattern of byte-level BPE, and for texts whose letters are
 #: all from Latin-1 the same split by the quicker engine. Fixed values.
 GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -180,7 +181,7 @@ class MergeTransducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.step) > TABLE_ENTRIES or len(self.apart) > TABLE_ENTRIES:
+        if len(self.step) > TABLE_STEPS or len(self.apart) > TABLE_ENTRIES:
             self._forget()
         state, out, step = 0, [], self.step
         for b in piece:
@@ -237,6 +238,7 @@ class Codec(dict):
 
 
 _codecs: dict[tuple, Codec] = {}
+CACHES["bpe"] = _codecs.clear
 
 
 def codec(rank_file: bytes, pattern: str) -> Codec:
@@ -244,6 +246,7 @@ def codec(rank_file: bytes, pattern: str) -> Codec:
 
     Its tables hold no cycles, so the collector of cycles need not go through them often.
     """
+    only_caches_of("bpe")
     key = (hash(rank_file), pattern)
     if key not in _codecs:
         _codecs[key] = Codec(read_ranks(rank_file), pattern)

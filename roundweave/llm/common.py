@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes handed to Python at a time. Texts may be long, so batches are small.
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +71,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes with their bits spread, so that order and low bits can be used."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
+
+
+#: What empties the caches that operators keep in a Python worker, by operator.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def only_caches_of(owner: str) -> None:
+    """Called in a task: empty what other operators keep in this Python worker, as workers are used again."""
+    for name, empty in CACHES.items():
+        if name != owner:
+            empty()

@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import mixed, saved, small_batches, utf8
+from roundweave.llm.common import CACHES, mixed, only_caches_of, saved, small_batches, utf8
 from roundweave.llm.components import components
 
 WORDS = 5
@@ -79,6 +79,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+CACHES["near_dedup"] = _words.clear
 
 
 def shingle_set(text: bytes) -> np.ndarray:
@@ -120,6 +121,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("near_dedup")
         for batch in batches:
             sets = [shingle_set(v.as_py()) for v in batch.column(1)]
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -141,6 +143,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """``id, shingles`` of rows with doc_id and text (bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("near_dedup")
         for batch in batches:
             sets = [shingle_set(v.as_py()).view(np.int64) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
@@ -179,6 +182,7 @@ def _neighbours(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of components that members of a row join whose signatures don't rule each other out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("near_dedup")
         for batch in batches:
             out = []
             for row in range(len(batch)):
@@ -204,6 +208,7 @@ def _links(groups: DataFrame) -> DataFrame:
     """Links (a, b) between members of a row in different components, enough to join what they join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_caches_of("near_dedup")
         for batch in batches:
             out = []
             for row in range(len(batch)):

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import small_batches, utf8
+from roundweave.llm.common import CACHES, only_caches_of, small_batches, utf8
 
 #: log2 of the number of hash buckets.
 BITS = 20
@@ -56,6 +56,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+CACHES["toxicity"] = _words.clear
 
 
 def features(text: str, bits: int = BITS) -> np.ndarray:
@@ -109,6 +110,7 @@ def fit_ftrl(labelled: DataFrame, bits: int = BITS, max_rows: int = MAX_ROWS, ma
     sample = labelled.select(_order("key").alias("o"), "key", utf8("text").alias("text"), F.col("label").cast("int").alias("label"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        only_caches_of("toxicity")
         model, rows, held = Ftrl(2**bits, **rates), [], 0  # in the order of the hashes
         for batch in batches:
             for text, label in zip(batch["text"], batch["label"]):
@@ -146,6 +148,7 @@ def score_ftrl(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], text: st
 
 def _scorer(weights: tuple[np.ndarray, np.ndarray], bits: int) -> Callable[[bytes], float]:
     """The score of a text in bytes, by the weights."""
+    only_caches_of("toxicity")
     at, w = weights
     dense = np.zeros(2**bits + 1)
     dense[at] = w
