@@ -9,7 +9,9 @@ cluster say where the content is: it is the innermost container that holds
 nearly all of their text, an article or main element before others. All blocks of that container are returned, short ones
 too, but for those in elements that hold no content by what they are or are
 called (menus, adverts, forms, comments and so on); such blocks take no part in
-the clustering either. If names leave nothing of a page, they don't count. In a page without containers the text reaches from the
+the clustering either. Within an article or main element a name isn't enough: it must be a
+whole class or role, and the element must be mostly links or have a low ratio. If names leave
+nothing of a page, they don't count, nor does the only form of a page that holds all its text. In a page without containers the text reaches from the
 first block of the upper cluster to the last, with the headings before it.
 
 One pass without a shuffle, and one page in memory at a time.
@@ -36,14 +38,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINERS = frozenset("article body center div main section table td".split())
-NO_TEXT = frozenset("applet audio button canvas datalist footer form head iframe math menu nav noscript object script select style svg template textarea title video aside dialog".split())
+NO_TEXT = frozenset("applet audio button canvas datalist footer form head iframe menu nav noscript object script select style svg template textarea title video aside dialog".split())
 #: Elements that end when another of them begins in the same parent.
 ENDS_BEFORE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words in a class, id or role by which an element holds no content.
-NOT_CONTENT = re.compile(
-    r"(?:^|[_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|widget)s?(?:$|[_-])",
-    re.IGNORECASE,
-)
+WORDS = r"(?:ads?|adverts?|advertisements?|advertising|adsense|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|disqus|disclaimer|footer|gdpr|header|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notification|outbrain|overlay|pager|pagination|popup|promo|promoted|recommended|related|replies|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|taboola|tags|toolbar|topbar|widget)"
+NOT_CONTENT = re.compile(rf"(?:^|[_-]){WORDS}s?(?:$|[_-])", re.IGNORECASE)
+ONLY_WORD = re.compile(rf"{WORDS}s?", re.IGNORECASE)
 #: Words that only say what a page has, as in has-sidebar or comments-open.
 SAYS_ONLY = re.compile(r"^(?:has|have|is|no|not|with|without|show|hide)[_-]|[_-](?:open|closed|enabled|disabled|on|off)$", re.IGNORECASE)
 SIGMA = 1.0
@@ -54,11 +55,11 @@ SHARE = 0.9
 class Block:
     """A run of text between two block tags."""
 
-    __slots__ = ("parts", "tags", "path", "heading", "links")
+    __slots__ = ("parts", "tags", "path", "heading", "links", "suspects")
 
-    def __init__(self, path: tuple[int, ...], heading: bool):
+    def __init__(self, path: tuple[int, ...], heading: bool, suspects: tuple[int, ...] = ()):
         self.parts: list[str] = []
-        self.tags, self.links, self.path, self.heading = 0, 0, path, heading
+        self.tags, self.links, self.path, self.heading, self.suspects = 0, 0, path, heading, suspects
 
 
 def names_no_content(value: str) -> bool:
@@ -66,13 +67,37 @@ def names_no_content(value: str) -> bool:
     return any(NOT_CONTENT.search(w) and not SAYS_ONLY.search(w) for w in value.split())
 
 
+def is_named(tag: str, attrs: list, within: bool) -> bool:
+    """Whether an element says by a name that it holds no content.
+
+    An id is often made from a heading's words, so one of a heading never counts and one
+    of a section only as a whole. Within an article or main only whole classes and roles
+    count, but for "header", which belongs to the article there.
+    """
+    if tag in HEADINGS or tag in ("html", "body", "article", "main"):
+        return False
+    for k, v in attrs:
+        if not v or k not in ("class", "id", "role"):
+            continue
+        if within:
+            if k != "id" and any(ONLY_WORD.fullmatch(w) and w.lower() != "header" for w in v.split()):
+                return True
+        elif ONLY_WORD.fullmatch(v.strip()) if tag == "section" and k == "id" else names_no_content(v):
+            return True
+    return False
+
+
 class PageEvents(HTMLParser):
     """Turns the parser's events into blocks."""
 
-    def __init__(self, by_name: bool = True):
+    def __init__(self, by_name: bool = True, in_form: bool = False):
         super().__init__(convert_charrefs=True)
-        self.by_name = by_name
+        self.by_name, self.in_form = by_name, in_form  # in_form: what an outer form holds counts as well
         self.stack: list[tuple[str, bool, int]] = []  # tag, without content, container's number or -1
+        self.open: dict[str, int] = {"article": 0, "main": 0, "form": 0}
+        self.forms = 0  # those not within others
+        self.suspects: tuple[tuple[int, int], ...] = ()  # depth and number of open elements within an article that are named as no content
+        self.suspected = 0
         self.path: tuple[int, ...] = ()
         self.hidden = 0
         self.linked = 0
@@ -87,6 +112,10 @@ class PageEvents(HTMLParser):
             tag, hides, number = self.stack.pop()
             self.hidden -= hides
             self.linked -= tag == "a"
+            if tag in self.open:
+                self.open[tag] -= 1
+            if self.suspects and self.suspects[-1][0] == len(self.stack):
+                self.suspects = self.suspects[:-1]
             if number >= 0:
                 self.path = self.path[:-1]
             if tag in BLOCKS:
@@ -114,9 +143,16 @@ class PageEvents(HTMLParser):
             self.now.parts.append(" ")
         if tag in VOID:
             return
-        inside = any(t in ("article", "main") for t, _, _ in self.stack) if tag == "header" else False
-        named = self.by_name and tag not in ("html", "body", "article", "main") and any(v and k in ("class", "id", "role") and names_no_content(v) for k, v in attrs)
-        hides = tag in NO_TEXT or (tag == "header" and not inside) or named or any(k == "hidden" for k, _ in attrs)
+        within = bool(self.open["article"] or self.open["main"])
+        named = self.by_name and is_named(tag, attrs, within)
+        outer = tag == "form" and not self.open["form"]
+        self.forms += outer
+        hides = (tag in NO_TEXT and not (outer and self.in_form)) or (tag == "header" and not within) or (named and not within) or any(k == "hidden" for k, _ in attrs)
+        if named and within:  # whether it goes is decided by its text
+            self.suspects = (*self.suspects, (len(self.stack), self.suspected))
+            self.suspected += 1
+        if tag in self.open:
+            self.open[tag] += 1
         number = -1
         if tag in CONTAINERS:
             number, self.made = self.made, self.made + 1
@@ -148,7 +184,7 @@ class PageEvents(HTMLParser):
         if self.hidden or (self.now is None and not data.strip()):
             return
         if self.now is None:
-            self.now = Block(self.path, any(t in HEADINGS for t, _, _ in self.stack))
+            self.now = Block(self.path, any(t in HEADINGS for t, _, _ in self.stack), tuple(n for _, n in self.suspects))
             self.now.tags = 1
             self.blocks.append(self.now)
         self.now.parts.append(data)
@@ -180,16 +216,40 @@ def two_means(values: np.ndarray) -> float:
     return float(threshold)
 
 
+Blocks = list[tuple[str, Block]]
+
+
+def without_suspects(blocks: Blocks) -> Blocks:
+    """Without the elements named as no content that are mostly links or have a low ratio; all, if none were left."""
+    sums: dict[int, list[int]] = {}
+    for words, block in blocks:
+        for n in block.suspects:
+            of = sums.setdefault(n, [0, 0, 0])
+            of[0], of[1], of[2] = of[0] + len(words), of[1] + min(len(words), block.links), of[2] + block.tags
+    if not sums:
+        return blocks
+    least = two_means(np.array([max(0, len(w) - b.links) / b.tags for w, b in blocks]))
+    gone = {n for n, (chars, links, tags) in sums.items() if 2 * links >= chars or (chars - links) / tags < least}
+    return [(w, b) for w, b in blocks if gone.isdisjoint(b.suspects)] or blocks
+
+
+def read(page: str, by_name: bool = True, in_form: bool = False) -> tuple[Blocks, PageEvents]:
+    """The blocks of a page that may be content, with their words."""
+    events = PageEvents(by_name, in_form)
+    events.feed(page)
+    events.close()
+    return without_suspects([(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))]), events
+
+
 def main_text(page: str) -> str:
     """The main text of a page: its blocks in order, joined by a space."""
-    for by_name in (True, False):  # a page all of which seems to be no content is read without regard to names
-        events = PageEvents(by_name)
-        events.feed(page)
-        events.close()
-        blocks = [(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))]
-        if blocks:
-            break
-    else:
+    blocks, events = read(page)
+    if not blocks:  # a page all of which seems to be no content is read without regard to names, or in its only form
+        ways = [(True, True), (False, False)] if events.forms == 1 else [(False, False)]
+        blocks, events = max((read(page, *way) for way in ways), key=lambda x: sum(len(w) for w, _ in x[0]))
+        if not blocks and events.forms == 1:
+            blocks, events = read(page, False, True)
+    if not blocks:
         return ""
     # a link's text counts for nothing, so lists of links have low ratios
     ratios = np.array([max(0, len(w) - b.links) / b.tags for w, b in blocks])

@@ -41,6 +41,23 @@ def test_page(page, text):
     assert pages.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h2 id='related-work'>Related work</h2><p>{LONG}</p><section id='search-algorithms'><h2>S</h2><p>{LONG}</p></section></article>", f"Related work {LONG} S {LONG}"),
+        (f"<main><p>{LONG}</p><h2 id='social-impact'>I</h2><div id='cookies-in-http'><p>{LONG}</p></div><p class='notice-board'>Board</p></main>", f"{LONG} I {LONG} Board"),
+        (f"<div><p>{LONG}</p><h2 id='related-work'>R</h2><section id='search-algorithms'><p>{LONG}</p></section></div>", f"{LONG} R {LONG}"),
+        (f"<article><p>{LONG}</p><div class='related'><h3>More</h3><a href=a>{LONG}</a></div><div class=share><b>x</b><i>y</i></div><p>{LONG}</p></article>", f"{LONG} {LONG}"),
+        (f"<article><div class=header><h1>Title</h1></div><p>{LONG}</p><div class=notice><p>{LONG}</p></div></article>", f"Title {LONG} {LONG}"),
+        (f"<article><p>{LONG} <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p></article>", f"{LONG} x=2"),
+        (f"<body><div class=skip>Skip to text</div><form id=f><div><h1>T</h1><p>{LONG}</p></div><div class=sidebar>no</div></form></body>", f"T {LONG}"),
+        (f"<form>Find</form><div class='widget'><p>{LONG}</p></div>", LONG),
+    ],
+)
+def test_named_within_content(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>a", "x"), (1, "u", None, "x"), (2, "u", "<" * 5000, None), (3, "u", "<div>" * 3000 + "deep", None)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, __html string")).collect()
