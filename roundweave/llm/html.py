@@ -12,7 +12,9 @@ called (menus, adverts, forms, comments and so on); such blocks take no part in
 the clustering either. Within an article or main element a name isn't enough: it must be a
 whole class or role, and the element must be mostly links or have a low ratio. If names leave
 nothing of a page, they don't count, nor does the only form of a page that holds all its text. In a page without containers the text reaches from the
-first block of the upper cluster to the last, with the headings before it.
+first block of the upper cluster to the last. Unless it is an article or main element, the region
+goes on over the blocks before and after it, whatever container they lie in and however short
+they are, until a run of blocks that are mostly links.
 
 One pass without a shuffle, and one page in memory at a time.
 
@@ -241,6 +243,17 @@ def read(page: str, by_name: bool = True, in_form: bool = False) -> tuple[Blocks
     return without_suspects([(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))]), events
 
 
+def reached(blocks: Blocks, at: int, step: int) -> int:
+    """How far the text goes on from a block: to where two blocks or the last one are mostly links."""
+
+    def goes_on(i: int) -> bool:
+        return 0 <= i < len(blocks) and 2 * blocks[i][1].links < len(blocks[i][0])
+
+    while goes_on(at + step) or goes_on(at + 2 * step):
+        at += step if goes_on(at + step) else 2 * step
+    return at
+
+
 def main_text(page: str) -> str:
     """The main text of a page: its blocks in order, joined by a space."""
     blocks, events = read(page)
@@ -265,13 +278,14 @@ def main_text(page: str) -> str:
     chosen = [c for c, n in held.items() if n >= SHARE * total]
     if chosen:
         # containers are numbered as they open, and these lie in each other
-        inner = max(events.articles.intersection(chosen), default=max(chosen))
-        if inner not in events.bodies:
+        articles = events.articles.intersection(chosen)
+        inner = max(articles or chosen)
+        if articles:
             return " ".join(w for w, b in blocks if inner in b.path)
-    at = np.flatnonzero(upper)
-    first, last = at[0], at[-1]
-    while first and blocks[first - 1][1].heading:
-        first -= 1
+        at = np.array([i for i, (_, b) in enumerate(blocks) if inner in b.path]) if inner not in events.bodies else np.flatnonzero(upper)
+    else:
+        at = np.flatnonzero(upper)
+    first, last = reached(blocks, at[0], -1), reached(blocks, at[-1], 1)
     return " ".join(w for w, _ in blocks[first : last + 1])
 
 

@@ -58,6 +58,26 @@ def test_named_within_content(page, text):
     assert pages.main_text(page) == text
 
 
+ITEMS = "".join(f"<li>i{n}</li>" for n in range(6))
+LINKS = "<ul><li><a href=a>Home</a><li><a href=b>News</a></ul>"
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<div class=post><h1>T</h1><div class=lead><p>short</p></div><div class=entry><p>{LONG * 4}</p></div></div>", f"T short {LONG * 4}"),
+        (f"<body><nav>n</nav><div><h1>T</h1><div><p>{LONG * 20}</p></div><div><p>{LONG}</p></div><div class=share>s</div><p>end</p></div><footer>f</footer></body>", f"T {LONG * 20} {LONG} end"),
+        (f"<body>{LINKS}<h1>T</h1><p>{LONG * 3}</p><ul>{ITEMS}</ul><p>bye</p>{LINKS}</body>", f"T {LONG * 3} i0 i1 i2 i3 i4 i5 bye"),
+        (f"<body><p>a</p><p>{LONG * 3}</p><p><a href=x>link</a></p><p>b</p>{LINKS}<p>c</p></body>", f"a {LONG * 3} link b"),
+        (f"<table><tr><td>{LONG * 9}</td><td>cell</td></tr></table>", f"{LONG * 9} cell"),
+        (f"<div><h2 id='related-work'>R</h2><section id='search-algorithms'><p>{LONG}</p></section></div>", f"R {LONG}"),
+        (f"<p>before</p><article><p>{LONG * 9}</p></article><p>after</p>", LONG * 9),
+    ],
+)
+def test_region(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, "x"), (None, None, "<p>a", "x"), (1, "u", None, "x"), (2, "u", "<" * 5000, None), (3, "u", "<div>" * 3000 + "deep", None)]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, __html string")).collect()
