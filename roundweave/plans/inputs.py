@@ -37,17 +37,17 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
-def tagged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tagged_turns(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
     """``conv_id, turn (from 0), role, text`` with tags; without system turns."""
     turns = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     own = Window.partitionBy("conv_id")
     turns = turns.withColumn("pos", F.row_number().over(own.orderBy("turn")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-    return turns.select("conv_id", F.col("pos").alias("turn"), "role", F.expr(CONTENT.format(t=SPARK_T)).alias("text"))
+    return turns.select("conv_id", F.col("pos").alias("turn"), "role", F.expr(CONTENT.format(t=t)).alias("text"))
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tagged(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
     """``conv_id, messages`` with tags."""
-    return conversations(tagged_turns(spark, sf_dir))
+    return conversations(tagged_turns(spark, sf_dir, t))
 
 
 TAGGED_SQL = f"""
@@ -68,9 +68,9 @@ def with_edges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_rounds", F.floor((F.size("messages") + 2) / 2).cast("int")).withColumn("edges", kept)
 
 
-def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+def edited(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
     """Tagged conversations with ``edges``, the ``pruned`` ones that stay, and ``evict``, the rounds that go."""
-    rows = with_edges(tagged(spark, sf_dir)).withColumn("pruned", graph.prune_leaves(F.col("edges")))
+    rows = with_edges(tagged(spark, sf_dir, t)).withColumn("pruned", graph.prune_leaves(F.col("edges")))
     gone = F.array_except(F.transform("edges", lambda e: e["dst"]), F.transform("pruned", lambda e: e["dst"]))
     return rows.withColumn("evict", gone)
 
