@@ -16,7 +16,12 @@ first block of the upper cluster to the last. Unless it is an article or main el
 goes on over the blocks before and after it, whatever container they lie in and however short
 they are, until a run of blocks that are mostly links.
 
-One pass without a shuffle, and one page in memory at a time.
+Which part decides: on a page with an article or main element that holds the upper cluster, that element,
+and the ratios only confirm it; names take out what lies around and in it. On a page without
+such elements and without telling names the ratios alone decide.
+
+One pass without a shuffle, and one page in memory at a time. Time and memory are in
+proportion to the page, however deep its elements lie in each other.
 
 Edge cases: a null page counts as empty and has an empty text; broken or unclosed
 markup is read as far as it goes; repeated rows give equal rows; an empty table
@@ -55,13 +60,45 @@ SHARE = 0.9
 
 
 class Block:
-    """A run of text between two block tags."""
+    """A run of text between two block tags, with the innermost container and suspect it lies in."""
 
-    __slots__ = ("parts", "tags", "path", "heading", "links", "suspects")
+    __slots__ = ("parts", "tags", "links", "container", "suspect")
 
-    def __init__(self, path: tuple[int, ...], heading: bool, suspects: tuple[int, ...] = ()):
+    def __init__(self, container: int, suspect: int):
         self.parts: list[str] = []
-        self.tags, self.links, self.path, self.heading, self.suspects = 0, 0, path, heading, suspects
+        self.tags, self.links, self.container, self.suspect = 1, 0, container, suspect
+
+
+class Tree:
+    """Nested elements by number. They are numbered as they open, so parents come before children."""
+
+    def __init__(self):
+        self.parents: list[int] = []
+        self.now = -1  # the innermost open one
+
+    def open(self) -> int:
+        self.parents.append(self.now)
+        self.now = len(self.parents) - 1
+        return self.now
+
+    def close(self) -> None:
+        self.now = self.parents[self.now]
+
+    def sums(self, own: np.ndarray) -> np.ndarray:
+        """Of numbers per element, those with all that lies in it; one pass from the last element to the first."""
+        total = own.tolist()
+        for i in range(len(total) - 1, -1, -1):
+            if self.parents[i] >= 0:
+                total[self.parents[i]] += total[i]
+        return np.array(total)
+
+    def ends(self) -> list[int]:
+        """The last element within each: what lies in i are the numbers from i to there."""
+        last = list(range(len(self.parents)))
+        for i in range(len(last) - 1, -1, -1):
+            if self.parents[i] >= 0:
+                last[self.parents[i]] = max(last[self.parents[i]], last[i])
+        return last
 
 
 def names_no_content(value: str) -> bool:
@@ -90,82 +127,81 @@ def is_named(tag: str, attrs: list, within: bool) -> bool:
 
 
 class PageEvents(HTMLParser):
-    """Turns the parser's events into blocks."""
+    """Turns the parser's events into blocks.
+
+    An event costs the same however deep it lies: where elements of a tag are open
+    is kept by tag, and what they lie in is a number.
+    """
 
     def __init__(self, by_name: bool = True, in_form: bool = False):
         super().__init__(convert_charrefs=True)
         self.by_name, self.in_form = by_name, in_form  # in_form: what an outer form holds counts as well
-        self.stack: list[tuple[str, bool, int]] = []  # tag, without content, container's number or -1
-        self.open: dict[str, int] = {"article": 0, "main": 0, "form": 0}
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, without content, container, suspect
+        self.places: dict[str, list[int]] = {}  # depths of the open elements of a tag
+        self.block_depths: list[int] = []
+        self.container_depths: list[int] = []
         self.forms = 0  # those not within others
-        self.suspects: tuple[tuple[int, int], ...] = ()  # depth and number of open elements within an article that are named as no content
-        self.suspected = 0
-        self.path: tuple[int, ...] = ()
+        self.containers, self.suspects = Tree(), Tree()  # suspects are elements within an article that are named as no content
         self.hidden = 0
-        self.linked = 0
-        self.made = 0
         self.articles: set[int] = set()  # the containers that are articles by name
         self.bodies: set[int] = set()
         self.blocks: list[Block] = []
         self.now: Block | None = None
 
+    def _place(self, *tags: str) -> int:
+        """Depth of the innermost open element of one of some tags; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
     def _close(self, depth: int) -> None:
         while len(self.stack) > depth:
-            tag, hides, number = self.stack.pop()
+            tag, hides, is_container, is_suspect = self.stack.pop()
+            self.places[tag].pop()
             self.hidden -= hides
-            self.linked -= tag == "a"
-            if tag in self.open:
-                self.open[tag] -= 1
-            if self.suspects and self.suspects[-1][0] == len(self.stack):
-                self.suspects = self.suspects[:-1]
-            if number >= 0:
-                self.path = self.path[:-1]
+            if is_container:
+                self.containers.close()
+                self.container_depths.pop()
+            if is_suspect:
+                self.suspects.close()
             if tag in BLOCKS:
+                self.block_depths.pop()
                 self.now = None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
             self.now = None
-            depth = len(self.stack)
-            while depth and self.stack[depth - 1][0] not in BLOCKS:  # a paragraph ends where the next block begins
-                depth -= 1
-            if depth and self.stack[depth - 1][0] in HEADINGS | {"p"}:
-                self._close(depth - 1)
-            ends = ENDS_BEFORE.get(tag)
-            if ends and self.stack:
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] in ends:
-                        self._close(i)
-                        break
-                    if self.stack[i][0] in ("ul", "ol", "dl", "table", "div"):
-                        break
+            # a paragraph ends where the next block begins
+            if self.block_depths and self.stack[self.block_depths[-1]][0] in HEADINGS | {"p"}:
+                self._close(self.block_depths[-1])
+            if tag in ENDS_BEFORE:
+                ends = self._place(*ENDS_BEFORE[tag])
+                if ends > self._place("ul", "ol", "dl", "table", "div"):
+                    self._close(ends)
         elif self.now is not None:
             self.now.tags += 1
         if tag == "br" and self.now is not None:
             self.now.parts.append(" ")
         if tag in VOID:
             return
-        within = bool(self.open["article"] or self.open["main"])
+        within = bool(self.places.get("article") or self.places.get("main"))
         named = self.by_name and is_named(tag, attrs, within)
-        outer = tag == "form" and not self.open["form"]
+        outer = tag == "form" and not self.places.get("form")
         self.forms += outer
         hides = (tag in NO_TEXT and not (outer and self.in_form)) or (tag == "header" and not within) or (named and not within) or any(k == "hidden" for k, _ in attrs)
-        if named and within:  # whether it goes is decided by its text
-            self.suspects = (*self.suspects, (len(self.stack), self.suspected))
-            self.suspected += 1
-        if tag in self.open:
-            self.open[tag] += 1
-        number = -1
+        is_suspect = named and within  # whether it goes is decided by its text
+        if is_suspect:
+            self.suspects.open()
         if tag in CONTAINERS:
-            number, self.made = self.made, self.made + 1
+            number = self.containers.open()
+            self.container_depths.append(len(self.stack))
             if tag in ("article", "main"):
                 self.articles.add(number)
             elif tag == "body":
                 self.bodies.add(number)
-            self.path = (*self.path, number)
         self.hidden += hides
-        self.linked += tag == "a"
-        self.stack.append((tag, hides, number))
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_depths.append(len(self.stack))
+        self.stack.append((tag, hides, tag in CONTAINERS, is_suspect))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -173,12 +209,11 @@ class PageEvents(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._close(i)
-                break
-            if self.stack[i][0] in CONTAINERS and tag not in BLOCKS:
-                break  # an end tag that ends nothing within its container
+        open_ = self.places.get(tag)
+        at = open_[-1] if open_ else -1
+        # an end tag may end nothing within its container
+        if at >= 0 and (tag in BLOCKS or not self.container_depths or at > self.container_depths[-1]):
+            self._close(at)
         if self.now is not None:
             self.now.tags += 1
 
@@ -186,11 +221,10 @@ class PageEvents(HTMLParser):
         if self.hidden or (self.now is None and not data.strip()):
             return
         if self.now is None:
-            self.now = Block(self.path, any(t in HEADINGS for t, _, _ in self.stack), tuple(n for _, n in self.suspects))
-            self.now.tags = 1
+            self.now = Block(self.containers.now, self.suspects.now)
             self.blocks.append(self.now)
         self.now.parts.append(data)
-        if self.linked:
+        if self.places.get("a"):
             self.now.links += len(data)
 
 
@@ -221,18 +255,20 @@ def two_means(values: np.ndarray) -> float:
 Blocks = list[tuple[str, Block]]
 
 
-def without_suspects(blocks: Blocks) -> Blocks:
+def without_suspects(blocks: Blocks, suspects: Tree) -> Blocks:
     """Without the elements named as no content that are mostly links or have a low ratio; all, if none were left."""
-    sums: dict[int, list[int]] = {}
-    for words, block in blocks:
-        for n in block.suspects:
-            of = sums.setdefault(n, [0, 0, 0])
-            of[0], of[1], of[2] = of[0] + len(words), of[1] + min(len(words), block.links), of[2] + block.tags
-    if not sums:
+    if not suspects.parents:
         return blocks
-    least = two_means(np.array([max(0, len(w) - b.links) / b.tags for w, b in blocks]))
-    gone = {n for n, (chars, links, tags) in sums.items() if 2 * links >= chars or (chars - links) / tags < least}
-    return [(w, b) for w, b in blocks if gone.isdisjoint(b.suspects)] or blocks
+    own = np.zeros((3, len(suspects.parents)), np.int64)
+    for words, block in blocks:
+        if block.suspect >= 0:
+            own[:, block.suspect] += len(words), min(len(words), block.links), block.tags
+    chars, links, tags = map(suspects.sums, own)
+    least = two_means(np.array([max(0, len(w) - b.links) / b.tags for w, b in blocks])) if blocks else 0.0
+    goes = ((2 * links >= chars) | (chars - links < least * tags)).tolist()
+    for i, parent in enumerate(suspects.parents):  # what lies in one that goes, goes
+        goes[i] = goes[i] or (parent >= 0 and goes[parent])
+    return [(w, b) for w, b in blocks if b.suspect < 0 or not goes[b.suspect]] or blocks
 
 
 def read(page: str, by_name: bool = True, in_form: bool = False) -> tuple[Blocks, PageEvents]:
@@ -240,7 +276,7 @@ def read(page: str, by_name: bool = True, in_form: bool = False) -> tuple[Blocks
     events = PageEvents(by_name, in_form)
     events.feed(page)
     events.close()
-    return without_suspects([(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))]), events
+    return without_suspects([(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))], events.suspects), events
 
 
 def reached(blocks: Blocks, at: int, step: int) -> int:
@@ -268,21 +304,22 @@ def main_text(page: str) -> str:
     ratios = np.array([max(0, len(w) - b.links) / b.tags for w, b in blocks])
     smooth = smoothed(ratios)
     upper = smooth >= two_means(smooth)
-    held: dict[int, int] = {}
+    own = np.zeros(len(events.containers.parents), np.int64)
     total = 0
     for (words, block), is_upper in zip(blocks, upper):
         if is_upper:
             total += len(words)
-            for c in block.path:
-                held[c] = held.get(c, 0) + len(words)
-    chosen = [c for c, n in held.items() if n >= SHARE * total]
+            if block.container >= 0:
+                own[block.container] += len(words)
+    chosen = np.flatnonzero(events.containers.sums(own) >= SHARE * total).tolist()
     if chosen:
         # containers are numbered as they open, and these lie in each other
         articles = events.articles.intersection(chosen)
         inner = max(articles or chosen)
+        end = events.containers.ends()[inner]
         if articles:
-            return " ".join(w for w, b in blocks if inner in b.path)
-        at = np.array([i for i, (_, b) in enumerate(blocks) if inner in b.path]) if inner not in events.bodies else np.flatnonzero(upper)
+            return " ".join(w for w, b in blocks if inner <= b.container <= end)
+        at = np.array([i for i, (_, b) in enumerate(blocks) if inner <= b.container <= end]) if inner not in events.bodies else np.flatnonzero(upper)
     else:
         at = np.flatnonzero(upper)
     first, last = reached(blocks, at[0], -1), reached(blocks, at[-1], 1)

@@ -107,3 +107,31 @@ def test_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", 50)
     monkeypatch.setattr(search, "SEED_ROWS", 7)
     same_rows(search.top_k(table, F.col("vec_id") % 5 == 0).toPandas(), want)
+
+
+LINKS = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(30))
+PROSE = [f"Paragraph {i} says something of its own at some length, and goes on for a while without any markup in it." for i in range(6)]
+
+
+def test_pages_that_only_ratios_can_solve():
+    """No article, no telling names: only links and short pieces around long text."""
+    text = "".join(f"<div>{p}</div>" for p in PROSE)
+    page = f"<body><div><ul>{LINKS}</ul></div><div>{text}</div><div><ul>{LINKS}</ul></div></body>"
+    assert pages.main_text(page) == " ".join(PROSE)
+    rows = "".join(f"<tr><td>{p}</td></tr>" for p in PROSE)
+    cells = "".join(f"<tr><td><a href=/{i}>{i}</a></td></tr>" for i in range(40))
+    assert pages.main_text(f"<table>{cells}</table><table>{rows}</table><table>{cells}</table>") == " ".join(PROSE)
+
+
+@pytest.mark.parametrize("page", ["<div>a" * 100_000, "<b><p>x</p>" * 50_000, "<section>" * 50_000 + "<li>a b c" * 50_000, "<article>" + "<div class=share>a b" * 50_000], ids=["div", "b", "li", "share"])
+def test_time_and_memory_follow_the_page(page):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    assert pages.main_text(page)
+    assert time.process_time() - began < 20
+    tracemalloc.start()
+    pages.main_text(page)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()
