@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roundweave.llm import bpe, mixing, near_dedup, pii, quality, queries, substrings, token_counts, toxicity
-from tests.conftest import SF
+from tests.conftest import SF, same_rows
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 RANKS = queries.rank_file()
@@ -116,10 +116,46 @@ def plain_quality(text):
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), n < 10 or 100 * len(inside) > 20 * n)
 
 
+def plain_verdict(text):
+    """Fraction that repeats cover, and the longest one, by counting all windows of marks."""
+    marks = re.findall(r"\w+|[^\w\s]", text)
+    longest, inside = 0, set()
+    for k in range(1, len(marks)):
+        windows = Counter(tuple(marks[i : i + k]) for i in range(len(marks) - k + 1))
+        again = [i for i in range(len(marks) - k + 1) if windows[tuple(marks[i : i + k])] > 1]
+        if not again:
+            break
+        longest = k
+        if k == quality.MIN_MARKS:
+            inside = {j for i in again for j in range(i, i + k)}
+    chars = sum(map(len, marks))
+    return (sum(len(marks[j]) for j in inside) / chars if chars else 0.0), longest
+
+
+LOOPS = ["a - b - c - d - e - f - g - h - i - j", "x1*** y2*** z3*** u4*** v5*** w6*** t7*** s8*** r9*** q0***", "one two three four, five six seven eight nine ten eleven twelve. one two three", "é é é é é é é é é é é é", "", "word", ". . . ."]
+
+
 def test_quality(spark, texts):
     for r in queries.op3_quality(spark, SF).collect():
         assert tuple(r)[1:7] == plain_quality(texts[r["doc_id"]])
-        assert not (r["kept"] and r["base_failed"])
+        fraction, longest = plain_verdict(texts[r["doc_id"]])
+        assert r["repeat_fraction"] == pytest.approx(fraction) and r["longest_repeat"] == longest
+        assert r["kept"] == (not r["base_failed"] and fraction <= 0.3 and longest <= 50)
+    for text, r in zip(LOOPS, quality.measure(LOOPS)):
+        assert r[:6] == plain_quality(text) and r[7:9] == pytest.approx(plain_verdict(text))
+
+
+def test_quality_decides_what_the_base_rule_leaves(spark):
+    got = queries.op3_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left")
+    alone = got.filter("NOT kept AND NOT base_failed")
+    assert alone.count() >= 20 and alone.filter("quality = 1").count() == 0
+    long = [" ".join(f"w{i}" for i in range(2000)) + " " + " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(2060))]
+    assert [r[5:7] for r in quality.measure(long)] == [(False, False), (False, True)]
+
+
+def test_spans_of_repeats():
+    text = "éa bc, d - xx yy éa bc, d! zz"
+    assert [text[x["start"] : x["end"]] for x in quality.measure([text])[0][9]] == ["éa bc, d", "éa bc, d"]
 
 
 @pytest.mark.parametrize("words, longest, part", [("a b c d e f a b c d e g h i j k", 5, 10), ("a a a a a a", 5, 6), ("a b c", 0, 0)])
@@ -344,3 +380,8 @@ def test_mixed_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r["doc_id"]: r["taken"] // r["size"] for r in queries.op10_mixing(spark, SF).filter("taken > 0").collect()}
     assert Counter(r["doc_id"] for r in mixing.mix(docs).select("doc_id").collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, duck, name):
+    same_rows(queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLES[name]).df())
