@@ -7,19 +7,24 @@ a pattern; the lengths of what lies between the matches and of the matches give
 their places in code points. Matches that fail their check (digits, range, Luhn)
 are dropped.
 
-What a pattern has found is a protected entity. Other words may reveal it still:
-those that hardly occur without it. The corpus says how strongly: for a term t that
-stands within ``CONTEXT`` characters of mentions of the entity e, in ``joint`` of
+What a pattern has found is protected. Single values hardly repeat, so entities come in three
+sizes: the value, what several values share (an address's domain, a network, an issuer of cards, a
+dialling code) and the kind. Other words may reveal an entity: those that hardly occur without it, be they
+names beside it or pieces of a value that stand alone. The corpus says how strongly: for a term t that
+stands in or within ``CONTEXT`` characters of mentions of the entity e, in ``joint`` of
 ``N`` documents, the information that t gives about e is
 log(N * joint / (df(t) * df(e))), and all there is to know is log(N / df(e)).
 Their ratio is the disclosure of e by t: 1 if t never occurs without e. Terms
 with a disclosure of ``GENERALISE`` or more are generalised to their kind, those with
-``REMOVE`` or more removed, wherever they occur in the corpus. They need ``SUPPORT``
-mentions with different surroundings, so that copies of one text prove nothing.
+``REMOVE`` or more removed, wherever they occur in the corpus outside of base spans. They need ``SUPPORT``
+pieces of evidence, so that copies of one text prove nothing: for a value these are mentions with
+different surroundings, be they in one document or in several; for what values share and for kinds, different values.
 
-Document frequencies cover all words of all documents, and are summed up before
-they are shuffled. The terms found are few; they are broadcast while they are
-at most ``BROADCAST_TERMS``, and joined by a shuffle beyond that.
+Document frequencies cover all words of all documents. Terms with enough evidence are few; words are
+reduced to these before they are shuffled, by a broadcast while they are at most ``BROADCAST_TERMS``, and
+beyond that after they are summed up. No join is on an entity until those terms are left whose disclosure can be
+reached at all (joint / df(t) is at least (joint / N) to the power of 1 - disclosure), and the join on
+terms deals out a term's entities over ``SALTS`` tasks.
 
 Edge cases: a null text counts as empty, and has no spans; repeated rows give
 equal rows; rows with the same id and other texts, or a null id, are kept apart;
@@ -52,8 +57,11 @@ CONTEXT = 80
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
 BROADCAST_TERMS = 50_000
+#: Parts that the entities of a term are dealt out to.
+SALTS = 16
 #: A term is a word of letters and digits with at least three characters.
 TERM = r"[\p{L}\p{N}]{3,}"
+WORD = r"[\p{L}\p{N}]*"
 
 
 def _luhn(number: Column) -> Column:
@@ -90,17 +98,25 @@ def _spans(kind: str, text: Column) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     between = F.split(text, pattern, -1)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["before"])
         end = begin + F.length(x["match"])
-        context = F.concat(F.right(x["before"], F.lit(CONTEXT)), F.lit(" \n "), F.substring(x["after"], 1, CONTEXT))
-        span = F.struct(begin.alias("start"), F.lit(no).alias("kind"), end.alias("end"), x["match"].alias("value"), context.alias("context"))
-        return F.struct(end.alias("at"), F.when(_passes(kind, x["match"]), F.array_append(acc["spans"], span.cast(SPAN))).otherwise(acc["spans"]).alias("spans"))
+        # what stands before and after, over neighbouring matches, without words that are cut
+        behind = F.concat(acc["tail"], x["before"])
+        ahead = F.concat(F.substring(x["after"], 1, CONTEXT + 1), F.coalesce(x["next"], F.lit("")), F.substring(F.coalesce(x["beyond"], F.lit("")), 1, CONTEXT + 1))
+        left = F.when(F.length(behind) > CONTEXT, F.regexp_replace(F.right(behind, F.lit(CONTEXT + 1)), rf"^{WORD}", "")).otherwise(behind)
+        right = F.when(F.length(ahead) > CONTEXT, F.regexp_replace(F.substring(ahead, 1, CONTEXT + 1), rf"{WORD}$", "")).otherwise(ahead)
+        span = F.struct(begin.alias("start"), F.lit(no).alias("kind"), end.alias("end"), x["match"].alias("value"), F.concat(left, F.lit(" \n "), right).alias("context"))
+        spans = F.when(_passes(kind, x["match"]), F.array_append(acc["spans"], span.cast(SPAN))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), F.right(F.concat(behind, x["match"]), F.lit(CONTEXT + 1)).alias("tail"), spans.alias("spans"))
 
     n = F.size(matches)
-    parts = F.arrays_zip(F.slice(between, F.lit(1), n).alias("before"), matches.alias("match"), F.slice(between, F.lit(2), n).alias("after"))
+    parts = F.arrays_zip(
+        F.slice(between, F.lit(1), n).alias("before"), matches.alias("match"), F.slice(between, F.lit(2), n).alias("after"),
+        F.slice(matches, F.lit(2), n).alias("next"), F.slice(between, F.lit(3), n).alias("beyond"),
+    )
     found = F.aggregate(parts, start, step, lambda acc: acc["spans"])
     there = F.rlike(text, F.lit(pattern))
     if HINTS[kind]:
@@ -125,28 +141,55 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 3))
 
 
+def _shared(kind: Column, value: Column) -> Column:
+    """What a value of a kind has in common with others: domain, network, issuer or dialling code."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    parts = [F.substring_index(value, "@", -1), F.substring_index(value, ".", 2), F.substring(digits, 1, 6), F.substring(digits, 1, 4)]
+    return F.element_at(F.array(*parts), kind + 1)
+
+
+def mentions_of(spans: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, entity, evidence, terms``: a row for each entity, small and large, of every base span.
+
+    ``evidence`` tells apart what counts as support for a term.
+    """
+    s = spans.filter(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("s"))
+    s = s.select("doc_id", "text_hash", F.col("s.kind").alias("kind"), F.lower("s.value").alias("value"), F.col("s.context").alias("context"))
+    of_value = F.xxhash64("value")
+    entity = lambda size, name, evidence: F.struct(F.concat_ws(":", F.lit(size), F.col("kind"), name).alias("entity"), evidence.alias("evidence"))
+    entities = F.array(entity("value", F.col("value"), F.xxhash64("context")), entity("shared", _shared(F.col("kind"), F.col("value")), of_value), entity("kind", F.lit(""), of_value))
+    terms = _terms(F.concat_ws(" ", "context", "value"))
+    return s.select("doc_id", "text_hash", terms.alias("terms"), F.explode(entities).alias("e")).select("doc_id", "text_hash", "e.entity", "e.evidence", "terms")
+
+
 def disclosing_terms(rows: DataFrame, spans: DataFrame, support: int = SUPPORT, least: float = GENERALISE) -> DataFrame:
     """``term, disclosure``: terms that reveal an entity, with the most they reveal.
 
     ``rows`` are keyed, ``spans`` are their pattern spans.
     """
-    mentions = spans.filter(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("s"))
-    mentions = mentions.select("doc_id", "text_hash", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.lower("s.value").alias("value"), F.col("s.context").alias("context"))
+    mentions = mentions_of(spans)
     doc = F.struct("doc_id", "text_hash")
-    # distinct values are counted by way of a second grouping, so no set of them is held
-    of_entity = mentions.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).filter(F.col("df_entity") >= support)
-    near = mentions.join(of_entity, "entity").select("entity", "df_entity", "doc_id", "text_hash", F.xxhash64("context").alias("around"), F.explode(_terms(F.col("context"))).alias("term"))
-    pairs = near.groupBy("entity", "df_entity", "term", doc.alias("doc")).agg(F.min("around").alias("around"))
-    pairs = pairs.groupBy("entity", "df_entity", "term", "around").agg(F.count(F.lit(1)).alias("docs"))
-    pairs = pairs.groupBy("entity", "df_entity", "term").agg(F.sum("docs").alias("joint"), F.count(F.lit(1)).alias("surroundings")).filter(F.col("surroundings") >= support)
-    pairs = saved(pairs, "pairs")
+    near = mentions.withColumn("term", F.explode("terms"))
+    pairs = near.groupBy("entity", "term").agg(F.count_distinct(doc).alias("joint"), F.count_distinct("evidence").alias("support")).filter(F.col("support") >= support)
+    pairs = saved(pairs.select("entity", "term", "joint"), "pairs")
     n = rows.count()
-    wanted = pairs.select("term").distinct()
+    wanted = saved(pairs.select("term").distinct(), "wanted")
     words = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
-    counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("df_term")).join(wanted, "term")
+    count = F.count(F.lit(1)).alias("df_term")
+    if wanted.count() <= BROADCAST_TERMS:
+        counts = words.join(F.broadcast(wanted), "term").groupBy("term").agg(count)
+    else:
+        counts = words.groupBy("term").agg(count).join(wanted, "term")
+    salt = F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")
+    salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    told = pairs.withColumn("salt", salt).join(salted, ["term", "salt"])
+    # joint is at most the entity's document frequency, so no other pair can reach the least disclosure
+    told = told.filter(F.col("joint") / F.col("df_term") >= F.pow(F.col("joint") / F.lit(float(max(n, 1))), F.lit(1 - least)) * (1 - 1e-9))
+    of_entity = mentions.select("entity", "doc_id", "text_hash").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
+    told = told.join(of_entity, "entity")
     known = F.log(F.lit(float(n)) / F.col("df_entity"))
     given = F.log(F.lit(float(n)) * F.col("joint") / (F.col("df_term") * F.col("df_entity")))
-    told = pairs.join(counts, "term").withColumn("disclosure", F.when(known > 0, given / known))
+    told = told.withColumn("disclosure", F.when(known > 0, given / known))
     return told.filter(F.col("disclosure") >= least).groupBy("term").agg(F.max("disclosure").alias("disclosure"))
 
 

@@ -51,6 +51,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of base spans alone, for which there is SQL."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
@@ -121,6 +126,23 @@ FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 
+#: Matches are leftmost and don't overlap, as in the operator; the sum of a card's digits is Luhn's.
+PII_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
+    list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+    list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM d
+)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+  len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 0) > 255)) = 0))::BIGINT AS n_ip,
+  len(list_filter(card, lambda x: len(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, len(x) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN reverse(x)[i]::INT WHEN reverse(x)[i]::INT > 4 THEN 2 * reverse(x)[i]::INT - 9 ELSE 2 * reverse(x)[i]::INT END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda n: n BETWEEN 10 AND 15))::BIGINT AS n_phone
+FROM m
+"""
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -159,6 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "quality_base": quality_base,
     "op4_near_dedup": op4_near_dedup,
     "op5_pii": op5_pii,
+    "pii_base": pii_base,
     "op6_html": op6_html,
     "op7_search": op7_search,
     "op8_bpe": op8_bpe,
@@ -169,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_near_dedup": OP4_SQL,
     "quality_base": QUALITY_BASE_SQL,
+    "pii_base": PII_BASE_SQL,
     "op7_search": OP7_SQL,
     "op10_mixing": OP10_SQL,
 }

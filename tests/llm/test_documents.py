@@ -216,7 +216,7 @@ def test_near_duplicates_of_odd_rows(odd):
 # personal data
 
 
-def plain_spans(text):
+def plain_spans(text, mentions=None):
     digits = lambda m: re.sub("[^0-9]", "", m)
 
     def luhn(m):
@@ -232,6 +232,11 @@ def plain_spans(text):
         ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 10 <= len(digits(m)) <= 15),
     ]
     found = [(m.start(), k, m.end(), kind) for k, (kind, p, ok) in enumerate(kinds) for m in re.finditer(p, text) if ok(m.group())]
+    if mentions is not None:
+        for k, (_, p, ok) in enumerate(kinds):
+            matches = list(re.finditer(p, text))
+            ends = [m.start() for m in matches[2:]] + [len(text)] * 2
+            mentions += [(k, m.group().lower(), text[: m.start()], text[m.end() : e]) for m, e in zip(matches, ends) if ok(m.group())]
     counts = Counter(s[3] for s in found)
     said = ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in sorted(found))
     return (*(counts[k[0]] for k in kinds), hashlib.sha256(said.encode()).hexdigest())
@@ -249,6 +254,73 @@ def test_patterns(spark, texts):
     assert {r["doc_id"]: tuple(r)[1:6] for r in queries.op5_pii(spark, SF).collect()} == {k: plain_spans(t) for k, t in texts.items()}
 
 
+def plain_terms(texts, support=3, least=0.8):
+    """Terms and the most that they disclose, from all pairs of terms and entities."""
+    import math
+
+    word = re.compile(r"[^\W_]+")
+    terms = lambda t: {w for w in word.findall(t.lower()) if len(w) >= 3}
+    df, df_entity, joint, evidence = Counter(), {}, {}, {}
+    for doc, text in texts.items():
+        df.update(terms(text))
+        plain_spans(text, mentions := [])
+        for kind, value, before, after in mentions:
+            if len(before) > 80:
+                before = re.sub(r"^[^\W_]*", "", before[-81:])
+            if len(after) > 80:
+                after = re.sub(r"[^\W_]*$", "", after[:81])
+            digits = re.sub("[^0-9]", "", value)
+            shared = [value.split("@")[-1], ".".join(value.split(".")[:2]), digits[:6], digits[:4]][kind]
+            for entity, proof in (("value", kind, value), (before, after)), (("shared", kind, shared), value), (("kind", kind), value):
+                df_entity.setdefault(entity, set()).add(doc)
+                for t in terms(f"{before} {after} {value}"):
+                    joint.setdefault((entity, t), set()).add(doc)
+                    evidence.setdefault((entity, t), set()).add(proof)
+    told, n = {}, len(texts)
+    for (entity, t), docs in joint.items():
+        e = len(df_entity[entity])
+        if len(evidence[entity, t]) >= support and e < n:
+            told[t] = max(told.get(t, -9), math.log(n * len(docs) / (df[t] * e)) / math.log(n / e))
+    return {t: d for t, d in told.items() if d >= least}
+
+
+def test_terms_by_brute_force(spark, texts):
+    import random
+
+    rng = random.Random(8)
+    names = [f"name{i}" for i in range(12)]
+    made = {}
+    for i in range(300):
+        words = [f"w{min(rng.randrange(1, 400), rng.randrange(1, 400))}" for _ in range(rng.randrange(5, 60))]
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            k = rng.randrange(12)
+            value = [f"u{rng.randrange(6)}@host{k % 4}.example", f"10.{k}.{rng.randrange(3)}.7", f"+1 ({200 + k % 3}) 555-{1000 + rng.randrange(20)}"][k % 3]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [names[k], value] if rng.random() < 0.9 else [value]
+        made[1000 + i] = " ".join(words)
+    made[1] = "é" * 100 + "abcdef a@b.c x@y.z 1.2.3.4 " + "ghijkl" * 30
+    for data in (made, texts):
+        rows = pii.keyed(spark.createDataFrame(list(data.items()), "doc_id long, text string"))
+        got = {r["term"]: r["disclosure"] for r in pii.disclosing_terms(rows, pii.pattern_spans(rows)).collect()}
+        assert got == pytest.approx(plain_terms(data)) and (got or data is texts)
+
+
+def test_terms_add_spans_on_real_tables(spark):
+    """What is left of values that a pattern misses is found by its terms, and nothing in documents without personal data."""
+    got = pii.personal_data(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("n_term > 0").collect()
+    assert len(got) >= 1 and all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] > 0 for r in got)
+
+
+def test_shared_parts_are_protected(spark):
+    """Ten people of one firm, each named once with an address and a title: the title reveals the firm, the copies prove nothing."""
+    rows = [(i, f"note{i} about our Chiefwidgeteer person{i} p{i}@firm.example only{i}") for i in range(10)]
+    rows += [(100 + i, "Copiedword copied@other.example ends") for i in range(10)]
+    rows += [(1000 + i, f"note{i} about our person only other{i} words{i}") for i in range(300)]
+    rows.append((5000, "the Chiefwidgeteer and a Copiedword"))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert clean[5000] == "the  and a Copiedword" and clean[0] == "note0 about our  person0 <EMAIL> only0" and clean[1000] == dict(rows)[1000]
+
+
 def test_disclosing_terms(spark):
     filler = "many other words that everyone writes in letters number"
     rows = [(i, f"{filler} {i} please write to Zorblax at the house zed@mail.example about thing{i}") for i in range(6)]
