@@ -26,9 +26,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after three edits, by its segment tree."""
+    """Token counts of every document, kept as a table of segment trees, and after three edits that are applied to that table."""
     docs = table(spark, sf_dir, "documents")
-    return token_counts.count_tokens(docs, *rank_file(), edits=token_counts.sample_edits(docs["text"]), state=False)
+    return token_counts.count_tokens(docs, *rank_file(), edits=token_counts.sample_edits).drop("text", "leaf_chars", "leaf_tokens")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ WORDS = re.compile("[^\x20\x09-\x0d]+")
 RANKS = queries.rank_file()
 
 ALL = {
-    "token_counts": lambda d, l: token_counts.count_tokens(d, *RANKS, edits=token_counts.sample_edits(d["text"])),
+    "token_counts": lambda d, l: token_counts.count_tokens(d, *RANKS, edits=token_counts.sample_edits),
     "toxicity": lambda d, l: toxicity.toxicity(d, l),
     "quality": lambda d, l: quality.quality(d),
     "near_dedup": lambda d, l: near_dedup.near_duplicates(d),
@@ -76,6 +76,34 @@ def test_edits_of_all_kinds():
             assert tree.total == len(it.encode(body)) // 4 and tree.chars[1] == len(body)
 
 
+def test_edits_are_found_by_descending_the_sums():
+    tree = token_counts.CountTree([3, 0, 5, 2, 0], [1, 0, 1, 1, 0])
+    ends = [3, 3, 8, 10, 10]
+    assert [tree.ended(x) for x in range(-1, 12)] == [sum(e <= x for e in ends) for x in range(-1, 12)]
+    assert [tree.begin_of(i) for i in range(5)] == [0, 3, 3, 8, 10] and tree.kept() == ([3, 5, 2], [1, 1, 1])
+
+
+def test_going_on_from_a_kept_state(spark, docs, texts, monkeypatch):
+    """Edits in rounds, from a table: counts stay exact, and what is encoded follows the edits and not the text."""
+    it = bpe.codec(*RANKS)
+    long = " ".join(f"word{i % 991} and, so {i}" for i in range(20_000))
+    rows = [(1, long), (2, "short text"), (3, None), (4, long + " ends")]
+    state = token_counts.token_state(spark.createDataFrame(rows, "doc_id long, text string"), *RANKS)
+    want = {k: t or "" for k, t in rows}
+    for n in range(3):
+        at, new = 1000 * n + 7, f" new{n} text"
+        one = F.when(F.col("doc_id") != 4, F.array(F.struct(F.lit(at).alias("start"), F.lit(at + 5).alias("end"), F.lit(new).alias("text"))))
+        state = token_counts.update_tokens(state, *RANKS, edits=one).cache()
+        want = {k: t if k == 4 else t[:at] + new + t[at + 5 :] for k, t in want.items()}
+        for r in state.collect():
+            assert (r["text"], r["n_tokens_edited"]) == (want[r["doc_id"]], len(it.encode(want[r["doc_id"]])) // 4)
+            assert sum(r["leaf_chars"]) == len(r["text"]) and sum(r["leaf_tokens"]) == r["n_tokens_edited"]
+            assert r["n_encoded"] == 0 if r["doc_id"] == 4 else r["n_encoded"] <= 3 * token_counts.LEAF
+    odd_state = spark.createDataFrame([(1, "some text here", None, None), (2, "some text here", [3], [1]), (3, None, [], [])], "doc_id long, text string, leaf_chars array<long>, leaf_tokens array<long>")
+    got = {r["doc_id"]: (r["text"], r["n_tokens_edited"]) for r in token_counts.update_tokens(odd_state, *RANKS, edits=token_counts.sample_edits(F.col("text"))).collect()}
+    assert got[1] == got[2] and got[3][0] == "2026 revised\n\nRevised text." and all(n == len(it.encode(t)) // 4 for t, n in got.values())
+
+
 # toxicity
 
 
