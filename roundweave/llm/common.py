@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound each Arrow batch, and so the memory of a Python worker."""
+    """Bound each Arrow batch, and so the memory of a Python worker.
+
+    Queries run later than they are made, so the session keeps these two settings.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -36,30 +40,50 @@ def shared_dir(spark: SparkSession) -> str:
         return set_by_cluster.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # a local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+#: Folders that ``saved`` has written within each open ``scratch``.
+_scratch: list[list[str]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage, so that what several branches read is computed once and a
-    lost executor costs no recomputation of it.
+    lost executor costs no recomputation of it. ``keep`` leaves it when a ``scratch`` ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a ``saved`` DataFrame that nothing will read again."""
-    spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what operators within have ``saved`` for themselves."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            _delete(spark, folder)
 
 
 def utf8(column: str) -> F.Column:

@@ -2,7 +2,7 @@
 
 Alternating large-star and small-star steps: each is a minimum per node, which
 Spark sums up before it shuffles, and a join, whose hot keys it splits. Every
-round is written to the shared folder, which cuts the lineage.
+round is written to the shared folder, which cuts the lineage, and the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import saved
+from roundweave.llm.common import discard, saved
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, F.col("u") == F.col("w")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least.select(F.col("u").alias("w"), "m"), F.col("u") == F.col("w")).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, stars = stars, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         after = _digest(stars)
         if after == before:
             break

@@ -10,7 +10,9 @@ where the total budget is used up.
 Running totals never run over a source in one task: a source is split by hash
 into buckets of some 2,000 rows, their sums are added up first, and running
 sums are taken within buckets. The cut is found the same way, from the sums of
-the sorted ranges; only the range in which the budget ends is run through.
+the sorted ranges; only the range in which the budget ends is run through. Rows of a source that share a key
+(as those without one do) would share a bucket: where there are more than a bucket's rows of them, each gets one of as many
+places in the order as that makes buckets.
 
 Targets: the budget is shared by weight; a target stops at ``max_repeats`` times
 the size of its source, and what is over goes to the others by weight until no
@@ -89,12 +91,26 @@ def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.join(salted, rows["source"].eqNullSafe(salted["__of"]) & (rows["__salt2"] == salted["__salt"])).drop("__of", "__salt", "__salt2")
 
 
+def _spread(rows: DataFrame, seed: int) -> DataFrame:
+    """New keys for rows whose key more than a bucket's rows of their source share, by their places in the table."""
+    hot = rows.groupBy("source", "__key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("__parts")).filter("__parts > 1")
+    hot = saved(hot.select(F.col("source").alias("__hot_source"), F.col("__key").alias("__hot"), "__parts"), "hot")
+    found = hot.count()
+    if not found:
+        return rows
+    hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
+    both = rows.withColumn("__place", F.monotonically_increasing_id()).join(hot, rows["source"].eqNullSafe(hot["__hot_source"]) & (rows["__key"] == hot["__hot"]), "left")
+    part = F.concat_ws(":", F.lit("part"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.pmod(F.xxhash64("__place"), F.col("__parts")).cast("string"))
+    key = F.when(F.col("__parts").isNotNull(), shuffle_key(part, seed)).otherwise(F.col("__key"))
+    return both.withColumn("__key", key).drop("__hot_source", "__hot", "__parts", "__place")
+
+
 def queue(rows: DataFrame, share: float, max_repeats: int, seed: int) -> DataFrame:
     """Each row's place in the queue of its source: ``__end`` is the running size.
 
     ``rows`` has ``doc_id, source, size`` and may have more columns.
     """
-    rows = rows.withColumn("__key", shuffle_key(F.col("doc_id"), seed))
+    rows = _spread(rows.withColumn("__key", shuffle_key(F.col("doc_id"), seed)), seed)
     targets = saved(source_targets(rows, share, max_repeats), "targets")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("__rows") / BUCKET_ROWS))
     placed = _with_targets(rows, targets).withColumn("__bucket", F.floor(F.col("__key") / F.lit(2.0**52) * buckets))

@@ -18,14 +18,16 @@ never compared with each other:
 1. Documents with equal sets are one class; the smallest id stands for it.
 2. Every class is compared with one candidate: of the smallest members of its
    buckets, the one it shares most tables with. The links make components.
+   A candidate that many are compared with is dealt out, with its set, to a task for about every ``BLOCK`` of them.
 3. What could still be linked are members of a bucket in different components.
-   Only buckets that have such members are looked at, in blocks of ``BLOCK`` rows
-   by ``BLOCK`` rows if they are large. Signatures rule out the pairs that are too
+   Only buckets that have such members are looked at. The members outside of a bucket's largest
+   component are compared with all, in blocks of ``BLOCK`` rows by ``BLOCK`` rows if they are many, so that
+   the work follows the size of the bucket where few are outside. Signatures rule out the pairs that are too
    unlike (a pair at 3/4 is ruled out with a chance of 2 in a million); the
    components that what is left joins are neighbours. No pairs are
    given out, only as many as it takes to join the components of a bucket.
-4. The members of neighbouring components are brought together with their sets, in
-   blocks of about ``BLOCK_SHINGLES`` shingles by as many. An inverted index
+4. The members of neighbouring components are brought together with their sets, those outside of the
+   largest against all, in blocks of about ``BLOCK_SHINGLES`` shingles by as many. An inverted index
    over a block's shingles counts what its members have in common, and links between
    components are given out, again no more than it takes to join them.
 
@@ -46,10 +48,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roundweave.llm.common import CACHES, mixed, only_caches_of, saved, small_batches, utf8
+from roundweave.llm.common import CACHES, discard, mixed, only_caches_of, saved, small_batches, utf8
 from roundweave.llm.components import components
 
 WORDS = 5
@@ -152,10 +154,14 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough by their full sets."""
-    a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
-    both = a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
+    """The pairs (a, b) that are similar enough by their full sets.
+
+    ``n`` says how many pairs there may be with the same b; its set is given out once for every ``BLOCK`` of them.
+    """
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / BLOCK)).cast("int")).drop("n")
+    of_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    of_b = pairs.select("b", "part").distinct().join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = of_a.join(of_b, ["b", "part"]).withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
     return both.filter(100 * F.col("common") >= 75 * (F.size("of_a") + F.size("of_b") - F.col("common"))).select("a", "b").distinct()
 
 
@@ -187,10 +193,9 @@ def _neighbours(members: DataFrame) -> DataFrame:
             out = []
             for row in range(len(batch)):
                 m = batch.column(0).slice(row, 1).flatten()
-                labels, sizes = m.field(0).to_numpy(), m.field(1).to_numpy()
-                signs = np.frombuffer(b"".join(m.field(2).to_pylist()), np.uint32).reshape(len(labels), HASHES)
-                values, counts = np.unique(labels, return_counts=True)
-                rest = np.flatnonzero(labels != values[counts.argmax()])
+                labels, sizes = m.field(1).to_numpy(), m.field(2).to_numpy()
+                signs = np.frombuffer(b"".join(m.field(3).to_pylist()), np.uint32).reshape(len(labels), HASHES)
+                rest = np.flatnonzero(m.field(0).to_numpy(zero_copy_only=False))
                 seen = Joined()
                 for i in range(0, len(rest), 64):
                     r = rest[i : i + 64]
@@ -213,16 +218,15 @@ def _links(groups: DataFrame) -> DataFrame:
             out = []
             for row in range(len(batch)):
                 m = batch.column(0).slice(row, 1).flatten()
-                ids, labels, lists = m.field(0).to_numpy(), m.field(1).to_numpy(), m.field(2)
+                outside, ids, labels, lists = m.field(0).to_numpy(zero_copy_only=False), m.field(1).to_numpy(), m.field(2).to_numpy(), m.field(3)
                 sizes = lists.value_lengths().to_numpy().astype(np.int64)
                 _, shingle = np.unique(lists.flatten().to_numpy(), return_inverse=True)
                 owner = np.repeat(np.arange(len(ids)), sizes)
                 order = np.argsort(shingle, kind="stable")
                 postings, begins = owner[order], np.r_[0, np.cumsum(np.bincount(shingle))]
                 starts = np.cumsum(sizes) - sizes
-                values, counts = np.unique(labels, return_counts=True)
                 seen = Joined()
-                for y in np.flatnonzero(labels != values[counts.argmax()]).tolist():
+                for y in np.flatnonzero(outside).tolist():
                     mine = shingle[starts[y] : starts[y] + sizes[y]]
                     n = begins[mine + 1] - begins[mine]
                     at = np.repeat(begins[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -235,10 +239,28 @@ def _links(groups: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
+def _divided(members: DataFrame, group: str, size: Column, block: int) -> DataFrame:
+    """Groups with several labels: ``major``, the label that has most of it, and in how many blocks
+    (``outer``) what has other labels and (``blocks``) all are to be compared."""
+    by_label = members.groupBy(group, "label").agg(F.sum(size).alias("size"))
+    of = by_label.groupBy(group).agg(F.count(F.lit(1)).alias("labels"), F.sum("size").alias("all"), F.max(F.struct("size", "label")).alias("top")).filter("labels > 1")
+    blocks = lambda n: F.ceil(n / block).cast("int")
+    return of.select(group, F.col("top.label").alias("major"), blocks(F.col("all") - F.col("top.size")).alias("outer"), blocks(F.col("all")).alias("blocks"))
+
+
 def _in_blocks(members: DataFrame, group: str, *columns: str) -> DataFrame:
-    """Rows with the members of every two blocks of a group (``blocks`` says how many it has)."""
-    members = members.withColumn("__mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return members.groupBy(group, F.least("__mine", "__other").alias("lo"), F.greatest("__mine", "__other").alias("hi")).agg(F.collect_list(F.struct(*columns)).alias("members")).select("members")
+    """Rows that hold a block of the members outside of a group's major label, and one of all members.
+
+    ``members`` has ``id, label`` and the columns of ``_divided``. The first column of a member says whether it is
+    one of those outside. If these are one block, the others need not hold them too.
+    """
+    is_out = F.col("label") != F.col("major")
+    many = F.col("outer") > 1
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    out = members.filter(is_out).withColumn("__out", F.lit(True)).withColumn("__o", own("outer")).withColumn("__b", every("blocks"))
+    rest = members.filter(~is_out | many).withColumn("__out", F.lit(False)).withColumn("__b", own("blocks")).withColumn("__o", every("outer"))
+    return out.unionByName(rest).groupBy(group, "__o", "__b").agg(F.collect_list(F.struct("__out", *columns)).alias("members")).select("members")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -262,26 +284,28 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
         F.collect_set(F.when(F.col("no") >= SIDE, F.col("band"))).alias("two"),
     )
     tables = bands.select("id", F.explode("one").alias("one"), "two").select("id", "one", F.explode("two").alias("two")).select("id", F.xxhash64("one", "two").alias("key"))
-    heads = tables.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last")).filter("head <> last")
-    tables = saved(tables.join(heads, "key").select("key", "id", "head"), "tables")
+    heads = tables.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).filter("head <> last")
+    tables = saved(tables.join(heads, "key").select("key", "id", "head", "n"), "tables")
 
-    votes = tables.filter("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).count()
-    first = votes.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
+    votes = tables.filter("id <> head").groupBy(F.col("id").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("n"))
+    first = votes.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("b"), "n")).alias("best")).select("a", (-F.col("best.b")).alias("b"), F.col("best.n").alias("n"))
     needed = tables.select(F.col("id").alias("doc_id")).distinct()
     sets = saved(_sets(raw.join(needed, "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "text")), "sets")
+    first = saved(first, "first")
     links = saved(verified(first, sets).unionByName(by_id), "links")
     labels = components(links)
 
     labelled = tables.join(labels, tables["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = labelled.join(open_, "key").join(classes.select("id", "n", "signature"), "id")
+    members = labelled.join(_divided(labelled, "key", F.lit(1), BLOCK), "key").join(classes.select("id", "n", "signature"), "id")
     near = components(_neighbours(_in_blocks(members, "key", "label", "n", "signature")))
     known_labels = labelled.select("id", "label").distinct()
     held = known_labels.join(near.select(F.col("node").alias("label"), F.col("component").alias("group")), "label")
     held = held.unionByName(known_labels.join(near.select(F.col("component").alias("label")).distinct(), "label").withColumn("group", F.col("label")))
-    sizes = held.join(classes.select("id", "n"), "id").groupBy("group").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    more = _links(_in_blocks(held.join(sizes, "group").join(sets, "id"), "group", "id", "label", "shingles"))
+    sized = held.join(classes.select("id", "n"), "id")
+    more = _links(_in_blocks(sized.join(_divided(sized, "group", F.col("n"), BLOCK_SHINGLES), "group").join(sets, "id"), "group", "id", "label", "shingles"))
     final = components(links.unionByName(more))
+    for done in (tables, first, sets, links, labels, near):
+        discard(done)
 
     of_class = classes.select("set_key", "id").join(final, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")

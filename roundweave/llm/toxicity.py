@@ -10,14 +10,14 @@ A document's features are the set of buckets of its words, of its pairs of
 neighbours and of pairs with one or two words between. Words are runs of
 letters, digits and underscores after lower-casing.
 
-Fitting takes a bounded sample of the labelled rows: those with the smallest
-hashes of their keys, at most ``max_rows`` of them and at most ``max_features``
-features together (both are parameters). FTRL is sequential, so one task fits
+Fitting takes a bounded sample of the labelled rows that have a document: those with the smallest
+hashes of their keys, at most ``max_rows`` of them, of at most ``max_bytes`` of text and ``max_features``
+features together (all are parameters); a text of more than a sixteenth of these bytes isn't learned from. FTRL is sequential, so one task fits
 the sample; scoring is one pass over all rows without a shuffle.
 
 Edge cases: a null text counts as empty; an empty text has no features and gets
 the score of the intercept; rows with a null key or label are not learned from;
-a key with several labels counts as toxic if any of them says so; with no row
+a label without a document counts for nothing; a key with several labels counts as toxic if any of them says so; with no row
 to learn from every score is 0.5; columns other than the key and the text are
 not read, whatever their names.
 """
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roundweave.llm.common import CACHES, only_caches_of, small_batches, utf8
@@ -40,6 +40,7 @@ from roundweave.llm.common import CACHES, only_caches_of, small_batches, utf8
 BITS = 20
 MAX_ROWS = 16_000
 MAX_FEATURES = 24_000_000
+MAX_BYTES = 128 << 20
 WORD = re.compile(r"\w+")
 #: Odd multipliers of the pair hashes, one for each distance. Any would do.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -167,12 +168,23 @@ def learned_from(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 3 != 1
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, **options) -> tuple[np.ndarray, np.ndarray]:
-    """Weights from the labels of the rows that may be learned from."""
+def sampled(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``key, text, label``: the bounded sample of documents whose labels may be learned.
+
+    The window runs over at most ``max_rows`` keys and sizes.
+    """
     known = labels.filter(learned_from(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    known = known.orderBy(_order("doc_id"), "doc_id").limit(max_rows)  # so few rows that they can be broadcast
+    sizes = docs.groupBy(F.col("doc_id").alias("key")).agg(F.sum(F.octet_length(utf8("text"))).cast("long").alias("bytes")).filter(F.col("bytes") <= max_bytes // 16)
+    first = sizes.join(known, sizes["key"] == known["doc_id"]).select("key", "bytes", "label", _order("key").alias("o")).orderBy("o", "key").limit(max_rows)
+    upto = F.sum("bytes").over(Window.orderBy("o", "key").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = first.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select(F.col("key").alias("__key"), "label")
     texts = docs.select(F.col("doc_id").alias("key"), "text")
-    return fit_ftrl(texts.join(F.broadcast(known), texts["key"] == known["doc_id"]).select("key", "text", "label"), max_rows=max_rows, **options)
+    return texts.join(F.broadcast(chosen), texts["key"] == chosen["__key"]).select("key", "text", "label")
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, **options) -> tuple[np.ndarray, np.ndarray]:
+    """Weights from the labels of the rows that may be learned from."""
+    return fit_ftrl(sampled(docs, labels, max_rows, max_bytes), max_rows=max_rows, **options)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:

@@ -125,6 +125,54 @@ def test_labels_of_held_out_rows_count_for_nothing(docs, spark):
     assert one == two
 
 
+def plain_ftrl(rows, size, epochs=6, alpha=2.0, beta=1.0, l1=5.0, l2=0.1):
+    """FTRL-proximal, coordinate by coordinate."""
+    import math
+
+    z, n = [0.0] * (size + 1), [0.0] * (size + 1)
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(epochs):
+        for at, label in rows:
+            at = [*sorted(set(at)), size]
+            w = [weight(i) for i in at]
+            g = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w))))) - label
+            for i, x in zip(at, w):
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha * x
+                n[i] += g * g
+    return {i: w for i in range(size + 1) if (w := weight(i))}
+
+
+def test_plain_ftrl(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["bad", "vile"] if k % 3 == 0 and rng.random() < 0.4 else ["a", "b", "c", "d"]) for _ in range(12)), int(k % 3 == 0)) for k in range(90)]
+    at, w = toxicity.fit_ftrl(spark.createDataFrame(rows, "key long, text string, label int"), bits=10)
+    order = [r["key"] for r in spark.createDataFrame(rows, "key long, text string, label int").orderBy(toxicity._order("key"), "key").collect()]
+    by_key = {k: (t, y) for k, t, y in rows}
+    want = plain_ftrl([(toxicity.features(by_key[k][0], 10).tolist(), by_key[k][1]) for k in order], 2**10)
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(want) and len(want) > 3
+
+
+def test_labels_without_documents_take_no_room(spark):
+    docs = spark.createDataFrame([(i, "bad vile words here" if i % 2 else "good kind words here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(i, 1) for i in range(1000, 4000)], "doc_id long, toxic int")
+    one = toxicity.fit_toxicity(docs, labels, max_rows=40)
+    two = toxicity.fit_toxicity(docs, labels.filter("doc_id < 40"), max_rows=40)
+    assert all((x == y).all() for x, y in zip(one, two)) and len(one[0])
+
+
+def test_bytes_that_are_learned_from_are_bounded(spark):
+    rows = [(i, "bad " * 50 if i % 2 else "good " * 50, i % 2) for i in range(40)] + [(99, "x" * 5000, 1)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    chosen = toxicity.sampled(docs, labels, max_rows=100, max_bytes=4800)
+    sizes = [len(r["text"]) for r in chosen.collect()]
+    assert 3000 < sum(sizes) <= 4800 and 5000 not in sizes
+
+
 # quality
 
 
@@ -241,6 +289,31 @@ def test_near_duplicates_of_odd_rows(odd):
     assert got[1, 2] == (1, True) and got[2, 0] == (2, True) and got[None, 5] == (None, True) and got[9, 3] == (9, True) and got[10, 3] == (9, False)
 
 
+def test_blocks_of_a_large_group_with_an_outlier(spark):
+    """What is shuffled for 20,000 members of one component and one of another stays in proportion."""
+    members = spark.range(20_001).select("id", F.lit(1).alias("key"), F.when(F.col("id") == 777, 1).otherwise(0).cast("long").alias("label"))
+    made = near_dedup._in_blocks(members.join(near_dedup._divided(members, "key", F.lit(1), near_dedup.BLOCK), "key"), "key", "id", "label")
+    sizes = [len(r["members"]) for r in made.collect()]
+    assert sum(sizes) <= 20_001 + 41 and max(sizes) < 2 * near_dedup.BLOCK
+
+
+@pytest.mark.parametrize("labels", [[0] * 40 + [1], [0] * 9 + [1] * 9 + [2] * 9 + [3], list(range(23)), [5, 5]])
+def test_blocks_hold_all_pairs_of_labels(spark, labels):
+    members = spark.createDataFrame([(i, 7, x) for i, x in enumerate(labels)], "id long, key int, label long")
+    made = near_dedup._in_blocks(members.join(near_dedup._divided(members, "key", F.lit(1), 4), "key"), "key", "id", "label").collect()
+    met = {frozenset((x["id"], y["id"])) for r in made for x in r["members"] for y in r["members"] if x["__out"] and x["label"] != y["label"]}
+    assert met == {frozenset((i, j)) for i, x in enumerate(labels) for j, y in enumerate(labels) if x != y}
+
+
+def test_a_candidate_of_many(spark, monkeypatch):
+    """Copies in a hot group are dealt out by parts, and all are found."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    base = [f"w{i}" for i in range(80)]
+    texts = {i: " ".join(base[:40] + [f"x{i}"] + base[41:]) for i in range(50)} | {100 + i: f"other text number {i} with words" for i in range(5)}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in near_dedup.near_duplicates(rows).collect()} == plain_near(texts)
+
+
 # personal data
 
 
@@ -476,6 +549,23 @@ def test_mixing(spark, sf):
     assert sum(taken.values()) <= 1.5 * sum(sizes.values())
 
 
+def test_rows_with_one_id_are_spread(spark, monkeypatch):
+    """A third of all rows has no id: their places in the queue are dealt out, and the mix is still right."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(None if i % 3 == 0 else i, f"s{i % 2}", 10 + i % 7) for i in range(3000)]
+    sized = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(4)
+    queued = mixing.queue(sized, 1.5, 2, 7)
+    assert queued.filter("doc_id IS NULL").select("__key").distinct().count() == 10
+    got = mixing.mix_counts(sized).collect()
+    total, taken, target = Counter(), Counter(), {}
+    for r in got:
+        total[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    assert len(got) == 3000 and all(abs(taken[s] - target[s]) <= 40 for s in total)
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_counts(sized).collect()), key=str)
+
+
 def test_mixed_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r["doc_id"]: r["taken"] // r["size"] for r in queries.op10_mixing(spark, SF).filter("taken > 0").collect()}
