@@ -3,8 +3,8 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir), where
 docs is what the stage before has kept, and returns a DataFrame. ``run`` writes
 what each stage returns as Parquet to the shared folder and reads it again for the next
-one, so that a lost executor costs no more than one stage. All stages but the
-last return the columns of documents.
+one, so that a lost executor costs no more than one stage. What a stage has kept for itself is deleted when it is
+written, and its input with it. All stages but the last return the columns of documents.
 
 1. toxicity: documents that score 0.7 or more go.
 2. near_dedup: one document of each component of near-duplicates stays.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from roundweave.llm import bpe, mixing, near_dedup, pii, toxicity
-from roundweave.llm.common import saved, table
+from roundweave.llm.common import discard, saved, scratch, table
 from roundweave.llm.queries import rank_file
 
 
@@ -58,7 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = saved(stage(spark, docs, sf_dir), name, keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
