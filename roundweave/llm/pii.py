@@ -20,8 +20,8 @@ with a disclosure of ``GENERALISE`` or more are generalised to their kind, those
 pieces of evidence, so that copies of one text prove nothing: for a value these are mentions with
 different surroundings, be they in one document or in several; for what values share and for kinds, different values.
 
-Document frequencies cover all words of all documents. Terms with enough evidence are few; words are
-reduced to these before they are shuffled, by a broadcast while they are at most ``BROADCAST_TERMS``, and
+Document frequencies cover all words of all documents. Pairs of a term and an entity with enough evidence are few; words are
+reduced to their terms before they are shuffled, by a broadcast while they are at most ``BROADCAST_TERMS``, and
 beyond that after they are summed up. No join is on an entity until those terms are left whose disclosure can be
 reached at all (joint / df(t) is at least (joint / N) to the power of 1 - disclosure), and the join on
 terms deals out a term's entities over ``SALTS`` tasks.
@@ -56,7 +56,7 @@ KINDS = [*PATTERNS, "term"]
 CONTEXT = 80
 SUPPORT = 3
 GENERALISE, REMOVE = 0.8, 0.95
-BROADCAST_TERMS = 50_000
+BROADCAST_TERMS = 200_000
 #: Parts that the entities of a term are dealt out to.
 SALTS = 16
 #: A term is a word of letters and digits with at least three characters.
@@ -173,13 +173,12 @@ def disclosing_terms(rows: DataFrame, spans: DataFrame, support: int = SUPPORT,
     pairs = near.groupBy("entity", "term").agg(F.count_distinct(doc).alias("joint"), F.count_distinct("evidence").alias("support")).filter(F.col("support") >= support)
     pairs = saved(pairs.select("entity", "term", "joint"), "pairs")
     n = rows.count()
-    wanted = saved(pairs.select("term").distinct(), "wanted")
     words = rows.select(F.explode(_terms(F.col("text"))).alias("term"))
     count = F.count(F.lit(1)).alias("df_term")
-    if wanted.count() <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(wanted), "term").groupBy("term").agg(count)
+    if pairs.count() <= BROADCAST_TERMS:
+        counts = words.join(F.broadcast(pairs.select("term")), "term", "left_semi").groupBy("term").agg(count)
     else:
-        counts = words.groupBy("term").agg(count).join(wanted, "term")
+        counts = words.groupBy("term").agg(count).join(pairs.select("term"), "term", "left_semi")
     salt = F.pmod(F.xxhash64("entity"), F.lit(SALTS)).cast("int")
     salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     told = pairs.withColumn("salt", salt).join(salted, ["term", "salt"])
