@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once per row, however often it occurs there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tag_pattern(tag: str, group: str = "(.*?)") -> str:
     return f"(?s)<{tag}>{group}</{tag}>"
 

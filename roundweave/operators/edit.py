@@ -42,6 +42,16 @@ def _gathered(contents: Column, assistant: bool) -> Column:
     return T.assistant_text(*parts)
 
 
+def joined_thinks(contents: Column) -> Column:
+    """All thoughts of several turns, joined: what is rephrased, and what its hash is looked up by."""
+    return F.array_join(F.filter(F.flatten(F.transform(contents, T.thinks)), lambda t: t != ""), T.JOIN_THINKS)
+
+
+def _rephrased(turn: Column, joined: Column, by: Column) -> Column:
+    """A gathered turn with its joined thoughts replaced by what a map has for them."""
+    return T.let(F.struct(turn.alias("t"), joined.alias("j")), lambda x: F.concat(F.lit("<think>"), F.coalesce(F.element_at(by, x["j"]), x["j"]), F.substring(x["t"], F.length(x["j"]) + 8, F.length(x["t"]))))
+
+
 def merged(messages: Column, groups: Column, pairwise: bool = True, rephrased: Column | None = None) -> Column:
     """Rounds of each group merged into its first; the turns of the others become null.
 
@@ -59,15 +69,17 @@ def merged(messages: Column, groups: Column, pairwise: bool = True, rephrased: C
         mine = F.get(F.filter(groups, lambda g: (F.get(g, F.lit(0)) == r) & (i > 0)), F.lit(0))
         assistant = i % 2 == 1
         at = F.filter(F.transform(mine, lambda q: F.when(assistant, 2 * q - 3).otherwise(2 * q - 2)), lambda k: (k < n) & F.get(messages, k).isNotNull())
-        contents = F.transform(at, lambda k: F.coalesce(F.get(messages, k)["content"], F.lit("")))
-        if pairwise:
-            one, two = _fold(contents, T.merge_assistant), _fold(contents, T.merge_user)
-        else:
-            one, two = _gathered(contents, True), _gathered(contents, False)
-            if rephrased is not None:
-                joined = F.array_join(F.filter(F.flatten(F.transform(contents, T.thinks)), lambda t: t != ""), T.JOIN_THINKS)
-                one = F.concat(F.lit("<think>"), F.coalesce(F.element_at(rephrased, joined), joined), F.substring(one, F.length(joined) + 8, F.length(one)))
-        content = F.when(F.size(contents) < 2, m["content"]).when(assistant, one).otherwise(two)
+
+        def joined(contents: Column) -> Column:
+            if pairwise:
+                one, two = _fold(contents, T.merge_assistant), _fold(contents, T.merge_user)
+            else:
+                one, two = _gathered(contents, True), _gathered(contents, False)
+                if rephrased is not None:
+                    one = _rephrased(one, joined_thinks(contents), rephrased)
+            return F.when(F.size(contents) < 2, m["content"]).when(assistant, one).otherwise(two)
+
+        content = T.let(F.transform(at, lambda k: F.coalesce(F.get(messages, k)["content"], F.lit(""))), joined)
         return F.when(F.array_contains(removed, i), None).when(mine.isNotNull() & m.isNotNull(), F.struct(m["role"].alias("role"), content.alias("content"))).otherwise(m)
 
     return F.transform(messages, turn)
@@ -114,12 +126,15 @@ def evidence(messages: Column) -> Column:
 
 def lost_tokens(new: Column, old: Column) -> Column:
     """Up to five tokens of the final answer and thought that only dropped evidence had, sorted."""
-    final = F.coalesce(F.get(new, F.size(new) - 1)["content"], F.lit(""))
-    answer, think = (F.get(F.regexp_extract_all(final, F.lit(T.tag_pattern(tag)), F.lit(1)), F.lit(0)) for tag in ("answer", "think"))
-    said = F.concat(F.coalesce(F.concat(answer, F.lit("\n")), F.lit("")), F.coalesce(think, F.lit("")))
-    now, then = evidence(new), evidence(old)
-    lost = F.filter(T.grounding_tokens(said), lambda t: ~F.contains(now, F.lower(t)) & F.contains(then, F.lower(t)))
-    return F.slice(F.array_sort(lost), 1, 5)
+
+    def lost(m: Column) -> Column:
+        final = F.coalesce(F.get(m, F.size(m) - 1)["content"], F.lit(""))
+        answer, think = (F.get(F.regexp_extract_all(final, F.lit(T.tag_pattern(tag)), F.lit(1)), F.lit(0)) for tag in ("answer", "think"))
+        said = F.concat(F.coalesce(F.concat(answer, F.lit("\n")), F.lit("")), F.coalesce(think, F.lit("")))
+        known = F.struct(evidence(m).alias("now"), evidence(old).alias("then"))
+        return T.let(known, lambda e: F.filter(T.grounding_tokens(said), lambda t: ~F.contains(e["now"], F.lower(t)) & F.contains(e["then"], F.lower(t))))
+
+    return F.slice(F.array_sort(T.let(new, lost)), 1, 5)
 
 
 def planned(messages: Column, start: Column, middle: Column, remove: Column, patches: Column) -> Column:
@@ -145,8 +160,9 @@ def critical_path(rows):
     """
     m, middle = F.col("messages"), F.col("middle")
     gone = F.filter("remove", lambda r: (r >= 2) & (r <= middle + 1))
-    made = planned(m, F.col("start"), middle, F.col("remove"), F.col("patches"))
-    lost = lost_tokens(made, m)
+    rows = rows.withColumn("__made", planned(m, F.col("start"), middle, F.col("remove"), F.col("patches")))
+    made, lost = F.col("__made"), F.col("__lost")
+    rows = rows.withColumn("__lost", lost_tokens(made, m))
     last = F.get(made, F.size(made) - 1)["role"]
     known = F.col("plan_status").isin("reduce", "non_reducible", "illogical")
     def told(status: Column, reason: Column) -> Column:
@@ -166,4 +182,4 @@ def critical_path(rows):
     )
     rows = rows.withColumn("__state", state)
     status = F.col("__state.col1")
-    return rows.withColumn("status", status).withColumn("reason", F.col("__state.col2")).withColumn("messages_new", F.when(status == "reduce", made).otherwise(m)).drop("__state")
+    return rows.withColumn("status", status).withColumn("reason", F.col("__state.col2")).withColumn("messages_new", F.when(status == "reduce", made).otherwise(m)).drop("__state", "__made", "__lost")

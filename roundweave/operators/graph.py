@@ -1,6 +1,6 @@
 """Dependency graphs of rounds, as arrays of edges (src, dst) in a row.
 
-All of it is row-wise: a graph has at most some hundred nodes, so that a
+All of it is row-wise: a graph has at most some hundred edges, so that a
 conversation's edges stay together and nothing is shuffled. Only the removal of
 cycles, a depth-first search in the order of labels, is a small Python function.
 """
@@ -10,10 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from roundweave.functions import text as T
+
 EDGES = ArrayType(StructType().add("src", "string").add("dst", "string"))
 
 
@@ -57,6 +60,22 @@ def acyclic(edges: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda row: None if row is None else [{"src": a, "dst": b} for a, b in forward_edges([(e["src"], e["dst"]) for e in row])])
 
 
+def without_cycles(rows: DataFrame, edges: Column, name: str = "walked") -> DataFrame:
+    """``rows`` with a column of the edges (labels) that don't close a cycle.
+
+    The same as ``acyclic``, as a step of its own: what is built on its result can't be put into one expression with it.
+    """
+    out = rows.schema.add(name, EDGES)
+    kind = pa.list_(pa.struct([("src", pa.string()), ("dst", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if row is None else [{"src": a, "dst": b} for a, b in forward_edges([(e["src"], e["dst"]) for e in row])] for row in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, kind)], names=out.names)
+
+    return rows.select("*", edges.alias("__edges")).mapInArrow(run, out)
+
+
 def nodes_of(edges: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(F.transform(edges, lambda e: e["src"]), F.transform(edges, lambda e: e["dst"]))))
 
@@ -64,15 +83,19 @@ def nodes_of(edges: Column) -> Column:
 def prune_leaves(edges: Column) -> Column:
     """Edges (int) that are left when nodes without successors are taken away again and again.
 
-    In every pass the node with the largest number stays.
+    In every pass the node with the largest number stays. There are as many passes as the longest way to a
+    leaf has edges; once a pass takes nothing away, those after it do nothing.
     """
 
-    def step(now: Column, _: Column) -> Column:
-        sources = F.transform(now, lambda e: e["src"])
-        top = F.array_max(nodes_of(now))
-        return F.filter(now, lambda e: F.array_contains(sources, e["dst"]) | (e["dst"] == top))
+    def one_pass(now: Column) -> Column:
+        known = F.struct(F.array_distinct(F.transform(now, lambda e: e["src"])).alias("sources"), F.array_max(nodes_of(now)).alias("top"))
+        return T.let(known, lambda k: F.filter(now, lambda e: F.array_contains(k["sources"], e["dst"]) | (e["dst"] == k["top"])))
 
-    return F.aggregate(edges, edges, step)
+    def step(state: Column, _: Column) -> Column:
+        again = T.let(one_pass(state["now"]), lambda left: F.struct(left.alias("now"), (F.size(left) == F.size(state["now"])).alias("done")))
+        return F.when(state["done"], state).otherwise(again)
+
+    return F.aggregate(edges, F.struct(edges.alias("now"), F.lit(False).alias("done")), step, lambda state: state["now"])
 
 
 def parents_of(edges: Column, node: Column) -> Column:
@@ -92,22 +115,29 @@ def strict_groups(edges: Column) -> Column:
 def relaxed_groups(edges: Column) -> Column:
     """Groups of nodes with equal parents, merged until there are none: array of (node, members).
 
-    The class of a node is the set of its parents' classes, which is found in one
-    pass in ascending order, as edges ascend; the partition doesn't depend on the
-    order of merging.
+    Nodes are of one class if the sets of their parents' classes are the same. All start in one class, which is
+    split until nothing changes: after as many passes as the longest way has edges. Edges may
+    ascend or not, but must not form a cycle; the partition doesn't depend on the order of merging.
     """
-    nodes = nodes_of(edges)
-    none = F.array().cast("array<struct<node:int,rep:int,key:string>>")
-
-    def step(seen: Column, n: Column) -> Column:
-        parents = parents_of(edges, n)
-        reps = F.transform(F.filter(seen, lambda s: F.array_contains(parents, s["node"])), lambda s: s["rep"])
-        key = F.array_join(F.array_sort(F.array_distinct(reps)), ",")
-        same = F.filter(seen, lambda s: s["key"] == key)
-        rep = F.when(F.size(same) > 0, F.get(same, F.lit(0))["rep"]).otherwise(n)
-        return F.array_append(seen, F.struct(n.alias("node"), rep.alias("rep"), key.alias("key")).cast("struct<node:int,rep:int,key:string>"))
-
-    classes = F.aggregate(nodes, none, step)
+    none = F.transform(nodes_of(edges), lambda n: F.struct(n.alias("node"), F.lit(0).alias("rep"), parents_of(edges, n).alias("parents")))
+
+    def one_pass(now: Column) -> Column:
+        def key(x: Column) -> Column:
+            return F.array_sort(F.array_distinct(F.transform(F.filter(now, lambda s: F.array_contains(x["parents"], s["node"])), lambda s: s["rep"])))
+
+        keyed = F.transform(now, lambda x: F.struct(x["node"].alias("node"), key(x).alias("key"), x["parents"].alias("parents")))
+        first = lambda k, x: F.get(F.filter(k, lambda y: y["key"] == x["key"]), F.lit(0))["node"]
+        return T.let(keyed, lambda k: F.transform(k, lambda x: F.struct(x["node"].alias("node"), first(k, x).alias("rep"), x["parents"].alias("parents"))))
+
+    def step(state: Column, _: Column) -> Column:
+        again = T.let(one_pass(state["now"]), lambda new: F.struct(new.alias("now"), (new == state["now"]).alias("done")))
+        return F.when(state["done"], state).otherwise(again)
+
+    classes = F.aggregate(none, F.struct(none.alias("now"), F.lit(False).alias("done")), step, lambda state: state["now"])
+    return T.let(classes, _by_class)
+
+
+def _by_class(classes: Column) -> Column:
     return F.transform(classes, lambda x: F.struct(x["node"].alias("node"), F.transform(F.filter(classes, lambda y: y["rep"] == x["rep"]), lambda y: y["node"]).alias("members")))
 
 

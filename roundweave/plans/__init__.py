@@ -1,9 +1,6 @@
 """Queries over the reference operators, with the SQL they are checked against."""
 
-import functools
-
 from roundweave.plans import conversation, tables
-from roundweave.plans.inputs import DUCK_T
 
 QUERIES: dict = conversation.QUERIES | tables.QUERIES
 
@@ -15,27 +12,9 @@ def _recursive(sql: str) -> str:
 
 ORACLES: dict[str, str] = {name: _recursive(sql) for name, sql in (conversation.ORACLES | tables.ORACLES).items()}
 
-#: Queries whose rows depend on the text of turns, of which their SQL takes a piece of 60 characters.
-OF_PIECES = """conv_stats tag_parse canonical_turn evict_rounds merge_messages rephrase_merge merge_images drop_images critical_path_status critical_path_messages
-grounding status_counts first_examples reduction_summary saved_hist multi_tag_rate question_text tool_calls clean_messages""".split()
-
-
-def _whole(sql: str) -> str:
-    """SQL of a query over pieces of texts, over whole texts."""
-    for piece in (DUCK_T, "substring(text, 1, 30)", "substring(text, 1, 50)", "substring(text, 5, 9)"):
-        sql = sql.replace(piece, "text")
-    return sql
-
-
-def _over_whole_texts() -> None:
-    """The same queries over the whole text of every turn, named ``whole_...``, beside those over pieces."""
-    options = {name: {"t": "text"} for name in OF_PIECES}
-    options["reply_parts"] = {"reply": _whole(conversation.REPLY)}
-    options["trace_rollup"] = {"thinking": "text", "limit": 32_000}
-    for name, option in options.items():
-        QUERIES[f"whole_{name}"] = functools.partial(QUERIES[name], **option)
-        ORACLES[f"whole_{name}"] = _whole(ORACLES[name])
-    ORACLES["whole_trace_rollup"] = ORACLES["trace_rollup"].replace("substring(text, 1, 20) || substring(text, 1, 40)", "text || substring(text, 1, 32000)")
-
+#: Queries over tagged turns, replies and traces, which are also found under these names of old.
+WHOLE = """conv_stats tag_parse canonical_turn evict_rounds merge_messages rephrase_merge merge_images drop_images critical_path_status critical_path_messages
+grounding status_counts first_examples reduction_summary saved_hist multi_tag_rate question_text tool_calls clean_messages reply_parts trace_rollup""".split()
 
-_over_whole_texts()
+QUERIES |= {f"whole_{name}": QUERIES[name] for name in WHOLE}
+ORACLES |= {f"whole_{name}": ORACLES[name] for name in WHOLE}

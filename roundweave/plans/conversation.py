@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundweave.functions import text as T
 from roundweave.operators import edit, graph, rounds, stats
 from roundweave.plans.inputs import (
+    ACYCLIC_SQL,
     GRAPH_SQL,
     OWNER_SQL,
-    SPARK_T,
     TAGGED_SQL,
+    WALK_SQL,
     edited,
     longs,
     sql_assistant,
@@ -68,30 +69,30 @@ def round_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TAGGED_SQL}
 SELECT conv_id, count(*)::BIGINT AS n_msgs, sum(coalesce(list_sum(list_transform(regexp_extract_all(content, '(?s)<think>(.*?)</think>', 1), lambda x: len(x))), 0))::BIGINT AS think_chars,
        sum(len(content))::BIGINT AS total_chars FROM tg GROUP BY conv_id""")
-def conv_stats(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    return longs(tagged(spark, sf_dir, t).select("conv_id", stats.message_stats(F.col("messages")).alias("s")).select("conv_id", "s.*"))
+def conv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(tagged(spark, sf_dir).select("conv_id", stats.message_stats(F.col("messages")).alias("s")).select("conv_id", "s.*"))
 
 
 @query(f"""WITH {TAGGED_SQL}
 SELECT conv_id, pos AS turn, {sql_join(sql_thinks('content'), "'|'")} AS thinks, {sql_join(sql_bodies('content', 'tool_call'), "'|'")} AS calls,
        {sql_join(sql_bodies('content', 'answer'), "'|'")} AS answers FROM tg WHERE role = 'assistant'""")
-def tag_parse(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def tag_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     one = lambda parts: F.array_join(F.filter(parts, lambda x: x != ""), "|")
-    return longs(tagged_turns(spark, sf_dir, t).filter("role = 'assistant'").select("conv_id", "turn", one(T.thinks(c)).alias("thinks"), one(T.calls(c)).alias("calls"), one(T.answers(c)).alias("answers")))
+    return longs(tagged_turns(spark, sf_dir).filter("role = 'assistant'").select("conv_id", "turn", one(T.thinks(c)).alias("thinks"), one(T.calls(c)).alias("calls"), one(T.answers(c)).alias("answers")))
 
 
 @query(f"""WITH {TAGGED_SQL}
 SELECT conv_id, pos AS turn, CASE WHEN role = 'assistant' THEN {sql_assistant(sql_thinks('content'), sql_bodies('content', 'tool_call'), sql_bodies('content', 'answer'))}
   ELSE {sql_user(sql_responses('content'))} END AS content FROM tg""")
-def canonical_turn(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def canonical_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
-    return longs(tagged_turns(spark, sf_dir, t).select("conv_id", "turn", F.when(F.col("role") == "assistant", T.canonical_assistant(c)).otherwise(T.canonical_user(c)).alias("content")))
+    return longs(tagged_turns(spark, sf_dir).select("conv_id", "turn", F.when(F.col("role") == "assistant", T.canonical_assistant(c)).otherwise(T.canonical_user(c)).alias("content")))
 
 
 #: Replies of a model whose tags are broken in several ways.
-REPLY = """CASE turn % 4 WHEN 0 THEN concat('<think> ', substring(text, 1, 30), ' </think><answer> ', substring(text, 5, 9), ' </answer><answer>two</answer>')
-WHEN 1 THEN concat('<think>', substring(text, 1, 30), '</think') WHEN 2 THEN concat(substring(text, 1, 30), ' </think> <answer>x') ELSE substring(text, 1, 50) END"""
+REPLY = """CASE turn % 4 WHEN 0 THEN concat('<think> ', text, ' </think><answer> ', text, ' </answer><answer>two</answer>')
+WHEN 1 THEN concat('<think>', text, '</think') WHEN 2 THEN concat(text, ' </think> <answer>x') ELSE text END"""
 
 
 @query(f"""WITH r AS (SELECT conv_id, turn, {REPLY} AS c FROM conversations)
@@ -99,8 +100,8 @@ SELECT conv_id, turn, CASE WHEN len({sql_bodies('c', 'answer')}) > 0 THEN array_
   CASE WHEN len({sql_bodies('c', 'think')}) > 0 THEN array_to_string({sql_bodies('c', 'think')}, chr(10))
        WHEN contains(c, '</think>') THEN {sql_strip("regexp_replace(split_part(c, '</think>', 1), '(?s)^.*?<think>', '')")}
        WHEN contains(c, '<think>') THEN {sql_strip("regexp_replace(c, '(?s)^.*?<think>', '')")} ELSE c END AS think FROM r""")
-def reply_parts(spark: SparkSession, sf_dir: str, reply: str = REPLY) -> DataFrame:
-    c = F.expr(reply)
+def reply_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.expr(REPLY)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_text(c).alias("answer"), T.think_text(c).alias("think"))
 
 
@@ -110,8 +111,8 @@ def leaf_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT tg.conv_id, tg.pos AS turn, tg.role, tg.content FROM tg LEFT JOIN ev ON tg.conv_id = ev.conv_id AND (tg.pos + 3) // 2 = ev.r AND tg.pos > 0 WHERE ev.r IS NULL""")
-def evict_rounds(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    kept = edited(spark, sf_dir, t).select("conv_id", F.posexplode(edit.evicted(F.col("messages"), F.col("evict"))).alias("turn", "m")).filter("m IS NOT NULL")
+def evict_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = edited(spark, sf_dir).select("conv_id", F.posexplode(edit.evicted(F.col("messages"), F.col("evict"))).alias("turn", "m")).filter("m IS NOT NULL")
     return longs(kept.select("conv_id", "turn", "m.role", "m.content"))
 
 
@@ -121,12 +122,14 @@ def strict_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"))))
 
 
-def _relaxed_sql() -> str:
+def _relaxed_sql(graph_sql: str = GRAPH_SQL, name: str = "label") -> str:
+    """Groups by classes that a few levels of parents tell apart; ``name`` is what a node is called then."""
     levels, last = ["s0 AS (SELECT conv_id, node, '' AS s FROM nd)"], 6
     for k in range(1, last + 1):
         levels.append(f"s{k} AS (SELECT nd.conv_id, nd.node, '(' || coalesce((SELECT string_agg(DISTINCT q.s, ',' ORDER BY q.s) FROM pr JOIN s{k - 1} q ON q.conv_id = pr.conv_id AND q.node = pr.src WHERE pr.conv_id = nd.conv_id AND pr.dst = nd.node), '') || ')' AS s FROM nd)")
-    return f"""WITH RECURSIVE {GRAPH_SQL}, {', '.join(levels)},
-    rl AS (SELECT conv_id, node, string_agg(node::VARCHAR, '+') OVER (PARTITION BY conv_id, s ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label FROM s{last})
+    return f"""WITH RECURSIVE {graph_sql}, {', '.join(levels)},
+    rl AS (SELECT conv_id, node, {name} AS label FROM (SELECT conv_id, node, string_agg(node::VARCHAR, '+') OVER w AS label, count(*) OVER w AS k, max(node) OVER w - min(node) OVER w + 1 AS span FROM s{last}
+           WINDOW w AS (PARTITION BY conv_id, s ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))
     SELECT DISTINCT pr.conv_id, a.label AS src, b.label AS dst FROM pr JOIN rl a ON pr.conv_id = a.conv_id AND pr.src = a.node JOIN rl b ON pr.conv_id = b.conv_id AND pr.dst = b.node WHERE a.label <> b.label"""
 
 
@@ -136,11 +139,44 @@ def relaxed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"), as_text=False)))
 
 
-@query()
+def _turned(edges: str) -> Column:
+    """Every fifth edge reversed, with labels as texts."""
+    pair = lambda a, b: F.struct(a.cast("string").alias("src"), b.cast("string").alias("dst"))
+    return F.transform(edges, lambda e: F.when((e["src"] + e["dst"]) % 5 == 0, pair(e["dst"], e["src"])).otherwise(pair(e["src"], e["dst"])))
+
+
+@query(f"WITH RECURSIVE {WALK_SQL} SELECT conv_id, ord, e.s AS src, e.d AS dst FROM wk")
 def cycle_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of graphs with cycles (every fifth edge reversed) that the search keeps."""
-    turned = F.transform("edges", lambda e: F.when((e["src"] + e["dst"]) % 5 == 0, F.struct(e["dst"].cast("string").alias("src"), e["src"].cast("string").alias("dst"))).otherwise(F.struct(e["src"].cast("string").alias("src"), e["dst"].cast("string").alias("dst"))))
-    return edited(spark, sf_dir).select("conv_id", F.posexplode(graph.acyclic(turned)).alias("ord", "e")).select("conv_id", "ord", "e.*")
+    """Edges of graphs with cycles that the search keeps, in the order in which it walks them."""
+    return longs(edited(spark, sf_dir).select("conv_id", F.posexplode(graph.acyclic(_turned("edges"))).alias("ord", "e")).select("conv_id", "ord", "e.*"))
+
+
+def _acyclic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with ``pruned``, the edges that are left of graphs with cycles, which neither ascend nor descend."""
+    rows = graph.without_cycles(edited(spark, sf_dir).select("conv_id", "edges"), _turned("edges"))
+    numbers = F.array_distinct(F.transform("walked", lambda e: F.struct(e["src"].cast("int").alias("src"), e["dst"].cast("int").alias("dst"))))
+    return rows.withColumn("pruned", graph.prune_leaves(numbers))
+
+
+@query(f"WITH RECURSIVE {ACYCLIC_SQL} SELECT DISTINCT pr.conv_id, a.label AS src, b.label AS dst FROM pr JOIN lb a ON pr.conv_id = a.conv_id AND pr.src = a.node JOIN lb b ON pr.conv_id = b.conv_id AND pr.dst = b.node WHERE a.label <> b.label")
+def cyclic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: cycles are removed, leaves pruned, and rounds of equal parents and children merged."""
+    rows = _acyclic(spark, sf_dir).withColumn("groups", graph.strict_groups(F.col("pruned")))
+    return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"))))
+
+
+@query(_relaxed_sql(ACYCLIC_SQL))
+def cyclic_relaxed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with rounds of equal parents merged until there are none, over edges in any direction."""
+    rows = _acyclic(spark, sf_dir).withColumn("groups", graph.relaxed_groups(F.col("pruned")))
+    return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"), as_text=False)))
+
+
+@query(_relaxed_sql(name="CASE WHEN k <= 2 AND span = k THEN label ELSE node::VARCHAR END"))
+def limited_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relaxed merging of two rounds at most, without a gap between them."""
+    rows = edited(spark, sf_dir).withColumn("groups", graph.limited_groups(graph.relaxed_groups(F.col("pruned")), 2, adjacent=True))
+    return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"), as_text=False)))
 
 
 @query(f"""WITH {GRAPH_SQL},
@@ -173,17 +209,17 @@ def _merged_sql(user: str) -> str:
 
 
 @query(_merged_sql(f"list_reduce(cs, lambda u_, v_: {sql_user('list_concat(' + sql_responses('u_') + ', ' + sql_responses('v_') + ')')})"))
-def merge_messages(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def merge_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns after rounds of equal parents and children are merged one by one."""
-    rows = _groups(edited(spark, sf_dir, t)).select("conv_id", F.posexplode(edit.merged(F.col("messages"), F.col("groups"))).alias("turn", "m")).filter("m IS NOT NULL")
+    rows = _groups(edited(spark, sf_dir)).select("conv_id", F.posexplode(edit.merged(F.col("messages"), F.col("groups"))).alias("turn", "m")).filter("m IS NOT NULL")
     return longs(rows.select("conv_id", "turn", "m.role", "m.content"))
 
 
 @query(_merged_sql(sql_user(f"flatten(list_transform(cs, lambda c_: {sql_responses('c_')}))")))
-def rephrase_merge(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def rephrase_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with the parts of a group gathered first, and no thought rephrased."""
     none = F.create_map().cast("map<string,string>")
-    rows = _groups(edited(spark, sf_dir, t)).select("conv_id", F.posexplode(edit.merged(F.col("messages"), F.col("groups"), pairwise=False, rephrased=none)).alias("turn", "m")).filter("m IS NOT NULL")
+    rows = _groups(edited(spark, sf_dir)).select("conv_id", F.posexplode(edit.merged(F.col("messages"), F.col("groups"), pairwise=False, rephrased=none)).alias("turn", "m")).filter("m IS NOT NULL")
     return longs(rows.select("conv_id", "turn", "m.role", "m.content"))
 
 
@@ -198,25 +234,25 @@ IMAGES_SQL = "im AS (SELECT conv_id, pos, unnest(range(0, (len(content) - len(re
 @query(f"""WITH {OWNER_SQL}, {IMAGES_SQL}
 SELECT ow.conv_id, CASE WHEN q = -1 THEN 0 ELSE 2 * owner - 2 - side END AS turn, row_number() OVER (PARTITION BY ow.conv_id, owner, side, q ORDER BY ow.r, k) - 1 AS ord, 'img_' || ow.pos || '_' || k AS image
 FROM ow JOIN im ON ow.conv_id = im.conv_id AND ow.pos = im.pos""")
-def merge_images(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    rows = _with_images(_groups(edited(spark, sf_dir, t))).select("conv_id", F.posexplode(edit.merged_images(F.col("dealt"), F.col("groups"))).alias("turn", "images"))
+def merge_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_images(_groups(edited(spark, sf_dir))).select("conv_id", F.posexplode(edit.merged_images(F.col("dealt"), F.col("groups"))).alias("turn", "images"))
     return longs(rows.select("conv_id", "turn", F.posexplode("images").alias("ord", "image")))
 
 
 @query(f"""WITH {GRAPH_SQL}, {IMAGES_SQL}
 SELECT im.conv_id, row_number() OVER (PARTITION BY im.conv_id ORDER BY pos, k) - 1 AS ord, 'img_' || pos || '_' || k AS image FROM im
 LEFT JOIN ev ON im.conv_id = ev.conv_id AND (im.pos + 3) // 2 = ev.r AND im.pos > 0 WHERE ev.r IS NULL""")
-def drop_images(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    rows = _with_images(edited(spark, sf_dir, t))
+def drop_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _with_images(edited(spark, sf_dir))
     return longs(rows.select("conv_id", F.posexplode(edit.kept_images(F.col("dealt"), edit.slots_of(F.col("evict"), F.size("messages")))).alias("ord", "image")))
 
 
 PLAN = "CASE conv_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'weird' WHEN 2 THEN 'non_reducible' WHEN 3 THEN 'illogical' ELSE 'reduce' END"
 
 
-def _planned(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    rows = rounds.with_rounds(tagged(spark, sf_dir, t)).withColumn("plan_status", F.expr(PLAN))
-    rows = rows.withColumn("remove", F.filter(F.sequence(F.lit(1), F.lit(9)), lambda r: (F.col("conv_id") + r) % 3 == 0))
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rounds.with_rounds(tagged(spark, sf_dir)).withColumn("plan_status", F.expr(PLAN))
+    rows = rows.withColumn("remove", F.filter(F.sequence(F.lit(1), F.col("final_round")), lambda r: (F.col("conv_id") + r) % 3 == 0))
     patches = F.when(F.col("conv_id") % 2 == 0, F.create_map(F.lit(2), F.lit(" patched "))).otherwise(F.create_map().cast("map<int,string>"))
     return edit.critical_path(rows.withColumn("patches", patches))
 
@@ -238,23 +274,23 @@ sx AS (SELECT cm.conv_id, CASE WHEN n < 3 THEN ['no_messages', ''] WHEN malforme
 
 
 @query(f"WITH {PLANNED_SQL} SELECT conv_id, s[1] AS status, s[2] AS reason FROM sx")
-def critical_path_status(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    return _planned(spark, sf_dir, t).select("conv_id", "status", "reason")
+def critical_path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir).select("conv_id", "status", "reason")
 
 
 @query(f"""WITH {PLANNED_SQL} SELECT rn.conv_id, row_number() OVER (PARTITION BY rn.conv_id ORDER BY pos) - 1 AS turn,
 CASE WHEN r = 2 AND pos % 2 = 1 AND pos > 0 AND rn.conv_id % 2 = 0 THEN CASE WHEN regexp_matches(content, '(?s)<think>.*?</think>') THEN regexp_replace(content, '(?s)<think>.*?</think>', '<think>patched</think>') ELSE '<think>patched</think>' || chr(10) || content END ELSE content END AS content
 FROM rn JOIN sx ON rn.conv_id = sx.conv_id WHERE s[1] = 'reduce' AND NOT gone""")
-def critical_path_messages(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    rows = _planned(spark, sf_dir, t).filter("status = 'reduce'").select("conv_id", F.posexplode("messages_new").alias("turn", "m"))
+def critical_path_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _planned(spark, sf_dir).filter("status = 'reduce'").select("conv_id", F.posexplode("messages_new").alias("turn", "m"))
     return longs(rows.select("conv_id", "turn", "m.content"))
 
 
 @query(f"WITH {PLANNED_SQL} SELECT conv_id, lost FROM lo")
-def grounding(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the final answer that only removed rounds had."""
-    rows = rounds.with_rounds(tagged(spark, sf_dir, t)).filter(F.get("messages", F.size("messages") - 1)["role"] == "assistant")
-    remove = F.filter(F.sequence(F.lit(1), F.lit(9)), lambda r: (F.col("conv_id") + r) % 3 == 0)
+    rows = rounds.with_rounds(tagged(spark, sf_dir)).filter(F.get("messages", F.size("messages") - 1)["role"] == "assistant")
+    remove = F.filter(F.sequence(F.lit(1), F.col("final_round")), lambda r: (F.col("conv_id") + r) % 3 == 0)
     made = edit.planned(F.col("messages"), F.col("start"), F.col("middle"), remove, F.create_map().cast("map<int,string>"))
     return rows.select("conv_id", F.array_join(edit.lost_tokens(made, F.col("messages")), ",").alias("lost")).filter("lost <> ''")
 
@@ -263,16 +299,15 @@ STATUS_SQL = f"WITH {PLANNED_SQL}"
 
 
 @query(f"{STATUS_SQL} SELECT s[1] AS status, split_part(s[2], ':', 1) AS reason, count(*)::BIGINT AS n FROM sx GROUP BY ALL")
-def status_counts(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    return _planned(spark, sf_dir, t).groupBy("status", F.substring_index("reason", ":", 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _planned(spark, sf_dir).groupBy("status", F.substring_index("reason", ":", 1).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{STATUS_SQL} SELECT status, conv_id, rank FROM (SELECT s[1] AS status, conv_id, row_number() OVER (PARTITION BY s[1] ORDER BY conv_id) AS rank FROM sx) WHERE rank <= 3")
-def first_examples(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    """The first three conversations of every status; a bounded list per status is kept before the shuffle ends."""
-    first = F.slice(F.sort_array(F.collect_list("conv_id")), 1, 3)
-    by_part = _planned(spark, sf_dir, t).groupBy("status", F.pmod(F.xxhash64("conv_id"), F.lit(64)).alias("p")).agg(first.alias("ids"))
-    return longs(by_part.groupBy("status").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, 3).alias("ids")).select("status", F.posexplode("ids").alias("rank", "conv_id")).withColumn("rank", F.col("rank") + 1))
+def first_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three conversations of every status; each task passes on three of a status at most."""
+    first = Window.partitionBy("status").orderBy("conv_id")
+    return longs(_planned(spark, sf_dir).select("status", "conv_id").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= 3))
 
 
 BEFORE_AFTER = f"""{GRAPH_SQL},
@@ -280,8 +315,8 @@ ba AS (SELECT tg.conv_id, count(*) AS n_before, count(*) FILTER (WHERE ev.r IS N
        FROM tg LEFT JOIN ev ON tg.conv_id = ev.conv_id AND (tg.pos + 3) // 2 = ev.r AND tg.pos > 0 GROUP BY tg.conv_id)"""
 
 
-def _before_after(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    rows = edited(spark, sf_dir, t)
+def _before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = edited(spark, sf_dir)
     after = edit.compact(edit.evicted(F.col("messages"), F.col("evict")))
     both = rows.select("conv_id", stats.message_stats(F.col("messages")).alias("b"), stats.message_stats(after).alias("a"))
     return both.select("conv_id", F.col("b.n_msgs").alias("n_before"), F.col("a.n_msgs").alias("n_after"), F.col("b.total_chars").alias("chars_before"), F.col("a.total_chars").alias("chars_after"))
@@ -292,13 +327,13 @@ SELECT count(*)::BIGINT AS samples, round(avg(n_before), 4) AS avg_before, round
   round(100.0::DOUBLE * (sum(chars_before) - sum(chars_after)) / sum(chars_before), 4) AS char_reduction, count(*) FILTER (WHERE n_before > n_after) AS affected,
   round(100.0::DOUBLE * count(*) FILTER (WHERE n_before > n_after) / count(*), 4) AS affected_pct, (median(n_before - n_after) FILTER (WHERE n_before > n_after))::DOUBLE AS median_saved,
   (max(n_before - n_after) FILTER (WHERE n_before > n_after))::BIGINT AS max_saved FROM ba""")
-def reduction_summary(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    return stats.reduction_summary(_before_after(spark, sf_dir, t))
+def reduction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.reduction_summary(_before_after(spark, sf_dir))
 
 
 @query(f"WITH {BEFORE_AFTER} SELECT greatest(0, n_before - n_after)::BIGINT AS saved, count(*)::BIGINT AS n FROM ba GROUP BY ALL")
-def saved_hist(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    return stats.histogram(_before_after(spark, sf_dir, t), F.greatest(F.lit(0), F.col("n_before") - F.col("n_after")), 1, "saved")
+def saved_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(_before_after(spark, sf_dir), F.greatest(F.lit(0), F.col("n_before") - F.col("n_after")), 1, "saved")
 
 
 #: Defects put into conversations: a user turn doubled, or a turn left out.

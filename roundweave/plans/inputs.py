@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from roundweave.operators import graph
 from roundweave.operators.rounds import conversations
 
-#: The tagged text of a turn: {t} is a piece of its text, pos its place without system turns, n the number of turns.
+#: The tagged text of a turn: {t} is its text, pos its place without system turns, n the number of turns.
 CONTENT = """
 CASE WHEN pos = 0 THEN concat('Input Question: ', {t}, ' Input image: <image>')
      WHEN role = 'assistant' AND pos = n - 1 THEN concat('<think>so it is', CASE WHEN conv_id % 2 = 0 THEN ' 12.5%' ELSE '' END, '</think><answer>', {t}, ' Grand River in 1987</answer>')
@@ -24,8 +24,6 @@ CASE WHEN pos = 0 THEN concat('Input Question: ', {t}, ' Input image: <image>')
      WHEN (conv_id + pos) % 3 = 0 THEN concat('<tool_response>', {t}, ' Grand River 1987 12.5%</tool_response><tool_response> more </tool_response>')
      ELSE concat(repeat('<image>', CAST(pos % 3 AS INT)), '<tool_response>', {t}, '</tool_response>') END
 """
-SPARK_T = "regexp_replace(substring(text, 1, 60), '[^ -~]', '')"
-DUCK_T = "regexp_replace(substring(text, 1, 60), '[^ -~]', '', 'g')"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,23 +35,23 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
-def tagged_turns(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def tagged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, turn (from 0), role, text`` with tags; without system turns."""
     turns = table(spark, sf_dir, "conversations").filter("role <> 'system'")
     own = Window.partitionBy("conv_id")
     turns = turns.withColumn("pos", F.row_number().over(own.orderBy("turn")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-    return turns.select("conv_id", F.col("pos").alias("turn"), "role", F.expr(CONTENT.format(t=t)).alias("text"))
+    return turns.select("conv_id", F.col("pos").alias("turn"), "role", F.expr(CONTENT.format(t="text")).alias("text"))
 
 
-def tagged(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conv_id, messages`` with tags."""
-    return conversations(tagged_turns(spark, sf_dir, t))
+    return conversations(tagged_turns(spark, sf_dir))
 
 
 TAGGED_SQL = f"""
 ns AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n
        FROM conversations WHERE role <> 'system'),
-tg AS (SELECT conv_id, pos, n, role, {CONTENT.format(t=DUCK_T)} AS content FROM ns)"""
+tg AS (SELECT conv_id, pos, n, role, {CONTENT.format(t="text")} AS content FROM ns)"""
 
 #: Which pairs of rounds i < j depend on each other.
 EDGE = "i < j AND ((conv_id * 7 + i * 3 + j) % 4 = 0 OR (j = i + 1 AND (conv_id + i) % 3 <> 0))"
@@ -68,18 +66,20 @@ def with_edges(rows: DataFrame) -> DataFrame:
     return rows.withColumn("n_rounds", F.floor((F.size("messages") + 2) / 2).cast("int")).withColumn("edges", kept)
 
 
-def edited(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged conversations with ``edges``, the ``pruned`` ones that stay, and ``evict``, the rounds that go."""
-    rows = with_edges(tagged(spark, sf_dir, t)).withColumn("pruned", graph.prune_leaves(F.col("edges")))
+    rows = with_edges(tagged(spark, sf_dir)).withColumn("pruned", graph.prune_leaves(F.col("edges")))
     gone = F.array_except(F.transform("edges", lambda e: e["dst"]), F.transform("pruned", lambda e: e["dst"]))
     return rows.withColumn("evict", gone)
 
 
-GRAPH_SQL = f"""{TAGGED_SQL},
+EDGES_SQL = f"""{TAGGED_SQL},
 cv AS (SELECT conv_id, max(n) AS n, (max(n) + 2) // 2 AS n_rounds FROM ns GROUP BY conv_id),
 ij AS (SELECT conv_id, n_rounds, i, unnest(range(1, n_rounds + 1)) AS j FROM (SELECT conv_id, n_rounds, unnest(range(1, n_rounds + 1)) AS i FROM cv)),
-ed AS (SELECT conv_id, i AS src, j AS dst FROM ij WHERE {EDGE}),
-top AS (SELECT conv_id, max(dst) AS m FROM ed GROUP BY conv_id),
+ed AS (SELECT conv_id, i AS src, j AS dst FROM ij WHERE {EDGE})"""
+
+MERGED_SQL = """
+top AS (SELECT conv_id, max(greatest(src, dst)) AS m FROM ed GROUP BY conv_id),
 reach(conv_id, node) AS (SELECT conv_id, m FROM top UNION SELECT ed.conv_id, ed.src FROM ed JOIN reach ON ed.conv_id = reach.conv_id AND ed.dst = reach.node),
 pr AS (SELECT ed.* FROM ed JOIN reach ON ed.conv_id = reach.conv_id AND ed.dst = reach.node),
 ev AS (SELECT DISTINCT conv_id, dst AS r FROM ed EXCEPT SELECT conv_id, dst FROM pr),
@@ -91,6 +91,30 @@ lb AS (SELECT conv_id, node, string_agg(node::VARCHAR, '+') OVER w AS label, fir
        WINDOW w AS (PARTITION BY conv_id, ps, cs ORDER BY node::VARCHAR ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
               v AS (PARTITION BY conv_id, ps, cs ORDER BY node ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
 
+GRAPH_SQL = f"{EDGES_SQL},{MERGED_SQL}"
+
+#: Edges with cycles: every fifth is turned round. The search walks them one step per row of ``dfs``: up when no edge of
+#: the last node is left, else along the next one, which is kept unless it leads to a node that is still being walked.
+WALK_SQL = f"""{EDGES_SQL.replace("ed AS (", "e0 AS (")},
+tu AS (SELECT conv_id, CASE WHEN (src + dst) % 5 = 0 THEN dst ELSE src END::VARCHAR AS src, CASE WHEN (src + dst) % 5 = 0 THEN src ELSE dst END::VARCHAR AS dst FROM e0),
+gs AS (SELECT conv_id, list({{'s': src, 'd': dst}} ORDER BY src, dst) AS es, list_sort(list_distinct(flatten(list([src, dst])))) AS nodes FROM tu GROUP BY conv_id),
+dfs(conv_id, step, stack, seen, used, kept) AS (
+  SELECT conv_id, 0, [nodes[1]], [nodes[1]], []::BIGINT[], []::BIGINT[] FROM gs
+  UNION ALL
+  SELECT conv_id, step + 1,
+    CASE WHEN len(stack) = 0 THEN [root] WHEN i IS NULL THEN stack[1:len(stack) - 1] WHEN list_contains(seen, es[i].d) THEN stack ELSE list_append(stack, es[i].d) END,
+    CASE WHEN len(stack) = 0 THEN list_append(seen, root) WHEN i IS NULL OR list_contains(seen, es[i].d) THEN seen ELSE list_append(seen, es[i].d) END,
+    CASE WHEN i IS NULL THEN used ELSE list_append(used, i) END,
+    CASE WHEN i IS NULL OR list_contains(stack, es[i].d) THEN kept ELSE list_append(kept, i) END
+  FROM (SELECT dfs.*, es, list_filter(nodes, lambda x: NOT list_contains(seen, x))[1] AS root,
+          CASE WHEN len(stack) > 0 THEN list_filter(range(1, len(es) + 1), lambda k: es[k].s = stack[len(stack)] AND NOT list_contains(used, k))[1] END AS i FROM dfs JOIN gs USING (conv_id))
+  WHERE len(stack) > 0 OR root IS NOT NULL),
+kp AS (SELECT conv_id, arg_max(kept, step) AS kept FROM dfs GROUP BY conv_id),
+wk AS (SELECT conv_id, unnest(range(0, len(kept))) AS ord, unnest(list_transform(kept, lambda k: es[k])) AS e FROM kp JOIN gs USING (conv_id))"""
+
+#: What is left without cycles takes the place of the edges.
+ACYCLIC_SQL = f"{WALK_SQL}, ed AS (SELECT DISTINCT conv_id, e.s::BIGINT AS src, e.d::BIGINT AS dst FROM wk),{MERGED_SQL}"
+
 BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 

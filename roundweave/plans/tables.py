@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roundweave.functions import text as T
 from roundweave.operators import convert, graph, select, stats
 from roundweave.operators.rounds import conversations
-from roundweave.plans.inputs import GRAPH_SQL, SPARK_T, TAGGED_SQL, edited, longs, sql_bodies, sql_strip, table, tagged_turns
+from roundweave.plans.inputs import GRAPH_SQL, TAGGED_SQL, edited, longs, sql_bodies, sql_strip, table, tagged_turns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -75,10 +75,10 @@ def stuck_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TAGGED_SQL} SELECT round(avg(CASE WHEN len({sql_bodies('content', 'think')}) >= 2 THEN 1 ELSE 0 END), 4) AS thinks, round(avg(CASE WHEN len({sql_bodies('content', 'tool_call')}) >= 2 THEN 1 ELSE 0 END), 4) AS calls
 FROM tg WHERE role = 'assistant'""")
-def multi_tag_rate(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def multi_tag_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("text")
     many = lambda tag: F.round(F.avg((F.size(T.tag_bodies(c, tag)) >= 2).cast("int")), 4)
-    return tagged_turns(spark, sf_dir, t).filter("role = 'assistant'").agg(many("think").alias("thinks"), many("tool_call").alias("calls"))
+    return tagged_turns(spark, sf_dir).filter("role = 'assistant'").agg(many("think").alias("thinks"), many("tool_call").alias("calls"))
 
 
 @query(f"WITH {GRAPH_SQL} SELECT k::BIGINT AS members, (count(*) // k)::BIGINT AS n FROM lb WHERE k > 1 GROUP BY k")
@@ -294,8 +294,8 @@ def url_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TAGGED_SQL} SELECT conv_id, CASE WHEN contains(content, 'Input Question:') AND contains(content, 'Input image:') THEN {sql_strip("split_part(split_part(content, 'Input Question:', 2), 'Input image:', 1)")} ELSE content END AS question FROM tg WHERE pos = 0""")
-def question_text(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    return tagged_turns(spark, sf_dir, t).filter("turn = 0").select("conv_id", T.question_text(F.col("text")).alias("question"))
+def question_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagged_turns(spark, sf_dir).filter("turn = 0").select("conv_id", T.question_text(F.col("text")).alias("question"))
 
 
 @query("""SELECT doc_id, md5(CASE WHEN len(text) <= 900 + 200 + 40 THEN text ELSE substring(text, 1, 900) || chr(10) || '...[' || (len(text) - 1100) || ' chars elided]...' || chr(10) || right(text, 200) END) AS digest FROM documents""")
@@ -332,8 +332,8 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TAGGED_SQL}, b AS (SELECT conv_id, pos, {sql_bodies('content', 'tool_call')} AS b FROM tg WHERE role = 'assistant')
 SELECT conv_id, pos AS turn, len(list_filter(b, lambda x: NOT json_valid(x))) > 0 AS bad, CASE WHEN len(list_filter(b, lambda x: NOT json_valid(x))) = 0 THEN len(b) END::BIGINT AS n FROM b""")
-def tool_calls(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
-    rows = tagged_turns(spark, sf_dir, t).filter("role = 'assistant'").select("conv_id", "turn", convert.tool_calls(F.col("text")).alias("t"))
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tagged_turns(spark, sf_dir).filter("role = 'assistant'").select("conv_id", "turn", convert.tool_calls(F.col("text")).alias("t"))
     return longs(rows.select("conv_id", "turn", F.col("t.error").isNotNull().alias("bad"), F.size("t.calls").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n"))))
 
 
@@ -399,10 +399,10 @@ def trace_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", convert.traced_turn(F.expr(OUTPUT), F.lit("found")).alias("t")).select("conv_id", "turn", "t.*")
 
 
-@query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS num_tool_calls, count(*)::BIGINT AS steps, md5(string_agg(substring(text, 1, 20) || substring(text, 1, 40), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
-def trace_rollup(spark: SparkSession, sf_dir: str, thinking: str = "substring(text, 1, 20)", limit: int = 40) -> DataFrame:
-    steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(thinking).alias("thinking"), F.col("text").alias("response"), (F.col("role") == "assistant").alias("is_call"))
-    return longs(convert.rolled_up(steps, "conv_id", "turn", limit=limit).select("conv_id", "num_tool_calls", F.size("steps").alias("steps"), F.md5("trace").alias("digest")))
+@query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS num_tool_calls, count(*)::BIGINT AS steps, md5(string_agg(text || substring(text, 1, 32000), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
+def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("thinking"), F.col("text").alias("response"), (F.col("role") == "assistant").alias("is_call"))
+    return longs(convert.rolled_up(steps, "conv_id", "turn").select("conv_id", "num_tool_calls", F.size("steps").alias("steps"), F.md5("trace").alias("digest")))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>a</think> <tool_call>{"x":1}</tool_call>' ELSE 'b' || turn END AS closed, '<answer>' || CASE WHEN turn % 2 = 0 THEN turn::VARCHAR ELSE 'b' || turn END || '</answer>' AS forced FROM conversations""")
@@ -448,9 +448,9 @@ def cjk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {TAGGED_SQL}, m AS (SELECT conv_id, pos, role, replace(replace(content, 'visit', 'open_url'), '<think>second', '<think>2nd') AS c FROM tg),
 q AS (SELECT conv_id, list(role || ':' || len(c) || ':' || c ORDER BY pos) AS m FROM m GROUP BY conv_id)
 SELECT conv_id, sha256(array_to_string(m, chr(10))) AS digest FROM q WHERE contains(m[1], 'Input Question')""")
-def clean_messages(spark: SparkSession, sf_dir: str, t: str = SPARK_T) -> DataFrame:
+def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that ask in the expected form, with names replaced, by the hash of their messages."""
-    rows = conversations(tagged_turns(spark, sf_dir, t))
+    rows = conversations(tagged_turns(spark, sf_dir))
     made = T.renamed(F.col("messages"), {"visit": "open_url", "<think>second": "<think>2nd"})
     return rows.filter(T.asks_question(F.col("messages"))).select("conv_id", T.message_hash(made).alias("digest"))
 
@@ -493,10 +493,3 @@ SELECT vec_id, coalesce(array_to_string(list_filter(range(0, 12), lambda i: m[i
 def unpadded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.transform(F.slice("embedding", 1, 12), lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(stats.unpadded(mask), lambda i: i.cast("string")), ",").alias("places"))
-
-
-@query()
-def limited_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relaxed merging of two rounds at most, without a gap between them."""
-    rows = edited(spark, sf_dir).withColumn("groups", graph.limited_groups(graph.relaxed_groups(F.col("pruned")), 2, adjacent=True))
-    return rows.select("conv_id", F.inline(graph.merged_edges(F.col("pruned"), F.col("groups"), as_text=False)))
