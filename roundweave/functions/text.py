@@ -140,6 +140,25 @@ def question_text(c: Column) -> Column:
     return F.when(F.contains(c, F.lit("Input Question:")) & F.contains(c, F.lit("Input image:")), asked).otherwise(c)
 
 
+def question_and_image(c: Column) -> Column:
+    """(question, image) of a question turn; null unless both markers are there and both texts hold something."""
+    rest = F.split(c, "Input Question:")[1]
+    asked = F.struct(strip(F.split(rest, "Input image:")[0]).alias("question"), strip(F.split(rest, "Input image:")[1]).alias("image"))
+    return F.when((asked["question"] != "") & (asked["image"] != ""), asked)
+
+
+def question_of(messages: Column) -> Column:
+    """The question of a conversation: what follows a system message, else what a user's first turn asks."""
+    first = F.get(messages, F.lit(0))
+    asked = strip(F.split(F.split(first["content"], "Input Question:")[1], "Input image: ")[0])
+    return F.when(first["role"] == "system", F.get(messages, F.lit(1))["content"]).when(first["role"] == "user", asked)
+
+
+def refilled(template: str, asked: Column) -> Column:
+    """A prompt with ``{Question}`` and ``{ImageUrl}`` filled from (question, image)."""
+    return F.replace(F.replace(F.lit(template), F.lit("{Question}"), asked["question"]), F.lit("{ImageUrl}"), asked["image"])
+
+
 #: Phrases too common to need grounding (fixed values).
 COMMON_PHRASES = ["New Zealand", "United States", "United Kingdom", "United Nations", "World War", "North America", "South America", "Middle East", "Far East"]
 PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
@@ -265,10 +284,33 @@ def renamed(messages: Column, names: dict[str, str]) -> Column:
     return F.transform(messages, lambda m: F.struct(m["role"].alias("role"), content(m["content"]).alias("content")))
 
 
+#: Escapes of JSON strings (fixed values): those with a short form, and other control characters.
+SHORT_ESCAPES = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+CONTROLS = {chr(i): f"\\u{i:04x}" for i in range(32) if chr(i) not in SHORT_ESCAPES}
+
+
+def json_string(c: Column) -> Column:
+    """A text as a JSON string, with all but control characters as they are; null as null."""
+
+    def replaced(c: Column, by: dict[str, str]) -> Column:
+        for old, new in by.items():
+            c = F.replace(c, F.lit(old), F.lit(new))
+        return c
+
+    short = replaced(c, SHORT_ESCAPES)
+    whole = F.when(F.rlike(c, F.lit(r"[\x00-\x07\x0b\x0e-\x1f]")), replaced(short, CONTROLS)).otherwise(short)
+    return F.coalesce(F.concat(F.lit('"'), whole, F.lit('"')), F.lit("null"))
+
+
+def message_json(messages: Column) -> Column:
+    """Messages as one line of JSON: keys sorted, a space after each comma and colon, characters as they are."""
+    one = lambda m: F.concat(F.lit('{"content": '), json_string(m["content"]), F.lit(', "role": '), json_string(m["role"]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(messages, one), ", "), F.lit("]"))
+
+
 def message_hash(messages: Column) -> Column:
-    """Fingerprint of messages: SHA-256 of our own canonical form, role and content by line with their lengths."""
-    part = lambda m: F.concat(m["role"], F.lit(":"), F.length(m["content"]), F.lit(":"), m["content"])
-    return F.sha2(F.array_join(F.transform(messages, lambda m: F.coalesce(part(m), F.lit("-"))), "\n"), 256)
+    """Fingerprint of messages, the one that files carry: SHA-256 of their JSON."""
+    return F.sha2(message_json(messages), 256)
 
 
 def rendered_results(results: Column, top: int = 10, empty: str = "No results found.") -> Column:
@@ -277,6 +319,13 @@ def rendered_results(results: Column, top: int = 10, empty: str = "No results fo
     return F.when(F.coalesce(F.size(results), F.lit(0)) > 0, F.array_join(F.transform(F.slice(results, 1, top), item), "\n\n---\n\n")).otherwise(empty)
 
 
+def rendered_images(results: Column, top: int = 10, empty: str = "No image search results found.") -> Column:
+    """Image search results (title, source, link, imageUrl) as one text."""
+    fields = [("Title: ", "title"), ("\nSource: ", "source"), ("\nURL: ", "link"), ("\nImage: ", "imageUrl")]
+    item = lambda r: F.concat(*(x for head, name in fields for x in (F.lit(head), F.coalesce(r[name], F.lit("")))))
+    return F.when(F.coalesce(F.size(results), F.lit(0)) > 0, F.array_join(F.transform(F.slice(results, 1, top), item), "\n\n---\n\n")).otherwise(empty)
+
+
 def cut_ids(ids: Column, cutoff: int = 2048, packing: bool = False) -> Column:
     """Token ids up to the cutoff; packing keeps one place free."""
     return F.slice(ids, 1, cutoff - 1 if packing else cutoff)

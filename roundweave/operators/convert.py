@@ -96,10 +96,10 @@ WRONG_FORMAT = "Your output format is incorrect. Please use <think>, <tool_call>
 NO_TOOL = "You do not invoke any tool. Continue thinking or answering the question. Remember to use <think></think> or <answer></answer> to wrap your response."
 
 
-def traced_turn(output: Column, result: Column) -> Column:
+def traced_turn(output: Column, results: Column) -> Column:
     """(kind, assistant, user) of a recorded output: what the trace keeps, and what it is answered.
 
-    ``result`` is what the tools said. An output with an answer ends the trace, and is answered by nothing.
+    ``results`` is what the tools said, one text for each call. An output with an answer ends the trace, and is answered by nothing.
     """
     has = lambda tag: F.contains(output, F.lit(tag))
     untagged = ~has("<think>") & ~has("<tool_call>") & ~has("<answer>")
@@ -107,7 +107,7 @@ def traced_turn(output: Column, result: Column) -> Column:
     thought = F.when(has("<think>") | has("</think>"), F.concat(F.lit("<think>"), T.think_text(output), F.lit("</think>"))).otherwise("")
     plain = F.concat(F.when(untagged, F.concat(F.lit("<think>"), output, F.lit("</think>"))).otherwise(""), thought)
     called = F.concat(plain, F.lit("<tool_call>"), F.array_join(parsed["calls"], ""), F.lit("</tool_call>"))
-    names = F.array_join(F.transform(parsed["calls"], lambda c: F.concat(F.lit("From: "), F.coalesce(F.get_json_object(c, "$.name"), F.lit("tool_call")), F.lit("\n"), result)), "")
+    names = F.array_join(F.transform(parsed["calls"], lambda c, i: F.concat(F.lit("From: "), F.coalesce(F.get_json_object(c, "$.name"), F.lit("tool_call")), F.lit("\n"), F.coalesce(F.get(results, i), F.lit("")))), "")
     assistant = F.when(has("<tool_call>") & parsed["error"].isNull(), called).when(has("<tool_call>"), output).otherwise(plain)
     user = F.when(has("<tool_call>") & parsed["error"].isNull(), F.concat(F.lit("<tool_response>"), names, F.lit("</tool_response>"))).when(has("<tool_call>"), parsed["error"]).when(untagged, NO_TOOL).otherwise(WRONG_FORMAT)
     kind = F.when(has("<answer>"), "answer").when(has("<tool_call>") & parsed["error"].isNull(), "call").when(has("<tool_call>"), "bad_call").when(untagged, "untagged").otherwise("think")

@@ -8,7 +8,7 @@ until ``compact`` drops it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundweave.functions import text as T
@@ -87,14 +87,64 @@ def merged(messages: Column, groups: Column, pairwise: bool = True, rephrased: C
 
 def images_by_message(messages: Column, images: Column) -> Column:
     """A flat list of images dealt out to messages by their image tokens; null if the numbers differ."""
+    return F.when(image_count(messages) == F.size(images), dealt_images(messages, images))
+
+
+def image_count(messages: Column) -> Column:
+    """Image tokens of all messages."""
+    return F.aggregate(messages, F.lit(0), lambda a, m: a + F.coalesce(T.count_images(m["content"]), F.lit(0)))
+
+
+def dealt_images(messages: Column, images: Column) -> Column:
+    """The same as far as the images go, whatever their number."""
     counts = F.transform(messages, lambda m: F.coalesce(T.count_images(m["content"]), F.lit(0)))
-    total = F.aggregate(counts, F.lit(0), lambda a, b: a + b)
 
-    def before(i: Column) -> Column:
-        return F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda a, b: a + b)
+    def dealt(counts: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda a, b: a + b)
+        return F.transform(counts, lambda n, i: F.slice(images, before(i) + 1, n))
+
+    return T.let(counts, dealt)
+
+
+def images_rejoined(rows: DataFrame, source: DataFrame) -> DataFrame:
+    """``images`` and ``state`` for edited conversations, from their sources by the hash of the original messages.
+
+    ``rows`` has ``original`` and ``messages`` (as they are now) and ``removed`` (rounds); ``source`` has ``messages``,
+    ``images`` and ``ord``: of equal messages the last one's images count. Images of removed rounds go. The state is ``no_original``, ``unmatched``,
+    ``mismatch`` (other tokens than images) or ``ok``.
+    """
+    last = source.select(T.message_hash(F.col("messages")).alias("__hash"), "images", "ord").groupBy("__hash").agg(F.max_by("images", "ord").alias("__images"), F.lit(True).alias("__there"))
+    both = rows.withColumn("__hash", F.when(F.size("original") > 0, T.message_hash(F.col("original")))).join(last, "__hash", "left")
+    kept = kept_images(dealt_images(F.col("original"), F.coalesce("__images", F.array().cast("array<string>"))), slots_of(F.col("removed"), F.size("original")))
+    both = both.withColumn("images", F.when(F.col("__there") & F.col("__images").isNotNull(), kept))
+    state = (
+        F.when(F.col("__hash").isNull(), "no_original")
+        .when(F.col("images").isNull(), "unmatched")
+        .when(image_count(F.col("messages")) != F.size("images"), "mismatch")
+        .otherwise("ok")
+    )
+    return both.withColumn("state", state).drop("__hash", "__images", "__there")
+
 
-    dealt = F.transform(counts, lambda n, i: F.slice(images, before(i) + 1, n))
-    return F.when(total == F.size(images), dealt)
+def all_rejoined(rows: DataFrame) -> DataFrame:
+    """``rows`` of ``images_rejoined``; an error if one has found no images, or other ones than its tokens say."""
+    bad = rows.filter("state IN ('no_original', 'unmatched', 'mismatch')").groupBy("state").count().collect()
+    if bad:
+        raise ValueError("images don't fit: " + ", ".join(f"{r['count']} {r['state']}" for r in sorted(bad)))
+    return rows
+
+
+def rephrased_by(rows: DataFrame, cache: DataFrame) -> DataFrame:
+    """``rows`` (``conv_id, messages, groups``) with ``rephrased``: joined thoughts of their groups and what a cache has for them.
+
+    ``cache`` has ``key`` (SHA-256 of joined thoughts) and ``value``. What it lacks isn't in the map, and so stays.
+    """
+    contents = lambda g: F.filter(F.transform(g, lambda q: F.get(F.col("messages"), 2 * q - 3)["content"]), lambda c: c.isNotNull())
+    asked = rows.select("conv_id", F.explode(F.array_distinct(F.transform("groups", lambda g: joined_thinks(contents(g))))).alias("joined"))
+    found = asked.withColumn("key", F.sha2("joined", 256)).join(cache.select("key", "value"), "key")
+    maps = found.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct("joined", "value"))).alias("rephrased"))
+    none = F.create_map().cast("map<string,string>")
+    return rows.join(maps, "conv_id", "left").withColumn("rephrased", F.coalesce("rephrased", none))
 
 
 def merged_images(dealt: Column, groups: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,9 +35,61 @@ def select(rows: DataFrame, key: str, index: int | slice | list[int], n: int) ->
     return rows.join(wanted, rows[key] == wanted["__p"]).drop("__p")
 
 
+#: Rows that are numbered together, about, and the most parts that a table is numbered in.
+PART_ROWS = 1_000_000
+MOST_PARTS = 1000
+
+
+def numbered(rows: DataFrame, order: str, name: str = "position", by: str | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """``rows`` with their places from 0 in the order of a number (nulls first), within ``by`` if given.
+
+    The table is cut at quantiles of the number, the rows of each part are counted, and places are found within parts, so
+    no task holds more than a part. What comes to the driver is a count for each part and value of ``by``, which must be few.
+    """
+    parts = max(1, min(MOST_PARTS, -(-rows.count() // part_rows)))
+    bounds = rows.agg(F.percentile_approx(order, [i / parts for i in range(1, parts)], 20 * parts)).first()[0] if parts > 1 else []
+    cuts = F.array(*map(F.lit, sorted(set(bounds or []))))
+    part = F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col(order))), F.lit(0)) if bounds else F.lit(0)
+    group = F.col(by) if by else F.lit(0)
+    placed = rows.withColumn("__part", part).withColumn("__by", group)
+    before: dict = {}
+    starts = []
+    for r in sorted(placed.groupBy("__by", "__part").count().collect(), key=lambda r: r["__part"]):
+        starts.append((r["__by"], r["__part"], before.get(r["__by"], 0)))
+        before[r["__by"]] = before.get(r["__by"], 0) + r["count"]
+    schema = placed.select(F.col("__by").alias("__b"), F.col("__part").alias("__p"), F.lit(0).cast("long").alias("__start")).schema
+    known = F.broadcast(rows.sparkSession.createDataFrame(starts, schema))
+    within = F.row_number().over(Window.partitionBy("__by", "__part").orderBy(order)) - 1
+    both = placed.withColumn("__in", within).join(known, placed["__by"].eqNullSafe(known["__b"]) & (placed["__part"] == known["__p"]))
+    return both.withColumn(name, F.col("__start") + F.col("__in")).drop("__part", "__by", "__b", "__p", "__start", "__in")
+
+
+def _draw(key: Column, seed: int) -> Column:
+    """A number from 0 to below 1 for a key, from the first 52 bits of its digest."""
+    return F.conv(F.substring(_digest(key, seed), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+
+
+def _digest(key: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
+
+
 def sample(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows without replacement (all, if fewer), the same for the same seed."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return rows.orderBy(_digest(F.col(key), seed), key).limit(k)
+
+
+def zipped(left: DataFrame, right: DataFrame, key: str = "_idx") -> DataFrame:
+    """Rows of two tables with the same number side by side; an error if one has a number that the other lacks."""
+    there = [rows.select(key).withColumn(f"__{side}", F.lit(1)) for side, rows in (("left", left), ("right", right))]
+    lone = there[0].join(there[1], key, "full").filter("__left IS NULL OR __right IS NULL")
+    if not lone.isEmpty():
+        raise ValueError("the tables don't have the same rows")
+    return left.join(right, key)
+
+
+def looked_up(rows: DataFrame, cache: DataFrame, key: str, otherwise: str, name: str) -> DataFrame:
+    """``rows`` with the ``value`` that a cache has for their key, else with another of their columns."""
+    return rows.join(cache.select(key, F.col("value").alias("__value")), key, "left").withColumn(name, F.coalesce("__value", otherwise)).drop("__value")
 
 
 def pending(rows: DataFrame, key: str, *done: DataFrame) -> DataFrame:
@@ -63,7 +115,15 @@ def latest(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
 
 def split(key: Column, share: float, seed: int = 0) -> Column:
     """Whether a row belongs to the validation part, by a hash of its key."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
+    return _draw(key, seed) < F.lit(share)
+
+
+def split_rows(rows: DataFrame, key: str, size: float | int, seed: int = 0) -> DataFrame:
+    """``rows`` with ``held_out``: a share of them (a float), or so many (an int)."""
+    if isinstance(size, float):
+        return rows.withColumn("held_out", split(F.col(key), size, seed))
+    chosen = sample(rows.select(key), key, size, seed).select(F.col(key).alias("__chosen"))
+    return rows.join(chosen, rows[key] == chosen["__chosen"], "left").withColumn("held_out", F.col("__chosen").isNotNull()).drop("__chosen")
 
 
 def concatenated(named: dict[str, DataFrame], max_samples: int | None = None, order: str | None = None) -> DataFrame:
@@ -99,6 +159,25 @@ def interleaved(named: dict[str, DataFrame], key: str, counts: dict[str, int], o
     return made
 
 
+def drawn(named: dict[str, DataFrame], key: str, counts: dict[str, int], shares: list[float], seed: int = 0) -> DataFrame:
+    """Sources taken by chance, each with its share, until one that is used up is drawn.
+
+    Each turn draws a source by a hash of its number; the n-th turn of a source takes its row n (a dense ``key``).
+    """
+    names, upto = list(named), [sum(shares[: i + 1]) for i in range(len(shares))]
+    spark = next(iter(named.values())).sparkSession
+    turns = spark.range(sum(counts.values()) + 1).select(F.col("id").alias("turn"), _draw(F.col("id"), seed).alias("u"))
+    of = F.size(F.filter(F.array(*map(F.lit, upto[:-1])), lambda x: x <= F.col("u")))
+    turns = numbered(turns.select("turn", of.alias("source_no")), "turn", key, by="source_no")
+    limits = F.element_at(F.array(*(F.lit(counts[n]) for n in names)), F.col("source_no") + 1)
+    end = turns.filter(F.col(key) >= limits).agg(F.min("turn")).first()[0]
+    parts = [named[n].withColumn("source_no", F.lit(i)).withColumn("_dataset_name", F.lit(n)) for i, n in enumerate(names)]
+    made = parts[0]
+    for p in parts[1:]:
+        made = made.unionByName(p, allowMissingColumns=True)
+    return made.join(turns.filter(F.col("turn") < F.lit(end)), ["source_no", key])
+
+
 def image_paths(rows: DataFrame, images: str = "images") -> DataFrame:
     """One row per image with whether its path is relative; scalars and lists were made lists at the scan."""
     return rows.select("*", F.explode(images).alias("path")).withColumn("relative", ~F.startswith("path", F.lit("/")))

@@ -141,18 +141,54 @@ def rouge_f(predicted: list[str], label: list[str], n: int) -> float:
     return 2 * hits / (len(ours) + len(theirs))
 
 
+def common_length(one: list[str], two: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table at a time in the bits of one number."""
+    where: dict[str, int] = {}
+    for j, b in enumerate(two):
+        where[b] = where.get(b, 0) | 1 << j
+    full = (1 << len(two)) - 1
+    row = full
+    for a in one:
+        met = row & where.get(a, 0)
+        row = ((row + met) | (row - met)) & full
+    return len(two) - row.bit_count()
+
+
 def rouge_l(predicted: list[str], label: list[str]) -> float:
     """ROUGE-L F1 by the longest common subsequence."""
     if not predicted or not label:
         return 0.0
-    row = [0] * (len(label) + 1)
-    for a in predicted:
-        diagonal = 0
-        for j, b in enumerate(label, 1):
-            up = row[j]
-            row[j] = diagonal + 1 if a == b else max(row[j], row[j - 1])
-            diagonal = up
-    return 2 * row[-1] / (len(predicted) + len(label))
+    return 2 * common_length(predicted, label) / (len(predicted) + len(label))
+
+
+def rouge(predicted: Column, label: Column, n: int) -> Column:
+    """ROUGE-n F1 in percent over sets of n-grams of two token lists, in the JVM."""
+
+    def grams(tokens: Column) -> Column:
+        last = F.size(tokens) - n + 1
+        return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(tokens, i, F.lit(n))))).otherwise(F.array().cast("array<array<string>>"))
+
+    def score(x: Column) -> Column:
+        total = F.size(x["p"]) + F.size(x["l"])
+        return F.when((F.size(x["p"]) > 0) & (F.size(x["l"]) > 0), 200.0 * F.size(F.array_intersect(x["p"], x["l"])) / total).otherwise(0.0)
+
+    return T.let(F.struct(grams(predicted).alias("p"), grams(label).alias("l")), score)
+
+
+def patch_counts(rows: DataFrame) -> DataFrame:
+    """One row on the reduced conversations: with patched thoughts at all, and with one of the final round or beyond.
+
+    ``rows`` has ``status, patches`` (a map by round), ``n_before``, ``n_after`` and ``n_patched``.
+    """
+    reduced = F.col("status") == "reduce"
+    final = F.greatest(F.lit(1), F.floor(F.col("n_before") / 2)) + 1
+    last = F.coalesce(F.array_max(F.map_keys("patches")), F.lit(0))
+    return rows.agg(
+        F.count_if(reduced).alias("reduced"),
+        F.count_if(reduced & (F.col("n_patched") > 0)).alias("patched"),
+        F.count_if(reduced & (F.size("patches") > 0) & (last >= final)).alias("final_patched"),
+        F.sum(F.when(reduced, F.col("n_before") - F.col("n_after"))).cast("long").alias("saved"),
+    )
 
 
 SCORES = StructType().add("bleu4", "double").add("rouge1", "double").add("rouge2", "double").add("rougel", "double")

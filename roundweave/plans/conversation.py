@@ -223,6 +223,27 @@ def rephrase_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("conv_id", "turn", "m.role", "m.content"))
 
 
+REPHRASED_SQL = f"""{_merged_sql("''").split("SELECT conv_id, pos AS turn")[0]},
+jt AS (SELECT *, {sql_join('flatten(list_transform(cs, lambda c_: ' + sql_thinks('c_') + '))', "';' || chr(10)")} AS joined FROM gr WHERE side = 1 AND len(cs) > 1),
+kn AS (SELECT DISTINCT joined FROM jt WHERE conv_id % 2 = 0)
+SELECT jt.conv_id, jt.pos AS turn, sha256(jt.joined) AS key, kn.joined IS NOT NULL AS cached, CASE WHEN kn.joined IS NOT NULL THEN 'In short: ' || jt.joined ELSE jt.joined END AS think FROM jt LEFT JOIN kn ON jt.joined = kn.joined"""
+
+
+@query(REPHRASED_SQL)
+def rephrase_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thoughts of merged rounds by what a cache of rephrasings has for them; it knows those of every second conversation."""
+    rows = _groups(edited(spark, sf_dir)).select("conv_id", "messages", "groups")
+    contents = F.transform("g", lambda q: F.get(F.col("messages"), 2 * q - 3)["content"])
+    asked = rows.select("conv_id", "messages", F.explode("groups").alias("g")).select("conv_id", F.sha2(edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())), 256).alias("key"), edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())).alias("joined"))
+    cache = asked.filter("conv_id % 2 = 0").groupBy("key").agg(F.concat(F.lit("In short: "), F.first("joined")).alias("value"))
+    told = edit.rephrased_by(rows, cache)
+    first = lambda g: 2 * F.get(g, F.lit(0)) - 3
+    merged = told.withColumn("new", edit.merged(F.col("messages"), F.col("groups"), pairwise=False, rephrased=F.col("rephrased")))
+    several = F.filter("groups", lambda g: F.size(F.filter(g, lambda q: 2 * q - 3 < F.size("messages"))) > 1)
+    rows = merged.withColumn("g", F.explode(several)).select("conv_id", first(F.col("g")).alias("turn"), "rephrased", edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())).alias("joined"), F.get("new", first(F.col("g")))["content"].alias("content"))
+    return longs(rows.select("conv_id", "turn", F.sha2("joined", 256).alias("key"), F.map_contains_key("rephrased", F.col("joined")).alias("cached"), F.regexp_extract("content", "(?s)^<think>(.*?)</think>", 1).alias("think")))
+
+
 def _with_images(rows: DataFrame) -> DataFrame:
     named = F.flatten(F.transform("messages", lambda m, i: F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), F.lit(1), T.count_images(m["content"])), lambda k: F.concat(F.lit("img_"), i, F.lit("_"), k))))
     return rows.withColumn("dealt", edit.images_by_message(F.col("messages"), named))
@@ -295,6 +316,40 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.array_join(edit.lost_tokens(made, F.col("messages")), ",").alias("lost")).filter("lost <> ''")
 
 
+@query(f"""WITH {PLANNED_SQL}, {IMAGES_SQL},
+kp AS (SELECT rn.conv_id, string_agg('img_' || im.pos || '_' || k, ',' ORDER BY im.pos, k) AS images FROM rn JOIN im ON rn.conv_id = im.conv_id AND rn.pos = im.pos JOIN sx ON rn.conv_id = sx.conv_id WHERE NOT gone OR s[1] <> 'reduce' GROUP BY rn.conv_id)
+SELECT cm.conv_id, CASE WHEN cm.conv_id % 13 = 5 THEN 'no_original' WHEN cm.conv_id % 7 = 0 THEN 'unmatched' ELSE 'ok' END AS state, CASE WHEN cm.conv_id % 13 <> 5 AND cm.conv_id % 7 <> 0 THEN coalesce(images, '') END AS images
+FROM cm LEFT JOIN kp ON cm.conv_id = kp.conv_id""")
+def rebuild_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of conversations after critical-path deletion, found again by the hash of their original messages; some have
+    lost these, and others were changed."""
+    source = _with_images(tagged(spark, sf_dir)).select("messages", F.col("conv_id").alias("ord"), F.flatten("dealt").alias("images"))
+    rows = _planned(spark, sf_dir)
+    c, m = F.col("conv_id"), F.col("messages")
+    rows = rows.select("conv_id", F.when(c % 13 == 5, None).when(c % 7 == 0, F.concat(m, F.slice(m, 1, 1))).otherwise(m).alias("original"), F.col("messages_new").alias("messages"), F.when(F.col("status") == "reduce", F.filter("remove", lambda r: (r >= 2) & (r <= F.col("middle") + 1))).otherwise(F.array().cast("array<int>")).alias("removed"))
+    return edit.images_rejoined(rows, source).select("conv_id", "state", F.array_join("images", ",").alias("images"))
+
+
+@query(f"""WITH {PLANNED_SQL}, pt AS (SELECT rn.conv_id, count(*) FILTER (WHERE rn.r = 2 AND pos % 2 = 1 AND rn.conv_id % 2 = 0 AND NOT gone) AS patched, max(n) AS n, count(*) FILTER (WHERE NOT gone) AS after FROM rn GROUP BY rn.conv_id)
+SELECT count(*) AS reduced, count(*) FILTER (WHERE patched > 0) AS patched, count(*) FILTER (WHERE pt.conv_id % 2 = 0 AND 2 >= greatest(1, n // 2) + 1) AS final_patched, sum(n - after)::BIGINT AS saved FROM pt JOIN sx USING (conv_id) WHERE s[1] = 'reduce'""")
+def patch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the reduced conversations had thoughts patched, and how many those of the final round."""
+    rows = _planned(spark, sf_dir)
+    kept = F.filter(F.map_keys("patches"), lambda r: ~F.array_contains(F.filter("remove", lambda x: (x >= 2) & (x <= F.col("middle") + 1)), r) & (r >= 2) & (r <= F.col("middle") + 2))
+    return stats.patch_counts(rows.select("status", "patches", F.size("messages").alias("n_before"), F.size("messages_new").alias("n_after"), F.size(kept).alias("n_patched")))
+
+
+@query(f"""WITH {TAGGED_SQL}, f AS (SELECT conv_id, content, {sql_strip("split_part(split_part(content, 'Input Question:', 2), 'Input image:', 1)")} AS q, {sql_strip("split_part(split_part(content, 'Input Question:', 2), 'Input image:', 2)")} AS i FROM tg WHERE pos = 0)
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN content ELSE {sql_strip("split_part(split_part(content, 'Input Question:', 2), 'Input image: ', 1)")} END AS question, CASE WHEN q <> '' AND i <> '' THEN 'Ask: ' || q || ' [' || i || ']' END AS prompt FROM f""")
+def question_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of conversations, some of which have a system message in front, and prompts refilled with them."""
+    rows = tagged(spark, sf_dir)
+    system = F.array(F.struct(F.lit("system").alias("role"), F.lit("be brief").alias("content")))
+    headed = F.when(F.col("conv_id") % 3 == 0, F.concat(system, F.col("messages"))).otherwise(F.col("messages"))
+    first = F.get("messages", F.lit(0))["content"]
+    return rows.select("conv_id", T.question_of(headed).alias("question"), T.refilled("Ask: {Question} [{ImageUrl}]", T.question_and_image(first)).alias("prompt"))
+
+
 STATUS_SQL = f"WITH {PLANNED_SQL}"
 
 

@@ -135,6 +135,15 @@ def sql_join(parts: str, by: str) -> str:
     return f"coalesce(array_to_string(list_filter({parts}, lambda x_: x_ <> ''), {by}), '')"
 
 
+def sql_json(x: str) -> str:
+    """A text as a JSON string. Of control characters only those with a short form occur in the tables."""
+    for old, new in ((chr(92), chr(92) * 2), ('"', chr(92) + '"')):
+        x = f"replace({x}, '{old}', '{new}')"
+    for code, new in ((10, "n"), (13, "r"), (9, "t"), (8, "b"), (12, "f")):
+        x = f"replace({x}, chr({code}), '{chr(92)}{new}')"
+    return f"'\"' || {x} || '\"'"
+
+
 def sql_responses(x: str) -> str:
     found = sql_bodies(x, "tool_response")
     return f"CASE WHEN len({found}) > 0 THEN {found} ELSE [{sql_strip(x)}] END"

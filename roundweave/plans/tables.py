@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roundweave.functions import text as T
 from roundweave.operators import convert, graph, select, stats
 from roundweave.operators.rounds import conversations
-from roundweave.plans.inputs import GRAPH_SQL, TAGGED_SQL, edited, longs, sql_bodies, sql_strip, table, tagged_turns
+from roundweave.plans.inputs import GRAPH_SQL, TAGGED_SQL, edited, longs, sql_bodies, sql_json, sql_strip, table, tagged_turns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -96,20 +96,25 @@ def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.round(F.avg("score"), 6).alias("macro"), F.round(F.avg("chars"), 4).alias("avg_chars"), F.round(F.avg("chars") / (100 * F.avg("score")), 4).alias("per_point"))
 
 
-@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: floor(abs(x) * 10)::INT % 3) AS p, list_transform(embedding[17:32], lambda x: CASE WHEN floor(abs(x) * 10)::INT % 4 = 3 THEN -100 ELSE floor(abs(x) * 10)::INT % 4 END) AS l FROM embeddings),
-q AS (SELECT vec_id, p, l, list_filter(range(1, 16), lambda i: l[i + 1] <> -100) AS c FROM p)
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:len(embedding) // 2], lambda x: floor(abs(x) * 10)::INT % 3) AS p, list_transform(embedding[len(embedding) // 2 + 1:len(embedding) // 2 * 2], lambda x: CASE WHEN floor(abs(x) * 10)::INT % 4 = 3 THEN -100 ELSE floor(abs(x) * 10)::INT % 4 END) AS l FROM embeddings),
+q AS (SELECT vec_id, p, l, list_filter(range(1, len(l)), lambda i: l[i + 1] <> -100) AS c FROM p)
 SELECT vec_id, round(len(list_filter(c, lambda i: p[i] = l[i + 1]))::DOUBLE / nullif(len(c), 0), 6) AS accuracy FROM q""")
 def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.transform("embedding", lambda x: F.floor(F.abs(x) * 10).cast("int"))
-    predicted = F.transform(F.slice(e, 1, 16), lambda x: x % 3)
-    labels = F.transform(F.slice(e, 17, 16), lambda x: F.when(x % 4 == 3, -100).otherwise(x % 4))
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    predicted = F.transform(F.slice(e, F.lit(1), half), lambda x: x % 3)
+    labels = F.transform(F.slice(e, half + 1, half), lambda x: F.when(x % 4 == 3, -100).otherwise(x % 4))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(stats.masked_accuracy(predicted, labels), 6).alias("accuracy"))
 
 
-@query("SELECT label::BIGINT AS label, round(avg(CASE WHEN embedding[1] > embedding[2] THEN 1 ELSE 0 END), 6) AS accuracy FROM embeddings GROUP BY label")
+@query("""WITH s AS (SELECT label, list_sum(list_transform(embedding[1:len(embedding) // 2], lambda x: floor(x * 256)::BIGINT)) AS a, list_sum(list_transform(embedding[len(embedding) // 2 + 1:], lambda x: floor(x * 256)::BIGINT)) AS b FROM embeddings)
+SELECT label::BIGINT AS label, round(avg(CASE WHEN a > b THEN 1 ELSE 0 END), 6) AS accuracy FROM s GROUP BY label""")
 def preference_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.round(F.avg((e[0] > e[1]).cast("int")), 6).alias("accuracy"))
+    """How often the reward of the chosen half of the components is above that of the rejected one."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    reward = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + F.floor(x * 256).cast("long"))
+    won = reward(F.slice("embedding", F.lit(1), half)) > reward(F.slice("embedding", half + 1, F.size("embedding")))
+    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("label")).agg(F.round(F.avg(won.cast("int")), 6).alias("accuracy"))
 
 
 @query("""SELECT count(*)::BIGINT AS n, round(avg(p), 4) AS perplexity FROM
@@ -131,13 +136,27 @@ def suggested_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(F.round("ratio", 6).alias("ratio"), F.round(lr, 10).alias("lr"), F.round(lr / 6.0, 10).alias("lr_small"))
 
 
-@query("""WITH w AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::DOUBLE) AS v, 1.8::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + exp(-0.4::DOUBLE)) - 0.5) AS w FROM embeddings)
+@query("""WITH w AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, 1.8::DOUBLE * (1.0::DOUBLE / (1.0::DOUBLE + exp(-0.05::DOUBLE * len(embedding))) - 0.5) AS w FROM embeddings)
 SELECT vec_id, round(list_reduce(list_concat([v[1]], v), lambda a, x: a * w + (1 - w) * x), 6) AS last FROM w""")
 def ema_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.element_at(stats.smoothed(v), -1), 6).alias("last"))
 
 
+@query("""WITH h AS (SELECT substring(text, len(text) // 2 + 1) AS p, substring(text, 1, len(text) // 2) AS l FROM benchmark),
+w AS (SELECT regexp_extract_all(p, '[^ \\t\\n\\x0B\\f\\r]+') AS p, regexp_extract_all(l, '[^ \\t\\n\\x0B\\f\\r]+') AS l FROM h),
+g AS (SELECT list_distinct(p) AS p1, list_distinct(l) AS l1, list_distinct(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) AS p2, list_distinct(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) AS l2 FROM w),
+f AS (SELECT CASE WHEN len(p1) > 0 AND len(l1) > 0 THEN 200.0::DOUBLE * len(list_intersect(p1, l1)) / (len(p1) + len(l1)) ELSE 0 END AS a, CASE WHEN len(p2) > 0 AND len(l2) > 0 THEN 200.0::DOUBLE * len(list_intersect(p2, l2)) / (len(p2) + len(l2)) ELSE 0 END AS b FROM g)
+SELECT round(avg(a), 4) AS rouge1, round(avg(b), 4) AS rouge2, count(*)::BIGINT AS n FROM f""")
+def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean ROUGE-1 and ROUGE-2 of the second half of each benchmark text against its first."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"[^ \t\n\x0B\f\r]+"), F.lit(0))
+    rows = table(spark, sf_dir, "benchmark").select(words(F.substring(F.col("text"), half + 1, F.length("text"))).alias("p"), words(F.substring(F.col("text"), F.lit(1), half)).alias("l"))
+    scores = rows.select(stats.rouge(F.col("p"), F.col("l"), 1).alias("a"), stats.rouge(F.col("p"), F.col("l"), 2).alias("b"))
+    return scores.agg(F.round(F.avg("a"), 4).alias("rouge1"), F.round(F.avg("b"), 4).alias("rouge2"), F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean BLEU-4 and ROUGE of the second half of each benchmark text against its first."""
@@ -146,11 +165,11 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(*(F.round(F.avg(c), 4).alias(c) for c in rows.columns))
 
 
-@query("""WITH m AS (SELECT vec_id, list_sort(list_transform(embedding[1:12], lambda x: floor(abs(x) * 40)::INT % 4)) AS m FROM embeddings),
+@query("""WITH m AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: floor(abs(x) * 40)::INT % 4)) AS m FROM embeddings),
 l AS (SELECT vec_id, list_filter(list_transform(range(1, 4), lambda k: len(list_filter(m, lambda x: x = k))), lambda n: n > 0) AS l FROM m)
 SELECT vec_id, array_to_string(l, ',') AS lengths, '0' || coalesce(',' || nullif(array_to_string(list_transform(range(1, len(l) + 1), lambda i: list_sum(l[1:i])), ','), ''), '') AS offsets, coalesce(list_max(l), 0)::BIGINT AS longest FROM l""")
 def packing_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = F.array_sort(F.transform(F.slice("embedding", 1, 12), lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int")))
+    mask = F.array_sort(F.transform("embedding", lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int")))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", stats.sequence_lengths(mask).alias("l"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     return rows.select("vec_id", text(F.col("l")).alias("lengths"), text(stats.running_offsets(F.col("l"))).alias("offsets"), F.coalesce(F.array_max("l"), F.lit(0)).cast("long").alias("longest"))
@@ -168,7 +187,7 @@ def page_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS p FROM benchmark) SELECT w."at"::BIGINT AS "at", item_id FROM b JOIN (VALUES (0, 5), (1, 0), (2, 5), (3, 12)) w("at", p) USING (p)""")
 def index_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows by a list of positions, repeats and order kept."""
-    b = table(spark, sf_dir, "benchmark").select("item_id").withColumn("p", F.row_number().over(Window.orderBy("item_id")).cast("long") - 1)
+    b = select.numbered(table(spark, sf_dir, "benchmark").select("item_id"), "item_id", "p")
     return select.select(b, "p", [5, 0, 5, 12], 20).select("at", "item_id")
 
 
@@ -186,7 +205,7 @@ def resume_by_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.pending_by_question(turns.select(F.col("conv_id").alias("question")).distinct(), done).select(F.col("question").alias("conv_id"))
 
 
-@query()
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hundred documents without replacement; which ones is up to the hash."""
     return select.sample(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 100, seed=42)
@@ -213,15 +232,16 @@ def image_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("path").alias("distinct_n"), F.count_if("relative").alias("relative_n")).crossJoin(F.broadcast(missing))
 
 
-MIX_SQL = """s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p FROM documents WHERE lang IN ('de', 'fr')),
+MIX_SQL = """s AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS p FROM documents WHERE lang IS NOT NULL),
 c AS (SELECT lang, count(*) AS n FROM s GROUP BY lang), """
 
 
-def _two_sources(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    rows = docs.filter("lang IN ('de', 'fr')").withColumn("p", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long") - 1)
-    counts = {r["lang"]: r["count"] for r in docs.filter("lang IN ('de', 'fr')").groupBy("lang").count().collect()}
-    return {lang: rows.filter(F.col("lang") == lang) for lang in ("de", "fr")}, counts
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The documents of each language as a source, numbered."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").filter("lang IS NOT NULL")
+    rows = select.numbered(docs, "doc_id", "p", by="lang")
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    return {lang: rows.filter(F.col("lang") == lang) for lang in sorted(counts)}, counts
 
 
 @query(f"WITH {MIX_SQL} z AS (SELECT min(n) AS k FROM c) SELECT doc_id, p AS turn, lang AS _dataset_name FROM s, z WHERE p < k")
@@ -236,22 +256,65 @@ def interleave_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], str, dict[str, int]]:
-    named, counts = _two_sources(spark, sf_dir)
+    named, counts = _sources(spark, sf_dir)
     return named, "p", counts
 
 
+@query(f"""WITH {MIX_SQL}
+o AS (SELECT lang, n, row_number() OVER (ORDER BY lang) AS k, count(*) OVER () AS m FROM c),
+u AS (SELECT i AS turn, ('0x' || substr(md5('3:' || i), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM (SELECT unnest(range(0, (SELECT sum(n) FROM c)::BIGINT + 1)) AS i)),
+t AS (SELECT turn, least(floor(u * m)::BIGINT + 1, m) AS k FROM u, (SELECT max(m) AS m FROM o)),
+r AS (SELECT t.turn, o.lang, o.n, row_number() OVER (PARTITION BY o.lang ORDER BY turn) - 1 AS p FROM t JOIN o USING (k)),
+e AS (SELECT min(turn) AS stop FROM r WHERE p >= n)
+SELECT s.doc_id, r.turn, r.lang AS _dataset_name FROM r JOIN s ON r.lang = s.lang AND r.p = s.p, e WHERE turn < stop""")
+def interleave_drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages drawn by chance, each with the same share, until one is used up."""
+    named, key, counts = _named(spark, sf_dir)
+    return select.drawn(named, key, counts, [1 / len(counts)] * len(counts), seed=3).select("doc_id", "turn", "_dataset_name")
+
+
 @query("""SELECT doc_id, 'long' AS _dataset_name FROM (SELECT doc_id FROM documents WHERE n_chars > 3000 ORDER BY doc_id LIMIT 50)
-UNION ALL SELECT doc_id, 'short' FROM (SELECT doc_id FROM documents WHERE n_chars < 600 ORDER BY doc_id LIMIT 50)""")
+UNION ALL SELECT doc_id, 'short' FROM (SELECT doc_id FROM documents WHERE n_chars <= 3000 ORDER BY doc_id LIMIT 50)""")
 def concat_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sources under each other, of each the first fifty rows."""
+    """All documents as two sources under each other; the option takes the first fifty rows of each."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    return select.concatenated({"long": docs.filter("n_chars > 3000"), "short": docs.filter("n_chars < 600")}, 50, "doc_id").select("doc_id", "_dataset_name")
+    return select.concatenated({"long": docs.filter("n_chars > 3000"), "short": docs.filter("n_chars <= 3000")}, 50, "doc_id").select("doc_id", "_dataset_name")
 
 
-@query()
+@query("SELECT doc_id, ('0x' || substr(md5('0:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE < 0.1 AS held_out FROM documents")
 def val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of the documents held out, by hash."""
-    return table(spark, sf_dir, "documents").select("doc_id", select.split(F.col("doc_id"), 0.1).alias("held_out"))
+    return select.split_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('0:' || doc_id), doc_id) <= 70 AS held_out FROM documents")
+def val_split_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seventy documents held out."""
+    return select.split_rows(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", 70)
+
+
+@query("""SELECT c.conv_id, c.turn, c.role FROM conversations c WHERE conv_id IN (SELECT conv_id FROM (SELECT DISTINCT conv_id FROM conversations) ORDER BY md5('5:' || conv_id), conv_id LIMIT 20)""")
+def sampled_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All turns of twenty conversations drawn by their ids."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return turns.join(select.sample(turns.select("conv_id").distinct(), "conv_id", 20, seed=5), "conv_id", "left_semi")
+
+
+@query("""SELECT d.doc_id AS _idx, d.n_chars::BIGINT AS before, strlen(d.text)::BIGINT AS after FROM documents d""")
+def zip_by_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the documents side by side by number."""
+    docs = table(spark, sf_dir, "documents")
+    one = docs.select(F.col("doc_id").alias("_idx"), F.col("n_chars").cast("long").alias("before"))
+    return select.zipped(one, docs.select(F.col("doc_id").alias("_idx"), F.octet_length("text").cast("long").alias("after")))
+
+
+@query("""WITH k AS (SELECT sha256(text) AS key, max(item_id) AS item_id FROM benchmark WHERE item_id % 3 = 0 GROUP BY ALL)
+SELECT b.item_id, coalesce('cached ' || k.item_id, b.text) AS made FROM benchmark b LEFT JOIN k ON sha256(b.text) = k.key""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache has for a text, else the text itself."""
+    items = table(spark, sf_dir, "benchmark").withColumn("key", F.sha2("text", 256))
+    cache = items.filter("item_id % 3 = 0").groupBy("key").agg(F.concat(F.lit("cached "), F.max("item_id")).alias("value"))
+    return select.looked_up(items, cache, "key", "text", "made").select("item_id", "made")
 
 
 @query("""SELECT conv_id, coalesce(nullif(CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN NULL ELSE 'q' || conv_id END, ''), nullif(CASE WHEN conv_id % 2 = 0 THEN 'p' || conv_id ELSE '' END, ''), 'o') AS question
@@ -352,23 +415,25 @@ def call_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 # converters and traces
 
 
-@query("""WITH b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'sys' END AS system, substring(text, 1, 20) AS instruction, CASE WHEN item_id % 2 = 0 THEN substring(text, 21, 20) END AS input, CASE WHEN item_id % 5 <> 0 THEN substring(text, 41, 20) END AS output FROM benchmark),
+@query("""WITH b AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN 'sys' END AS system, substring(text, 1, len(text) // 3) AS instruction, CASE WHEN item_id % 2 = 0 THEN substring(text, len(text) // 3 + 1, len(text) // 3) END AS input, CASE WHEN item_id % 5 <> 0 THEN substring(text, len(text) // 3 * 2 + 1) END AS output FROM benchmark),
 m AS (SELECT item_id, 1 AS k, 'system' AS role, system AS value, 0.0::DOUBLE AS w FROM b WHERE system IS NOT NULL UNION ALL SELECT item_id, 2, 'user', instruction || coalesce(input, ''), 0.0 FROM b UNION ALL SELECT item_id, 3, 'assistant', output, 1.0 FROM b WHERE output IS NOT NULL)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY k) - 1 AS pos, role, value, w::DOUBLE AS loss_weight FROM m""")
 def alpaca_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     i, text = F.col("item_id"), F.col("text")
-    made = convert.converter("alpaca")(F.when(i % 3 == 0, "sys"), F.substring(text, 1, 20), F.when(i % 2 == 0, F.substring(text, 21, 20)), F.when(i % 5 != 0, F.substring(text, 41, 20)))
+    third = F.floor(F.length(text) / 3).cast("int")
+    made = convert.converter("alpaca")(F.when(i % 3 == 0, "sys"), F.substring(text, F.lit(1), third), F.when(i % 2 == 0, F.substring(text, third + 1, third)), F.when(i % 5 != 0, F.substring(text, third * 2 + 1, F.length(text))))
     return longs(table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(made).alias("pos", "m")).select("item_id", "pos", "m.*"))
 
 
-@query("""WITH b AS (SELECT item_id, substring(text, 1, 30) || chr(10) || 'A. ' || substring(text, 31, 5) || chr(10) || 'B. ' || substring(text, 36, 5) || chr(10) || 'C. ' || substring(text, 41, 5) || chr(10) || 'D. ' || substring(text, 46, 5) || chr(10) || 'Answer:' AS q,
-  CASE item_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS a FROM benchmark),
+@query("""WITH b AS (SELECT item_id, substring(text, 1, 4 * n) || chr(10) || 'A. ' || substring(text, 4 * n + 1, n) || chr(10) || 'B. ' || substring(text, 5 * n + 1, n) || chr(10) || 'C. ' || substring(text, 6 * n + 1, n) || chr(10) || 'D. ' || substring(text, 7 * n + 1) || chr(10) || 'Answer:' AS q,
+  CASE item_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS a FROM (SELECT *, len(text) // 8 AS n FROM benchmark)),
 s AS (SELECT b.item_id, c.item_id AS k, c.q, c.a FROM b JOIN b c ON c.item_id BETWEEN b.item_id - 2 AND b.item_id)
 SELECT item_id, md5('The following are multiple choice questions (with answers) about facts.' || chr(10) || chr(10) || string_agg('user:' || q || '|assistant:' || a, '|' ORDER BY k)) AS digest FROM s GROUP BY item_id""")
 def fewshot_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multiple-choice prompts with the two items before as examples; one range join over neighbours."""
     text, i = F.col("text"), F.col("item_id")
-    example = F.struct(F.substring(text, 1, 30).alias("question"), *(F.substring(text, 31 + 5 * k, 5).alias(c) for k, c in enumerate("ABCD")), F.element_at(F.array(*map(F.lit, "ABCD")), (i % 4 + 1).cast("int")).alias("answer"))
+    n = F.floor(F.length(text) / 8).cast("int")
+    example = F.struct(F.substring(text, F.lit(1), 4 * n).alias("question"), *(F.substring(text, (4 + k) * n + 1, n if c != "D" else F.length(text)).alias(c) for k, c in enumerate("ABCD")), F.element_at(F.array(*map(F.lit, "ABCD")), (i % 4 + 1).cast("int")).alias("answer"))
     items = table(spark, sf_dir, "benchmark").select("item_id", example.alias("e"))
     shown = items.select(F.explode(F.array(i, i + 1, i + 2)).alias("item_id"), i.alias("k"), F.col("e").alias("shown"))
     sets = items.join(shown.filter(F.col("k") < F.col("item_id")), "item_id", "left").groupBy("item_id").agg(F.first("e").alias("e"), F.sort_array(F.collect_list(F.struct("k", "shown"))).alias("s"))
@@ -386,17 +451,17 @@ def request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", convert.request_error(F.col("messages")).alias("error"))
 
 
-OUTPUT = """CASE conv_id % 5 WHEN 0 THEN '<think>t' || turn || '</think><tool_call>{"name":"search"}</tool_call>' WHEN 1 THEN 'plain ' || turn WHEN 2 THEN '<think>x</think><answer> ' || turn || ' </answer>' WHEN 3 THEN '<tool_call>oops</tool_call>' ELSE 'half </think> rest' END"""
+OUTPUT = """CASE conv_id % 5 WHEN 0 THEN '<think>t' || turn || '</think><tool_call>{"name":"search"}</tool_call><tool_call>{"name":"visit"}</tool_call>' WHEN 1 THEN 'plain ' || turn WHEN 2 THEN '<think>x</think><answer> ' || turn || ' </answer>' WHEN 3 THEN '<tool_call>oops</tool_call>' ELSE 'half </think> rest' END"""
 
 
 @query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'call' WHEN 1 THEN 'untagged' WHEN 2 THEN 'answer' WHEN 3 THEN 'bad_call' ELSE 'untagged' END AS kind,
-CASE conv_id % 5 WHEN 0 THEN '<think>t' || turn || '</think><tool_call>{"name":"search"}</tool_call>' WHEN 1 THEN '<think>plain ' || turn || '</think>' WHEN 2 THEN '<think>x</think><answer>' || turn || '</answer>'
+CASE conv_id % 5 WHEN 0 THEN '<think>t' || turn || '</think><tool_call>{"name":"search"}{"name":"visit"}</tool_call>' WHEN 1 THEN '<think>plain ' || turn || '</think>' WHEN 2 THEN '<think>x</think><answer>' || turn || '</answer>'
   WHEN 3 THEN '<tool_call>oops</tool_call>' ELSE '<think>half </think> rest</think><think>half</think>' END AS assistant,
-CASE conv_id % 5 WHEN 0 THEN '<tool_response>From: search' || chr(10) || 'found</tool_response>' WHEN 3 THEN 'Error decoding JSON in <tool_call>: <tool_call>oops</tool_call>' WHEN 2 THEN NULL
+CASE conv_id % 5 WHEN 0 THEN '<tool_response>From: search' || chr(10) || 'foundFrom: visit' || chr(10) || 'page ' || turn || '</tool_response>' WHEN 3 THEN 'Error decoding JSON in <tool_call>: <tool_call>oops</tool_call>' WHEN 2 THEN NULL
   ELSE 'You do not invoke any tool. Continue thinking or answering the question. Remember to use <think></think> or <answer></answer> to wrap your response.' END AS user FROM conversations""")
 def trace_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", convert.traced_turn(F.expr(OUTPUT), F.lit("found")).alias("t")).select("conv_id", "turn", "t.*")
+    return rows.select("conv_id", "turn", convert.traced_turn(F.expr(OUTPUT), F.array(F.lit("found"), F.concat(F.lit("page "), "turn"))).alias("t")).select("conv_id", "turn", "t.*")
 
 
 @query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS num_tool_calls, count(*)::BIGINT AS steps, md5(string_agg(text || substring(text, 1, 32000), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
@@ -446,8 +511,8 @@ def cjk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TAGGED_SQL}, m AS (SELECT conv_id, pos, role, replace(replace(content, 'visit', 'open_url'), '<think>second', '<think>2nd') AS c FROM tg),
-q AS (SELECT conv_id, list(role || ':' || len(c) || ':' || c ORDER BY pos) AS m FROM m GROUP BY conv_id)
-SELECT conv_id, sha256(array_to_string(m, chr(10))) AS digest FROM q WHERE contains(m[1], 'Input Question')""")
+q AS (SELECT conv_id, list('{{"content": ' || {sql_json('c')} || ', "role": ' || {sql_json('role')} || '}}' ORDER BY pos) AS m FROM m GROUP BY conv_id)
+SELECT conv_id, sha256('[' || array_to_string(m, ', ') || ']') AS digest FROM q WHERE contains(m[1], 'Input Question')""")
 def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations that ask in the expected form, with names replaced, by the hash of their messages."""
     rows = conversations(tagged_turns(spark, sf_dir))
@@ -455,16 +520,26 @@ def clean_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(T.asks_question(F.col("messages"))).select("conv_id", T.message_hash(made).alias("digest"))
 
 
-@query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, 'Title: d' || doc_id || chr(10) || 'URL: u/' || doc_id || chr(10) || 'Snippet: ' || substring(text, 1, 40) AS s FROM documents WHERE n_chars < 1000)
+@query("""WITH r AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, 'Title: d' || doc_id || chr(10) || 'URL: u/' || doc_id || chr(10) || 'Snippet: ' || text AS s FROM documents)
 SELECT lang, md5(string_agg(s, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM r WHERE k <= 3 GROUP BY lang""")
 def result_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three short documents of a language as a page of results."""
-    docs = table(spark, sf_dir, "documents").filter("n_chars < 1000").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
-    item = F.struct("doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.concat(F.lit("u/"), "doc_id").alias("url"), F.substring("text", 1, 40).alias("snippet"))
+    """The first three documents of a language as a page of results; each task passes on three at most."""
+    docs = table(spark, sf_dir, "documents").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
+    item = F.struct("doc_id", F.concat(F.lit("d"), "doc_id").alias("title"), F.concat(F.lit("u/"), "doc_id").alias("url"), F.col("text").alias("snippet"))
     rows = docs.filter("k <= 3").groupBy("lang").agg(F.sort_array(F.collect_list(item)).alias("r"))
     return rows.select("lang", F.md5(T.rendered_results(F.col("r"))).alias("digest"))
 
 
+@query("""WITH r AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings)
+SELECT label::BIGINT AS label, string_agg('Title: v' || vec_id || chr(10) || 'Source: ' || CASE WHEN vec_id % 2 = 0 THEN 'site' ELSE '' END || chr(10) || 'URL: u/' || vec_id || chr(10) || 'Image: i/' || vec_id || '.png', chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY vec_id) AS made FROM r WHERE k <= 4 GROUP BY label""")
+def image_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four vectors of a label as a page of image results."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).filter("k <= 4")
+    named = lambda head, tail="": F.concat(F.lit(head), F.col("vec_id"), F.lit(tail))
+    item = F.struct("vec_id", named("v").alias("title"), F.when(F.col("vec_id") % 2 == 0, "site").alias("source"), named("u/").alias("link"), named("i/", ".png").alias("imageUrl"))
+    return rows.groupBy(F.col("label").cast("long").alias("label")).agg(T.rendered_images(F.sort_array(F.collect_list(item)), 4).alias("made"))
+
+
 @query("SELECT doc_id, md5(CASE WHEN len(text) > 2000 THEN substring(text, 1, 2000) || chr(10) || chr(10) || '[cut]' ELSE text END) AS digest FROM documents")
 def truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.truncated(F.col("text"), 2000, "\n\n[cut]")).alias("digest"))
@@ -488,8 +563,8 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.round(stats.throughput(F.length("text"), 3.0, 120.0), 4).alias("tps"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""WITH m AS (SELECT vec_id, list_transform(embedding[1:12], lambda x: floor(abs(x) * 40)::INT % 4) AS m FROM embeddings)
-SELECT vec_id, coalesce(array_to_string(list_filter(range(0, 12), lambda i: m[i + 1] <> 0), ','), '') AS places FROM m""")
+@query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x) * 40)::INT % 4) AS m FROM embeddings)
+SELECT vec_id, coalesce(array_to_string(list_filter(range(0, len(m)), lambda i: m[i + 1] <> 0), ','), '') AS places FROM m""")
 def unpadded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = F.transform(F.slice("embedding", 1, 12), lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int"))
+    mask = F.transform("embedding", lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(stats.unpadded(mask), lambda i: i.cast("string")), ",").alias("places"))

@@ -83,12 +83,30 @@ def write_with_errors(rows: DataFrame, path: str, errors: str, error: str = "err
 
 
 def replace_if_clean(rows: DataFrame, bad: DataFrame, path: str) -> None:
-    """Write rows beside ``path`` and put them in its place, only if there is no bad row."""
+    """Write rows beside ``path`` and put them in its place, only if there is no bad row.
+
+    What was there is moved aside first and deleted last, and moved back if the new rows can't take its place; so a crash
+    at any point leaves it at ``path`` or at ``path.old``.
+    """
     spark = rows.sparkSession
     if not bad.isEmpty():
         raise ValueError("rows without a match: nothing was replaced")
-    new, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path))
+    new, now, old = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", path, f"{path}.old"))
+    fs = now.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(now) and not fs.rename(old, now):  # left by a crash
+        raise OSError(f"can't move {path}.old back")
     rows.write.mode("overwrite").json(f"{path}.new")
-    fs = old.getFileSystem(spark._jsc.hadoopConfiguration())
     fs.delete(old, True)
-    fs.rename(new, old)
+    there = fs.exists(now)
+    if there and not fs.rename(now, old):
+        raise OSError(f"can't move {path} aside")
+    if not fs.rename(new, now):
+        if there:
+            fs.rename(old, now)
+        raise OSError(f"can't move {path}.new to {path}")
+    fs.delete(old, True)
+
+
+def write_changed(rows: DataFrame, path: str) -> None:
+    """Only the rows in which rounds were pruned or merged."""
+    rows.filter((F.coalesce("pruned", F.lit(0)) > 0) | (F.coalesce("merged", F.lit(0)) > 0)).write.mode("append").json(path)
