@@ -42,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roundweave.llm.common import discard, mixed, saved, small_batches, utf8
@@ -53,6 +53,8 @@ GRAM = 32
 BATCHES = 4
 #: Entries with one beginning that are compared in one task.
 GROUP = 1000
+#: Tasks that the entries with one beginning are dealt out to when beginnings are looked up.
+SALTS = 8
 #: Bytes whose anchors are looked for together; a place within has 24 bits.
 CHUNK = 500_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -196,7 +198,7 @@ class SuffixIndex:
         keys = new.groupBy("key").agg(F.sum(F.size("places")).alias("n"))
         found = keys.filter("n > 1").select("key")
         for _, level in self.levels:
-            found = found.unionByName(keys.join(level.select("key"), "key", "left_semi").select("key"))
+            found = found.unionByName(keys.join(level.select("key").distinct(), "key", "left_semi").select("key"))
         self.matched.append(saved(found.distinct(), "matched"))
         self.levels.append((0, new))
 
@@ -207,7 +209,13 @@ class SuffixIndex:
             every = every.unionByName(level)
         for more in self.matched[1:]:
             keys = keys.unionByName(more)
-        return every.join(keys.distinct(), "key", "left_semi")
+        return _dealt_join(every, keys.distinct(), F.xxhash64("doc_id", "text_hash"), "left_semi")
+
+
+def _dealt_join(rows: DataFrame, keys: DataFrame, by: Column, how: str) -> DataFrame:
+    """A join on beginnings, which are distinct in ``keys``, with the rows of each dealt out by a hash."""
+    rows = rows.withColumn("__salt", F.pmod(by, F.lit(SALTS)).cast("int"))
+    return rows.join(keys.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["key", "__salt"], how).drop("__salt")
 
 
 def _window_hashes(docs: DataFrame, length: int) -> DataFrame:
@@ -326,7 +334,7 @@ def _same_doc(a: DataFrame, b: DataFrame):
 
 def _asked(docs: DataFrame, alike: DataFrame, keys: DataFrame) -> DataFrame:
     """The texts of the entries with the given beginnings, with a list of these in each."""
-    asked = alike.join(keys.select("key", F.ceil(F.col("kinds") / GROUP).alias("shards")), "key")
+    asked = _dealt_join(alike, keys.select("key", F.ceil(F.col("kinds") / GROUP).alias("shards")), F.col("ctx"), "inner")
     asked = asked.select("one.doc_id", "one.text_hash", F.struct("one.at", "one.before", "one.span", (F.col("n") == 1).alias("single"), "key", "shards").alias("ask"))
     asked = asked.groupBy("doc_id", "text_hash").agg(F.collect_list("ask").alias("asked"))
     # of equal rows, which are not single, one will do

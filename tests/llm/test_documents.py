@@ -510,6 +510,29 @@ def test_repeated_strings(spark, monkeypatch, group, batches):
     assert got == plain_repeats(texts, 100)
 
 
+def test_query_at_its_own_length(spark):
+    """All rows of a table against every window of 400 bytes."""
+    sf = "/root/testdata/sf0.01"
+    data = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    once, often = set(), set()
+    for d in data.values():
+        for i in range(len(d) - 399):
+            h = hash(d[i : i + 400])
+            (often if h in once else once).add(h)
+    lost = 0
+    for r in queries.op9_substrings(spark, sf).collect():
+        d = data[r["doc_id"]]
+        gone = bytearray(len(d))
+        for i in range(len(d) - 399):
+            if hash(d[i : i + 400]) in often:
+                gone[i : i + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(d, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(d), len(d) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+        lost += len(kept) < len(d)
+    assert lost > 100
+
+
 def test_repeats_of_equal_rows(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(500))
     rows = spark.createDataFrame([(1, text), (1, text), (2, "short"), (None, None)], "doc_id long, text string")
