@@ -178,6 +178,11 @@ def drawn(named: dict[str, DataFrame], key: str, counts: dict[str, int], shares:
     return made.join(turns.filter(F.col("turn") < F.lit(end)), ["source_no", key])
 
 
+def listed(value: Column, kind: str) -> Column:
+    """A column that holds a list, or one value in place of a list of one, as a list; null as an empty one."""
+    return F.coalesce(value if kind.startswith("array") else F.when(value.isNotNull(), F.array(value)), F.array().cast(kind if kind.startswith("array") else f"array<{kind}>"))
+
+
 def image_paths(rows: DataFrame, images: str = "images") -> DataFrame:
     """One row per image with whether its path is relative; scalars and lists were made lists at the scan."""
     return rows.select("*", F.explode(images).alias("path")).withColumn("relative", ~F.startswith("path", F.lit("/")))

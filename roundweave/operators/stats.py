@@ -43,6 +43,11 @@ def reduction_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def largest_savings(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """The k rows that saved most messages, most first; ties by key."""
+    return rows.select(key, (F.col("n_before") - F.col("n_after")).alias("saved")).filter("saved > 0").orderBy(F.desc("saved"), key).limit(k)
+
+
 def histogram(rows: DataFrame, value: Column, width: int, name: str = "bucket") -> DataFrame:
     return rows.groupBy((F.floor(value / width) * width).cast("long").alias(name)).agg(F.count(F.lit(1)).alias("n"))
 

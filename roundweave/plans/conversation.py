@@ -391,6 +391,14 @@ def saved_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.histogram(_before_after(spark, sf_dir), F.greatest(F.lit(0), F.col("n_before") - F.col("n_after")), 1, "saved")
 
 
+@query(f"WITH {BEFORE_AFTER} SELECT conv_id, (n_before - n_after)::BIGINT AS saved FROM ba WHERE n_before > n_after ORDER BY saved DESC, conv_id LIMIT 25")
+def top_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations that lose most messages."""
+    rows = edited(spark, sf_dir)
+    after = F.size(edit.compact(edit.evicted(F.col("messages"), F.col("evict"))))
+    return longs(stats.largest_savings(rows.select("conv_id", F.size("messages").alias("n_before"), after.alias("n_after")), "conv_id", 25))
+
+
 #: Defects put into conversations: a user turn doubled, or a turn left out.
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rounds.conversations(table(spark, sf_dir, "conversations").filter("role <> 'system'"))

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: What training needs of a sample.
 TRAINING_COLUMNS = ("messages", "images", "system")
 #: Format of a file by its suffix.
-FORMATS = {"jsonl": "json", "json": "json", "txt": "text", "csv": "csv", "parquet": "parquet", "orc": "orc"}
+FORMATS = {"jsonl": "json", "json": "json", "txt": "text", "csv": "csv", "parquet": "parquet", "orc": "orc", "arrow": "arrow"}
+#: Bytes at the head of an Arrow file in which its schema is.
+ARROW_HEAD = 1 << 20
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, bad_lines: str = "fail") -> DataFrame:
@@ -30,6 +38,40 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, bad_lin
     return rows
 
 
+def read_indexed(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """Rows of JSON lines with ``_idx``, the number of their line from 0, over several files in the order of their names.
+
+    Lines are counted per split of a file; these counts, one row for each, are all that a single task goes through. Blank lines count but give no row;
+    a line that isn't JSON is an error.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__line"))
+    before = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    placed = lines.withColumn("__at", F.row_number().over(Window.partitionBy("__file", "__split").orderBy("__line")) - 1).join(starts, ["__file", "__split"])
+    rows = placed.filter("trim(value) <> ''").select((F.col("__start") + F.col("__at")).alias("_idx"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.select("_idx", "r.*")
+
+
+def read_arrow(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
+    """Rows of Arrow IPC files. Each is read whole by a task; without a ``schema`` the first file's head says it."""
+    files = spark.read.format("binaryFile").load(path)
+    if schema is None:
+        head = bytes(files.orderBy("path").select(F.substring("content", 1, ARROW_HEAD)).first()[0])
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(head[8:] if head.startswith(b"ARROW1") else head)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_buffer()
+                opened = pa.ipc.open_file(data) if data.slice(0, 6).to_pybytes() == b"ARROW1" else pa.ipc.open_stream(data)
+                parts = (opened.get_batch(i) for i in range(opened.num_record_batches)) if hasattr(opened, "num_record_batches") else iter(opened)
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([part.column(f.name).cast(f.type) for f in kinds], names=kinds.names)
+
+    return files.select("content").mapInArrow(run, schema)
+
+
 def read_json_array(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Rows of a file that is one JSON array."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
@@ -49,6 +91,8 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
         names = sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if not f.getPath().getName().startswith(("_", ".")))
         name = names[0] if names else path
     fmt = format_of(name)
+    if fmt == "arrow":
+        return read_arrow(spark, path, **options)
     if fmt == "csv":
         options = {"header": True} | options
     if fmt == "json" and not name.endswith("jsonl"):
@@ -57,15 +101,72 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format(fmt).options(**options).load(path)
 
 
-def load_sources(spark: SparkSession, infos: dict[str, dict]) -> dict[str, DataFrame]:
-    """Sources by name; an info has ``file_name`` and may have ``size`` (first rows)."""
+def source_infos(where: str | dict[str, dict]) -> dict[str, dict]:
+    """Infos of sources by name: a dict as it is, a local YAML or JSON file of them, or a path that is the only source.
+
+    There is no hub here: what isn't a local file of infos is taken for data.
+    """
+    if isinstance(where, dict):
+        return where
+    suffix = where.rsplit(".", 1)[-1].lower()
+    if suffix in ("yaml", "yml"):
+        import yaml
+
+        with open(where) as f:
+            return yaml.safe_load(f) or {}
+    if suffix == "json" and os.path.isfile(where):
+        with open(where) as f:
+            infos = json.load(f)
+        if isinstance(infos, dict) and all(isinstance(i, dict) and "file_name" in i for i in infos.values()):
+            return infos
+    return {os.path.basename(where.rstrip("/")).split(".")[0]: {"file_name": where}}
+
+
+def load_sources(spark: SparkSession, infos: str | dict[str, dict], split: str = "train") -> dict[str, DataFrame]:
+    """Sources by name; an info has ``file_name`` and may have ``size`` (first rows) and ``split``.
+
+    Only sources of the split asked for are loaded; one without a split is for training.
+    """
     found = {}
-    for name, info in infos.items():
-        rows = read_any(spark, info["file_name"])
-        found[name] = rows.limit(info["size"]) if info.get("size") else rows
+    for name, info in source_infos(infos).items():
+        if info.get("split", "train") == split:
+            rows = read_any(spark, info["file_name"])
+            found[name] = rows.limit(info["size"]) if info.get("size") else rows
     return found
 
 
+def any_streaming(infos: str | dict[str, dict]) -> bool:
+    """Whether one of the sources asks to be streamed; then all are."""
+    return any(bool(info.get("streaming")) for info in source_infos(infos).values())
+
+
+def in_folder(paths: Column, media_dir: str | None, dataset_dir: str) -> Column:
+    """Paths of media with the folder of relative ones in front: ``media_dir``, or that of the data."""
+    root = (media_dir or dataset_dir).rstrip("/")
+    return F.transform(paths, lambda p: F.when(F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit(root + "/"), p)))
+
+
+def kept_as(rows: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
+    """``rows`` from Parquet at ``path``; they are made and written there first if it isn't there, or is to be overwritten."""
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if overwrite or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        rows.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def append_log(rows: DataFrame, path: str) -> DataFrame:
+    """Log rows added to a folder of JSON lines, and all of it read again."""
+    rows.write.mode("append").json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
+def write_summary(rows: DataFrame, path: str) -> None:
+    """A table of one row as text, a line ``name: value`` for each column."""
+    lines = F.array_join(F.array(*(F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in rows.columns)), "\n")
+    rows.select(lines.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def training_view(rows: DataFrame) -> DataFrame:
     """Only the columns that training needs."""
     return rows.select(*(c for c in TRAINING_COLUMNS if c in rows.columns))
