@@ -216,18 +216,23 @@ def route(url: Column) -> Column:
     )
 
 
+#: Ids in URLs (fixed values).
+PMC, PUBMED = "(PMC[0-9]+)", r"pubmed\.ncbi\.nlm\.nih\.gov/([0-9]+)"
+DOI_RESOLVED, DOI_IN_PATH = r"doi\.org/(10\.[0-9]{4,}/[^\s]+)", r"/(10\.[0-9]{4,}/[^\s?#]+)"
+
+
 def pmc_id(url: Column) -> Column:
-    return F.regexp_extract(url, "(PMC[0-9]+)", 1)
+    return F.regexp_extract(url, PMC, 1)
 
 
 def pubmed_id(url: Column) -> Column:
-    return F.regexp_extract(url, r"pubmed\.ncbi\.nlm\.nih\.gov/([0-9]+)", 1)
+    return F.regexp_extract(url, PUBMED, 1)
 
 
 def doi(url: Column) -> Column:
     """DOI in a URL; of one behind the resolver's host all of the rest counts."""
-    resolver = F.regexp_extract(url, r"doi\.org/(10\.[0-9]{4,}/[^\s]+)", 1)
-    path = F.regexp_extract(url, r"/(10\.[0-9]{4,}/[^\s?#]+)", 1)
+    resolver = F.regexp_extract(url, DOI_RESOLVED, 1)
+    path = F.regexp_extract(url, DOI_IN_PATH, 1)
     return F.regexp_replace(F.when(resolver != "", resolver).otherwise(path), "/+$", "")
 
 

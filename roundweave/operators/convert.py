@@ -54,7 +54,7 @@ def few_shot(target: Column, support: Column, subject: str, lang: str = "en") ->
 
 
 def request_error(messages: Column) -> Column:
-    """What is wrong with a request's messages, or null."""
+    """What is wrong with a request's messages, or null. The error texts are fixed values."""
     rest = F.when(F.get(messages, F.lit(0))["role"] == "system", F.slice(messages, F.lit(2), F.size(messages))).otherwise(messages)
     fits = lambda m, i: F.when(i % 2 == 0, m["role"].isin("user", "tool")).otherwise(m["role"].isin("assistant", "function"))
     return F.when(F.size(messages) == 0, "Invalid length").when(F.size(rest) % 2 == 0, "Only supports u/a/u/a/u...").when(~F.forall(F.transform(rest, fits), lambda ok: ok), "Invalid role")
@@ -78,17 +78,21 @@ TOOLS = [
 
 
 def normalised_call(call: Column) -> Column:
-    """(tool, argument, error) of a call in JSON, with the aliases of names and arguments resolved."""
+    """(tool, argument, error) of a call in JSON, with the aliases of names and arguments resolved. The error texts are fixed values."""
     field = lambda *paths: F.coalesce(*(F.nullif(F.get_json_object(call, f"$.{p}"), F.lit("")) for p in paths))
-    named = T.strip(F.coalesce(field("name", "tool_name"), F.lit("")))
-    name = F.lower(named)
-    tool, argument, error = F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat(F.lit("Invalid tool name '"), named, F.lit("'. Available tools: web_search, visit, code_interpreter, image_search."))
-    for own, aliases, arguments, shown in reversed(TOOLS):
-        value = F.coalesce(field(*(f"arguments.{a}" for a in arguments)), field(*(f"parameters.{a}" for a in arguments)))
-        tool = F.when(name.isin(aliases), own).otherwise(tool)
-        argument = F.when(name.isin(aliases), value).otherwise(argument)
-        error = F.when(name.isin(aliases), F.when(value.isNull(), f"[{own}] Missing '{shown}' argument.")).otherwise(error)
-    return F.struct(tool.alias("tool"), argument.alias("argument"), F.when(named == "", '"name" field is required. Specify a tool name').otherwise(error).alias("error"))
+    given = lambda arguments: F.coalesce(field(*(f"arguments.{a}" for a in arguments)), field(*(f"parameters.{a}" for a in arguments)))
+    known = F.struct(T.strip(F.coalesce(field("name", "tool_name"), F.lit(""))).alias("named"), *(given(arguments).alias(own) for own, _, arguments, _ in TOOLS))
+
+    def resolved(x: Column) -> Column:
+        name = F.lower(x["named"])
+        tool, argument, error = F.lit(None).cast("string"), F.lit(None).cast("string"), F.concat(F.lit("Invalid tool name '"), x["named"], F.lit("'. Available tools: web_search, visit, code_interpreter, image_search."))
+        for own, aliases, _, shown in reversed(TOOLS):
+            tool = F.when(name.isin(aliases), own).otherwise(tool)
+            argument = F.when(name.isin(aliases), x[own]).otherwise(argument)
+            error = F.when(name.isin(aliases), F.when(x[own].isNull(), f"[{own}] Missing '{shown}' argument.")).otherwise(error)
+        return F.struct(tool.alias("tool"), argument.alias("argument"), F.when(x["named"] == "", '"name" field is required. Specify a tool name').otherwise(error).alias("error"))
+
+    return T.let(known, resolved)
 
 
 #: Nudges to a model that didn't follow the format (fixed values).
