@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from roundweave.llm import mixing, near_dedup, pii, toxicity
-from roundweave.llm.common import saved, table
+from roundweave.llm.common import saved, shared_dir, table
 from tests.conftest import SF
 from tests.llm.test_documents import plain_near
 
@@ -37,3 +37,26 @@ def test_empty(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, labels)
     assert docs.count() == 0 and near_dedup.WORDS == 5
+
+
+def test_odd_rows_go_through_all_stages(spark, odd, labels, tmp_path):
+    """Nulls, equal rows, long texts and columns with clashing names, through the whole chain."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = table(spark, str(tmp_path), "documents")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == odd.columns
+    mixed = Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["decoded"]) for r in last) == mixed and 0 < sum(mixed.values()) <= 30
+
+
+def test_what_stages_keep_is_deleted(spark):
+    """Of a run only the input of its last stage stays in the shared folder."""
+    from pathlib import Path
+
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    assert corpus_pipeline.run(spark, SF).count()
+    assert [p.name.split("-")[0] for p in set(folder.iterdir()) - before] == ["mixing"]
