@@ -41,7 +41,7 @@ from roundweave.llm.common import CACHES, only_caches_of, small_batches, utf8
 
 #: Entries after which a table of pieces or pairs, or one of transitions, is started afresh.
 TABLE_ENTRIES = 400_000
-TABLE_STEPS = 150_000
+TABLE_STEPS = 300_000
 #: The usual pre-token pattern of byte-level BPE, and for texts whose letters are
 #: all from Latin-1 the same split by the quicker engine. Fixed values.
 GPT2_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -132,12 +132,15 @@ class MergeTransducer:
         return known
 
     def _apart(self, left: int, right: int) -> bool:
-        bytes_of, ranks, first = self.bytes_of, self.ranks, len(self.ranks) + 1
+        bytes_of, rank, half, first = self.bytes_of, self.ranks.get, self.half.get, len(self.ranks) + 1
         while True:
-            across = ranks.get(bytes_of[left] + bytes_of[right])
-            if across is not None and across < first:
+            if rank(bytes_of[left] + bytes_of[right], first) < first:
                 return False
-            of_left, of_right = self.halves(left), self.halves(right)
+            of_left, of_right = half(left, 0), half(right, 0)
+            if of_left == 0:
+                of_left = self.halves(left)
+            if of_right == 0:
+                of_right = self.halves(right)
             if of_left and (left > right or not of_right):
                 first, left = left, of_left[1]
             elif of_right:
@@ -161,12 +164,14 @@ class MergeTransducer:
                     closed = (*pending, token)
         if closed is not None:
             live.append((closed[-1], 0, closed))
-        agreed, first = len(live[0][2]), live[0][2]
-        for _, _, pending in live:
-            while pending[:agreed] != first[:agreed]:
-                agreed -= 1
+        first = live[0][2]
+        agreed = len(first)
         if agreed:
-            live = [(last, node, pending[agreed:]) for last, node, pending in live]
+            for _, _, pending in live:
+                while pending[:agreed] != first[:agreed]:
+                    agreed -= 1
+            if agreed:
+                live = [(last, node, pending[agreed:]) for last, node, pending in live]
         key = tuple(live)
         to = self.number.get(key)
         if to is None:
