@@ -52,8 +52,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbers of base spans alone, for which there is SQL."""
-    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+    """The base spans alone, for which there is SQL."""
+    return op5_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256")
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,20 +126,68 @@ FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
 
-#: Matches are leftmost and don't overlap, as in the operator; the sum of a card's digits is Luhn's.
-PII_BASE_SQL = r"""
+def _spans_sql(kind: str, no: int, pattern: str, passes: str) -> str:
+    """Spans of one kind in SQL: what lies between the matches and these themselves say where a match begins."""
+    found = f"list_zip(regexp_split_to_array(t, '{pattern}'), regexp_extract_all(t, '{pattern}'))"
+    before = "list_sum(list_transform(z[1:i], lambda y: len(y[1]))) + coalesce(list_sum(list_transform(z[1:i - 1], lambda y: len(y[2]))), 0)"
+    ok = f"list_filter(range(1, len(z)), lambda i: {passes.format(x='z[i][2]')})"
+    return f"SELECT doc_id, {no} AS no, list_transform({ok}, lambda i: {{'a': ({before})::BIGINT, 'no': {no}, 's': '{kind}:' || ({before})::BIGINT || ':' || (({before}) + len(z[i][2]))::BIGINT}}) AS s FROM (SELECT doc_id, {found} AS z FROM d)"
+
+
+DIGITS = "regexp_replace({x}, '[^0-9]', '', 'g')"
+LUHN = f"list_sum(list_transform(range(1, len({DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN reverse({DIGITS})[k]::INT WHEN reverse({DIGITS})[k]::INT > 4 THEN 2 * reverse({DIGITS})[k]::INT - 9 ELSE 2 * reverse({DIGITS})[k]::INT END)) % 10 = 0"
+PII_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split({x}, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 0) > 255)) = 0"),
+    ("card", "[0-9](?:[ -]?[0-9])+", f"len({DIGITS}) BETWEEN 14 AND 19 AND {LUHN}"),
+    ("phone", r"\+[0-9][ ().0-9-]+[0-9]", f"len({DIGITS}) BETWEEN 10 AND 15"),
+]
+PII_BASE_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
-), m AS (
-  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+') AS ip,
-    list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
-    list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS phone FROM d
+), k AS ({' UNION ALL '.join(_spans_sql(kind, no, pattern, passes) for no, (kind, pattern, passes) in enumerate(PII_KINDS))}
+), c AS (SELECT doc_id, flatten(list(s ORDER BY no)) AS s FROM k GROUP BY doc_id)
+SELECT doc_id, {', '.join(f"len(list_filter(s, lambda x: x.no = {no}))::BIGINT AS n_{kind}" for no, (kind, _, _) in enumerate(PII_KINDS))},
+  sha256(coalesce(array_to_string(list_transform(list_sort(s), lambda x: x.s), ','), '')) AS base_sha256 FROM c
+"""
+
+
+#: Marks that repeat are found by their windows of three; runs of equal windows at one distance make longer repeats.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\p{Z}\x{0b}\x{1c}-\x{1f}\x{85}]') AS m FROM documents
+), g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), o AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g
+), r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM o WHERE n > 1) GROUP BY doc_id
+), l AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, l, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id, l) GROUP BY doc_id
+), tri AS (SELECT doc_id, i, array_to_string(m[i:i + 2], ' ') AS g FROM (SELECT doc_id, m, unnest(range(1, len(m) - 1)) AS i FROM d)
+), again AS (SELECT doc_id, i, g FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM tri) WHERE n > 1
+), cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM again
+), fr AS (SELECT cov.doc_id, sum(len(m[i])) AS n FROM cov JOIN d USING (doc_id) GROUP BY cov.doc_id
+), met AS (SELECT a.doc_id, a.i, b.i - a.i AS gap FROM again a JOIN again b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i
+), run AS (SELECT doc_id, count(*) + 2 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, gap ORDER BY i) AS island FROM met) GROUP BY doc_id, gap, island
+), lr AS (SELECT doc_id, max(n) AS n FROM run GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+    coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(w) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(w) AS base_failed,
+    coalesce(fr.n::DOUBLE / list_sum(list_transform(m, lambda x: len(x))), 0) AS repeat_fraction,
+    coalesce(lr.n, CASE WHEN len(list_distinct(list_transform(range(1, len(m)), lambda i: m[i] || ' ' || m[i + 1]))) < len(m) - 1 THEN 2 WHEN len(list_distinct(m)) < len(m) THEN 1 ELSE 0 END)::BIGINT AS longest_repeat
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN fr USING (doc_id) LEFT JOIN lr USING (doc_id)
 )
-SELECT doc_id, len(email)::BIGINT AS n_email,
-  len(list_filter(ip, lambda x: len(list_filter(string_split(x, '.'), lambda p: len(ltrim(p, '0')) > 3 OR coalesce(try_cast(p AS HUGEINT), 0) > 255)) = 0))::BIGINT AS n_ip,
-  len(list_filter(card, lambda x: len(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, len(x) + 1), lambda i:
-    CASE WHEN i % 2 = 1 THEN reverse(x)[i]::INT WHEN reverse(x)[i]::INT > 4 THEN 2 * reverse(x)[i]::INT - 9 ELSE 2 * reverse(x)[i]::INT END)) % 10 = 0))::BIGINT AS n_card,
-  len(list_filter(phone, lambda n: n BETWEEN 10 AND 15))::BIGINT AS n_phone
-FROM m
+SELECT *, NOT base_failed AND repeat_fraction <= 0.3 AND longest_repeat <= 50 AS kept FROM f
+"""
+
+
+#: All windows of 400 bytes, told apart by their digests.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, row_number() OVER () AS r FROM documents
+), w AS (SELECT r, i, md5(b[i:i + 399]) AS h FROM (SELECT r, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d)
+), g AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+), s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM g
+), n AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS no FROM s
+), x AS (SELECT r, no, min(i) AS a, max(i) + 399 AS z FROM n GROUP BY r, no
+), p AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM x GROUP BY r
+), q AS (SELECT doc_id, b, a, coalesce(len(a), 0) AS k, z FROM d LEFT JOIN p USING (r))
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(list_sum(list_transform(range(1, k + 1), lambda j: z[j] - a[j] + 1)), 0)::BIGINT AS n_removed, k::BIGINT AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, k + 1), lambda j: hex(b[CASE WHEN j = 0 THEN 1 ELSE z[j] + 1 END:CASE WHEN j = k THEN octet_length(b) ELSE a[j + 1] - 1 END])), ''))) AS kept_sha256 FROM q
 """
 
 
@@ -190,6 +238,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_quality": OP3_SQL,
+    "op9_substrings": OP9_SQL,
     "op4_near_dedup": OP4_SQL,
     "quality_base": QUALITY_BASE_SQL,
     "pii_base": PII_BASE_SQL,
