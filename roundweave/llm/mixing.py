@@ -8,8 +8,8 @@ targets at every moment. The order is found by a global range sort, and cut
 where the total budget is used up.
 
 Running totals never run over a source in one task: a source is split by hash
-into buckets of some 2,000 rows, their sums are added up first, and running
-sums are taken within buckets. The cut is found the same way, from the sums of
+into buckets of some 2,000 rows, their sums are added up first in groups of as many buckets, and running
+sums are taken over groups, over the buckets of a group, and within buckets. The cut is found the same way, from the sums of
 the sorted ranges; only the range in which the budget ends is run through. Rows of a source that share a key
 (as those without one do) would share a bucket: where there are more than a bucket's rows of them, each gets one of as many
 places in the order as that makes buckets.
@@ -114,9 +114,14 @@ def queue(rows: DataFrame, share: float, max_repeats: int, seed: int) -> DataFra
     targets = saved(source_targets(rows, share, max_repeats), "targets")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("__rows") / BUCKET_ROWS))
     placed = _with_targets(rows, targets).withColumn("__bucket", F.floor(F.col("__key") / F.lit(2.0**52) * buckets))
-    sums = placed.groupBy("__src", "__bucket").agg(F.sum("size").alias("__sum"))
-    before = Window.partitionBy("__src").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(F.col("__src").alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"))
+    sums = placed.groupBy("__src", "__bucket").agg(F.sum("size").alias("__sum")).withColumn("__group", F.floor(F.col("__bucket") / BUCKET_ROWS))
+
+    def before(order: str, *by: str) -> Column:
+        return F.coalesce(F.sum("__sum").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    groups = sums.groupBy("__src", "__group").agg(F.sum("__sum").alias("__sum")).select("__src", "__group", before("__group", "__src").alias("__first"))
+    starts = sums.withColumn("__then", before("__bucket", "__src", "__group")).join(groups, ["__src", "__group"])
+    starts = starts.select(F.col("__src").alias("__s"), F.col("__bucket").alias("__b"), (F.col("__first") + F.col("__then")).alias("__start"))
     within = Window.partitionBy("__src", "__bucket").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     ended = placed.withColumn("__in", F.sum("size").over(within))
     return ended.join(starts, (ended["__src"] == starts["__s"]) & (ended["__bucket"] == starts["__b"])).withColumn("__end", F.col("__start") + F.col("__in")).drop("__s", "__b", "__start", "__in", "__bucket", "__rows")

@@ -589,6 +589,16 @@ def test_rows_with_one_id_are_spread(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_counts(sized).collect()), key=str)
 
 
+def test_places_in_a_queue(spark, monkeypatch):
+    """Running sums over groups of buckets are those over the whole source."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 5)
+    sized = spark.createDataFrame([(i, f"s{i % 2}", 1 + i * i % 11) for i in range(700)], "doc_id long, source string, size long")
+    for source in ("s0", "s1"):
+        rows = sorted(mixing.queue(sized, 1.5, 2, 7).filter(F.col("source") == source).collect(), key=lambda r: (r["__key"], r["doc_id"]))
+        ends = [sum(r["size"] for r in rows[: i + 1]) for i in range(len(rows))]
+        assert [r["__end"] for r in rows] == ends
+
+
 def test_mixed_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r["doc_id"]: r["taken"] // r["size"] for r in queries.op10_mixing(spark, SF).filter("taken > 0").collect()}
