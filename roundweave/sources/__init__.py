@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 MESSAGES = "array<struct<role:string,content:string>>"
 #: What training needs of a sample.
@@ -25,14 +25,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, bad_lin
     """Rows of JSON lines; blank lines are passed over.
 
     ``bad_lines`` is ``fail`` (any is an error), ``skip``, or ``empty`` (any makes the
-    result empty; a pass over the data finds out).
+    result empty; a pass over the data finds out). A line is bad if it isn't JSON or doesn't fit the schema.
     """
     if bad_lines == "skip":
         return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if bad_lines == "empty":
-        bad = spark.read.text(path).filter("trim(value) <> '' AND try_parse_json(value) IS NULL")
-        return rows if bad.isEmpty() else spark.createDataFrame([], rows.schema)
+        kept = StructType([*rows.schema.fields, StructField("__bad", StringType())])
+        lines = spark.read.text(path).filter("trim(value) <> ''").select(F.from_json("value", kept, {"columnNameOfCorruptRecord": "__bad"}).alias("r")).select("r.*")
+        return rows if lines.filter("__bad IS NOT NULL").isEmpty() else spark.createDataFrame([], rows.schema)
     if bad_lines != "fail":
         raise ValueError(f"bad_lines can't be {bad_lines}")
     return rows

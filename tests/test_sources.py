@@ -37,6 +37,13 @@ def test_arrow_files(spark, tmp_path, stream):
     assert got.columns == ["a", "b", "c"] and sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame(rows).collect() * 2))
 
 
+def test_lines_that_do_not_fit(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"v": 1}\n\n{"v": "text"}\n')
+    (tmp_path / "b.jsonl").write_text('{"v": 1}\n\n{"v": null}\n')
+    assert sources.read_jsonl(spark, str(tmp_path / "a.jsonl"), "v int", "empty").count() == 0
+    assert sources.read_jsonl(spark, str(tmp_path / "b.jsonl"), "v int", "empty").count() == 2
+
+
 def test_infos(spark, tmp_path):
     data = str(tmp_path / "x.jsonl")
     (tmp_path / "x.jsonl").write_text('{"v": 1}\n{"v": 2}\n')
