@@ -21,7 +21,8 @@ Edge cases: vectors are compared with those of the same length only; an empty
 vector scores 0; an empty table gives an empty table; ties go to the smaller id;
 a null id takes no part; repeated rows are candidates like others, each with a rank of its own; rows that
 share a query's id are not its candidates, and of several such queries the one
-with the smallest vector counts; columns with clashing names are not read.
+with the smallest vector counts; columns with clashing names are not read. Queries are dealt out to blocks by a hash of their ids; should
+a block get more than twice its share, which distinct ids don't lead to by chance, that is an error (ValueError) and no row is left out.
 """
 
 from __future__ import annotations
