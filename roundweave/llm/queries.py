@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roundweave.llm import bpe, html, mixing, near_dedup, pii, quality, search, substrings, token_counts, toxicity
+from roundweave.llm import bpe, html, manifest, mixing, near_dedup, pii, quality, search, substrings, token_counts, toxicity
 from roundweave.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and whether it still proves once some are tampered with."""
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
@@ -222,6 +227,42 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+def _leaf_sql(*fields: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
+
+
+#: The crc32 is folded bit by bit, without the last complement, so an odd one here is even there. Trees grow level by level; ``f`` and ``z`` go up with a tampered leaf.
+OP13_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_leaf_sql("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+    {_leaf_sql("doc_id", "source", "lang", "n_chars", "CASE WHEN c % 2 = 1 THEN replace(text, chr(10), '') ELSE text END")} AS tampered
+  FROM (SELECT *, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda crc, x: list_reduce(range(8), lambda y, i: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END, xor(crc, x)), 4294967295) AS c FROM documents)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM d
+), t(source, level, i, h, n) AS (
+  SELECT source, 0, i, leaf, n FROM o
+  UNION ALL SELECT source, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY source, level, i // 3
+), runs AS (SELECT source, level, i // 3 AS j, list(h ORDER BY i) AS run FROM t GROUP BY source, level, i // 3
+), so AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1
+), u(level, i, h, n) AS (
+  SELECT 0, i, subroot, n FROM so
+  UNION ALL SELECT level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3
+), tops AS (SELECT level, i // 3 AS j, list(h ORDER BY i) AS run FROM u GROUP BY level, i // 3
+), f(r, source, level, i, h, proof, n) AS (
+  SELECT r, source, 0, i, tampered, '', n FROM o
+  UNION ALL SELECT f.r, f.source, f.level + 1, f.i // 3, sha256(array_to_string(run[1:f.i % 3] || [f.h] || run[f.i % 3 + 2:], '')), f.proof || array_to_string(run[1:f.i % 3] || run[f.i % 3 + 2:], ''), (n + 2) // 3
+  FROM f JOIN runs ON f.source IS NOT DISTINCT FROM runs.source AND f.level = runs.level AND f.i // 3 = runs.j WHERE n > 1
+), z(r, level, i, h, proof, n) AS (
+  SELECT r, 0, so.i, h, proof, so.n FROM f JOIN so ON f.source IS NOT DISTINCT FROM so.source WHERE f.n = 1
+  UNION ALL SELECT z.r, z.level + 1, z.i // 3, sha256(array_to_string(run[1:z.i % 3] || [z.h] || run[z.i % 3 + 2:], '')), z.proof || array_to_string(run[1:z.i % 3] || run[z.i % 3 + 2:], ''), (n + 2) // 3
+  FROM z JOIN tops ON z.level = tops.level AND z.i // 3 = tops.j WHERE n > 1
+)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, z.h AS folded_root, z.h = u.h AS verified
+FROM d JOIN so ON d.source IS NOT DISTINCT FROM so.source JOIN z ON z.r = d.r AND z.n = 1 JOIN u ON u.n = 1
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -235,6 +276,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_mixing": op10_mixing,
+    "op13_manifest": op13_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -245,4 +287,5 @@ ORACLES: dict[str, str] = {
     "pii_base": PII_BASE_SQL,
     "op7_search": OP7_SQL,
     "op10_mixing": OP10_SQL,
+    "op13_manifest": OP13_SQL,
 }
