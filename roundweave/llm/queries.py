@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roundweave.llm import bpe, html, manifest, mixing, near_dedup, pii, quality, search, substrings, token_counts, toxicity
+from roundweave.llm import bpe, html, manifest, mixing, near_dedup, pii, quality, search, substrings, token_counts, toxicity, whitening
 from roundweave.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -84,6 +84,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(sized).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to eight whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact part of the whitening, for which there is SQL."""
+    return op11_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether it still proves once some are tampered with."""
     return manifest.manifest(table(spark, sf_dir, "documents"))
@@ -227,6 +237,16 @@ SELECT query_id, rank, vec_id, score FROM (
 """
 
 
+WHITENING_DEVIATION_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::HUGEINT + 100000) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), e AS (SELECT r, vec_id, unnest(range(len(x))) AS i, unnest(x) AS x FROM v
+), s AS (SELECT i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM e GROUP BY i)
+SELECT any_value(vec_id) AS vec_id, any_value(n)::BIGINT AS n, sum((n * x - s) * (n * x - s))::BIGINT AS deviation FROM e JOIN s USING (i) GROUP BY r
+"""
+
+
 def _leaf_sql(*fields: str) -> str:
     return "sha256(" + " || ".join(f"coalesce(octet_length(encode({f}::VARCHAR)) || ':' || {f}::VARCHAR, '-')" for f in fields) + ")"
 
@@ -276,6 +296,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_substrings": op9_substrings,
     "op10_mixing": op10_mixing,
+    "op11_whitening": op11_whitening,
+    "whitening_deviation": whitening_deviation,
     "op13_manifest": op13_manifest,
 }
 
@@ -287,5 +309,6 @@ ORACLES: dict[str, str] = {
     "pii_base": PII_BASE_SQL,
     "op7_search": OP7_SQL,
     "op10_mixing": OP10_SQL,
+    "whitening_deviation": WHITENING_DEVIATION_SQL,
     "op13_manifest": OP13_SQL,
 }
