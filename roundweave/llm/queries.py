@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from roundweave.llm import bpe, html, manifest, mixing, near_dedup, pii, quality, search, substrings, token_counts, toxicity, whitening
+from roundweave.llm import bpe, html, manifest, mixing, near_dedup, permutations, pii, quality, search, substrings, token_counts, toxicity, whitening
 from roundweave.llm.common import table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -94,6 +94,12 @@ def whitening_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_whitening(spark, sf_dir).filter("component = 1").select("vec_id", "n", "deviation")
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest others of every hundredth vector, as far as the permutation index finds them."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return permutations.nearest(vectors, vectors["vec_id"] % 100 == 0, k=10)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, subroot, root and proof of every document, and whether it still proves once some are tampered with."""
     return manifest.manifest(table(spark, sf_dir, "documents"))
@@ -298,6 +304,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
     "op11_whitening": op11_whitening,
     "whitening_deviation": whitening_deviation,
+    "op12_neighbours": op12_neighbours,
     "op13_manifest": op13_manifest,
 }
 

@@ -44,8 +44,8 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~bad & (F.size(vector) > 0)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
-    """Length, keys and whole numbers of vectors, by length, at most ``BLOCK_ROWS`` at once."""
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_ROWS) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """Length, keys and whole numbers of vectors, by length, at most so many at once."""
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -56,15 +56,15 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array,
         starts = np.cumsum(lengths) - lengths
         for d in np.unique(lengths):
             mine = np.flatnonzero(lengths == d)
-            for i in range(0, len(mine), BLOCK_ROWS):
-                part = mine[i : i + BLOCK_ROWS]
+            for i in range(0, len(mine), most):
+                part = mine[i : i + most]
                 c = flat[starts[part][:, None] + np.arange(d)].astype(np.float64)
                 yield int(d), keys.take(pa.array(part)), np.floor(c * SCALE).astype(np.int64) + SHIFT
 
     for batch in batches:
         held.append(batch)
         rows += len(batch)
-        if rows >= BLOCK_ROWS:
+        if rows >= most:
             yield from cut()
             held, rows = [], 0
     if rows:

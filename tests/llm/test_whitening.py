@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from roundweave.llm import queries, whitening
@@ -48,9 +49,8 @@ def test_sql(spark, duck):
 
 
 @pytest.mark.parametrize("scale, d", [(1e-3, 3), (1.0, 12), (1e6, 4), (1e13, 3)])
-def test_scales(spark, monkeypatch, scale, d):
-    """Numbers of one to many digits, over many blocks and tasks."""
-    monkeypatch.setattr(whitening, "BLOCK_ROWS", 16)
+def test_scales(spark, scale, d):
+    """Numbers of one to many digits, over many tasks."""
     rng = random.Random(d)
     rows = [(i, [rng.gauss(5, 1) * scale * (c + 1) for c in range(d)]) for i in range(150)]
     check(rows, whitening.whiten(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect())
@@ -71,6 +71,17 @@ def test_slices_are_exact(bits):
             assert sum(int(p[i, j]) << (20 * at) for at, p in enumerate(planes)) == sum(row[i] * row[j] for row in numbers)
 
 
+def test_blocks():
+    """Batches come out as blocks of one length, every row once and with its key."""
+    rows = [(i, [float(i)] * (2 + i % 3)) for i in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i for i, _ in part]), pa.array([v for _, v in part], pa.list_(pa.float64()))], names=["vec_id", "v"]) for part in (rows[:7], rows[7:20], rows[20:])]
+    seen = []
+    for d, keys, x in whitening._blocks(iter(batches), 6):
+        assert x.shape == (len(keys), d) and len(x) <= 6
+        seen += [(key, [float(v - 100_000) / 1024 for v in row]) for key, row in zip(keys.to_pylist(), x)]
+    assert sorted(seen) == rows
+
+
 def test_no_cancellation(spark):
     """A spread of 2^-10 around 10^9: squares in floating point would have lost it."""
     rows = [(i, [1e9 + (i % 7) / 1024, 1e9 + (i * i % 11) / 1024]) for i in range(77)]
