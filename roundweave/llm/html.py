@@ -21,17 +21,20 @@ and the ratios only confirm it; names take out what lies around and in it. On a
 such elements and without telling names the ratios alone decide.
 
 One pass without a shuffle, and one page in memory at a time. Time and memory are in
-proportion to the page, however deep its elements lie in each other.
+proportion to the page, however deep its elements lie in each other and however much of its markup is never ended: the parser gets the
+page up to its last ``>``, after which nothing can end, and does not look twice for the end of a comment or section that isn't there.
 
 Edge cases: a null page counts as empty and has an empty text; broken or unclosed
-markup is read as far as it goes; repeated rows give equal rows; an empty table
+markup is read as far as it goes, and what comes after the last ``>`` as text; a marked section of no known kind
+is a comment up to the next ``>``; repeated rows give equal rows; an empty table
 gives an empty table; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -54,6 +57,8 @@ NOT_CONTENT = re.compile(rf"(?:^|[_-]){WORDS}s?(?:$|[_-])", re.IGNORECASE)
 ONLY_WORD = re.compile(rf"{WORDS}s?", re.IGNORECASE)
 #: Words that only say what a page has, as in has-sidebar or comments-open.
 SAYS_ONLY = re.compile(r"^(?:has|have|is|no|not|with|without|show|hide)[_-]|[_-](?:open|closed|enabled|disabled|on|off)$", re.IGNORECASE)
+#: Marked sections that the parser knows.
+SECTION = re.compile(r"<!\[(temp|cdata|ignore|include|rcdata|if|else|endif)(?![\w.-])", re.IGNORECASE)
 SIGMA = 1.0
 #: What the innermost container must hold of the upper cluster's text.
 SHARE = 0.9
@@ -147,6 +152,33 @@ class PageEvents(HTMLParser):
         self.bodies: set[int] = set()
         self.blocks: list[Block] = []
         self.now: Block | None = None
+        self.endless: dict[str, int] = {}  # from where on no comment and no section has an end
+
+    def read(self, page: str) -> None:
+        """All events of a page."""
+        end = page.rfind(">") + 1
+        self.feed(page[:end])
+        self.close()
+        if end < len(page):
+            self.handle_data(unescape(page[end:]) if not self.cdata_elem else page[end:])
+
+    def _ended(self, kind: str, i: int, find: Callable[[int, int], int], report: int) -> int:
+        """Where a comment or section ends; -1 if nowhere, for which the page is searched once."""
+        if i >= self.endless.get(kind, i + 1):
+            return -1
+        end = find(i, report)
+        if end < 0:
+            self.endless[kind] = i
+        return end
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._ended("-->", i, super().parse_comment, report)
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        name = SECTION.match(self.rawdata, i)
+        if not name:
+            return self.parse_bogus_comment(i, report)
+        return self._ended("]>" if name[1].lower() in ("if", "else", "endif") else "]]>", i, super().parse_marked_section, report)
 
     def _place(self, *tags: str) -> int:
         """Depth of the innermost open element of one of some tags; -1 if there is none."""
@@ -274,8 +306,7 @@ def without_suspects(blocks: Blocks, suspects: Tree) -> Blocks:
 def read(page: str, by_name: bool = True, in_form: bool = False) -> tuple[Blocks, PageEvents]:
     """The blocks of a page that may be content, with their words."""
     events = PageEvents(by_name, in_form)
-    events.feed(page)
-    events.close()
+    events.read(page)
     return without_suspects([(w, b) for b in events.blocks if (w := " ".join("".join(b.parts).split()))], events.suspects), events
 
 

@@ -29,8 +29,7 @@ terms deals out a term's entities over ``SALTS`` tasks.
 Edge cases: a null text counts as empty, and has no spans; repeated rows give
 equal rows; rows with the same id and other texts, or a null id, are kept apart;
 an empty table gives an empty table; in sanitised text overlapping spans are
-replaced as one, by what stands for the first; columns of the input keep their names,
-and internal ones start with ``__``.
+replaced as one, by what stands for the first; columns of the input keep their names and values, whatever they are called.
 """
 
 from __future__ import annotations
@@ -251,11 +250,12 @@ def personal_data(docs: DataFrame, text: str = "text", support: int = SUPPORT) -
 
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT) -> DataFrame:
     """``docs`` with all spans of the text replaced; ``n_chars``, if there, follows the text."""
-    found = all_spans(docs, text, support).filter(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__found"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__found"])
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    both = rows.join(found, rows["doc_id"].eqNullSafe(found["__id"]) & (rows["__hash"] == found["__found"]), "left")
+    found = all_spans(docs, text, support).filter(F.size("spans") > 0).select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), "spans").dropDuplicates(["found_id", "found_hash"])
+    # the row goes along as one column, so none of its names can clash with those of spans
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"))
+    both = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")) & (F.col("hash") == F.col("found_hash")), "left")
     stand_in = F.array(*(F.lit(f"<{kind.upper()}>") for kind in KINDS))
-    body = F.col(text)
+    body = F.col("row").getField(text)
 
     def step(acc: Column, s: Column) -> Column:
         put = F.when(s["value"] == "remove", "").otherwise(F.element_at(stand_in, s["kind"] + 1))
@@ -263,8 +263,10 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT) -> Dat
         out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), put)).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    made = F.aggregate("__spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    both = both.withColumn(text, F.when(F.col("__spans").isNotNull(), made).otherwise(body))
-    if "n_chars" in docs.columns:
-        both = both.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return both.select(*docs.columns)
+    made = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
+    both = both.withColumn("made", F.when(F.col("spans").isNotNull(), made))
+    put = {c: F.col("row").getField(c) for c in docs.columns}
+    put[text] = F.coalesce("made", put[text])
+    if "n_chars" in put:
+        put["n_chars"] = F.coalesce(F.length("made").cast(docs.schema["n_chars"].dataType), put["n_chars"])
+    return both.select(*(column.alias(c) for c, column in put.items()))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __text string, key string, id long, label int, size int, score double, node long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __text string, key string, id long, label int, size int, score double, node long, __id long, __hash string, __spans string, __found long, __key string, __row int, row int, hash string, spans int, found_id long, made string"
 
 
 def odd_rows():
@@ -13,7 +13,7 @@ def odd_rows():
         (None, "a row without an id and with some words"), (None, None), (6, "ab"), (7, "é日😀 " * 30), (8, "+1 (936) 555-7063 a.b@c.example 10.0.0.1 4111111111111111"),
         (9, "same words again " * 40), (10, "same words again " * 40), (11, "x" * 5000),
     ]
-    return [(i, t, None if n % 5 == 0 else "en", None if n % 4 == 0 else f"s{n % 3}", None if t is None else len(t), "clash", None, 1, None, n, 0.5, None) for n, (i, t) in enumerate(texts)]
+    return [(i, t, None if n % 5 == 0 else "en", None if n % 4 == 0 else f"s{n % 3}", None if t is None else len(t), "clash", None, 1, None, n, 0.5, None, 70 + n, f'h{n}', 'sp', n, None, n, n, 'h', n, None, 'm') for n, (i, t) in enumerate(texts)]
 
 
 @pytest.fixture(scope="session")

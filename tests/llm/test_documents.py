@@ -44,6 +44,15 @@ def test_filters_keep_columns(odd, none, labels):
     assert mixing.mix(none).count() == toxicity.drop_toxic(none, labels).count() == near_dedup.drop_near_duplicates(none).count() == 0
 
 
+def test_sanitise_keeps_all_other_columns(odd):
+    """Only texts with personal data and their lengths change, whatever other columns are called."""
+    before, after = (Counter(map(tuple, rows.collect())) for rows in (odd, pii.sanitise(odd)))
+    ((old,), (new,)) = (list((a - b).elements()) for a, b in ((before, after), (after, before)))
+    text, size = odd.columns.index("text"), odd.columns.index("n_chars")
+    assert old[0] == 8 and new[text] == "<PHONE> <EMAIL> <IP> 4111111111111111" and new[size] == len(new[text])
+    assert [v for i, v in enumerate(old) if i not in (text, size)] == [v for i, v in enumerate(new) if i not in (text, size)]
+
+
 # token counts
 
 
@@ -407,7 +416,7 @@ def test_terms_by_brute_force(spark, texts):
 
 
 def test_terms_add_spans_on_real_tables(spark):
-    """What is left of values that a pattern misses is found by its terms, and nothing in documents without personal data."""
+    """On the given prose terms are what is left of phone numbers that run into an address; documents without personal data have none."""
     got = pii.personal_data(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("n_term > 0").collect()
     assert len(got) >= 1 and all(r["n_email"] + r["n_ip"] + r["n_card"] + r["n_phone"] > 0 for r in got)
 

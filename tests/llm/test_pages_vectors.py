@@ -132,6 +132,36 @@ def test_time_follows_the_page(page):
     assert time.process_time() - began < 20
 
 
+UNENDED = ["<a ", "<p a='", '<p a="', "<!--", "<![CDATA[", "<![if ", "</", "</p ", "<?", "<!d", "<script></", "<title></t", "<a b='>", "<a b='\" c", "<!-- >", "<![CDATA[ >", "<![x ", "<![x >", "<p a='>\"", "&#", "&am", "<a b=c'"]
+
+
+@pytest.mark.parametrize("end", ["", ">", "</p>"])
+@pytest.mark.parametrize("unended", UNENDED)
+def test_time_follows_markup_without_end(unended, end):
+    import time
+
+    page = f"<p>{LONG}</p>" + unended * (1_000_000 // len(unended)) + end
+    began = time.process_time()
+    assert pages.main_text(page).startswith(LONG)
+    assert time.process_time() - began < 15
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>a</p><p>b <a href", "a b <a href"),
+        ("<p>a &lt; b</p>c &amp; d <e", "a < b c & d <e"),
+        ("<p>a</p><!-- b <p>c</p>", "a <!-- b <p>c"),
+        ("<p>a<![foo bar>b</p><![&>c", "ab c"),
+        ("<p>a<![CDATA[x > y]]>b<![if z]>c<![endif]>d</p>", "abcd"),
+        ("<p>a</p><script>var x = 1 <", "a"),
+        ("<p>a</p><!-- b > c --><p>d</p><!-- e", "a d <!-- e"),
+    ],
+)
+def test_unended(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_memory_follows_the_page():
     import tracemalloc
 
