@@ -64,11 +64,20 @@ def accuracy_by(rows: DataFrame, group: str, correct: str) -> DataFrame:
     return sets.select(F.when(F.col("g") == 1, "Average").otherwise(F.col(group)).alias("category"), "n", "accuracy")
 
 
+def sequence_offsets(mask: Column) -> Column:
+    """Where the sequences packed in a mask (1, 2, ... and 0 for padding) begin among its places without padding, and their end; one pass after a sort."""
+
+    def starts(s: Column) -> Column:
+        last = F.size(s) - 1
+        own = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return F.when(last >= 0, F.concat(own, F.array(last + 1))).otherwise(F.array(F.lit(0)))
+
+    return T.let(F.sort_array(F.filter(mask, lambda x: x > 0)), starts)
+
+
 def sequence_lengths(mask: Column) -> Column:
-    """Lengths of the sequences packed in a mask (1, 2, ... and 0 for padding), in order."""
-    top = F.coalesce(F.array_max(mask), F.lit(0))
-    lengths = F.transform(F.sequence(F.lit(0), top), lambda k: F.size(F.filter(mask, lambda x: (x == k) & (k > 0))))
-    return F.filter(lengths, lambda n: n > 0)
+    """Lengths of the sequences packed in a mask, in order."""
+    return T.let(sequence_offsets(mask), lambda o: F.transform(F.slice(o, F.lit(2), F.size(o) - 1), lambda end, i: end - F.get(o, i)))
 
 
 def running_offsets(lengths: Column) -> Column:

@@ -1,6 +1,6 @@
 """Queries over the reference operators, with the SQL they are checked against."""
 
-from roundweave.plans import conversation, tables
+from roundweave.plans import conversation, packing, tables  # noqa: F401  packing registers its queries with those of tables
 
 QUERIES: dict = conversation.QUERIES | tables.QUERIES
 
@@ -11,10 +11,3 @@ def _recursive(sql: str) -> str:
 
 
 ORACLES: dict[str, str] = {name: _recursive(sql) for name, sql in (conversation.ORACLES | tables.ORACLES).items()}
-
-#: Queries over tagged turns, replies and traces, which are also found under these names of old.
-WHOLE = """conv_stats tag_parse canonical_turn evict_rounds merge_messages rephrase_merge merge_images drop_images critical_path_status critical_path_messages
-grounding status_counts first_examples reduction_summary saved_hist multi_tag_rate question_text tool_calls clean_messages reply_parts trace_rollup""".split()
-
-QUERIES |= {f"whole_{name}": QUERIES[name] for name in WHOLE}
-ORACLES |= {f"whole_{name}": ORACLES[name] for name in WHOLE}

@@ -170,9 +170,9 @@ l AS (SELECT vec_id, list_filter(list_transform(range(1, 4), lambda k: len(list_
 SELECT vec_id, array_to_string(l, ',') AS lengths, '0' || coalesce(',' || nullif(array_to_string(list_transform(range(1, len(l) + 1), lambda i: list_sum(l[1:i])), ','), ''), '') AS offsets, coalesce(list_max(l), 0)::BIGINT AS longest FROM l""")
 def packing_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = F.array_sort(F.transform("embedding", lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int")))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", stats.sequence_lengths(mask).alias("l"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", stats.sequence_lengths(mask).alias("l"), stats.sequence_offsets(mask).alias("o"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    return rows.select("vec_id", text(F.col("l")).alias("lengths"), text(stats.running_offsets(F.col("l"))).alias("offsets"), F.coalesce(F.array_max("l"), F.lit(0)).cast("long").alias("longest"))
+    return rows.select("vec_id", text(F.col("l")).alias("lengths"), text(F.col("o")).alias("offsets"), F.coalesce(F.array_max("l"), F.lit(0)).cast("long").alias("longest"))
 
 
 # selection

@@ -6,6 +6,9 @@ import pytest
 from roundweave.plans import ORACLES, QUERIES
 from tests.conftest import same_rows
 
+#: Queries over tagged turns, replies and traces.
+TAGGED = """conv_stats tag_parse canonical_turn evict_rounds merge_messages rephrase_merge merge_images drop_images critical_path_status critical_path_messages
+grounding status_counts first_examples reduction_summary saved_hist multi_tag_rate question_text tool_calls clean_messages reply_parts trace_rollup""".split()
 LONG = "Ärger im Süden: 日本語のテキスト 😀\nnext line\twith a tab, 12.5% " * 20 + "Zürich North Lake 1987 the end"
 
 
@@ -25,12 +28,12 @@ def test_all_characters_count(spark, long_turns):
     least = {}
     for conv, _, role, text in rows:
         least[conv] = least.get(conv, 0) + (role != "system") * len(text)
-    assert all(r["total_chars"] > least[r["conv_id"]] for r in QUERIES["whole_conv_stats"](spark, folder).collect())
-    for name, column in (("whole_question_text", "question"), ("whole_reply_parts", "think")):
+    assert all(r["total_chars"] > least[r["conv_id"]] for r in QUERIES["conv_stats"](spark, folder).collect())
+    for name, column in (("question_text", "question"), ("reply_parts", "think")):
         assert all("the end" in r[column] and "日本語のテキスト 😀\nnext" in r[column] for r in QUERIES[name](spark, folder).collect() if r[column] != "s")
 
 
-@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("whole_")))
+@pytest.mark.parametrize("name", TAGGED)
 def test_whole(spark, long_turns, name):
     db = duckdb.connect()
     db.sql(f"CREATE VIEW conversations AS SELECT * FROM '{long_turns[0]}/conversations.parquet/*.parquet'")
