@@ -32,6 +32,17 @@ def converter(name: str):
     return CONVERTERS[name]
 
 
+#: Columns that a converter takes, in its order.
+CONVERTED = {"alpaca": ("system", "instruction", "input", "output")}
+
+
+def converted(rows: DataFrame, name: str, kept: tuple[str, ...] = ("at",)) -> DataFrame:
+    """``messages`` made by a converter of the columns that it takes, absent ones as null; of the others only ``kept`` ones stay."""
+    make = converter(name)
+    taken = (F.col(c) if c in rows.columns else F.lit(None).cast("string") for c in CONVERTED[name])
+    return rows.select(*(c for c in kept if c in rows.columns), make(*taken).alias("messages"))
+
+
 #: Wordings of multiple-choice prompts by language (fixed values).
 CHOICE_TEMPLATES = {
     "en": ("The following are multiple choice questions (with answers) about {subject}.\n\n", "\nAnswer:"),

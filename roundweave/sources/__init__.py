@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from roundweave.operators.convert import converted
+from roundweave.operators.index import SourceIndex, resampled
+
 MESSAGES = "array<struct<role:string,content:string>>"
 #: What training needs of a sample.
 TRAINING_COLUMNS = ("messages", "images", "system")
@@ -83,15 +87,20 @@ def format_of(path: str) -> str:
     return FORMATS.get(path.rsplit(".", 1)[-1].lower(), "parquet")
 
 
-def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
-    """A file or a folder of files, by the suffix of the first."""
+def file_format(spark: SparkSession, path: str) -> tuple[str, str]:
+    """Format of a file or a folder of files, by the suffix of the first, and the name that it follows from."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     name = path
     if fs.getFileStatus(hadoop).isDirectory():
         names = sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if not f.getPath().getName().startswith(("_", ".")))
         name = names[0] if names else path
-    fmt = format_of(name)
+    return format_of(name), name
+
+
+def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
+    """A file or a folder of files, by the suffix of the first."""
+    fmt, name = file_format(spark, path)
     if fmt == "arrow":
         return read_arrow(spark, path, **options)
     if fmt == "csv":
@@ -123,19 +132,59 @@ def source_infos(where: str | dict[str, dict]) -> dict[str, dict]:
     return {os.path.basename(where.rstrip("/")).split(".")[0]: {"file_name": where}}
 
 
-def load_sources(spark: SparkSession, infos: str | dict[str, dict], split: str = "train") -> dict[str, DataFrame]:
-    """Sources by name; an info has ``file_name`` and may have ``size`` (first rows) and ``split``.
+#: Formats whose readers may count lines without parsing them.
+LINES = ("json", "csv", "text")
+
+
+def with_numbers(rows: DataFrame, fmt: str = "parquet", name: str = "_idx") -> DataFrame:
+    """Rows just read from files with their number from 0: by the names of the files, and in the order of each file.
 
-    Only sources of the split asked for are loaded; one without a split is for training.
+    Rows of a split are numbered in a row as they are read, so the number of a row follows from its split's first row and from how many rows
+    the splits before have; no row is moved, and how files are split makes no difference. Rows of Arrow files, which aren't read in
+    splits, are numbered in the order in which Spark reads the files.
+    """
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    where = [F.lit(""), F.spark_partition_id().cast("long")] if fmt == "arrow" else [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    placed = rows.select(*columns, where[0].alias("__file"), where[1].alias("__split"), F.monotonically_increasing_id().alias("__line"))
+    # the readers of lines pass over blank ones only where they parse them, so their columns have to be read here as well
+    read = F.max(F.xxhash64(*columns)) if fmt in LINES else F.lit(0)
+    counts = placed.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("__n"), F.min("__line").alias("__first"), read.alias("__read")).filter("__read IS NOT NULL")
+    before = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__file", "__split", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return placed.join(starts, ["__file", "__split"]).select(*columns, (F.col("__line") + F.col("__shift")).alias(name))
+
+
+def _of_split(infos: str | dict[str, dict], split: str) -> dict[str, dict]:
+    """Infos of the sources of a split; one without a split is for training."""
+    return {name: info for name, info in source_infos(infos).items() if info.get("split", "train") == split}
+
+
+def load_sources(spark: SparkSession, infos: str | dict[str, dict], split: str = "train", seed: int = 0) -> dict[str, DataFrame]:
+    """Sources of a split by name; an info has ``file_name`` and may have ``size`` (so many rows), ``weight`` (times as many), ``converter`` and ``split``.
+
+    Sizes are met exactly, by rows at even distances in the order of the files; where a source has too few, some come more often than others, by one at most.
     """
     found = {}
-    for name, info in source_infos(infos).items():
-        if info.get("split", "train") == split:
-            rows = read_any(spark, info["file_name"])
-            found[name] = rows.limit(info["size"]) if info.get("size") else rows
+    for name, info in _of_split(infos, split).items():
+        rows = read_any(spark, info["file_name"])
+        if info.get("size") is not None or info.get("weight") is not None:
+            numbered = with_numbers(rows, file_format(spark, info["file_name"])[0], "__row")
+            rows = resampled(numbered, "__row", numbered.count(), info.get("size"), info.get("weight"), seed, "__entry").drop("__row", "__entry")
+        found[name] = converted(rows, info["converter"]) if info.get("converter") else rows
     return found
 
 
+def load_index(spark: SparkSession, infos: str | dict[str, dict], split: str = "train", seed: int = 0) -> SourceIndex:
+    """An index over the sources of a split, each with its size, weight and converter; one that asks to be streamed makes it a streaming one."""
+    found = _of_split(infos, split)
+    named = {name: with_numbers(read_any(spark, info["file_name"]), file_format(spark, info["file_name"])[0]) for name, info in found.items()}
+    of = lambda what: {name: info[what] for name, info in found.items() if info.get(what) is not None}
+    streaming = any_streaming(found)
+    counts = {name: 0 if streaming else rows.count() for name, rows in named.items()}
+    adjusted = ({}, {}) if streaming else (of("size"), of("weight"))
+    return SourceIndex(named, "_idx", counts, *adjusted, seed, {name: partial(converted, name=way) for name, way in of("converter").items()}, streaming)
+
+
 def any_streaming(infos: str | dict[str, dict]) -> bool:
     """Whether one of the sources asks to be streamed; then all are."""
     return any(bool(info.get("streaming")) for info in source_infos(infos).values())
