@@ -8,6 +8,9 @@ until ``compact`` drops it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,6 +150,65 @@ def rephrased_by(rows: DataFrame, cache: DataFrame) -> DataFrame:
     return rows.join(maps, "conv_id", "left").withColumn("rephrased", F.coalesce("rephrased", none))
 
 
+def thoughts(rows: DataFrame) -> DataFrame:
+    """``key, joined``: the distinct joined thoughts of all groups of ``rows`` (``messages, groups``), with their SHA-256."""
+    contents = lambda g: F.filter(F.transform(g, lambda q: F.get(F.col("messages"), 2 * q - 3)["content"]), lambda c: c.isNotNull())
+    groups = F.filter("groups", lambda g: (F.size(g) > 1) & ~F.array_contains(g, 1))
+    asked = rows.select(F.explode(F.transform(groups, lambda g: joined_thinks(contents(g)))).alias("joined"))
+    return asked.filter("joined <> ''").distinct().select(F.sha2("joined", 256).alias("key"), "joined")
+
+
+def asked(distinct: DataFrame, call: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
+    """``key, value``: what a rephraser makes of each thought; thoughts for which it fails have no row.
+
+    The callable is handed lists of at most ``batch`` texts and gives as many back. If it raises, gives another number, or one that isn't a text with
+    something in it, the thoughts of that list are asked one by one, and those that fail alone are left out: the plain join takes their place.
+    """
+
+    def one_by_one(texts: list[str]) -> list[str | None]:
+        found = []
+        for text in texts:
+            try:
+                answer = call([text])
+            except Exception:  # whatever a rephraser raises, the row is kept as it is
+                answer = [None]
+            found.append(answer[0] if len(answer) == 1 and isinstance(answer[0], str) and answer[0].strip() else None)
+        return found
+
+    def answers(texts: list[str]) -> list[str | None]:
+        try:
+            found = list(call(texts))
+        except Exception:
+            return one_by_one(texts)
+        good = len(found) == len(texts) and all(isinstance(a, str) and a.strip() for a in found)
+        return found if good else one_by_one(texts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                made = pd.DataFrame({"key": part["key"].to_numpy(), "value": pd.Series(answers(part["joined"].tolist()), dtype="object").to_numpy()})
+                yield made[made["value"].notna()]
+
+    return distinct.mapInPandas(run, "key string, value string")
+
+
+def rephrased_with(rows: DataFrame, call: Callable[[list[str]], list[str]], path: str, batch: int = 16, tasks: int | None = None) -> DataFrame:
+    """``rows`` with ``rephrased``, for ``merged``, by a callable whose answers are kept at ``path``.
+
+    A thought is asked once, however many groups have it and however often this is called: answers are written to the cache before they are used,
+    and only thoughts that it lacks are asked. ``tasks`` is how many calls may run at a time.
+    """
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.createDataFrame([], "key string, value string")
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    cache = spark.read.schema(known.schema).parquet(path) if there else known
+    new = thoughts(rows).join(cache.select("key"), "key", "left_anti")
+    asked(new.repartition(tasks, "key") if tasks else new, call, batch).write.mode("append").parquet(path)
+    return rephrased_by(rows, spark.read.schema(known.schema).parquet(path))
+
+
 def merged_images(dealt: Column, groups: Column) -> Column:
     """Images of merged rounds moved to the first round of their group, per slot."""
     n = F.size(dealt)

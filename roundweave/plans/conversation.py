@@ -244,6 +244,30 @@ def rephrase_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("conv_id", "turn", F.sha2("joined", 256).alias("key"), F.map_contains_key("rephrased", F.col("joined")).alias("cached"), F.regexp_extract("content", "(?s)^<think>(.*?)</think>", 1).alias("think")))
 
 
+#: A rephraser that fails for every third length of a text, stood in for by a function.
+def _in_short(texts: list[str]) -> list[str]:
+    if any(len(t) % 3 == 0 for t in texts):
+        raise ValueError("no answer")
+    return [f"In short: {t}" for t in texts]
+
+
+CALLED_SQL = REPHRASED_SQL.split("kn AS (")[0] + """kn AS (SELECT DISTINCT joined FROM jt WHERE len(joined) % 3 <> 0 AND joined <> '')
+SELECT jt.conv_id, jt.pos AS turn, kn.joined IS NOT NULL AS answered, CASE WHEN kn.joined IS NOT NULL THEN 'In short: ' || jt.joined ELSE jt.joined END AS think FROM jt LEFT JOIN kn ON jt.joined = kn.joined"""
+
+
+@query(CALLED_SQL)
+def rephrase_called(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thoughts of merged rounds after a rephraser was asked; where it fails the joined thoughts stay."""
+    rows = _groups(edited(spark, sf_dir)).select("conv_id", "messages", "groups")
+    told = edit.rephrased_by(rows, edit.asked(edit.thoughts(rows), _in_short, batch=4))
+    contents = F.filter(F.transform("g", lambda q: F.get(F.col("messages"), 2 * q - 3)["content"]), lambda c: c.isNotNull())
+    turn = 2 * F.get("g", F.lit(0)) - 3
+    several = F.filter("groups", lambda g: F.size(F.filter(g, lambda q: 2 * q - 3 < F.size("messages"))) > 1)
+    new = told.withColumn("new", edit.merged(F.col("messages"), F.col("groups"), pairwise=False, rephrased=F.col("rephrased"))).withColumn("g", F.explode(several))
+    found = new.select("conv_id", turn.alias("turn"), "rephrased", edit.joined_thinks(contents).alias("joined"), F.get("new", turn)["content"].alias("content"))
+    return longs(found.select("conv_id", "turn", F.map_contains_key("rephrased", F.col("joined")).alias("answered"), F.regexp_extract("content", "(?s)^<think>(.*?)</think>", 1).alias("think")))
+
+
 def _with_images(rows: DataFrame) -> DataFrame:
     named = F.flatten(F.transform("messages", lambda m, i: F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), F.lit(1), T.count_images(m["content"])), lambda k: F.concat(F.lit("img_"), i, F.lit("_"), k))))
     return rows.withColumn("dealt", edit.images_by_message(F.col("messages"), named))
