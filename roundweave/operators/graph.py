@@ -98,6 +98,27 @@ def prune_leaves(edges: Column) -> Column:
     return F.aggregate(edges, F.struct(edges.alias("now"), F.lit(False).alias("done")), step, lambda state: state["now"])
 
 
+def prune_labels(edges: Column) -> Column:
+    """The same for ids that are texts: the largest is that by number while all ids that are left are whole numbers, else that by text.
+
+    A number is compared in its plain form, so an id like ``007`` is never the largest.
+    """
+
+    def top(ids: Column) -> Column:
+        numbers = F.transform(ids, lambda i: F.trim(i).cast("decimal(38,0)"))
+        return F.when(F.forall(ids, lambda i: F.regexp_like(i, F.lit(r"^\s*[+-]?[0-9]{1,37}\s*$"))), F.array_max(numbers).cast("string")).otherwise(F.array_max(ids))
+
+    def one_pass(now: Column) -> Column:
+        known = F.struct(F.array_distinct(F.transform(now, lambda e: e["src"])).alias("sources"), T.let(nodes_of(now), top).alias("top"))
+        return T.let(known, lambda k: F.filter(now, lambda e: F.array_contains(k["sources"], e["dst"]) | (e["dst"] == k["top"])))
+
+    def step(state: Column, _: Column) -> Column:
+        again = T.let(one_pass(state["now"]), lambda left: F.struct(left.alias("now"), (F.size(left) == F.size(state["now"])).alias("done")))
+        return F.when(state["done"], state).otherwise(again)
+
+    return F.aggregate(edges, F.struct(edges.alias("now"), F.lit(False).alias("done")), step, lambda state: state["now"])
+
+
 def parents_of(edges: Column, node: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(edges, lambda e: e["dst"] == node), lambda e: e["src"])))
 
