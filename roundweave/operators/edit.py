@@ -45,9 +45,14 @@ def _gathered(contents: Column, assistant: bool) -> Column:
     return T.assistant_text(*parts)
 
 
+def all_thinks(contents: Column) -> Column:
+    """The thoughts of several turns that have something in them."""
+    return F.filter(F.flatten(F.transform(contents, T.thinks)), lambda t: t != "")
+
+
 def joined_thinks(contents: Column) -> Column:
     """All thoughts of several turns, joined: what is rephrased, and what its hash is looked up by."""
-    return F.array_join(F.filter(F.flatten(F.transform(contents, T.thinks)), lambda t: t != ""), T.JOIN_THINKS)
+    return F.array_join(all_thinks(contents), T.JOIN_THINKS)
 
 
 def _rephrased(turn: Column, joined: Column, by: Column) -> Column:
@@ -55,32 +60,43 @@ def _rephrased(turn: Column, joined: Column, by: Column) -> Column:
     return T.let(F.struct(turn.alias("t"), joined.alias("j")), lambda x: F.concat(F.lit("<think>"), F.coalesce(F.element_at(by, x["j"]), x["j"]), F.substring(x["t"], F.length(x["j"]) + 8, F.length(x["t"]))))
 
 
-def merged(messages: Column, groups: Column, pairwise: bool = True, rephrased: Column | None = None) -> Column:
+def merged(messages: Column, groups: Column, pairwise: bool = True, rephrased: Column | None = None, listed: Column | None = None) -> Column:
     """Rounds of each group merged into its first; the turns of the others become null.
 
     ``groups`` is an array of ascending round numbers per group. ``pairwise`` merges one
-    round after the other, so that the note on several responses is put on once per step;
-    else all parts are gathered first. ``rephrased`` is a map from joined
-    thoughts to what replaces them (gathered merging only); what isn't in it stays.
+    round after the other, so that the note on several responses is put on once per step, and what has no partner stays as it is;
+    else all parts are gathered first, and the first turns of a group are built anew from what there is. ``rephrased`` is a map from joined
+    thoughts, two or more, to what replaces them (gathered merging only); what isn't in it stays.
+
+    ``listed`` says of each message whether its content is a list of parts, which can't be merged. Pairwise, a turn like that
+    stays, and so do all turns that would go into one. Gathered, it gives nothing and goes like others.
     """
     n = F.size(messages)
     groups = F.filter(groups, lambda g: (F.size(g) > 1) & ~F.array_contains(g, 1))
-    removed = slots_of(F.flatten(F.transform(groups, lambda g: F.slice(g, F.lit(2), F.size(g) - 1))), n)
+    is_list = lambda k: F.lit(False) if listed is None else F.coalesce(F.get(listed, k), F.lit(False))
+    stays = lambda first, k: is_list(k) | is_list(first) if pairwise else F.lit(False)
+
+    def gone(g: Column) -> Column:
+        first = F.get(g, F.lit(0))
+        pairs = lambda r: F.array(F.struct((2 * first - 3).alias("first"), (2 * r - 3).alias("k")), F.struct((2 * first - 2).alias("first"), (2 * r - 2).alias("k")))
+        return F.filter(F.flatten(F.transform(F.slice(g, F.lit(2), F.size(g) - 1), pairs)), lambda p: (p["k"] < n) & ~stays(p["first"], p["k"]))
+
+    removed = F.transform(F.flatten(F.transform(groups, gone)), lambda p: p["k"])
 
     def turn(m: Column, i: Column) -> Column:
         r = F.floor((i + 3) / 2).cast("int")
         mine = F.get(F.filter(groups, lambda g: (F.get(g, F.lit(0)) == r) & (i > 0)), F.lit(0))
         assistant = i % 2 == 1
-        at = F.filter(F.transform(mine, lambda q: F.when(assistant, 2 * q - 3).otherwise(2 * q - 2)), lambda k: (k < n) & F.get(messages, k).isNotNull())
+        at = F.filter(F.transform(mine, lambda q: F.when(assistant, 2 * q - 3).otherwise(2 * q - 2)), lambda k: (k < n) & F.get(messages, k).isNotNull() & ~is_list(k))
 
         def joined(contents: Column) -> Column:
             if pairwise:
                 one, two = _fold(contents, T.merge_assistant), _fold(contents, T.merge_user)
-            else:
-                one, two = _gathered(contents, True), _gathered(contents, False)
-                if rephrased is not None:
-                    one = _rephrased(one, joined_thinks(contents), rephrased)
-            return F.when(F.size(contents) < 2, m["content"]).when(assistant, one).otherwise(two)
+                return F.when((F.size(contents) < 2) | is_list(i), m["content"]).when(assistant, one).otherwise(two)
+            one, two = _gathered(contents, True), _gathered(contents, False)
+            if rephrased is not None:
+                one = F.when(F.size(all_thinks(contents)) > 1, _rephrased(one, joined_thinks(contents), rephrased)).otherwise(one)
+            return F.when(assistant, one).otherwise(two)
 
         content = T.let(F.transform(at, lambda k: F.coalesce(F.get(messages, k)["content"], F.lit(""))), joined)
         return F.when(F.array_contains(removed, i), None).when(mine.isNotNull() & m.isNotNull(), F.struct(m["role"].alias("role"), content.alias("content"))).otherwise(m)
@@ -88,6 +104,29 @@ def merged(messages: Column, groups: Column, pairwise: bool = True, rephrased: C
     return F.transform(messages, turn)
 
 
+def is_listed(content: Column) -> Column:
+    """Whether a content (VARIANT) is a list of parts and not a text."""
+    return F.coalesce(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), F.lit(False))
+
+
+def as_texts(messages: Column) -> Column:
+    """Messages with VARIANT contents as messages with texts, for statistics, evidence and all else that reads texts only; a list is null."""
+    text = lambda c: F.when(F.schema_of_variant(c) == "STRING", F.variant_get(c, "$", "string"))
+    return F.transform(messages, lambda m: F.when(m.isNotNull(), F.struct(m["role"].alias("role"), text(m["content"]).alias("content"))))
+
+
+def merged_parts(messages: Column, groups: Column, pairwise: bool = True, rephrased: Column | None = None) -> Column:
+    """``merged`` of messages whose contents are VARIANT: a text or a list of parts. Lists that stay are as they were."""
+
+    def made(x: Column) -> Column:
+        new = merged(x["texts"], groups, pairwise, rephrased, x["listed"])
+        whole = lambda m, i: F.when(m.isNotNull(), F.struct(m["role"].alias("role"), F.when(m["content"].isNotNull(), m["content"].cast("variant")).otherwise(F.get(messages, i)["content"]).alias("content")))
+        return F.transform(new, whole)
+
+    listed = F.transform(messages, lambda m: is_listed(m["content"]))
+    return T.let(F.struct(as_texts(messages).alias("texts"), listed.alias("listed")), made)
+
+
 def images_by_message(messages: Column, images: Column) -> Column:
     """A flat list of images dealt out to messages by their image tokens; null if the numbers differ."""
     return F.when(image_count(messages) == F.size(images), dealt_images(messages, images))
@@ -151,28 +190,29 @@ def rephrased_by(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def thoughts(rows: DataFrame) -> DataFrame:
-    """``key, joined``: the distinct joined thoughts of all groups of ``rows`` (``messages, groups``), with their SHA-256."""
+    """``key, joined``: the distinct joined thoughts of all groups of ``rows`` (``messages, groups``) that have two or more, with their SHA-256."""
     contents = lambda g: F.filter(F.transform(g, lambda q: F.get(F.col("messages"), 2 * q - 3)["content"]), lambda c: c.isNotNull())
     groups = F.filter("groups", lambda g: (F.size(g) > 1) & ~F.array_contains(g, 1))
-    asked = rows.select(F.explode(F.transform(groups, lambda g: joined_thinks(contents(g)))).alias("joined"))
-    return asked.filter("joined <> ''").distinct().select(F.sha2("joined", 256).alias("key"), "joined")
+    several = F.filter(F.transform(groups, contents), lambda c: F.size(all_thinks(c)) > 1)
+    asked = rows.select(F.explode(F.transform(several, joined_thinks)).alias("joined"))
+    return asked.distinct().select(F.sha2("joined", 256).alias("key"), "joined")
 
 
 def asked(distinct: DataFrame, call: Callable[[list[str]], list[str]], batch: int = 16) -> DataFrame:
     """``key, value``: what a rephraser makes of each thought; thoughts for which it fails have no row.
 
-    The callable is handed lists of at most ``batch`` texts and gives as many back. If it raises, gives another number, or one that isn't a text with
-    something in it, the thoughts of that list are asked one by one, and those that fail alone are left out: the plain join takes their place.
+    The callable is handed lists of at most ``batch`` texts and gives as many back, which are stripped. If it raises, gives another number, or one that isn't a
+    text, the thoughts of that list are asked one by one, and those that fail alone are left out: the plain join takes their place.
     """
 
     def one_by_one(texts: list[str]) -> list[str | None]:
         found = []
         for text in texts:
             try:
-                answer = call([text])
+                answer = list(call([text]))
             except Exception:  # whatever a rephraser raises, the row is kept as it is
                 answer = [None]
-            found.append(answer[0] if len(answer) == 1 and isinstance(answer[0], str) and answer[0].strip() else None)
+            found.append(answer[0].strip() if len(answer) == 1 and isinstance(answer[0], str) else None)
         return found
 
     def answers(texts: list[str]) -> list[str | None]:
@@ -180,8 +220,8 @@ def asked(distinct: DataFrame, call: Callable[[list[str]], list[str]], batch: in
             found = list(call(texts))
         except Exception:
             return one_by_one(texts)
-        good = len(found) == len(texts) and all(isinstance(a, str) and a.strip() for a in found)
-        return found if good else one_by_one(texts)
+        good = len(found) == len(texts) and all(isinstance(a, str) for a in found)
+        return [a.strip() for a in found] if good else one_by_one(texts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -18,6 +18,7 @@ from roundweave.plans.inputs import (
     sql_assistant,
     sql_bodies,
     sql_join,
+    sql_json,
     sql_responses,
     sql_strip,
     sql_thinks,
@@ -199,13 +200,15 @@ def _groups(rows: DataFrame) -> DataFrame:
     return rows.withColumn("groups", graph.merge_lists(graph.strict_groups(F.col("pruned"))))
 
 
-def _merged_sql(user: str) -> str:
+def _merged_sql(user: str, gathered: bool = False) -> str:
+    """Turns of groups put together; gathered ones are built anew even if they have no partner."""
+    alone = "NOT grouped" if gathered else "len(cs) = 1"
     cs = "list(content ORDER BY r)"
     flat = lambda f: f"flatten(list_transform(cs, lambda c_: {f('c_')}))"
     made = sql_assistant(flat(sql_thinks), flat(lambda c: sql_bodies(c, "tool_call")), flat(lambda c: sql_bodies(c, "answer")))
     return f"""WITH {OWNER_SQL},
-    gr AS (SELECT conv_id, owner, side, q, min(pos) AS pos, any_value(role) AS role, {cs} AS cs FROM ow GROUP BY conv_id, owner, side, q)
-    SELECT conv_id, pos AS turn, role, CASE WHEN len(cs) = 1 THEN cs[1] WHEN side = 1 THEN {made} ELSE {user} END AS content FROM gr"""
+    gr AS (SELECT conv_id, owner, side, q, min(pos) AS pos, any_value(role) AS role, bool_or(grouped) AS grouped, {cs} AS cs FROM ow GROUP BY conv_id, owner, side, q)
+    SELECT conv_id, pos AS turn, role, CASE WHEN {alone} THEN cs[1] WHEN side = 1 THEN {made} ELSE {user} END AS content FROM gr"""
 
 
 @query(_merged_sql(f"list_reduce(cs, lambda u_, v_: {sql_user('list_concat(' + sql_responses('u_') + ', ' + sql_responses('v_') + ')')})"))
@@ -215,7 +218,7 @@ def merge_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("conv_id", "turn", "m.role", "m.content"))
 
 
-@query(_merged_sql(sql_user(f"flatten(list_transform(cs, lambda c_: {sql_responses('c_')}))")))
+@query(_merged_sql(sql_user(f"flatten(list_transform(cs, lambda c_: {sql_responses('c_')}))"), gathered=True))
 def rephrase_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same, with the parts of a group gathered first, and no thought rephrased."""
     none = F.create_map().cast("map<string,string>")
@@ -244,6 +247,54 @@ def rephrase_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("conv_id", "turn", F.sha2("joined", 256).alias("key"), F.map_contains_key("rephrased", F.col("joined")).alias("cached"), F.regexp_extract("content", "(?s)^<think>(.*?)</think>", 1).alias("think")))
 
 
+#: Turns whose content is a list of parts: those but the question with (conv_id + turn) % 4 = 0. ``lead`` is the turn that a turn would go into.
+def _parts_sql(user: str, gathered: bool) -> str:
+    sql = _merged_sql(user, gathered)
+    as_list = f"""CASE WHEN l THEN concat('[{{"text":', {sql_json('content')}, ',"type":"text"}}]') ELSE content END"""
+    own = "ow0 AS (SELECT *, pos > 0 AND (conv_id + pos) % 4 = 0 AS l, CASE WHEN side = 1 THEN owner * 2 - 3 ELSE owner * 2 - 2 END AS lead FROM ow9),"
+    if gathered:
+        rows = f"ow AS (SELECT * REPLACE (CASE WHEN l AND grouped THEN NULL ELSE {as_list} END AS content) FROM ow0),"
+    else:
+        rows = f"ow AS (SELECT * REPLACE (CASE WHEN l OR (pos > 0 AND (conv_id + lead) % 4 = 0) THEN r ELSE owner END AS owner, {as_list} AS content) FROM ow0),"
+    sql = sql.replace("ow AS (SELECT rd.conv_id", "ow9 AS (SELECT rd.conv_id", 1).replace("gr AS (SELECT conv_id, owner", f"{own}\n    {rows}\n    gr AS (SELECT conv_id, owner", 1)
+    return sql.replace("list(content ORDER BY r) AS cs", "list_filter(list(content ORDER BY r), lambda c_: c_ IS NOT NULL) AS cs", 1)
+
+
+def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with groups, and contents (VARIANT) of which some are lists of parts."""
+    parts = lambda m: F.to_variant_object(F.array(F.struct(F.lit("text").alias("type"), m["content"].alias("text"))))
+    content = lambda m, i: F.when((i > 0) & ((F.col("conv_id") + i) % 4 == 0), parts(m)).otherwise(m["content"].cast("variant"))
+    return _groups(edited(spark, sf_dir)).withColumn("messages", F.transform("messages", lambda m, i: F.struct(m["role"].alias("role"), content(m, i).alias("content"))))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    """Texts as they are and lists as JSON."""
+    turns = rows.select("conv_id", F.posexplode("m").alias("turn", "m")).filter("m IS NOT NULL")
+    content = F.col("m.content")
+    return longs(turns.select("conv_id", "turn", "m.role", F.when(edit.is_listed(content), F.to_json(content)).otherwise(F.variant_get(content, "$", "string")).alias("content")))
+
+
+@query(_parts_sql(f"list_reduce(cs, lambda u_, v_: {sql_user('list_concat(' + sql_responses('u_') + ', ' + sql_responses('v_') + ')')})", gathered=False))
+def merge_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merging one by one where some contents are lists: these stay, and so does what would go into them."""
+    return _shown(_parted(spark, sf_dir).select("conv_id", edit.merged_parts(F.col("messages"), F.col("groups")).alias("m")))
+
+
+@query(_parts_sql(sql_user(f"flatten(list_transform(cs, lambda c_: {sql_responses('c_')}))"), gathered=True))
+def rephrase_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gathered merging where some contents are lists: these give nothing, and go."""
+    none = F.create_map().cast("map<string,string>")
+    return _shown(_parted(spark, sf_dir).select("conv_id", edit.merged_parts(F.col("messages"), F.col("groups"), pairwise=False, rephrased=none).alias("m")))
+
+
+@query(f"""WITH {TAGGED_SQL}, tx AS (SELECT conv_id, CASE WHEN pos > 0 AND (conv_id + pos) % 4 = 0 THEN '' ELSE content END AS content FROM tg)
+SELECT conv_id, count(*)::BIGINT AS n_msgs, sum(coalesce(list_sum(list_transform(regexp_extract_all(content, '(?s)<think>(.*?)</think>', 1), lambda x: len(x))), 0))::BIGINT AS think_chars,
+       sum(len(content))::BIGINT AS total_chars FROM tx GROUP BY conv_id""")
+def parts_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of texts, where some contents are lists."""
+    return longs(_parted(spark, sf_dir).select("conv_id", stats.message_stats(edit.as_texts(F.col("messages"))).alias("s")).select("conv_id", "s.*"))
+
+
 #: A rephraser that fails for every third length of a text, stood in for by a function.
 def _in_short(texts: list[str]) -> list[str]:
     if any(len(t) % 3 == 0 for t in texts):

@@ -163,5 +163,5 @@ OWNER_SQL = f"""{GRAPH_SQL},
 rd AS (SELECT tg.*, (pos + 3) // 2 AS r FROM tg),
 ow AS (SELECT rd.conv_id, rd.pos, rd.role, rd.content, rd.r,
          CASE WHEN pos > 0 AND k > 1 AND least > 1 THEN least ELSE rd.r END AS owner, CASE WHEN pos = 0 THEN 0 ELSE pos % 2 END AS side,
-         CASE WHEN pos = 0 THEN -1 ELSE 0 END AS q
+         CASE WHEN pos = 0 THEN -1 ELSE 0 END AS q, coalesce(pos > 0 AND k > 1 AND least > 1, false) AS grouped
        FROM rd LEFT JOIN lb ON rd.conv_id = lb.conv_id AND rd.r = lb.node AND rd.pos > 0)"""

@@ -140,3 +140,46 @@ def test_critical_path_order(spark):
         ("no_messages", ""), ("bad_structure", ""), ("non_reducible", "no_middle_rounds"), ("parse_json", ""), ("bad_status", "odd"), ("illogical", ""),
         ("skipped", "remove_all_middle"), ("non_reducible", "grounding_loss:1999"), ("reduce", ""), ("reduce", ""),
     ]
+
+
+PARTS = "conv_id int, messages array<struct<role:string,content:variant>>, groups array<array<int>>"
+
+
+def test_lists_of_parts(spark):
+    """Pairwise, a list stays and nothing goes into one; gathered, it gives nothing and goes."""
+    import json
+
+    part = [{"type": "text", "text": "seen"}]
+    turn = lambda k, listed=(): part if k in listed else f"<think>t{k}</think><tool_call>c{k}</tool_call>" if k % 2 else f"<tool_response>r{k}</tool_response>"
+    cases = {0: (), 1: (3,), 2: (1,), 3: (2, 3), 4: (1, 3, 5), 5: (4,)}
+    rows = [(i, [("assistant" if k % 2 else "user", json.dumps(turn(k, listed))) for k in range(7)]) for i, listed in cases.items()]
+    table = spark.createDataFrame(rows, "i int, m array<struct<role:string,content:string>>")
+    table = table.select("i", F.transform("m", lambda m: F.struct(m["role"].alias("role"), F.parse_json(m["content"]).alias("content"))).alias("m"))
+    groups = F.array(F.array(F.lit(2), F.lit(3), F.lit(4)))
+
+    def got(pairwise):
+        shown = lambda m: F.when(m.isNotNull(), F.to_json(m["content"]))
+        return {r["i"]: [None if c is None else json.loads(c) for c in r["c"]] for r in table.select("i", F.transform(edit.merged_parts(F.col("m"), groups, pairwise), shown).alias("c")).collect()}
+
+    think = lambda *ks: f"<think>{';'.join(f'{chr(10) if n else str()}t{k}' for n, k in enumerate(ks))}</think><tool_call>{chr(10).join(f'c{k}' for k in ks)}</tool_call>"
+    one = got(True)
+    assert one[0][1] == think(1, 3, 5) and one[0][3] is None and one[0][5] is None
+    assert one[1][1] == think(1, 5) and one[1][3] == part and one[1][5] is None
+    assert one[2][1] == part and one[2][3] == turn(3) and one[2][5] == turn(5) and one[2][4] is None
+    assert one[3][1] == think(1, 5) and one[3][2] == part and one[3][4] == turn(4) and one[3][6] == turn(6)
+    assert one[4][1::2] == [part, part, part]
+    two = got(False)
+    assert all(two[i][k] is None for i in cases for k in (3, 4, 5, 6))
+    assert two[1][1] == think(1, 5) and two[2][1] == think(3, 5) and two[4][1] == "<think></think><tool_call></tool_call>"
+    texts = table.select(F.explode(F.flatten(F.collect_list(F.transform(edit.as_texts(F.col("m")), lambda m: m["content"]))))).collect()
+    assert sum(r[0] is None for r in texts) == sum(map(len, cases.values()))
+
+
+def test_single_turn_of_a_group_is_built_anew_when_gathered(spark):
+    """The last round has no turn of the user; what it would have been merged with is put into canonical form all the same."""
+    messages = [("user", "q"), ("assistant", "<think>a</think><tool_call>c</tool_call>"), ("user", "<tool_response>x</tool_response><tool_response>y</tool_response>"), ("assistant", "<think>b</think><answer>z</answer>")]
+    row = spark.createDataFrame([(messages, [[2, 3]])], "m array<struct<role:string,content:string>>, g array<array<int>>")
+    made = row.select(edit.merged(F.col("m"), F.col("g"), pairwise=False).alias("gathered"), edit.merged(F.col("m"), F.col("g")).alias("pairwise")).first()
+    assert made["gathered"][2]["content"] == "<tool_response>Previous tool call results:\nx\ny</tool_response>"
+    assert made["pairwise"][2]["content"] == messages[2][1]
+    assert made["gathered"][1]["content"] == made["pairwise"][1]["content"] == "<think>a;\nb</think><answer>z</answer>"

@@ -72,20 +72,20 @@ def test_rephraser(spark, tmp_path):
         if "bad" in "".join(texts) and len(texts) > 1:
             raise RuntimeError("one of these")
         if texts[0].startswith("bad"):
-            return [] if "empty" in texts[0] else [" "] if "blank" in texts[0] else [3]
+            return [] if "empty" in texts[0] else None if "none" in texts[0] else [3]
         os.makedirs(log, exist_ok=True)
         for t in texts:
             with open(f"{log}/{uuid.uuid4().hex}", "w") as f:
                 f.write(t)
-        return [t.upper() for t in texts]
+        return [f" {t.upper()}\n" for t in texts]
 
-    rows = spark.createDataFrame([conversation(i, ["one", "two", "three", "bad empty", "x"], [[2, 3], [5, 6]]) for i in range(6)] + [conversation(9, ["bad blank", "y"], [[2, 3]]), conversation(10, ["bad", "z"], [[2, 3]]), conversation(11, ["", ""], [[2, 3]]), conversation(12, ["q", "w"], [[1, 2, 3]])], MESSAGES).repartition(4)
+    rows = spark.createDataFrame([conversation(i, ["one", "two", "three", "bad empty", "x"], [[2, 3], [5, 6]]) for i in range(6)] + [conversation(9, ["bad none", "y"], [[2, 3]]), conversation(10, ["bad", "z"], [[2, 3]]), conversation(11, ["", ""], [[2, 3]]), conversation(12, ["q", "w"], [[1, 2, 3]])], MESSAGES).repartition(4)
     cache = str(tmp_path / "cache")
     for _ in range(2):
         told = edit.rephrased_with(rows, call, cache, batch=3, tasks=2)
         new = {r["conv_id"]: r["m"] for r in told.select("conv_id", edit.merged(F.col("messages"), F.col("groups"), pairwise=False, rephrased=F.col("rephrased")).alias("m")).collect()}
         assert [m["content"] if m else None for m in new[0]][1::2] == ["<think>ONE;\nTWO</think><tool_call>{}\n{}</tool_call>", None, "<think>three</think><tool_call>{}</tool_call>", "<think>bad empty;\nx</think><tool_call>{}\n{}</tool_call>", None]
-        assert new[9][1]["content"].startswith("<think>bad blank;\ny</think>") and new[10][1]["content"].startswith("<think>bad;\nz</think>")
+        assert new[9][1]["content"].startswith("<think>bad none;\ny</think>") and new[10][1]["content"].startswith("<think>bad;\nz</think>")
         assert new[11][1]["content"].startswith("<think></think>") and new[12][1]["content"].startswith("<think>q</think>")
     import os
 
