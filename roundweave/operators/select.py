@@ -73,6 +73,36 @@ def _digest(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """``rows`` in an order by chance, which the seed and the keys say, however the table is split: range-sorted by digests, so part by part and row by row.
+
+    Rows with one key stand beside each other, in any order.
+    """
+    order = _digest(F.col(key), seed)
+    return rows.withColumn("__order", order).repartitionByRange("__order", key).sortWithinPartitions("__order", key).drop("__order")
+
+
+def buffer_place(number: Column, buffer: int, seed: int) -> Column:
+    """Where a bounded buffer lets a row go: with a dense number i, somewhere from i to i + buffer - 1.
+
+    Rows go in the order of this, and of ``buffer_order`` among those with one place; so at any time at most ``buffer`` rows are held back. It depends on the number and
+    the seed only, so batches and streams give the same order on any split.
+    """
+    return number + F.floor(_draw(number, seed) * buffer)
+
+
+def buffer_order(number: Column, buffer: int, seed: int) -> list[Column]:
+    """What to sort by."""
+    return [buffer_place(number, buffer, seed), _digest(number, seed)]
+
+
+def buffer_shuffled(rows: DataFrame, key: str, buffer: int, seed: int) -> DataFrame:
+    """``rows`` with a dense number ``key`` in the order of a shuffle with a bounded buffer."""
+    place, tie = buffer_order(F.col(key), buffer, seed)
+    made = rows.withColumn("__place", place).withColumn("__tie", tie)
+    return made.repartitionByRange("__place", "__tie").sortWithinPartitions("__place", "__tie").drop("__place", "__tie")
+
+
 def sample(rows: DataFrame, key: str, k: int, seed: int) -> DataFrame:
     """k rows without replacement (all, if fewer), the same for the same seed."""
     return rows.orderBy(_digest(F.col(key), seed), key).limit(k)

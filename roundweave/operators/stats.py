@@ -103,6 +103,41 @@ def throughput(tokens: Column, epochs: float, seconds: float) -> Column:
     return F.sum(tokens) * epochs / seconds
 
 
+#: Floating-point operations a second of devices at half precision (fixed values).
+DEVICE_FLOPS = {"H100": 989e12, "H800": 989e12, "A100": 312e12, "A800": 312e12, "V100": 125e12, "4090": 98e12}
+
+
+def model_flops(config: Column, batch: Column, length: Column, backward: bool = True, recompute: bool = False, flash_attention: bool = False) -> Column:
+    """Floating-point operations of a training step of a decoder of some shape.
+
+    ``config`` is a struct (hidden, vocab, intermediate, heads, kv_heads, layers, tied). Twice a product counts as one multiplication and one addition.
+    In doubles, as the numbers pass 2^63.
+    """
+    part = lambda name: config[name].cast("double")
+    hidden, batch, length = part("hidden"), batch.cast("double"), length.cast("double")
+    mlp = 3 * 2 * hidden * part("intermediate")
+    grouped = F.floor(2 * hidden * hidden * part("kv_heads") / part("heads")).cast("double")
+    projections = 2 * (2 * hidden * hidden) + 2 * grouped
+    scores = 2 * 2 * hidden * length * length * batch * part("layers")
+    inner = batch * length * part("layers") * (mlp + projections) + scores
+    embedding = batch * length * hidden * part("vocab") * F.when(config["tied"], 1.0).otherwise(2.0)
+    total = (1 + 2 * backward + recompute) * inner + (1 + 2 * backward) * embedding
+    return total + scores if flash_attention else total
+
+
+def device_flops(name: Column, devices: Column) -> Column:
+    """What so many devices can do a second, by their name; an error for one that isn't known."""
+    known = F.lit(None).cast("double")
+    for device, flops in reversed(DEVICE_FLOPS.items()):
+        known = F.when(F.contains(name, F.lit(device)), flops).otherwise(known)
+    return F.coalesce(known, F.raise_error(F.concat(F.lit("no device like "), F.coalesce(name, F.lit("null")))).cast("double")) * devices
+
+
+def utilisation(steps_a_second: Column, step_flops: Column, available: Column) -> Column:
+    """The share of what the devices can do that a training run uses."""
+    return steps_a_second * step_flops / available
+
+
 def smoothed(values: Column) -> Column:
     """Exponential smoothing whose weight is a sigmoid of the length."""
     weight = F.lit(1.8) * (F.lit(1.0) / (F.lit(1.0) + F.exp(-0.05 * F.size(values))) - 0.5)

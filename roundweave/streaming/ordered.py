@@ -4,6 +4,9 @@ Every row has a number, from 0 without gaps once all have arrived. A batch adds
 the numbers that follow without a gap on what was written are written next, and the others are held back. What was
 written and what is held back after a batch becomes valid with one small commit file, so a crash at any point leaves the state of the batch before, and
 the batch is done again. A batch that was committed isn't done twice.
+
+The same sink shuffles with a bounded buffer: a row then goes to a place behind its own number, and is written once all numbers up to that
+place have come, as none that comes later can stand before it.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from roundweave.operators.select import buffer_place, buffer_shuffled
+
 
 class Folder:
     """Small files in a folder of any file system that Spark can write to."""
@@ -51,11 +56,13 @@ class OrderedSink:
     """A ``foreachBatch`` function that appends rows to ``path`` in the order of ``key``.
 
     A number that comes again, in one batch or later, counts once: the first stays; within a batch it is any one of them. Numbers
-    under ``first``, and null ones, are an error, as they could never be written.
+    under ``first``, and null ones, are an error, as they could never be written. ``buffer`` shuffles the rows within
+    as many places, by ``seed``; what is still held back when all rows have come is written by ``finish``.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "_idx", first: int = 0):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "_idx", first: int = 0, buffer: int = 1, seed: int = 0):
         self.spark, self.schema, self.key, self.first = spark, schema, key, first
+        self.buffer, self.seed = buffer, seed
         self.folder = Folder(spark, path)
 
     def _last(self) -> dict:
@@ -78,18 +85,32 @@ class OrderedSink:
         # what there is now is kept for good before its end is looked for, as a stream's rows may not come alike twice
         name = f"held/{batch_id:012d}"
         held.unionByName(new).write.mode("overwrite").parquet(f"{self.folder.path}/{name}-all")
+        place = buffer_place(key, self.buffer, self.seed)
         there = self._rows(f"{name}-all")
-        numbers = there.select(key.cast("long").alias("n"))
-        end = self._end(numbers, start)
+        end = self._end(there.select(key.cast("long").alias("n")), start)
         part = f"rows/{batch_id:012d}"
         if end > start:
-            there.filter(key < end).repartitionByRange(self.key).sortWithinPartitions(self.key).write.mode("overwrite").json(f"{self.folder.path}/{part}")
-        there.filter(key >= end).write.mode("overwrite").parquet(f"{self.folder.path}/{name}")
+            self._write(there.filter(place < end), part)
+        there.filter(place >= end).write.mode("overwrite").parquet(f"{self.folder.path}/{name}")
         self._commit({"batch": batch_id, "next": end, "held": name, "parts": [*last["parts"], part] if end > start else last["parts"]})
         self.folder.delete(f"{name}-all")
         if last["held"]:
             self.folder.delete(last["held"])
 
+    def _write(self, rows: DataFrame, part: str) -> None:
+        buffer_shuffled(rows, self.key, self.buffer, self.seed).write.mode("overwrite").json(f"{self.folder.path}/{part}")
+
+    def finish(self) -> None:
+        """Writes what the buffer still holds, when no more rows come. Rows behind a number that is missing stay held back."""
+        last = self._last()
+        part, name, key = f"rows/{last['batch']:012d}-end", f"held/{last['batch']:012d}-end", F.col(self.key)
+        held = self._rows(last["held"])
+        self._write(held.filter(key < last["next"]), part)
+        held.filter(key >= last["next"]).write.mode("overwrite").parquet(f"{self.folder.path}/{name}")
+        self.folder.put(f"commits/{last['batch']:012d}-end", last | {"held": name, "parts": [*last["parts"], part]})
+        if last["held"]:
+            self.folder.delete(last["held"])
+
     def _end(self, numbers: DataFrame, start: int) -> int:
         """The first number from ``start`` on that isn't there: one join on numbers, whatever the gaps."""
         if numbers.filter(F.col("n") == start).isEmpty():
@@ -110,7 +131,7 @@ class OrderedSink:
         return self._rows(self._last()["held"])
 
 
-def write_in_order(rows: DataFrame, path: str, checkpoint: str, key: str = "_idx", first: int = 0) -> StreamingQuery:
-    """Append what has arrived to ``path`` in the order of ``key``, and stop."""
-    sink = OrderedSink(rows.sparkSession, path, rows.schema, key, first)
+def write_in_order(rows: DataFrame, path: str, checkpoint: str, key: str = "_idx", first: int = 0, buffer: int = 1, seed: int = 0) -> StreamingQuery:
+    """Append what has arrived to ``path`` in the order of ``key``, or shuffled with a buffer, and stop."""
+    sink = OrderedSink(rows.sparkSession, path, rows.schema, key, first, buffer, seed)
     return rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
