@@ -1,17 +1,15 @@
 """Exact top-k by inner product (operator 7).
 
-The candidates are read shard by shard; every shard is put into a ball tree. A
+The candidates are dealt out to shards of some ``SHARD_ROWS`` rows, and each shard is put into a ball tree. A
 node's ball bounds the inner product of a query q with all vectors in it: it is
-at most <q, centre> + |q| * radius. A block of queries goes down the tree
+at most <q, centre> + |q| * radius. A shard with its tree is one row of a table in the shared folder, written once and read once for
+all queries. Queries come in blocks of about ``BLOCK_QUERIES``, and a block meets a shard by a join on both their numbers. A block of queries goes down a tree
 together, each query to the child with the higher bound first, and leaves a
-branch whose bound is under its current kth score. That score is shared: it
-starts from a seed that all shards get, and goes from one shard of a task to the
-next one. The answers of all tasks are merged at the end.
+branch whose bound is under its current kth score.
 
-A block has at most ``BLOCK_QUERIES`` queries, so what is broadcast is bounded;
-candidates are never shuffled. The seed comes from the first ``SEED_ROWS``
-vectors of the block itself: they are rows of the table, so a query's kth score
-among them is a bound from below.
+That score is shared. In a first round each block meets one shard only; the kth scores found there are the bounds from below that all
+other shards start from in the second round, and a task hands its block's scores on from one shard to the next. The answers of both rounds
+are merged at the end.
 
 Vectors are turned into floor(256 * x); null ones, and those with null or
 non-finite components, take no part. Scores are exact while the sum of absolute
@@ -19,10 +17,9 @@ products stays under 2^53.
 
 Edge cases: vectors are compared with those of the same length only; an empty
 vector scores 0; an empty table gives an empty table; ties go to the smaller id;
-a null id takes no part; repeated rows are candidates like others, each with a rank of its own; rows that
+a null id takes no part; repeated rows are candidates like others, each with a rank of its own, and are dealt out by where they stand; rows that
 share a query's id are not its candidates, and of several such queries the one
-with the smallest vector counts; columns with clashing names are not read. Queries are dealt out to blocks by a hash of their ids; should
-a block get more than twice its share, which distinct ids don't lead to by chance, that is an error (ValueError) and no row is left out.
+with the smallest vector counts; columns with clashing names are not read. No query and no vector comes to the driver.
 """
 
 from __future__ import annotations
@@ -36,11 +33,12 @@ from pyspark.sql import functions as F
 
 from roundweave.llm.common import saved, small_batches
 
-BLOCK_QUERIES = 10_000
-SEED_ROWS = 1_000
+BLOCK_QUERIES = 4096
 SHARD_ROWS = 8_192
 LEAF_ROWS = 128
 LOWEST = -(2**62)
+TREE = "d int, shard int, ids binary, rows binary, centres binary, radii binary, spans binary"
+BLOCK = "d int, block int, query_ids binary, queries binary, floors binary"
 
 
 def quantised(vector: Column) -> Column:
@@ -52,28 +50,51 @@ def quantised(vector: Column) -> Column:
 class BallTree:
     """A ball tree over the rows of a matrix of whole numbers."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        self.order = np.arange(len(rows))
-        self.raw = rows.astype(np.float64)
-        self.nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []
-        self._build(0, len(rows))
-        self.ids, self.rows = ids[self.order], self.raw[self.order]
-
-    def _build(self, lo: int, hi: int) -> int:
-        mine = self.raw[self.order[lo:hi]]
-        centre = mine.mean(axis=0)
-        apart = np.sqrt(((mine - centre) ** 2).sum(axis=1))
-        me = len(self.nodes)
-        self.nodes.append((centre, float(apart.max()), lo, hi, -1, -1))
-        if hi - lo > LEAF_ROWS and apart.max() > 0:
-            far = mine[apart.argmax()]  # split along the line between two far points
-            other = mine[((mine - far) ** 2).sum(axis=1).argmax()]
-            side = np.argsort(mine @ (far - other), kind="stable")
-            self.order[lo:hi] = self.order[lo:hi][side]
-            mid = (lo + hi) // 2
-            left, right = self._build(lo, mid), self._build(mid, hi)
-            self.nodes[me] = (centre, float(apart.max()), lo, hi, left, right)
-        return me
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, nodes: list[tuple[np.ndarray, float, int, int, int, int]]):
+        self.ids, self.rows, self.nodes = ids, rows, nodes
+
+    @classmethod
+    def grown(cls, ids: np.ndarray, rows: np.ndarray, leaf_rows: int = LEAF_ROWS) -> BallTree:
+        raw, order = rows.astype(np.float64), np.arange(len(rows))
+        nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []
+
+        def build(lo: int, hi: int) -> int:
+            mine = raw[order[lo:hi]]
+            centre = mine.mean(axis=0)
+            apart = np.sqrt(((mine - centre) ** 2).sum(axis=1))
+            me = len(nodes)
+            nodes.append((centre, float(apart.max()), lo, hi, -1, -1))
+            if hi - lo > leaf_rows and apart.max() > 0:
+                far = mine[apart.argmax()]  # split along the line between two far points
+                other = mine[((mine - far) ** 2).sum(axis=1).argmax()]
+                order[lo:hi] = order[lo:hi][np.argsort(mine @ (far - other), kind="stable")]
+                mid = (lo + hi) // 2
+                left, right = build(lo, mid), build(mid, hi)
+                nodes[me] = (centre, float(apart.max()), lo, hi, left, right)
+            return me
+
+        build(0, len(rows))
+        return cls(ids[order], raw[order], nodes)
+
+    def written(self) -> dict[str, bytes]:
+        """Columns of a row that holds the tree; rows in 32 bits if they fit."""
+        small = not self.rows.size or np.abs(self.rows).max() < 2**31
+        return {
+            "ids": self.ids.astype(np.int64).tobytes(),
+            "rows": self.rows.astype(np.int32 if small else np.float64).tobytes(),
+            "centres": np.array([n[0] for n in self.nodes], np.float64).tobytes(),
+            "radii": np.array([n[1] for n in self.nodes], np.float64).tobytes(),
+            "spans": np.array([n[2:] for n in self.nodes], np.int64).tobytes(),
+        }
+
+    @classmethod
+    def read(cls, d: int, row: dict[str, pa.Scalar]) -> BallTree:
+        ids, radii = (np.frombuffer(row[c].as_buffer(), k) for c, k in (("ids", np.int64), ("radii", np.float64)))
+        raw = row["rows"].as_buffer()
+        rows = np.frombuffer(raw, np.int32 if raw.size == 4 * d * len(ids) else np.float64).reshape(len(ids), d).astype(np.float64)
+        centres = np.frombuffer(row["centres"].as_buffer(), np.float64).reshape(len(radii), d)
+        spans = np.frombuffer(row["spans"].as_buffer(), np.int64).reshape(-1, 4).tolist()
+        return cls(ids, rows, [(c, float(r), *span) for c, r, span in zip(centres, radii, spans)])
 
 
 class TopK:
@@ -123,71 +144,71 @@ class TopK:
             self.found[part] = np.take_along_axis(found, best, axis=1)
 
 
-def _matrices(rows: list[tuple[int, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of rows by the length of their vectors."""
-    by: dict[int, list] = {}
-    for key, vector in rows:
-        by.setdefault(len(vector), []).append((key, vector))
-    return {d: (np.array([k for k, _ in r], np.int64), np.array([v for _, v in r], np.int64).reshape(len(r), d)) for d, r in by.items()}
+def _matrix(table: pa.Table, d: int) -> np.ndarray:
+    return table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), d)
 
 
-def _best(candidates: DataFrame, queries: list[tuple[int, list[int]]], k: int) -> DataFrame:
-    """Each task's best scores for a block of queries."""
-    block = {}
-    for d, (ids, rows) in _matrices(queries).items():
-        seed = TopK(ids, rows, k, np.full(len(ids), LOWEST))
-        seed.merge(np.arange(len(ids)), ids[:SEED_ROWS], rows[:SEED_ROWS].astype(np.float64))
-        block[d] = (ids, rows.astype(np.int64), seed.scores[:, -1])
-    shared = candidates.sparkSession.sparkContext.broadcast(block)
+def _grow(key: tuple, rows: pa.Table) -> pa.Table:
+    d, shard = (k.as_py() for k in key)
+    tree = BallTree.grown(rows.column("id").to_numpy(), _matrix(rows, d))
+    return pa.table({"d": pa.array([d], pa.int32()), "shard": pa.array([shard], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in tree.written().items()}})
+
+
+def _pack(key: tuple, rows: pa.Table) -> pa.Table:
+    d, block = (k.as_py() for k in key)
+    columns = {"query_ids": rows.column("id").to_numpy(), "queries": _matrix(rows, d).astype(np.int64), "floors": rows.column("floor").to_numpy()}
+    return pa.table({"d": pa.array([d], pa.int32()), "block": pa.array([block], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in columns.items()}})
+
+
+def _searched(met: DataFrame, k: int) -> DataFrame:
+    """The k best of each query of a block in each shard that it has met, as far as they reach the query's floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: TopK(ids, rows, k, floor) for d, (ids, rows, floor) in shared.value.items()}
-
-        def search(held: list[pa.RecordBatch]) -> None:
-            ids = np.concatenate([b.column(0).to_numpy() for b in held])
-            lists = [b.column(1) for b in held]
-            lengths = np.concatenate([x.value_lengths().to_numpy() for x in lists])
-            flat = np.concatenate([x.flatten().to_numpy() for x in lists])
-            starts = np.cumsum(lengths) - lengths
-            for d in np.unique(lengths):
-                if d in best:
-                    mine = np.flatnonzero(lengths == d)
-                    best[d].search(BallTree(ids[mine], flat[starts[mine][:, None] + np.arange(d)]))
-
-        held, rows = [], 0
+        last, floors = None, np.empty(0)
         for batch in batches:
-            held.append(batch)
-            rows += len(batch)
-            if rows >= SHARD_ROWS:
-                search(held)
-                held, rows = [], 0
-        if rows:
-            search(held)
-        for b in best.values():
-            q, r = np.nonzero((b.scores > LOWEST) & (b.scores >= b.floor[:, None]))
-            yield pa.RecordBatch.from_arrays([pa.array(b.ids[q]), pa.array(b.found[q, r]), pa.array(b.scores[q, r])], names=["query_id", "vec_id", "score"])
+            for n in range(len(batch)):
+                row = {c: batch.column(c)[n] for c in batch.schema.names}
+                d, block = row["d"].as_py(), row["block"].as_py()
+                ids = np.frombuffer(row["query_ids"].as_buffer(), np.int64)
+                queries = np.frombuffer(row["queries"].as_buffer(), np.int64).reshape(len(ids), d)
+                if last != (d, block):  # else what this task has found for the block so far holds
+                    last, floors = (d, block), np.frombuffer(row["floors"].as_buffer(), np.int64)
+                best = TopK(ids, queries, k, floors)
+                best.search(BallTree.read(d, row))
+                floors = np.maximum(floors, best.scores[:, -1])
+                q, r = np.nonzero((best.scores > LOWEST) & (best.scores >= best.floor[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.found[q, r]), pa.array(best.scores[q, r])], names=["query_id", "vec_id", "score"])
+
+    return met.mapInArrow(run, "query_id long, vec_id long, score long")
+
 
-    return candidates.mapInArrow(run, "query_id long, vec_id long, score long")
+def _number(by_length: dict[int, int], otherwise: int = 1) -> Column:
+    """What a dict has for the length of a vector."""
+    pairs = [F.lit(x) for pair in by_length.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[F.col("d")] if pairs else F.lit(None), F.lit(otherwise)).cast("int")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", shard_rows: int | None = None, block_queries: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row where ``is_query`` its k best others."""
-    spark = vectors.sparkSession
-    small_batches(spark)
-    one = vectors.filter(F.col(key).isNotNull()).withColumn("__v", quantised(F.col(vector))).filter("__v IS NOT NULL")
-    one = saved(one.select(F.col(key).cast("long").alias("id"), is_query.alias("query"), F.col("__v").alias("v")), "vectors")
-    queries = one.filter("query").groupBy("id").agg(F.min("v").alias("v"))
-    blocks = -(-queries.count() // (BLOCK_QUERIES // 2))
-    found = []
-    for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).limit(2 * BLOCK_QUERIES).select("id", "v").collect()
-        if len(mine) == 2 * BLOCK_QUERIES:
-            raise ValueError("a block of queries has far more rows than its share")
-        found.append(_best(one.select("id", "v"), [(r["id"], r["v"]) for r in mine], k))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    made = found[0]
-    for f in found[1:]:
-        made = made.unionByName(f)
+    small_batches(vectors.sparkSession)
+    one = vectors.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), is_query.alias("query"), quantised(F.col(vector)).alias("v")).filter("v IS NOT NULL")
+    one = one.withColumn("d", F.size("v"))
+    queries = saved(one.filter("query").groupBy("id").agg(F.min("v").alias("v")).withColumn("d", F.size("v")), "queries")
+    shards = {r["d"]: -(-r["count"] // (shard_rows or SHARD_ROWS)) for r in one.groupBy("d").count().collect()}
+    blocks = {r["d"]: -(-r["count"] // (block_queries or BLOCK_QUERIES)) for r in queries.groupBy("d").count().collect()}
+    dealt = F.pmod(F.xxhash64("id", "v", F.monotonically_increasing_id()), _number(shards)).cast("int")
+    trees = saved(one.filter(F.col("d").isin(list(blocks))).withColumn("shard", dealt).select("d", "shard", "id", "v").groupBy("d", "shard").applyInArrow(_grow, TREE), "trees")
+
+    def packed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("block", F.pmod(F.xxhash64("id"), _number(blocks)).cast("int")).select("d", "block", "id", "v", "floor").groupBy("d", "block").applyInArrow(_pack, BLOCK)
+
+    home = F.pmod(F.col("block"), _number(shards)).cast("int")
+    start = packed(queries.withColumn("floor", F.lit(LOWEST))).withColumn("shard", home)
+    first = saved(_searched(trees.join(start, ["d", "shard"]), k), "first")
+    floors = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    known = queries.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("kth", F.lit(LOWEST)))
+    others = packed(known).withColumn("shard", F.explode(F.sequence(F.lit(0), _number(shards) - 1))).filter(F.col("shard") != home)
+    met = trees.withColumn("block", F.explode(F.sequence(F.lit(0), _number(blocks) - 1))).join(others, ["d", "shard", "block"])
+    ranked = first.unionByName(_searched(met, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return made.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

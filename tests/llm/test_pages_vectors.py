@@ -89,24 +89,57 @@ def test_search(spark, duck):
     same_rows(queries.op7_search(spark, SF).toPandas(), duck.sql(queries.ORACLES["op7_search"]).df())
 
 
-def test_odd_vectors(spark, monkeypatch):
+def test_odd_vectors(spark):
     nan, inf = float("nan"), math.inf
     rows = [(0, [1.0, 0.5]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [-1.0, 0.25]), (8, []), (None, [1.0, 1.0]), (50, [1.0, 1.0]), (50, [1.0, 1.0]), (9, [1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    monkeypatch.setattr(search, "LEAF_ROWS", 2)
     got = [tuple(r) for r in search.top_k(table, F.col("vec_id") % 50 == 0, k=3).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 50, 98304), (0, 2, 50, 98304), (0, 3, 1, 81920), (50, 1, 0, 98304), (50, 2, 1, 98304), (50, 3, 2, 98304)]
     assert search.top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_blocks(spark, monkeypatch):
+def test_blocks(spark):
     """Many blocks of queries and many shards give what one of each gives."""
     table = spark.read.parquet(f"{SF}/embeddings.parquet").repartition(2)
     want = search.top_k(table, F.col("vec_id") % 5 == 0).toPandas()
-    monkeypatch.setattr(search, "BLOCK_QUERIES", 60)
-    monkeypatch.setattr(search, "SHARD_ROWS", 50)
-    monkeypatch.setattr(search, "SEED_ROWS", 7)
-    same_rows(search.top_k(table, F.col("vec_id") % 5 == 0).toPandas(), want)
+    same_rows(search.top_k(table, F.col("vec_id") % 5 == 0, shard_rows=50, block_queries=17).toPandas(), want)
+    same_rows(search.top_k(table.repartition(7), F.col("vec_id") % 5 == 0, shard_rows=120).toPandas(), want)
+
+
+def test_trees():
+    """A tree is read as it was written, holds every row once, and its balls hold their rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    for scale in (100, 2**40):
+        rows, ids = rng.integers(-scale, scale, (300, 5)), np.arange(300) * 7
+        tree = search.BallTree.grown(ids, rows, 20)
+        back = search.BallTree.read(5, {c: pa.scalar(x, pa.binary()) for c, x in tree.written().items()})
+        assert sorted(zip(back.ids.tolist(), back.rows.tolist())) == sorted(zip(ids.tolist(), rows.astype(float).tolist()))
+        assert len(back.nodes) == len(tree.nodes) > 15
+        for centre, radius, lo, hi, left, right in back.nodes:
+            assert np.sqrt(((back.rows[lo:hi] - centre) ** 2).sum(axis=1)).max() <= radius * (1 + 1e-9)
+            assert left < 0 or (back.nodes[left][2], back.nodes[left][3], back.nodes[right][3]) == (lo, back.nodes[right][2], hi)
+
+
+def test_branches_are_left_out():
+    """With a floor from elsewhere most leaves are never scored, and nothing that reaches it is lost."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-2000, 2000, (40, 8))
+    rows = np.repeat(centres, 50, axis=0) + rng.integers(-20, 20, (2000, 8))
+    tree, queries = search.BallTree.grown(np.arange(2000), rows, 50), rows[:30]
+    scores = queries @ rows.T
+    scores[np.arange(30), np.arange(30)] = search.LOWEST
+    kth = np.sort(scores, axis=1)[:, -5]
+    best, seen = search.TopK(np.arange(30), queries, 5, kth), []
+    merge = best.merge
+    best.merge = lambda at, ids, r: (seen.append(len(at) * len(ids)), merge(at, ids, r))
+    best.search(tree)
+    assert (np.sort(best.scores, axis=1) == np.sort(scores, axis=1)[:, -5:]).all()
+    assert sum(seen) < 0.3 * scores.size
 
 
 LINKS = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(30))
