@@ -12,7 +12,7 @@ into buckets of some 2,000 rows, their sums are added up first in groups of as m
 sums are taken over groups, over the buckets of a group, and within buckets. The cut is found the same way, from the sums of
 the sorted ranges; only the range in which the budget ends is run through. Rows of a source that share a key
 (as those without one do) would share a bucket: where there are more than a bucket's rows of them, each gets one of as many
-places in the order as that makes buckets.
+places in the order as that makes buckets, by its content and its number among equal rows, so that reruns agree however the table is split.
 
 Targets: the budget is shared by weight; a target stops at ``max_repeats`` times
 the size of its source, and what is over goes to the others by weight until no
@@ -92,24 +92,36 @@ def _with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def _spread(rows: DataFrame, seed: int) -> DataFrame:
-    """New keys for rows whose key more than a bucket's rows of their source share, by their places in the table."""
+    """New keys for rows whose key more than a bucket's rows of their source share.
+
+    Rows that are equal in id, size and content are numbered, by counts for each of them and each partition of the table and within these, and dealt out
+    by that number. Which of equal rows has which number depends on how the table is split; how many of them get which key does not.
+    """
     hot = rows.groupBy("source", "__key").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).alias("__parts")).filter("__parts > 1")
     hot = saved(hot.select(F.col("source").alias("__hot_source"), F.col("__key").alias("__hot"), "__parts"), "hot")
     found = hot.count()
     if not found:
         return rows
     hot = F.broadcast(hot) if found <= BROADCAST_ROWS else hot
-    both = rows.withColumn("__place", F.monotonically_increasing_id()).join(hot, rows["source"].eqNullSafe(hot["__hot_source"]) & (rows["__key"] == hot["__hot"]), "left")
-    part = F.concat_ws(":", F.lit("part"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.pmod(F.xxhash64("__place"), F.col("__parts")).cast("string"))
-    key = F.when(F.col("__parts").isNotNull(), shuffle_key(part, seed)).otherwise(F.col("__key"))
-    return both.withColumn("__key", key).drop("__hot_source", "__hot", "__parts", "__place")
+    placed = rows.withColumn("__split", F.spark_partition_id()).withColumn("__line", F.monotonically_increasing_id())
+    both = placed.join(hot, placed["source"].eqNullSafe(hot["__hot_source"]) & (placed["__key"] == hot["__hot"]), "left")
+    equal = ["source", "doc_id", "size", "__content"]
+    warm = both.filter("__parts IS NOT NULL").withColumn("__in", F.row_number().over(Window.partitionBy(*equal, "__split").orderBy("__line")))
+    counts = both.filter("__parts IS NOT NULL").groupBy(*equal, "__split").agg(F.count(F.lit(1)).alias("__n"))
+    starts = counts.withColumn("__start", F.sum("__n").over(Window.partitionBy(*equal).orderBy("__split")) - F.col("__n")).drop("__n")
+    starts = starts.select(*(F.col(c).alias(f"__of_{c}") for c in (*equal, "__split")), "__start")
+    numbered = warm.join(starts, F.expr(" AND ".join(f"{c} <=> __of_{c}" for c in (*equal, "__split"))))
+    part = F.pmod(F.xxhash64("__content", "size") + F.col("__start") + F.col("__in"), F.col("__parts"))
+    key = shuffle_key(F.concat_ws(":", F.lit("part"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), part.cast("string")), seed)
+    return both.filter("__parts IS NULL").select(*rows.columns).unionByName(numbered.withColumn("__key", key).select(*rows.columns))
 
 
 def queue(rows: DataFrame, share: float, max_repeats: int, seed: int) -> DataFrame:
     """Each row's place in the queue of its source: ``__end`` is the running size.
 
-    ``rows`` has ``doc_id, source, size`` and may have more columns.
+    ``rows`` has ``doc_id, source, size`` and may have more columns; ``__content``, a hash of the text, tells rows with one id apart.
     """
+    rows = rows if "__content" in rows.columns else rows.withColumn("__content", F.lit(0).cast("long"))
     rows = _spread(rows.withColumn("__key", shuffle_key(F.col("doc_id"), seed)), seed)
     targets = saved(source_targets(rows, share, max_repeats), "targets")
     buckets = F.greatest(F.lit(1), F.ceil(F.col("__rows") / BUCKET_ROWS))
@@ -122,7 +134,7 @@ def queue(rows: DataFrame, share: float, max_repeats: int, seed: int) -> DataFra
     groups = sums.groupBy("__src", "__group").agg(F.sum("__sum").alias("__sum")).select("__src", "__group", before("__group", "__src").alias("__first"))
     starts = sums.withColumn("__then", before("__bucket", "__src", "__group")).join(groups, ["__src", "__group"])
     starts = starts.select(F.col("__src").alias("__s"), F.col("__bucket").alias("__b"), (F.col("__first") + F.col("__then")).alias("__start"))
-    within = Window.partitionBy("__src", "__bucket").orderBy("__key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("__src", "__bucket").orderBy("__key", "doc_id", "size", "__content").rowsBetween(Window.unboundedPreceding, 0)
     ended = placed.withColumn("__in", F.sum("size").over(within))
     return ended.join(starts, (ended["__src"] == starts["__s"]) & (ended["__bucket"] == starts["__b"])).withColumn("__end", F.col("__start") + F.col("__in")).drop("__s", "__b", "__start", "__in", "__bucket", "__rows")
 
@@ -182,8 +194,8 @@ def mix(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, seed: int = 7
     twice: to their places in the queues, and to their places in the mix, which
     is range-partitioned and sorted by virtual finish time.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.struct(*docs.columns).alias("__row"))
-    queued = saved(queue(sized.select("doc_id", "source", "size"), share, max_repeats, seed), "queued")
+    sized = docs.select("doc_id", "source", word_count(F.col(text)).alias("size"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__content"), F.struct(*docs.columns).alias("__row"))
+    queued = saved(queue(sized.select("doc_id", "source", "size", "__content"), share, max_repeats, seed), "queued")
     last = cut(queued, max_repeats)
     taken = decided(queue(sized, share, max_repeats, seed), last, max_repeats).select("__row", F.explode("__copies").alias("__at"))
     return taken.repartitionByRange("__at").sortWithinPartitions("__at").select("__row.*")

@@ -617,3 +617,18 @@ def test_mixed_rows(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, SF).toPandas(), duck.sql(queries.ORACLES[name]).df())
+
+
+def test_mix_does_not_depend_on_splits(spark, monkeypatch):
+    """Many rows with one id, equal ones and others, over several splits of the table."""
+    from roundweave.llm import mixing as m
+
+    monkeypatch.setattr(m, "BUCKET_ROWS", 20)
+    rows = [(None, "same words here", "a")] * 150 + [(None, f"other words {i % 7} and {i % 3}", "a") for i in range(100)] + [(5, "x y z", "b")] * 60 + [(i, "w " * (i % 9), "b" if i % 2 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seen = []
+    for parts in (1, 3, 8):
+        mixed = Counter(map(tuple, m.mix(docs.repartition(parts)).collect()))
+        counts = m.mix_counts(docs.repartition(parts).select("doc_id", "source", m.word_count(docs["text"]).alias("size")))
+        seen.append((mixed, Counter(map(tuple, counts.collect()))))
+    assert seen[0] == seen[1] == seen[2] and sum(seen[0][0].values()) > 300
