@@ -115,6 +115,7 @@ class OrderedSink:
         """The first number from ``start`` on that isn't there: one join on numbers, whatever the gaps."""
         if numbers.filter(F.col("n") == start).isEmpty():
             return start
+        numbers = numbers.filter(F.col("n") >= start)  # rows that a buffer holds back may have smaller ones
         lone = numbers.join(numbers.select((F.col("n") - 1).alias("n")), "n", "left_anti")
         return lone.agg(F.min("n")).first()[0] + 1
 

@@ -2,6 +2,7 @@
 
 import base64
 import json
+import os
 import random
 
 import pytest
@@ -35,7 +36,9 @@ def test_streams_shuffle_like_batches(spark, tmp_path):
         mixed, home = random.Random(seed).sample(rows, 100), tmp_path / str(seed)
         (home / "in").mkdir(parents=True)
         for n in range(0, 100, size):
-            (home / "in" / f"{n:03d}.json").write_text("\n".join(map(json.dumps, mixed[n : n + size])))
+            file = home / "in" / f"{n:03d}.json"
+            file.write_text("\n".join(map(json.dumps, mixed[n : n + size])))
+            os.utime(file, (1.7e9 + n, 1.7e9 + n))
         stream = read_samples(spark, str(home / "in"), "_idx long, v string", files_per_batch=1)
         ordered.write_in_order(stream, str(home / "out"), str(home / "check"), buffer=16, seed=5).awaitTermination(300)
         sink = ordered.OrderedSink(spark, str(home / "out"), stream.schema, buffer=16, seed=5)
@@ -46,6 +49,22 @@ def test_streams_shuffle_like_batches(spark, tmp_path):
         assert got == want
 
 
+def test_buffer_over_many_batches(spark, tmp_path):
+    """Numbers that come nearly in order, three at a time: much is written while older rows are still held back."""
+    rows = spark.range(30).selectExpr("id AS _idx", "cast(id AS string) AS v")
+    want = [r["_idx"] for r in select.buffer_shuffled(rows, "_idx", 8, 2).collect()]
+    sink = ordered.OrderedSink(spark, str(tmp_path / "o"), rows.schema, buffer=8, seed=2)
+    last = 0
+    for n, first in enumerate([0, 6, 3, 9, 12, 18, 15, 21, 24, 27]):
+        sink(rows.filter(F.col("_idx").between(first, first + 2)), n)
+        assert sink._last()["next"] >= last
+        last = sink._last()["next"]
+    assert last == 30
+    sink.finish()
+    got = [json.loads(x)["_idx"] for part in sorted((tmp_path / "o" / "rows").iterdir()) for f in sorted(part.glob("part-*")) for x in f.read_text().splitlines()]
+    assert got == want
+
+
 def test_folder_of_media(spark, tmp_path):
     (tmp_path / "m" / "deep er").mkdir(parents=True)
     files = {"a.png": b"\x89PNG" + bytes(range(256)) * 3, "deep er/b.JPG": b"jpg", "c.unknown": b"y", "d": b"x", "e.txt": "é".encode()}
