@@ -320,7 +320,7 @@ def rephrase_called(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_images(rows: DataFrame) -> DataFrame:
-    named = F.flatten(F.transform("messages", lambda m, i: F.transform(F.slice(F.sequence(F.lit(0), F.lit(9)), F.lit(1), T.count_images(m["content"])), lambda k: F.concat(F.lit("img_"), i, F.lit("_"), k))))
+    named = F.flatten(F.transform("messages", lambda m, i: F.transform(F.array_repeat(F.lit(0), T.count_images(m["content"])), lambda _, k: F.concat(F.lit("img_"), i, F.lit("_"), k))))
     return rows.withColumn("dealt", edit.images_by_message(F.col("messages"), named))
 
 
