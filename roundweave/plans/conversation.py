@@ -12,15 +12,18 @@ from roundweave.plans.inputs import (
     GRAPH_SQL,
     OWNER_SQL,
     TAGGED_SQL,
+    TAGGED_SYSTEM_SQL,
     WALK_SQL,
     edited,
     longs,
+    sql_answer_text,
     sql_assistant,
     sql_bodies,
     sql_join,
     sql_json,
     sql_responses,
     sql_strip,
+    sql_think_text,
     sql_thinks,
     sql_user,
     table,
@@ -67,11 +70,11 @@ def round_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rounds.with_rounds(rounds.conversations(table(spark, sf_dir, "conversations"))).drop("messages"))
 
 
-@query(f"""WITH {TAGGED_SQL}
+@query(f"""WITH {TAGGED_SYSTEM_SQL}
 SELECT conv_id, count(*)::BIGINT AS n_msgs, sum(coalesce(list_sum(list_transform(regexp_extract_all(content, '(?s)<think>(.*?)</think>', 1), lambda x: len(x))), 0))::BIGINT AS think_chars,
        sum(len(content))::BIGINT AS total_chars FROM tg GROUP BY conv_id""")
 def conv_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(tagged(spark, sf_dir).select("conv_id", stats.message_stats(F.col("messages")).alias("s")).select("conv_id", "s.*"))
+    return longs(tagged(spark, sf_dir, system=True).select("conv_id", stats.message_stats(F.col("messages")).alias("s")).select("conv_id", "s.*"))
 
 
 @query(f"""WITH {TAGGED_SQL}
@@ -96,11 +99,7 @@ REPLY = """CASE turn % 4 WHEN 0 THEN concat('<think> ', text, ' </think><answer>
 WHEN 1 THEN concat('<think>', text, '</think') WHEN 2 THEN concat(text, ' </think> <answer>x') ELSE text END"""
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, {REPLY} AS c FROM conversations)
-SELECT conv_id, turn, CASE WHEN len({sql_bodies('c', 'answer')}) > 0 THEN array_to_string({sql_bodies('c', 'answer')}, chr(10)) ELSE c END AS answer,
-  CASE WHEN len({sql_bodies('c', 'think')}) > 0 THEN array_to_string({sql_bodies('c', 'think')}, chr(10))
-       WHEN contains(c, '</think>') THEN {sql_strip("regexp_replace(split_part(c, '</think>', 1), '(?s)^.*?<think>', '')")}
-       WHEN contains(c, '<think>') THEN {sql_strip("regexp_replace(c, '(?s)^.*?<think>', '')")} ELSE c END AS think FROM r""")
+@query(f"WITH r AS (SELECT conv_id, turn, {REPLY} AS c FROM conversations) SELECT conv_id, turn, {sql_answer_text('c')} AS answer, {sql_think_text('c')} AS think FROM r")
 def reply_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.expr(REPLY)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_text(c).alias("answer"), T.think_text(c).alias("think"))
@@ -346,24 +345,24 @@ def drop_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 PLAN = "CASE conv_id % 11 WHEN 0 THEN NULL WHEN 1 THEN 'weird' WHEN 2 THEN 'non_reducible' WHEN 3 THEN 'illogical' ELSE 'reduce' END"
 
 
-def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rounds.with_rounds(tagged(spark, sf_dir)).withColumn("plan_status", F.expr(PLAN))
+def _planned(spark: SparkSession, sf_dir: str, system: bool = True) -> DataFrame:
+    rows = rounds.with_rounds(tagged(spark, sf_dir, system)).withColumn("plan_status", F.expr(PLAN))
     rows = rows.withColumn("remove", F.filter(F.sequence(F.lit(1), F.col("final_round")), lambda r: (F.col("conv_id") + r) % 3 == 0))
     patches = F.when(F.col("conv_id") % 2 == 0, F.create_map(F.lit(2), F.lit(" patched "))).otherwise(F.create_map().cast("map<int,string>"))
     return edit.critical_path(rows.withColumn("patches", patches))
 
 
-PLANNED_SQL = f"""{TAGGED_SQL},
+PLANNED_SQL = f"""{TAGGED_SYSTEM_SQL},
 cv AS (SELECT conv_id, n, (n - 1) // 2 AS middle, n % 2 = 1 AS malformed, {PLAN} AS plan_status FROM (SELECT conv_id, max(n) AS n FROM ns GROUP BY conv_id)),
-cm AS (SELECT conv_id, n, CASE WHEN n % 2 = 1 THEN (n - 1) // 2 ELSE (n - 2) // 2 END AS middle, malformed, plan_status FROM cv),
+cm AS (SELECT conv_id, n, CASE WHEN n % 2 = 1 THEN (n - 1) // 2 ELSE (n - 2) // 2 END AS middle, malformed, plan_status, (SELECT count(*) FROM tg WHERE tg.conv_id = cv.conv_id) AS size FROM cv),
 rn AS (SELECT tg.*, (pos + 3) // 2 AS r, pos > 0 AND pos < n - 1 AND (tg.conv_id + (pos + 3) // 2) % 3 = 0 AS gone FROM tg),
 ans AS (SELECT conv_id, concat(regexp_extract(content, '(?s)<answer>(.*?)</answer>', 1), chr(10), regexp_extract(content, '(?s)<think>(.*?)</think>', 1)) AS said FROM tg WHERE pos = n - 1 AND role = 'assistant'),
 tk AS (SELECT DISTINCT conv_id, unnest(list_concat(list_concat(regexp_extract_all(said, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), regexp_extract_all(said, '\\b[0-9]{{4}}\\b')), regexp_extract_all(said, '\\b[0-9]+(?:\\.[0-9]+)?%\\b'))) AS t FROM ans),
-evd AS (SELECT conv_id, lower(coalesce(string_agg(content, chr(10)) FILTER (WHERE NOT gone), '')) AS now_, lower(string_agg(content, chr(10))) AS then_ FROM rn WHERE role = 'user' GROUP BY conv_id),
+evd AS (SELECT conv_id, lower(coalesce(string_agg(content, chr(10)) FILTER (WHERE NOT gone), '')) AS now_, lower(string_agg(content, chr(10))) AS then_ FROM rn WHERE role <> 'assistant' GROUP BY conv_id),
 ls AS (SELECT tk.conv_id, t, row_number() OVER (PARTITION BY tk.conv_id ORDER BY t) AS o FROM tk JOIN evd ON tk.conv_id = evd.conv_id WHERE NOT contains(now_, lower(t)) AND contains(then_, lower(t))),
 lo AS (SELECT conv_id, string_agg(t, ',' ORDER BY t) AS lost FROM ls WHERE o <= 5 GROUP BY conv_id),
 rm AS (SELECT conv_id, count(DISTINCT r) AS k FROM rn WHERE gone GROUP BY conv_id),
-sx AS (SELECT cm.conv_id, CASE WHEN n < 3 THEN ['no_messages', ''] WHEN malformed THEN ['bad_structure', ''] WHEN middle = 0 THEN ['non_reducible', 'no_middle_rounds']
+sx AS (SELECT cm.conv_id, CASE WHEN size < 3 THEN ['no_messages', ''] WHEN malformed THEN ['bad_structure', ''] WHEN middle = 0 THEN ['non_reducible', 'no_middle_rounds']
   WHEN plan_status IS NULL THEN ['parse_json', ''] WHEN plan_status = 'weird' THEN ['bad_status', 'weird'] WHEN plan_status <> 'reduce' THEN [plan_status, '']
   WHEN coalesce(k, 0) >= middle THEN ['skipped', 'remove_all_middle'] WHEN lost IS NOT NULL THEN ['non_reducible', 'grounding_loss:' || lost] ELSE ['reduce', ''] END AS s
   FROM cm LEFT JOIN rm ON cm.conv_id = rm.conv_id LEFT JOIN lo ON cm.conv_id = lo.conv_id)"""
@@ -385,13 +384,14 @@ def critical_path_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PLANNED_SQL} SELECT conv_id, lost FROM lo")
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the final answer that only removed rounds had."""
-    rows = rounds.with_rounds(tagged(spark, sf_dir)).filter(F.get("messages", F.size("messages") - 1)["role"] == "assistant")
+    rows = rounds.with_rounds(tagged(spark, sf_dir, system=True)).filter(F.get("messages", F.size("messages") - 1)["role"] == "assistant")
     remove = F.filter(F.sequence(F.lit(1), F.col("final_round")), lambda r: (F.col("conv_id") + r) % 3 == 0)
     made = edit.planned(F.col("messages"), F.col("start"), F.col("middle"), remove, F.create_map().cast("map<int,string>"))
     return rows.select("conv_id", F.array_join(edit.lost_tokens(made, F.col("messages")), ",").alias("lost")).filter("lost <> ''")
 
 
-@query(f"""WITH {PLANNED_SQL}, {IMAGES_SQL},
+#: Images are found again where the question comes first, so here system turns are left out.
+@query(f"""WITH {PLANNED_SQL.replace(TAGGED_SYSTEM_SQL, TAGGED_SQL)}, {IMAGES_SQL},
 kp AS (SELECT rn.conv_id, string_agg('img_' || im.pos || '_' || k, ',' ORDER BY im.pos, k) AS images FROM rn JOIN im ON rn.conv_id = im.conv_id AND rn.pos = im.pos JOIN sx ON rn.conv_id = sx.conv_id WHERE NOT gone OR s[1] <> 'reduce' GROUP BY rn.conv_id)
 SELECT cm.conv_id, CASE WHEN cm.conv_id % 13 = 5 THEN 'no_original' WHEN cm.conv_id % 7 = 0 THEN 'unmatched' ELSE 'ok' END AS state, CASE WHEN cm.conv_id % 13 <> 5 AND cm.conv_id % 7 <> 0 THEN coalesce(images, '') END AS images
 FROM cm LEFT JOIN kp ON cm.conv_id = kp.conv_id""")
@@ -399,13 +399,13 @@ def rebuild_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of conversations after critical-path deletion, found again by the hash of their original messages; some have
     lost these, and others were changed."""
     source = _with_images(tagged(spark, sf_dir)).select("messages", F.col("conv_id").alias("ord"), F.flatten("dealt").alias("images"))
-    rows = _planned(spark, sf_dir)
+    rows = _planned(spark, sf_dir, system=False)
     c, m = F.col("conv_id"), F.col("messages")
     rows = rows.select("conv_id", F.when(c % 13 == 5, None).when(c % 7 == 0, F.concat(m, F.slice(m, 1, 1))).otherwise(m).alias("original"), F.col("messages_new").alias("messages"), F.when(F.col("status") == "reduce", F.filter("remove", lambda r: (r >= 2) & (r <= F.col("middle") + 1))).otherwise(F.array().cast("array<int>")).alias("removed"))
     return edit.images_rejoined(rows, source).select("conv_id", "state", F.array_join("images", ",").alias("images"))
 
 
-@query(f"""WITH {PLANNED_SQL}, pt AS (SELECT rn.conv_id, count(*) FILTER (WHERE rn.r = 2 AND pos % 2 = 1 AND rn.conv_id % 2 = 0 AND NOT gone) AS patched, max(n) AS n, count(*) FILTER (WHERE NOT gone) AS after FROM rn GROUP BY rn.conv_id)
+@query(f"""WITH {PLANNED_SQL}, pt AS (SELECT rn.conv_id, count(*) FILTER (WHERE rn.r = 2 AND pos % 2 = 1 AND rn.conv_id % 2 = 0 AND NOT gone) AS patched, count(*) AS n, count(*) FILTER (WHERE NOT gone) AS after FROM rn GROUP BY rn.conv_id)
 SELECT count(*) AS reduced, count(*) FILTER (WHERE patched > 0) AS patched, count(*) FILTER (WHERE pt.conv_id % 2 = 0 AND 2 >= greatest(1, n // 2) + 1) AS final_patched, sum(n - after)::BIGINT AS saved FROM pt JOIN sx USING (conv_id) WHERE s[1] = 'reduce'""")
 def patch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the reduced conversations had thoughts patched, and how many those of the final round."""
@@ -474,16 +474,16 @@ def top_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(stats.largest_savings(rows.select("conv_id", F.size("messages").alias("n_before"), after.alias("n_after")), "conv_id", 25))
 
 
-#: Defects put into conversations: a user turn doubled, or a turn left out.
+#: Defects put into conversations: the first turn doubled, or one left out; a system turn is one by itself.
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rounds.conversations(table(spark, sf_dir, "conversations").filter("role <> 'system'"))
+    rows = rounds.conversations(table(spark, sf_dir, "conversations"))
     m, c = F.col("messages"), F.col("conv_id")
     first = F.slice(m, 1, 1)
     return rows.withColumn("messages", F.when(c % 4 == 1, F.concat(first, m)).when(c % 4 == 2, F.filter(m, lambda x, i: i != 1)).when(c % 8 == 3, F.array().cast(rows.schema["messages"].dataType)).otherwise(m))
 
 
 BROKEN_SQL = """
-o AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations WHERE role <> 'system' GROUP BY conv_id),
+o AS (SELECT conv_id, list({'role': role, 'content': text} ORDER BY turn) AS m FROM conversations GROUP BY conv_id),
 b AS (SELECT conv_id, CASE WHEN conv_id % 4 = 1 THEN list_concat(m[1:1], m) WHEN conv_id % 4 = 2 THEN list_concat(m[1:1], m[3:]) WHEN conv_id % 8 = 3 THEN m[1:0] ELSE m END AS m FROM o)"""
 
 

@@ -35,17 +35,23 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(f"`{n}`").cast("long").alias(n) if t in ("int", "smallint", "tinyint") else F.col(f"`{n}`") for n, t in df.dtypes))
 
 
-def tagged_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conv_id, turn (from 0), role, text`` with tags; without system turns."""
-    turns = table(spark, sf_dir, "conversations").filter("role <> 'system'")
-    own = Window.partitionBy("conv_id")
-    turns = turns.withColumn("pos", F.row_number().over(own.orderBy("turn")) - 1).withColumn("n", F.count(F.lit(1)).over(own))
-    return turns.select("conv_id", F.col("pos").alias("turn"), "role", F.expr(CONTENT.format(t="text")).alias("text"))
+#: What a system turn says: its text, and in some conversations what their tool turns say as well.
+SYSTEM = "concat(text, CASE WHEN conv_id % 4 < 2 THEN ' Grand River 1987 12.5%' ELSE '' END)"
 
 
-def tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tagged_turns(spark: SparkSession, sf_dir: str, system: bool = False) -> DataFrame:
+    """``conv_id, turn (from 0), role, text`` with tags. System turns are left out, or have turn -1."""
+    turns = table(spark, sf_dir, "conversations")
+    own, told = Window.partitionBy("conv_id"), F.col("role") != "system"
+    turns = turns if system else turns.filter(told)
+    turns = turns.withColumn("pos", F.count_if(told).over(own.orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)) - 1).withColumn("n", F.count_if(told).over(own))
+    content = F.expr(CONTENT.format(t="text"))
+    return turns.select("conv_id", F.when(told, F.col("pos")).otherwise(-1).alias("turn"), "role", F.when(told, content).otherwise(F.expr(SYSTEM)).alias("text"))
+
+
+def tagged(spark: SparkSession, sf_dir: str, system: bool = False) -> DataFrame:
     """``conv_id, messages`` with tags."""
-    return conversations(tagged_turns(spark, sf_dir))
+    return conversations(tagged_turns(spark, sf_dir, system))
 
 
 TAGGED_SQL = f"""
@@ -53,6 +59,10 @@ ns AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER
        FROM conversations WHERE role <> 'system'),
 tg AS (SELECT conv_id, pos, n, role, {CONTENT.format(t="text")} AS content FROM ns)"""
 
+#: The same with the system turns, at place -1.
+TAGGED_SYSTEM_SQL = f"""{TAGGED_SQL.replace("tg AS (", "ts AS (")},
+tg AS (FROM ts UNION ALL SELECT c.conv_id, -1, (SELECT count(*) FROM ns WHERE ns.conv_id = c.conv_id), role, {SYSTEM} FROM conversations c WHERE role = 'system')"""
+
 #: Which pairs of rounds i < j depend on each other.
 EDGE = "i < j AND ((conv_id * 7 + i * 3 + j) % 4 = 0 OR (j = i + 1 AND (conv_id + i) % 3 <> 0))"
 
@@ -144,6 +154,19 @@ def sql_json(x: str) -> str:
     return f"'\"' || {x} || '\"'"
 
 
+def sql_answer_text(c: str) -> str:
+    """What a reply answers: the bodies of its answers, else all of it."""
+    return f"CASE WHEN len({sql_bodies(c, 'answer')}) > 0 THEN array_to_string({sql_bodies(c, 'answer')}, chr(10)) ELSE {c} END"
+
+
+def sql_think_text(c: str) -> str:
+    """What a reply thinks, however its tags are broken."""
+    opened = "'(?s)^.*?<think>'"
+    before, after = (sql_strip(f"regexp_replace({part}, {opened}, '')") for part in (f"split_part({c}, '</think>', 1)", c))
+    return f"""CASE WHEN len({sql_bodies(c, 'think')}) > 0 THEN array_to_string({sql_bodies(c, 'think')}, chr(10))
+       WHEN contains({c}, '</think>') THEN {before} WHEN contains({c}, '<think>') THEN {after} ELSE {c} END"""
+
+
 def sql_responses(x: str) -> str:
     found = sql_bodies(x, "tool_response")
     return f"CASE WHEN len({found}) > 0 THEN {found} ELSE [{sql_strip(x)}] END"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roundweave.functions import text as T
 from roundweave.operators import convert, graph, select, stats
 from roundweave.operators.rounds import conversations
-from roundweave.plans.inputs import GRAPH_SQL, TAGGED_SQL, edited, longs, sql_bodies, sql_json, sql_strip, table, tagged_turns
+from roundweave.plans.inputs import GRAPH_SQL, TAGGED_SQL, edited, longs, sql_answer_text, sql_bodies, sql_json, sql_strip, sql_think_text, table, tagged_turns
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -55,13 +55,14 @@ def accuracy_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.accuracy_by(rows, "lang", "quality")
 
 
-GRADE = "CASE conv_id % 5 WHEN 0 THEN ' A: correct' WHEN 1 THEN 'Correct.' WHEN 2 THEN 'B' WHEN 3 THEN NULL ELSE 'incorrect' END"
+#: What a judge says of a turn, with the whole turn after it.
+GRADE = "CASE (conv_id + turn) % 5 WHEN 0 THEN ' A: ' || text WHEN 1 THEN chr(10) || 'Correct. ' || text WHEN 2 THEN text WHEN 3 THEN NULL ELSE 'incorrect ' || text END"
 
 
-@query(f"""WITH g AS (SELECT DISTINCT conv_id, {GRADE} AS g FROM conversations)
-SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN starts_with(trim(g), 'A') THEN 1 ELSE 0 END), 4) AS qa, round(avg(CASE WHEN starts_with(lower(trim(g)), 'correct') THEN 1 ELSE 0 END), 4) AS gaia FROM g""")
+@query(f"""WITH g AS (SELECT {sql_strip(GRADE)} AS g FROM conversations)
+SELECT count(*)::BIGINT AS n, round(avg(CASE WHEN starts_with(g, 'A') THEN 1 ELSE 0 END), 4) AS qa, round(avg(CASE WHEN starts_with(lower(g), 'correct') THEN 1 ELSE 0 END), 4) AS gaia FROM g""")
 def judge_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("g", F.expr(GRADE))
+    g = table(spark, sf_dir, "conversations").select(F.expr(GRADE).alias("g"))
     return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(T.judged_correct(F.col("g"))), 4).alias("qa"), F.round(F.avg(T.judged_correct(F.col("g"), "gaia")), 4).alias("gaia"))
 
 
@@ -157,7 +158,35 @@ def rouge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.agg(F.round(F.avg("a"), 4).alias("rouge1"), F.round(F.avg("b"), 4).alias("rouge2"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+WORDS = r"regexp_extract_all({}, '[^ \t\n\x0B\f\r]+')"
+
+
+def _rouge_sql(n: int) -> str:
+    """ROUGE-n F1 of the words in ``a`` and ``b``."""
+    grams = lambda w: f"list_distinct(list_transform(range(1, len({w}) - {n - 2}), lambda i: array_to_string({w}[i:i + {n - 1}], ' ')))"
+    return f"CASE WHEN len(a) >= {n} AND len(b) >= {n} THEN 2.0::DOUBLE * len(list_intersect({grams('a')}, {grams('b')})) / (len({grams('a')}) + len({grams('b')})) ELSE 0 END"
+
+
+#: BLEU-4 by counts of n-grams; the common subsequence a row of its table per word of ``a``, the best so far at each word of ``b``.
+SCORES_SQL = f"""WITH RECURSIVE h AS (SELECT item_id, substring(text, len(text) // 2 + 1) AS p, substring(text, 1, len(text) // 2) AS l FROM benchmark),
+w AS (SELECT item_id, p, l, {WORDS.format('p')} AS a, {WORDS.format('l')} AS b FROM h),
+o AS (SELECT item_id, p, l, unnest([1, 2, 3, 4]) AS n FROM h),
+g AS (SELECT item_id, n, substring(p, i, n) AS gram, 1 AS x, 0 AS y FROM (SELECT *, unnest(range(1, len(p) - n + 2)) AS i FROM o)
+      UNION ALL SELECT item_id, n, substring(l, i, n), 0, 1 FROM (SELECT *, unnest(range(1, len(l) - n + 2)) AS i FROM o)),
+c AS (SELECT item_id, n, sum(least(x, y)) AS hits FROM (SELECT item_id, n, gram, sum(x) AS x, sum(y) AS y FROM g GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT o.item_id, o.n, len(p) AS np, len(l) AS nl, coalesce(hits, 0) AS hits, greatest(1, len(p) - o.n + 1) AS total, count(*) FILTER (WHERE coalesce(hits, 0) = 0) OVER (PARTITION BY o.item_id ORDER BY o.n) AS misses
+      FROM o LEFT JOIN c ON o.item_id = c.item_id AND o.n = c.n),
+bl AS (SELECT item_id, CASE WHEN any_value(np) = 0 OR any_value(nl) = 0 OR max(hits) FILTER (WHERE n = 1) = 0 THEN 0
+         ELSE exp(sum(0.25::DOUBLE * ln(CASE WHEN hits = 0 THEN 1.0::DOUBLE / (2 ** misses * total) ELSE hits::DOUBLE / total END))) * CASE WHEN any_value(np) > any_value(nl) THEN 1 ELSE exp(1 - any_value(nl)::DOUBLE / any_value(np)) END END AS s FROM m GROUP BY item_id),
+lc(item_id, i, row) AS (SELECT item_id, 0, list_transform(range(0, len(b) + 1), lambda j: 0) FROM w
+  UNION ALL SELECT w.item_id, i + 1, list_transform(range(1, len(b) + 2), lambda j: greatest(row[j], coalesce(list_max(list_transform(range(1, j), lambda k: CASE WHEN b[k] = a[i + 1] THEN row[k] + 1 END)), 0)))
+  FROM lc JOIN w ON w.item_id = lc.item_id WHERE i < len(a)),
+f AS (SELECT w.item_id, bl.s AS bleu4, {_rouge_sql(1)} AS rouge1, {_rouge_sql(2)} AS rouge2, CASE WHEN len(a) > 0 AND len(b) > 0 THEN 2.0::DOUBLE * row[len(b) + 1] / (len(a) + len(b)) ELSE 0 END AS rougel
+      FROM w JOIN bl ON bl.item_id = w.item_id JOIN lc ON lc.item_id = w.item_id AND lc.i = len(a))
+SELECT {', '.join(f"round(avg(round(100 * {c}, 4)), 4) AS {c}" for c in ('bleu4', 'rouge1', 'rouge2', 'rougel'))} FROM f"""
+
+
+@query(SCORES_SQL)
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean BLEU-4 and ROUGE of the second half of each benchmark text against its first."""
     half = F.floor(F.length("text") / 2).cast("int")
@@ -317,13 +346,14 @@ def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.looked_up(items, cache, "key", "text", "made").select("item_id", "made")
 
 
-@query("""SELECT conv_id, coalesce(nullif(CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN NULL ELSE 'q' || conv_id END, ''), nullif(CASE WHEN conv_id % 2 = 0 THEN 'p' || conv_id ELSE '' END, ''), 'o') AS question
-FROM (SELECT DISTINCT conv_id FROM conversations)""")
+@query("""WITH c AS (SELECT conv_id, max(text) FILTER (WHERE role = 'system') AS s, max(CASE WHEN role = 'assistant' AND contains(text, chr(10)) THEN text ELSE '' END) AS a, max(text) FILTER (WHERE role = 'user') AS u FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN s <> '' THEN s WHEN a <> '' THEN a WHEN u <> '' THEN u END AS question FROM c""")
 def first_truthy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    q = F.when(F.col("conv_id") % 3 == 0, "").when(F.col("conv_id") % 3 == 2, F.concat(F.lit("q"), "conv_id"))
-    p = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("p"), "conv_id")).otherwise("")
-    return c.select("conv_id", T.first_truthy(q, p, F.lit("o")).alias("question"))
+    """What a conversation is called: a system turn, else a turn of several lines of the assistant, else one of the user."""
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("text")))
+    lines = F.max(F.when((F.col("role") == "assistant") & F.contains("text", F.lit("\n")), F.col("text")).otherwise(""))
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(of("system").alias("s"), lines.alias("a"), of("user").alias("u"))
+    return c.select("conv_id", T.first_truthy(F.col("s"), F.col("a"), F.col("u")).alias("question"))
 
 
 # pages
@@ -375,22 +405,35 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", F.md5(F.array_join(F.transform("messages", lambda m: m["content"]), "\n")).alias("digest"))
 
 
-@query("""SELECT part, split_part(trim(replace(replace(replace(part, 'Round ', ''), 'tool_call', ''), '_', '')), ' ', 1) AS label
-FROM (SELECT CASE conv_id % 4 WHEN 0 THEN 'Round ' || conv_id WHEN 1 THEN 'Round ' || conv_id || ' tool_call' WHEN 2 THEN 'tool_call_' || conv_id ELSE ' ' || conv_id || ' x' END AS part FROM (SELECT DISTINCT conv_id FROM conversations))""")
+#: Labels of turns as a model writes them: with decoration, and the whole turn behind.
+PART = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'Round ' || text WHEN 1 THEN ' Round ' || turn || ' tool_call ' || text WHEN 2 THEN 'tool_call_' || text ELSE chr(10) || replace(text, ' ', '_') || ' x' END"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {PART} AS part FROM conversations)
+SELECT conv_id, turn, split_part({sql_strip("replace(replace(replace(part, 'Round ', ''), 'tool_call', ''), '_', '')")}, ' ', 1) AS label FROM p""")
 def label_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = F.expr("CASE conv_id % 4 WHEN 0 THEN 'Round ' || conv_id WHEN 1 THEN 'Round ' || conv_id || ' tool_call' WHEN 2 THEN 'tool_call_' || conv_id ELSE ' ' || conv_id || ' x' END")
-    return table(spark, sf_dir, "conversations").select("conv_id").distinct().select(part.alias("part")).withColumn("label", T.clean_label(F.col("part")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_label(F.expr(PART)).alias("label"))
+
 
+def _reply(record: str) -> str:
+    """Replies to a request for JSON, some with the whole turn around it."""
+    return f"""CASE (conv_id + turn) % 6 WHEN 0 THEN {record} WHEN 1 THEN text || ' ```json' || chr(10) || {record} || chr(10) || '``` ' || text WHEN 2 THEN text || ' [' || {record} || '] ' || text
+WHEN 3 THEN text WHEN 4 THEN text || ' ' || {record} || ' ' || text ELSE substring({record}, 1, length({record}) - 1) END"""
 
-JSON_REPLY = """CASE conv_id % 5 WHEN 0 THEN '{"a":' || conv_id || '}' WHEN 1 THEN 'Sure: ```json' || chr(10) || '{"a":' || conv_id || '}' || chr(10) || '``` done' WHEN 2 THEN 'It is [{"a":' || conv_id || '}] ok'
-WHEN 3 THEN 'no json' ELSE 'so {"a":' || conv_id || '} then' END"""
 
+FENCE = "'(?s)```(?:json|JSON)?\\s*\\n?(.*?)\\n?```'"
 
-@query("""SELECT conv_id, CASE conv_id % 5 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE conv_id END AS a, conv_id % 5 <> 3 AS parsed FROM (SELECT DISTINCT conv_id FROM conversations)""")
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {sql_strip(_reply("(to_json({'text': text, 'number': conv_id})::VARCHAR)"))} AS c FROM conversations),
+f AS (SELECT *, {sql_strip(f"regexp_extract(c, {FENCE}, 1)")} AS f, regexp_matches(c, {FENCE}) AS fenced FROM r),
+b AS (SELECT *, [c, f, regexp_extract(CASE WHEN fenced THEN f ELSE c END, '(?s)\\[.*\\]'), regexp_extract(CASE WHEN fenced THEN f ELSE c END, '(?s)\\{{.*\\}}')] AS tries FROM f),
+j AS (SELECT conv_id, turn, list_filter(tries, lambda x: json_valid(x))[1] AS j FROM b)
+SELECT conv_id, turn, coalesce(json_extract_string(j, '$.text'), json_extract_string(j, '$[0].text')) AS said, coalesce(json_extract_string(j, '$.number'), json_extract_string(j, '$[0].number'))::BIGINT AS number, j IS NOT NULL AS parsed FROM j""")
 def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects in replies of several forms."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("v", T.lenient_json(F.expr(JSON_REPLY)))
-    return rows.select("conv_id", F.try_variant_get("v", "$.a", "bigint").alias("a"), F.col("v").isNotNull().alias("parsed"))
+    """Records in replies of several forms, each with the whole turn in it."""
+    rows = table(spark, sf_dir, "conversations").withColumn("v", T.lenient_json(F.expr(_reply("to_json(named_struct('text', text, 'number', conv_id))"))))
+    got = lambda name, kind: F.coalesce(*(F.try_variant_get("v", f"{at}.{name}", kind) for at in ("$", "$[0]"))).alias(name)
+    return rows.select("conv_id", "turn", got("text", "string").alias("said"), got("number", "bigint"), F.col("v").isNotNull().alias("parsed"))
 
 
 @query(f"""WITH {TAGGED_SQL}, b AS (SELECT conv_id, pos, {sql_bodies('content', 'tool_call')} AS b FROM tg WHERE role = 'assistant')
@@ -400,16 +443,34 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("conv_id", "turn", F.col("t.error").isNotNull().alias("bad"), F.size("t.calls").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n"))))
 
 
-CALL = """CASE conv_id % 6 WHEN 0 THEN '{"name":"Search","arguments":{"q":"x' || conv_id || '"}}' WHEN 1 THEN '{"tool_name":"open_url","parameters":{"urls":"u"}}' WHEN 2 THEN '{"name":"visit","arguments":{}}'
-WHEN 3 THEN '{"name":"VLSearchImage","arguments":{"image_url":"i"}}' WHEN 4 THEN '{"arguments":{"code":"1"}}' ELSE '{"name":"dance"}' END"""
+def _call(text: str) -> str:
+    """Calls whose arguments are whole turns; ``text`` is the turn as a JSON string."""
+    return f"""CASE (conv_id + turn) % 7 WHEN 0 THEN '{{"name":"Search","arguments":{{"q":' || {text} || '}}}}' WHEN 1 THEN '{{"tool_name":" open_url ","parameters":{{"urls":' || {text} || '}}}}' WHEN 2 THEN '{{"name":"visit","arguments":{{"url":"","code":' || {text} || '}}}}'
+WHEN 3 THEN '{{"name":"VLSearchImage","arguments":{{"image":"","image_url":' || {text} || '}},"parameters":{{"images":"p"}}}}' WHEN 4 THEN '{{"name":"","arguments":{{"code":' || {text} || '}}}}' WHEN 5 THEN '{{"name":' || {text} || '}}'
+ELSE '{{"name":"run_python","parameters":{{"code_block":' || {text} || '}}}}' END"""
+
+
+JSON_TEXT = "substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)"
+
+
+def _call_sql() -> str:
+    """The table of tools as SQL over ``named`` and the call ``c``."""
+    field = lambda path: f"nullif(json_extract_string(c, '$.{path}'), '')"
+    tool, argument, error = "", "", ""
+    for own, aliases, names, shown in convert.TOOLS:
+        known = f"WHEN lower(named) IN ({', '.join(repr(a) for a in aliases)}) THEN"
+        given = f"coalesce({', '.join(field(f'{part}.{n}') for part in ('arguments', 'parameters') for n in names)})"
+        tool, argument = f"{tool} {known} '{own}'", f"{argument} {known} {given}"
+        error = f"{error} {known} CASE WHEN {given} IS NULL THEN '[{own}] Missing ''{shown}'' argument.' END"
+    unknown = "'Invalid tool name ' || chr(39) || named || chr(39) || '. Available tools: web_search, visit, code_interpreter, image_search.'"
+    return f"""WITH r AS (SELECT conv_id, turn, {_call('to_json(text)::VARCHAR')} AS c FROM conversations), n AS (SELECT *, {sql_strip(f"coalesce({field('name')}, {field('tool_name')}, '')")} AS named FROM r)
+    SELECT conv_id, turn, CASE {tool} END AS tool, CASE {argument} END AS argument, CASE WHEN named = '' THEN '"name" field is required. Specify a tool name' {error} ELSE {unknown} END AS error FROM n"""
 
 
-@query("""SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN 'web_search' WHEN 1 THEN 'visit' WHEN 2 THEN 'visit' WHEN 3 THEN 'image_search' END AS tool, CASE conv_id % 6 WHEN 0 THEN 'x' || conv_id WHEN 1 THEN 'u' WHEN 3 THEN 'i' END AS argument,
-CASE conv_id % 6 WHEN 2 THEN '[visit] Missing ''url'' argument.' WHEN 4 THEN '"name" field is required. Specify a tool name' WHEN 5 THEN 'Invalid tool name ''dance''. Available tools: web_search, visit, code_interpreter, image_search.' END AS error
-FROM (SELECT DISTINCT conv_id FROM conversations)""")
+@query(_call_sql())
 def call_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id").distinct()
-    return rows.select("conv_id", convert.normalised_call(F.expr(CALL)).alias("c")).select("conv_id", "c.*")
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", convert.normalised_call(F.expr(_call(JSON_TEXT))).alias("c")).select("conv_id", "turn", "c.*")
 
 
 # converters and traces
@@ -451,17 +512,26 @@ def request_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", convert.request_error(F.col("messages")).alias("error"))
 
 
-OUTPUT = """CASE conv_id % 5 WHEN 0 THEN '<think>t' || turn || '</think><tool_call>{"name":"search"}</tool_call><tool_call>{"name":"visit"}</tool_call>' WHEN 1 THEN 'plain ' || turn WHEN 2 THEN '<think>x</think><answer> ' || turn || ' </answer>' WHEN 3 THEN '<tool_call>oops</tool_call>' ELSE 'half </think> rest' END"""
+def _output(text: str) -> str:
+    """Outputs of a model around whole turns; ``text`` is the turn as a JSON string."""
+    return f"""CASE (conv_id + turn) % 7 WHEN 0 THEN '<think>' || text || '</think><tool_call>{{"name":"search","arguments":{{"q":' || {text} || '}}}}</tool_call> <tool_call> {{"name":"visit"}} </tool_call>'
+WHEN 1 THEN text WHEN 2 THEN '<think>' || text || '</think><answer> ' || text || ' </answer>' WHEN 3 THEN '<think>x</think><tool_call>' || text || '</tool_call>' WHEN 4 THEN text || ' </think> rest' WHEN 5 THEN '<think> ' || text
+ELSE text || '<tool_call>{{"arguments":{{"q":' || {text} || '}}}}</tool_call><tool_call>[1]</tool_call>' END"""
 
 
-@query("""SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'call' WHEN 1 THEN 'untagged' WHEN 2 THEN 'answer' WHEN 3 THEN 'bad_call' ELSE 'untagged' END AS kind,
-CASE conv_id % 5 WHEN 0 THEN '<think>t' || turn || '</think><tool_call>{"name":"search"}{"name":"visit"}</tool_call>' WHEN 1 THEN '<think>plain ' || turn || '</think>' WHEN 2 THEN '<think>x</think><answer>' || turn || '</answer>'
-  WHEN 3 THEN '<tool_call>oops</tool_call>' ELSE '<think>half </think> rest</think><think>half</think>' END AS assistant,
-CASE conv_id % 5 WHEN 0 THEN '<tool_response>From: search' || chr(10) || 'foundFrom: visit' || chr(10) || 'page ' || turn || '</tool_response>' WHEN 3 THEN 'Error decoding JSON in <tool_call>: <tool_call>oops</tool_call>' WHEN 2 THEN NULL
-  ELSE 'You do not invoke any tool. Continue thinking or answering the question. Remember to use <think></think> or <answer></answer> to wrap your response.' END AS user FROM conversations""")
+@query(f"""WITH r AS (SELECT conv_id, turn, {_output('to_json(text)::VARCHAR')} AS o, [coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), 'page ' || turn] AS res FROM conversations),
+p AS (SELECT *, contains(o, '<think>') AS th, contains(o, '<tool_call>') AS tc, contains(o, '<answer>') AS an, {sql_bodies('o', 'tool_call')} AS b FROM r),
+q AS (SELECT *, tc AND len(list_filter(b, lambda x: NOT json_valid(x))) = 0 AS good, NOT th AND NOT tc AND NOT an AS plain, list_filter(b, lambda x: CASE WHEN json_valid(x) THEN json_type(x) = 'OBJECT' ELSE false END) AS calls FROM p),
+s AS (SELECT *, CASE WHEN plain THEN '<think>' || o || '</think>' ELSE '' END || CASE WHEN th OR contains(o, '</think>') THEN '<think>' || {sql_think_text('o')} || '</think>' ELSE '' END AS head FROM q),
+t AS (SELECT *, CASE WHEN good THEN head || '<tool_call>' || array_to_string(calls, '') || '</tool_call>' WHEN tc THEN o ELSE head END AS body FROM s)
+SELECT conv_id, turn, CASE WHEN an THEN 'answer' WHEN good THEN 'call' WHEN tc THEN 'bad_call' WHEN plain THEN 'untagged' ELSE 'think' END AS kind, CASE WHEN an THEN body || '<answer>' || ({sql_answer_text('o')}) || '</answer>' ELSE body END AS assistant,
+  CASE WHEN an THEN NULL WHEN good THEN '<tool_response>' || array_to_string(list_transform(calls, lambda x, i: 'From: ' || coalesce(json_extract_string(x, '$.name'), 'tool_call') || chr(10) || coalesce(res[i], '')), '') || '</tool_response>'
+    WHEN tc THEN 'Error decoding JSON in <tool_call>: ' || o WHEN plain THEN '{convert.NO_TOOL}' ELSE '{convert.WRONG_FORMAT}' END AS user FROM t""")
 def trace_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", convert.traced_turn(F.expr(OUTPUT), F.array(F.lit("found"), F.concat(F.lit("page "), "turn"))).alias("t")).select("conv_id", "turn", "t.*")
+    """Every turn as an output of several forms; what the tools found is the next turn."""
+    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = table(spark, sf_dir, "conversations").withColumn("results", F.array(F.coalesce(following, F.lit("")), F.concat(F.lit("page "), "turn")))
+    return rows.select("conv_id", "turn", convert.traced_turn(F.expr(_output(JSON_TEXT)), F.col("results")).alias("t")).select("conv_id", "turn", "t.*")
 
 
 @query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant')::BIGINT AS num_tool_calls, count(*)::BIGINT AS steps, md5(string_agg(text || substring(text, 1, 32000), '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id""")
@@ -470,14 +540,17 @@ def trace_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(convert.rolled_up(steps, "conv_id", "turn").select("conv_id", "num_tool_calls", F.size("steps").alias("steps"), F.md5("trace").alias("digest")))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '<think>a</think> <tool_call>{"x":1}</tool_call>' ELSE 'b' || turn END AS closed, '<answer>' || CASE WHEN turn % 2 = 0 THEN turn::VARCHAR ELSE 'b' || turn END || '</answer>' AS forced FROM conversations""")
+#: Outputs whose last tag isn't closed, or is, around whole turns.
+HALF_CALL = """CASE (conv_id + turn) % 4 WHEN 0 THEN '<think>' || text || '</think> <tool_call>{"name":"' || role || '"} ' WHEN 1 THEN ' <tool_call>' || text WHEN 2 THEN text || ' <tool_call>{}' ELSE '<think>' || text || '</think><tool_call>{}</tool_call>' END"""
+HALF_ANSWER = "CASE (conv_id + turn) % 4 WHEN 0 THEN 'so <answer>' || text || ' </answer>' WHEN 1 THEN '<answer> ' || text WHEN 2 THEN text ELSE '<answer>' || role || '</answer><answer>' || text || '</answer>' END"
+
+
+@query(f"""WITH r AS (SELECT conv_id, turn, {HALF_CALL} AS b, {sql_strip(HALF_CALL)} AS s, {HALF_ANSWER} AS g FROM conversations)
+SELECT conv_id, turn, CASE WHEN starts_with({sql_strip("split_part(s, '</think>', -1)")}, '<tool_call>') AND NOT ends_with(s, '>') THEN s || '</tool_call>' ELSE b END AS closed,
+  '<answer>' || CASE WHEN contains(g, '<answer>') THEN ({sql_answer_text('g')}) ELSE g END || '</answer>' AS forced FROM r""")
 def trace_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls without their closing tag, and forced answers."""
-    t = F.col("turn")
-    broken = F.when(t % 2 == 0, '<think>a</think> <tool_call>{"x":1}').otherwise(F.concat(F.lit("b"), t))
-    given = F.when(t % 2 == 0, F.concat(F.lit("so <answer>"), t, F.lit("</answer>"))).otherwise(F.concat(F.lit("b"), t))
-    # the first ends in "}" and so gets its tag
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", convert.closed_call(broken).alias("closed"), convert.forced_answer(given).alias("forced"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", convert.closed_call(F.expr(HALF_CALL)).alias("closed"), convert.forced_answer(F.expr(HALF_ANSWER)).alias("forced"))
 
 
 # run totals
