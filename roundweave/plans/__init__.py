@@ -1,6 +1,6 @@
 """Queries over the reference operators, with the SQL they are checked against."""
 
-from roundweave.plans import conversation, edges, packing, sampling, scores, tables, training  # noqa: F401  all but conversation register their queries with those of tables
+from roundweave.plans import conversation, edges, files, packing, sampling, scores, tables, training  # noqa: F401  all but conversation register their queries with those of tables
 
 QUERIES: dict = conversation.QUERIES | tables.QUERIES
 

@@ -46,15 +46,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | StructType, bad_lin
 def read_indexed(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     """Rows of JSON lines with ``_idx``, the number of their line from 0, over several files in the order of their names.
 
-    Lines are counted per split of a file; these counts, one row for each, are all that a single task goes through. Blank lines count but give no row;
-    a line that isn't JSON is an error.
+    Blank lines count but give no row; a line that isn't JSON is an error.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__line"))
-    before = Window.orderBy("__file", "__split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = lines.groupBy("__file", "__split").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    placed = lines.withColumn("__at", F.row_number().over(Window.partitionBy("__file", "__split").orderBy("__line")) - 1).join(starts, ["__file", "__split"])
-    rows = placed.filter("trim(value) <> ''").select((F.col("__start") + F.col("__at")).alias("_idx"), F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"))
-    return rows.select("_idx", "r.*")
+    lines = with_numbers(spark.read.text(path), "text")
+    return lines.filter("trim(value) <> ''").select("_idx", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("_idx", "r.*")
 
 
 def read_arrow(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:

@@ -9,7 +9,8 @@ from tests.conftest import same_rows
 #: Queries over tagged turns, replies and traces.
 TAGGED = """conv_stats tag_parse canonical_turn evict_rounds merge_messages rephrase_merge merge_images drop_images critical_path_status critical_path_messages
 grounding status_counts first_examples reduction_summary saved_hist multi_tag_rate question_text tool_calls clean_messages reply_parts trace_rollup
-judge_accuracy first_truthy label_clean lenient_json call_normalise trace_turns trace_repairs role_check role_repair patch_counts""".split()
+judge_accuracy first_truthy label_clean lenient_json call_normalise trace_turns trace_repairs role_check role_repair patch_counts
+training_rows streamed_turns changed_rows""".split()
 LONG = "Ärger im Süden: 日本語のテキスト 😀\nnext line\twith a tab, 12.5% " * 20 + "Zürich North Lake 1987 the end"
 
 
