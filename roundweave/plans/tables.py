@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roundweave.functions import text as T
@@ -97,11 +97,16 @@ def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.agg(F.round(F.avg("score"), 6).alias("macro"), F.round(F.avg("chars"), 4).alias("avg_chars"), F.round(F.avg("chars") / (100 * F.avg("score")), 4).alias("per_point"))
 
 
+def _scaled(x: Column, by: int) -> Column:
+    """A component's size times a whole number, rounded down; the product is a float, as in SQL, where Spark alone would take a double."""
+    return F.floor(F.abs(x) * F.lit(by).cast("float"))
+
+
 @query("""WITH p AS (SELECT vec_id, list_transform(embedding[1:len(embedding) // 2], lambda x: floor(abs(x) * 10)::INT % 3) AS p, list_transform(embedding[len(embedding) // 2 + 1:len(embedding) // 2 * 2], lambda x: CASE WHEN floor(abs(x) * 10)::INT % 4 = 3 THEN -100 ELSE floor(abs(x) * 10)::INT % 4 END) AS l FROM embeddings),
 q AS (SELECT vec_id, p, l, list_filter(range(1, len(l)), lambda i: l[i + 1] <> -100) AS c FROM p)
 SELECT vec_id, round(len(list_filter(c, lambda i: p[i] = l[i + 1]))::DOUBLE / nullif(len(c), 0), 6) AS accuracy FROM q""")
 def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.transform("embedding", lambda x: F.floor(F.abs(x) * 10).cast("int"))
+    e = F.transform("embedding", lambda x: _scaled(x, 10).cast("int"))
     half = F.floor(F.size("embedding") / 2).cast("int")
     predicted = F.transform(F.slice(e, F.lit(1), half), lambda x: x % 3)
     labels = F.transform(F.slice(e, half + 1, half), lambda x: F.when(x % 4 == 3, -100).otherwise(x % 4))
@@ -198,7 +203,7 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 l AS (SELECT vec_id, list_filter(list_transform(range(1, 4), lambda k: len(list_filter(m, lambda x: x = k))), lambda n: n > 0) AS l FROM m)
 SELECT vec_id, array_to_string(l, ',') AS lengths, '0' || coalesce(',' || nullif(array_to_string(list_transform(range(1, len(l) + 1), lambda i: list_sum(l[1:i])), ','), ''), '') AS offsets, coalesce(list_max(l), 0)::BIGINT AS longest FROM l""")
 def packing_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = F.array_sort(F.transform("embedding", lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int")))
+    mask = F.array_sort(F.transform("embedding", lambda x: (_scaled(x, 40) % 4).cast("int")))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", stats.sequence_lengths(mask).alias("l"), stats.sequence_offsets(mask).alias("o"))
     text = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     return rows.select("vec_id", text(F.col("l")).alias("lengths"), text(F.col("o")).alias("offsets"), F.coalesce(F.array_max("l"), F.lit(0)).cast("long").alias("longest"))
@@ -639,5 +644,5 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH m AS (SELECT vec_id, list_transform(embedding, lambda x: floor(abs(x) * 40)::INT % 4) AS m FROM embeddings)
 SELECT vec_id, coalesce(array_to_string(list_filter(range(0, len(m)), lambda i: m[i + 1] <> 0), ','), '') AS places FROM m""")
 def unpadded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = F.transform("embedding", lambda x: (F.floor(F.abs(x) * 40) % 4).cast("int"))
+    mask = F.transform("embedding", lambda x: (_scaled(x, 40) % 4).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(stats.unpadded(mask), lambda i: i.cast("string")), ",").alias("places"))

@@ -3,10 +3,16 @@
 import random
 from collections import Counter
 
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from roundweave.operators import pack, stats
+from roundweave.plans import ORACLES, QUERIES
+from tests.conftest import same_rows
 
 
 def fitted(lengths, cutoff, best):
@@ -100,3 +106,15 @@ def test_offsets(spark):
     assert [r["n"] for r in got[:5]] == [[2, 3], [1, 2, 3], [2, 1], [], []]
     assert [r["o"] for r in got[:5]] == [[0, 2, 5], [0, 1, 3, 6], [0, 2, 3], [0], [0]]
     assert got[6]["n"] == [3] * 33333 + [1] and got[6]["o"][-2:] == [99_999, 100_000]
+
+
+def test_products_are_floats(spark, tmp_path):
+    """Components whose product is whole as a float and just below as a double."""
+    vectors = np.abs(np.random.default_rng(5).normal(0, 0.125, (40, 64))).astype(np.float32)
+    vectors[:10] = [[(7 * i + k) % 99 / 40 for k in range(64)] for i in range(10)]
+    vectors[10:20] = [[(7 * i + k) % 99 / 10 for k in range(64)] for i in range(10)]
+    pq.write_table(pa.table({"vec_id": pa.array(range(40), pa.int64()), "embedding": pa.array(list(vectors), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW embeddings AS FROM '{tmp_path}/embeddings.parquet'")
+    for name in ("packing_lengths", "unpadded_places", "token_accuracy"):
+        same_rows(QUERIES[name](spark, str(tmp_path)).toPandas(), db.sql(ORACLES[name]).df())
