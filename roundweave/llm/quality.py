@@ -30,6 +30,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -139,9 +140,12 @@ FIELDS = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 
 def _numbered(texts: list[list[str]]) -> list[list[int]]:
-    """Strings as numbers, the same for the same string."""
-    ids: defaultdict[str, int] = defaultdict()
-    ids.default_factory = ids.__len__
+    """Strings as numbers, the same for the same string.
+
+    Nothing here refers to itself: a dictionary in a cycle would stay, with all its strings, until a full garbage
+    collection, which many strings and few containers don't bring about.
+    """
+    ids: defaultdict[str, int] = defaultdict(count().__next__)
     return [list(map(ids.__getitem__, text)) for text in texts]
 
 

@@ -1,5 +1,6 @@
 """Operators over documents: odd and empty tables, and plain versions of what they compute."""
 
+import gc
 import hashlib
 import re
 import zlib
@@ -230,6 +231,17 @@ def test_quality(spark, texts):
         assert r[:6] == plain_quality(text) and r[7:9] == pytest.approx(plain_verdict(text))
 
 
+def test_quality_leaves_nothing_to_the_garbage_collector():
+    """What a batch made goes when it is done, or a worker grows with the rows it has seen."""
+    gc.collect()
+    gc.disable()
+    try:
+        quality.measure(LOOPS)
+        assert gc.collect() == 0
+    finally:
+        gc.enable()
+
+
 def test_quality_decides_what_the_base_rule_leaves(spark):
     got = queries.op3_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id", "left")
     alone = got.filter("NOT kept AND NOT base_failed")
