@@ -18,8 +18,11 @@ STATE = f"metric string, n bigint, total {SUM}"
 
 def partial_states(rows: DataFrame, scores: dict[str, Column]) -> DataFrame:
     """``metric, n, total``: what a batch adds to each metric. Null and NaN scores don't count; a metric without scores has n = 0."""
-    exact = {name: F.when(~F.isnan(score.cast("double")), score.cast("double")).cast(SCORE) for name, score in scores.items()}
-    sums = rows.agg(*(F.struct(F.lit(name).alias("metric"), F.count(score).alias("n"), F.coalesce(F.sum(score), F.lit(0)).cast(SUM).alias("total")).alias(f"m{i}") for i, (name, score) in enumerate(exact.items())))
+    # scores are costly and used several times, so each is a column before it is used
+    named = [f"s{i}" for i in range(len(scores))]
+    scored = rows.select(*(score.cast("double").alias(s) for s, score in zip(named, scores.values())))
+    exact = scored.select(*(F.when(~F.isnan(s), F.col(s)).cast(SCORE).alias(s) for s in named))
+    sums = exact.agg(*(F.struct(F.lit(name).alias("metric"), F.count(s).alias("n"), F.coalesce(F.sum(s), F.lit(0)).cast(SUM).alias("total")).alias(f"m{i}") for i, (name, s) in enumerate(zip(scores, named))))
     return sums.select(F.explode(F.array(*sums.columns)).alias("s")).select("s.*")
 
 

@@ -86,11 +86,10 @@ def running_offsets(lengths: Column) -> Column:
 
 def masked_accuracy(predicted: Column, labels: Column, ignored: int = -100) -> Column:
     """Share of labels met by the prediction one place before, of those not ignored."""
-    n = F.size(labels)
-    pairs = F.arrays_zip(F.slice(predicted, F.lit(1), n - 1).alias("p"), F.slice(labels, F.lit(2), n - 1).alias("l"))
-    counted = F.filter(pairs, lambda x: x["l"] != ignored)
-    hits = F.size(F.filter(counted, lambda x: x["p"] == x["l"]))
-    return F.when(F.size(counted) > 0, hits / F.size(counted))
+    n = F.greatest(F.size(labels) - 1, F.lit(0))
+    hits = F.zip_with(F.slice(predicted, F.lit(1), n), F.slice(labels, F.lit(2), n), lambda p, l: F.when(l != ignored, F.coalesce(p == l, F.lit(False))))
+    counted = F.filter(hits, lambda x: x.isNotNull())
+    return T.let(counted, lambda c: F.when(F.size(c) > 0, F.size(F.filter(c, lambda x: x)) / F.size(c)))
 
 
 def unpadded(mask: Column) -> Column:

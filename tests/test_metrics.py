@@ -26,6 +26,15 @@ def test_any_split_gives_the_same(spark):
     assert [r["n"] for r in metrics.results(metrics.partial_states(table.limit(0), scores)).collect()] == [0, 0, 0]
 
 
+def test_scores_are_worked_out_once(spark):
+    """However often a state uses a score, the plan has it once."""
+    table = spark.createDataFrame([("a b", [1, 2], [3, 1]), ("c", [1], [1]), ("", [], [])], "t string, predicted array<int>, labels array<int>")
+    states = metrics.partial_states(table, metrics.accuracy() | {"length": F.length(F.regexp_replace("t", " +", "_")) / 2})
+    plan = states._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 1 and plan.count("slice(labels") == 1
+    assert sorted(map(tuple, metrics.results(states).collect())) == [("accuracy", 1, 1.0), ("length", 3, 2 / 3)]
+
+
 def test_table(spark, tmp_path):
     held = metrics.MetricTable(spark, str(tmp_path / "m"))
     rows = lambda *pairs: spark.createDataFrame(list(pairs), "predicted array<int>, labels array<int>")
