@@ -130,7 +130,8 @@ def children_of(edges: Column, node: Column) -> Column:
 def strict_groups(edges: Column) -> Column:
     """Groups of nodes with equal parents and equal children: array of (node, members)."""
     known = F.transform(nodes_of(edges), lambda n: F.struct(n.alias("node"), parents_of(edges, n).alias("p"), children_of(edges, n).alias("c")))
-    return F.transform(known, lambda x: F.struct(x["node"].alias("node"), F.transform(F.filter(known, lambda y: (y["p"] == x["p"]) & (y["c"] == x["c"])), lambda y: y["node"]).alias("members")))
+    alike = lambda k, x: F.transform(F.filter(k, lambda y: (y["p"] == x["p"]) & (y["c"] == x["c"])), lambda y: y["node"])
+    return T.let(known, lambda k: F.transform(k, lambda x: F.struct(x["node"].alias("node"), alike(k, x).alias("members"))))
 
 
 def relaxed_groups(edges: Column) -> Column:

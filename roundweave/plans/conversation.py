@@ -107,7 +107,7 @@ def reply_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {GRAPH_SQL} SELECT conv_id, src, dst FROM pr")
 def leaf_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(edited(spark, sf_dir).select("conv_id", F.inline("pruned")))
+    return longs(edited(spark, sf_dir).select("conv_id", F.inline_outer("pruned")).filter("src IS NOT NULL"))
 
 
 @query(f"""WITH {GRAPH_SQL} SELECT tg.conv_id, tg.pos AS turn, tg.role, tg.content FROM tg LEFT JOIN ev ON tg.conv_id = ev.conv_id AND (tg.pos + 3) // 2 = ev.r AND tg.pos > 0 WHERE ev.r IS NULL""")
@@ -236,7 +236,7 @@ def rephrase_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thoughts of merged rounds by what a cache of rephrasings has for them; it knows those of every second conversation."""
     rows = _groups(edited(spark, sf_dir)).select("conv_id", "messages", "groups")
     contents = F.transform("g", lambda q: F.get(F.col("messages"), 2 * q - 3)["content"])
-    asked = rows.select("conv_id", "messages", F.explode("groups").alias("g")).select("conv_id", F.sha2(edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())), 256).alias("key"), edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())).alias("joined"))
+    asked = rows.select("conv_id", "messages", F.explode_outer("groups").alias("g")).filter("g IS NOT NULL").select("conv_id", F.sha2(edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())), 256).alias("key"), edit.joined_thinks(F.filter(contents, lambda c: c.isNotNull())).alias("joined"))
     cache = asked.filter("conv_id % 2 = 0").groupBy("key").agg(F.concat(F.lit("In short: "), F.first("joined")).alias("value"))
     told = edit.rephrased_by(rows, cache)
     first = lambda g: 2 * F.get(g, F.lit(0)) - 3
@@ -267,8 +267,12 @@ def _parted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shown(rows: DataFrame) -> DataFrame:
-    """Texts as they are and lists as JSON."""
-    turns = rows.select("conv_id", F.posexplode("m").alias("turn", "m")).filter("m IS NOT NULL")
+    """Texts as they are and lists as JSON.
+
+    Exploded with ``outer``, as null turns go anyway: else the optimiser puts a filter on the size of ``m`` below the steps that make it, with all
+    of them written out in it as often as they are used.
+    """
+    turns = rows.select("conv_id", F.posexplode_outer("m").alias("turn", "m")).filter("m IS NOT NULL")
     content = F.col("m.content")
     return longs(turns.select("conv_id", "turn", "m.role", F.when(edit.is_listed(content), F.to_json(content)).otherwise(F.variant_get(content, "$", "string")).alias("content")))
 
@@ -377,7 +381,8 @@ def critical_path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE WHEN r = 2 AND pos % 2 = 1 AND pos > 0 AND rn.conv_id % 2 = 0 THEN CASE WHEN regexp_matches(content, '(?s)<think>.*?</think>') THEN regexp_replace(content, '(?s)<think>.*?</think>', '<think>patched</think>') ELSE '<think>patched</think>' || chr(10) || content END ELSE content END AS content
 FROM rn JOIN sx ON rn.conv_id = sx.conv_id WHERE s[1] = 'reduce' AND NOT gone""")
 def critical_path_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _planned(spark, sf_dir).filter("status = 'reduce'").select("conv_id", F.posexplode("messages_new").alias("turn", "m"))
+    reduced = F.when(F.col("status") == "reduce", F.col("messages_new"))
+    rows = _planned(spark, sf_dir).select("conv_id", F.posexplode_outer(reduced).alias("turn", "m")).filter("m IS NOT NULL")
     return longs(rows.select("conv_id", "turn", "m.content"))
 
 

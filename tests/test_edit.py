@@ -1,10 +1,14 @@
 """Edits of a conversation of four rounds and an answer, case by case."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from roundweave.functions import text as T
 from roundweave.operators import edit, rounds
+from roundweave.plans import QUERIES
+from tests.conftest import SF
 
 TYPE = "array<struct<role:string,content:string>>"
 NOTE = "Previous tool call results:\n"
@@ -183,3 +187,10 @@ def test_single_turn_of_a_group_is_built_anew_when_gathered(spark):
     assert made["gathered"][2]["content"] == "<tool_response>Previous tool call results:\nx\ny</tool_response>"
     assert made["pairwise"][2]["content"] == messages[2][1]
     assert made["gathered"][1]["content"] == made["pairwise"][1]["content"] == "<think>a;\nb</think><answer>z</answer>"
+
+
+@pytest.mark.parametrize("name", ["rephrase_parts", "merge_parts", "leaf_prune", "critical_path_messages"])
+def test_no_filter_works_out_what_is_exploded(spark, name):
+    """A filter on the size of an array, pushed below what makes it, makes it again for each use."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [c for c in re.findall(r"^[ :|+-]*Filter (.*)", plan, re.M) if "lambdafunction" in c]

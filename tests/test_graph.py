@@ -107,3 +107,11 @@ def test_limited_groups(spark):
     limited = lambda *a, **b: [g["members"] for g in rows.select(graph.limited_groups(F.col("g"), *a, **b)).first()[0]]
     assert limited(2) == [[2, 3], [2, 3], [4, 6], [4, 6], [7], [8], [9]]
     assert limited(adjacent=True) == [[2, 3], [2, 3], [4], [6], [7, 8, 9], [7, 8, 9], [7, 8, 9]]
+
+
+def test_strict_groups_compare_parents_once(spark):
+    """Parents and children of all nodes are gathered once, not again for each node: the plan has them once."""
+    edges = spark.createDataFrame([([(1, 2), (1, 3), (2, 4), (3, 4)],)], "e array<struct<src:int,dst:int>>")
+    rows = edges.select(graph.strict_groups(F.col("e")).alias("g"))
+    assert [(x["node"], x["members"]) for x in rows.collect()[0]["g"]] == [(1, [1]), (2, [2, 3]), (3, [2, 3]), (4, [4])]
+    assert rows._jdf.queryExecution().analyzed().toString().count("array_distinct(") == 3
