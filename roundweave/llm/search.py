@@ -3,9 +3,10 @@
 The candidates are dealt out to shards of some ``SHARD_ROWS`` rows, and each shard is put into a ball tree. A
 node's ball bounds the inner product of a query q with all vectors in it: it is
 at most <q, centre> + |q| * radius. A shard with its tree is one row of a table in the shared folder, written once and read once for
-all queries. Queries come in blocks of about ``BLOCK_QUERIES``, and a block meets a shard by a join on both their numbers. A block of queries goes down a tree
-together, each query to the child with the higher bound first, and leaves a
-branch whose bound is under its current kth score.
+all queries. Queries come in blocks of about ``BLOCK_QUERIES``, and a block meets a shard by a join on both their numbers. This is always a sort-merge
+join: a block stands once for each shard in it, which Spark's estimate of its size doesn't have, so it would be broadcast through the driver.
+Queries go down a tree some ``TOGETHER`` at a time. Each one that has no kth score yet looks into the leaf with its highest bound first; then all go
+down, the child that is higher for most of them first, and a query leaves a branch whose bound is under its current kth score.
 
 That score is shared. In a first round each block meets one shard only; the kth scores found there are the bounds from below that all
 other shards start from in the second round, and a task hands its block's scores on from one shard to the next. The answers of both rounds
@@ -13,7 +14,7 @@ are merged at the end.
 
 Vectors are turned into floor(256 * x); null ones, and those with null or
 non-finite components, take no part. Scores are exact while the sum of absolute
-products stays under 2^53.
+products stays under 2^53; they are made in 32 bits where norms say that it stays under 2^24.
 
 Edge cases: vectors are compared with those of the same length only; an empty
 vector scores 0; an empty table gives an empty table; ties go to the smaller id;
@@ -33,9 +34,10 @@ from pyspark.sql import functions as F
 
 from roundweave.llm.common import saved, small_batches
 
-BLOCK_QUERIES = 4096
-SHARD_ROWS = 8_192
+BLOCK_QUERIES = 16_384
+SHARD_ROWS = 16_384
 LEAF_ROWS = 128
+TOGETHER = 1024
 LOWEST = -(2**62)
 TREE = "d int, shard int, ids binary, rows binary, centres binary, radii binary, spans binary"
 BLOCK = "d int, block int, query_ids binary, queries binary, floors binary"
@@ -47,6 +49,18 @@ def quantised(vector: Column) -> Column:
     return F.when(~bad, F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
+def _written(rows: np.ndarray) -> bytes:
+    """Whole numbers in as few bits as hold them."""
+    low, high = rows.min(initial=0), rows.max(initial=0)
+    return rows.astype(next((kind for kind in (np.int16, np.int32) if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max), np.float64)).tobytes()
+
+
+def _read(raw: pa.Buffer, n: int, d: int) -> np.ndarray:
+    """A matrix of n rows that ``_written`` has made."""
+    kind = {2: np.int16, 4: np.int32, 8: np.float64}[raw.size // (n * d) if n * d else 8]
+    return np.frombuffer(raw, kind).reshape(n, d)
+
+
 class BallTree:
     """A ball tree over the rows of a matrix of whole numbers."""
 
@@ -77,11 +91,10 @@ class BallTree:
         return cls(ids[order], raw[order], nodes)
 
     def written(self) -> dict[str, bytes]:
-        """Columns of a row that holds the tree; rows in 32 bits if they fit."""
-        small = not self.rows.size or np.abs(self.rows).max() < 2**31
+        """Columns of a row that holds the tree."""
         return {
             "ids": self.ids.astype(np.int64).tobytes(),
-            "rows": self.rows.astype(np.int32 if small else np.float64).tobytes(),
+            "rows": _written(self.rows),
             "centres": np.array([n[0] for n in self.nodes], np.float64).tobytes(),
             "radii": np.array([n[1] for n in self.nodes], np.float64).tobytes(),
             "spans": np.array([n[2:] for n in self.nodes], np.int64).tobytes(),
@@ -90,8 +103,7 @@ class BallTree:
     @classmethod
     def read(cls, d: int, row: dict[str, pa.Scalar]) -> BallTree:
         ids, radii = (np.frombuffer(row[c].as_buffer(), k) for c, k in (("ids", np.int64), ("radii", np.float64)))
-        raw = row["rows"].as_buffer()
-        rows = np.frombuffer(raw, np.int32 if raw.size == 4 * d * len(ids) else np.float64).reshape(len(ids), d).astype(np.float64)
+        rows = _read(row["rows"].as_buffer(), len(ids), d).astype(np.float64)
         centres = np.frombuffer(row["centres"].as_buffer(), np.float64).reshape(len(radii), d)
         spans = np.frombuffer(row["spans"].as_buffer(), np.int64).reshape(-1, 4).tolist()
         return cls(ids, rows, [(c, float(r), *span) for c, r, span in zip(centres, radii, spans)])
@@ -110,38 +122,53 @@ class TopK:
     def kth(self, at: np.ndarray) -> np.ndarray:
         return np.maximum(self.scores[at, -1], self.floor[at])
 
-    def search(self, tree: BallTree, node: int = 0, at: np.ndarray | None = None) -> None:
-        at = np.arange(len(self.ids)) if at is None else at
-        at = at[self.bound(tree, node, at) >= self.kth(at)]
-        if not len(at):
-            return
-        _, _, lo, hi, left, right = tree.nodes[node]
-        if left < 0:
-            self.merge(at, tree.ids[lo:hi], tree.rows[lo:hi])
-            return
-        first = self.bound(tree, left, at) >= self.bound(tree, right, at)
-        for mine, order in ((at[first], (left, right)), (at[~first], (right, left))):
-            for child in order:
-                if len(mine):
-                    self.search(tree, child, mine)
-
-    def bound(self, tree: BallTree, node: int, at: np.ndarray) -> np.ndarray:
-        centre, radius = tree.nodes[node][:2]
-        bound = self.rows[at] @ centre + self.norms[at] * radius
-        return bound + 1e-9 * np.abs(bound) + 1.0  # for rounding; scores are whole numbers
+    def search(self, tree: BallTree) -> None:
+        centres, radii = np.array([n[0] for n in tree.nodes]), np.array([n[1] for n in tree.nodes])
+        leaves = np.array([no for no, n in enumerate(tree.nodes) if n[4] < 0])
+        longest = np.sqrt((tree.rows**2).sum(axis=1).max())
+        rows = tree.rows.astype(np.float32 if longest * self.norms.max(initial=0) < 2**24 else np.float64)
+
+        def score(node: int, at: np.ndarray) -> None:
+            lo, hi = tree.nodes[node][2:4]
+            self.merge(at, tree.ids[lo:hi], rows[lo:hi])
+
+        for begin in range(0, len(self.ids), TOGETHER):
+            at = np.arange(begin, min(begin + TOGETHER, len(self.ids)))
+            bounds = self.rows[at] @ centres.T + self.norms[at, None] * radii
+            bounds += 1e-9 * np.abs(bounds) + 1.0  # for rounding; scores are whole numbers
+            seen = np.full(len(at), -1)
+            blind = np.flatnonzero(self.kth(at) == LOWEST)
+            seen[blind] = leaves[bounds[np.ix_(blind, leaves)].argmax(axis=1)]
+            for leaf in np.unique(seen[blind]):
+                score(leaf, at[seen == leaf])
+            todo = [(0, np.arange(len(at)))]
+            while todo:
+                node, mine = todo.pop()
+                mine = mine[(bounds[mine, node] >= self.kth(at[mine])) & (seen[mine] != node)]
+                if not len(mine):
+                    continue
+                left, right = tree.nodes[node][4:]
+                if left < 0:
+                    score(node, at[mine])
+                    continue
+                higher = 2 * np.count_nonzero(bounds[mine, left] >= bounds[mine, right]) >= len(mine)
+                todo += [(child, mine) for child in ((right, left) if higher else (left, right))]
 
     def merge(self, at: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-        for i in range(0, len(at), 1024):
-            part = at[i : i + 1024]
-            scores = np.rint(self.rows[part] @ rows.T).astype(np.int64)
-            scores[self.ids[part][:, None] == ids] = LOWEST
-            some = (scores >= self.kth(part)[:, None]).any(axis=1)
-            part, scores = part[some], scores[some]
-            scores = np.concatenate([self.scores[part], scores], axis=1)
-            found = np.concatenate([self.found[part], np.broadcast_to(ids, (len(part), len(ids)))], axis=1)
-            best = np.lexsort((found, -scores), axis=1)[:, : self.k]
-            self.scores[part] = np.take_along_axis(scores, best, axis=1)
-            self.found[part] = np.take_along_axis(found, best, axis=1)
+        scores = self.rows[at].astype(rows.dtype) @ rows.T
+        q, c = np.nonzero(scores >= self.kth(at).astype(rows.dtype)[:, None])
+        others = self.ids[at[q]] != ids[c]
+        q, c = q[others], c[others]
+        if not len(q):
+            return
+        some = np.unique(q)
+        mine = at[some]
+        of = np.concatenate([np.repeat(some, self.k), q])
+        made = np.concatenate([self.scores[mine].ravel(), np.rint(scores[q, c]).astype(np.int64)])
+        found = np.concatenate([self.found[mine].ravel(), ids[c]])
+        order = np.lexsort((found, -made, of))
+        best = order[np.searchsorted(of[order], some)[:, None] + np.arange(self.k)]  # those of before are k, so nothing of the next is taken
+        self.scores[mine], self.found[mine] = made[best], found[best]
 
 
 def _matrix(table: pa.Table, d: int) -> np.ndarray:
@@ -156,8 +183,8 @@ def _grow(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     d, block = (k.as_py() for k in key)
-    columns = {"query_ids": rows.column("id").to_numpy(), "queries": _matrix(rows, d).astype(np.int64), "floors": rows.column("floor").to_numpy()}
-    return pa.table({"d": pa.array([d], pa.int32()), "block": pa.array([block], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in columns.items()}})
+    columns = {"query_ids": rows.column("id").to_numpy().tobytes(), "queries": _written(_matrix(rows, d)), "floors": rows.column("floor").to_numpy().tobytes()}
+    return pa.table({"d": pa.array([d], pa.int32()), "block": pa.array([block], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()}})
 
 
 def _searched(met: DataFrame, k: int) -> DataFrame:
@@ -170,7 +197,7 @@ def _searched(met: DataFrame, k: int) -> DataFrame:
                 row = {c: batch.column(c)[n] for c in batch.schema.names}
                 d, block = row["d"].as_py(), row["block"].as_py()
                 ids = np.frombuffer(row["query_ids"].as_buffer(), np.int64)
-                queries = np.frombuffer(row["queries"].as_buffer(), np.int64).reshape(len(ids), d)
+                queries = _read(row["queries"].as_buffer(), len(ids), d)
                 if last != (d, block):  # else what this task has found for the block so far holds
                     last, floors = (d, block), np.frombuffer(row["floors"].as_buffer(), np.int64)
                 best = TopK(ids, queries, k, floors)
@@ -204,11 +231,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
 
     home = F.pmod(F.col("block"), _number(shards)).cast("int")
     start = packed(queries.withColumn("floor", F.lit(LOWEST))).withColumn("shard", home)
-    first = saved(_searched(trees.join(start, ["d", "shard"]), k), "first")
+    first = saved(_searched(trees.join(start.hint("merge"), ["d", "shard"]), k), "first")
     floors = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
-    known = queries.join(floors, F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("kth", F.lit(LOWEST)))
+    known = queries.join(floors.hint("merge"), F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("kth", F.lit(LOWEST)))
     others = packed(known).withColumn("shard", F.explode(F.sequence(F.lit(0), _number(shards) - 1))).filter(F.col("shard") != home)
-    met = trees.withColumn("block", F.explode(F.sequence(F.lit(0), _number(blocks) - 1))).join(others, ["d", "shard", "block"])
+    met = trees.withColumn("block", F.explode(F.sequence(F.lit(0), _number(blocks) - 1))).join(others.hint("merge"), ["d", "block", "shard"])
     ranked = first.unionByName(_searched(met, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -142,6 +142,45 @@ def test_branches_are_left_out():
     assert sum(seen) < 0.3 * scores.size
 
 
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Blocks of queries stand once for each shard in a join, so they must not go through the driver, whatever Spark takes for their size."""
+    plans, kept = [], search.saved
+    monkeypatch.setattr(search, "saved", lambda df, name: plans.append(df) or kept(df, name))
+    plans.append(search.top_k(spark.read.parquet(f"{SF}/embeddings.parquet"), F.col("vec_id") % 5 == 0, shard_rows=50, block_queries=17))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in plans]
+    assert len(plans) == 4 and sum("SortMergeJoin" in p for p in plans) == 2
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+@pytest.mark.parametrize("scale", [1, 300, 2000, 2**20])
+def test_scores_are_exact(scale):
+    """Also where 32 bits don't hold them, among ties, for queries with and without a floor, and for more queries than are looked at together."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows, ids = rng.integers(-scale, scale, (700, 64)), rng.permutation(700)
+    queries = np.concatenate([rows, rng.integers(-scale, scale, (500, 64))])
+    own = np.concatenate([ids, 1000 + np.arange(500)])
+    scores = queries @ rows.T
+    scores[own[:, None] == ids] = search.LOWEST
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    want = np.take_along_axis(scores, order, axis=1)
+    best = search.TopK(own, queries, 5, np.where(own % 2 == 0, search.LOWEST, want[:, -1]))
+    best.search(search.BallTree.grown(ids[:300], rows[:300], 40))
+    best.search(search.BallTree.grown(ids[300:], rows[300:], 40))
+    assert (best.scores == want).all() and (best.found == ids[order]).all()
+
+
+def test_few_bits():
+    import numpy as np
+    import pyarrow as pa
+
+    for most, size in ((0, 2), (2**15 - 1, 2), (2**15, 4), (2**31 - 1, 4), (2**31, 8), (2**52, 8)):
+        raw = search._written(np.array([[most, 1], [-most, 0]]))
+        assert len(raw) == 4 * size
+        assert search._read(pa.py_buffer(raw), 2, 2).tolist() == [[most, 1], [-most, 0]]
+
+
 LINKS = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(30))
 PROSE = [f"Paragraph {i} says something of its own at some length, and goes on for a while without any markup in it." for i in range(6)]
 
