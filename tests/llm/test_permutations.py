@@ -99,3 +99,75 @@ def test_odd_rows(spark):
     assert permutations.nearest(table, F.col("vec_id") == 77).collect() == []
     big = spark.createDataFrame([(i, [1e300 * (i + 1), -1e300]) for i in range(5)], "vec_id long, embedding array<double>")
     assert [r["score"] for r in permutations.nearest(big, F.col("vec_id") == 0).collect()] == [inf] * 4
+
+
+def spread(n, seed):
+    """Vectors that are spread evenly over the sphere, as the given ones are."""
+    x = np.random.default_rng(seed).normal(size=(n, 64))
+    return (x / np.sqrt((x**2).sum(axis=1))[:, None]).astype(np.float32)
+
+
+def test_time_follows_the_pairs(spark):
+    """A pair of a query and a row takes nanoseconds: 400 million pairs took 4 workers minutes, by loops over pivots and queries."""
+    import time
+
+    import pyarrow as pa
+
+    x = spread(20_000, 5)
+    table = spark.createDataFrame(pa.table({"id": np.arange(len(x)), "v": pa.array(list(x), pa.list_(pa.float32()))})).cache()
+    index = permutations.PermutationIndex(table)
+    began = time.time()
+    found = index.search(table, 10).filter(F.col("query_id") % 400 == 0).toPandas()
+    assert time.time() - began < 40
+    scores = x.astype(np.float64)
+    hit = 0
+    for q in range(0, len(x), 400):
+        apart = ((scores - scores[q]) ** 2).sum(axis=1)
+        hit += len(set(found.vec_id[found.query_id == q]) & set(np.argsort(apart)[1:11].tolist()))
+    assert hit >= 0.97 * 500
+
+
+def test_nothing_is_broadcast(spark):
+    """Blocks of queries stand once for each shard in a join, so they must not go through the driver, whatever Spark takes for their size."""
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v")
+    found = permutations.PermutationIndex(rows, shard_rows=50).search(rows.filter("id % 5 = 0"), 3, block_queries=17)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e3, 1e25, 1e300])
+def test_rerank(scale):
+    """The best of what was chosen are those of brute force, also among copies and near copies, and where 32 bits overflow."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 8))
+    x[100:200] = x[7] + 1e-6 * rng.normal(size=(100, 8))
+    x[200:260] = x[8]
+    x *= scale
+    ids, own = rng.permutation(400), np.array([-1, 5, 9, 9, 11])
+    queries = np.concatenate([x[7:10], x[205:206], scale * rng.normal(size=(1, 8))])
+    chosen = rng.random((5, 400)) < 0.5
+    chosen[4, 3:] = False
+    with np.errstate(over="ignore"):
+        apart = np.array([np.sqrt(((x - q) ** 2).sum(axis=1)) for q in queries])
+    allowed = chosen & (ids != own[:, None])
+    want = [[i for i in np.lexsort((ids, apart[q])) if allowed[q, i]][:6] for q in range(5)]
+    for within in (np.full(5, np.inf), np.array([apart[q, w[-1]] for q, w in enumerate(want)])):
+        q, row_no, score = permutations.Rerank(ids, x, 6).best(chosen.copy(), own, queries, within)
+        assert [row_no[q == i].tolist() for i in range(5)] == want
+        assert (score == apart[q, row_no]).all()
+
+
+def test_measures(spark):
+    """Both measures are those of their definitions, and find about as much."""
+    x, pivots = spread(300, 7), spread(40, 8).astype(np.float64)
+    files, asked = permutations.nearness(x.astype(np.float64), pivots), permutations.nearness(x[:9].astype(np.float64), pivots)
+    assert files.max() == 20 and (np.sort(files, axis=1)[:, 20:] == np.arange(1, 21)).all()
+    rho = ((files[None].astype(int) - asked[:, None]) ** 2).sum(axis=2)
+    assert (permutations._like_rho(files.T.astype(np.float32), asked, 50) == (rho <= np.sort(rho, axis=1)[:, 49, None])).all()
+    footrule = np.abs(files[None].astype(int) - asked[:, None]).sum(axis=2)
+    assert (permutations._like_footrule(files.T, 20 - asked.astype(np.int16), 50) == (footrule <= np.sort(footrule, axis=1)[:, 49, None])).all()
+    rows = given(spark, "/root/testdata/sf0.1")
+    index = permutations.PermutationIndex(spark.createDataFrame(rows, "id long, v array<float>"), shard_rows=500)
+    chosen, want = spark.createDataFrame([r for r in rows if r[0] % 40 == 0], "id long, v array<float>"), brute(rows, [i for i, _ in rows if i % 40 == 0])
+    both = [recall(index.search(chosen, 10, least=10, footrule=kind).collect(), rows, want) for kind in (False, True)]
+    assert min(both) >= 0.97
