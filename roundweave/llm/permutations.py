@@ -123,6 +123,7 @@ class PermutationIndex:
 
         def pack(key: tuple, rows: pa.Table) -> pa.Table:
             d, block = (k.as_py() for k in key)
+            rows = rows.sort_by("id")  # a block made again has its queries in the same places
             return pa.table({"d": pa.array([d], pa.int32()), "block": pa.array([block], pa.int32()), **{c: pa.array([x.tobytes()], pa.binary()) for c, x in (("query_ids", rows.column("id").to_numpy()), ("queries", _matrix(rows, d)))}})
 
         packed = one.withColumn("block", F.pmod(F.xxhash64("id"), self._of(blocks)).cast("int")).groupBy("d", "block").applyInArrow(pack, BLOCK)

@@ -3,7 +3,7 @@
 The candidates are dealt out to shards of some ``SHARD_ROWS`` rows, and each shard is put into a ball tree. A
 node's ball bounds the inner product of a query q with all vectors in it: it is
 at most <q, centre> + |q| * radius. A shard with its tree is one row of a table in the shared folder, written once and read once for
-all queries. Queries come in blocks of about ``BLOCK_QUERIES``, and a block meets a shard by a join on both their numbers. This is always a sort-merge
+all queries. Queries come in blocks of about ``BLOCK_QUERIES``, and the blocks meet a shard by a join on its number, so that a shard is shuffled once. This is always a sort-merge
 join: a block stands once for each shard in it, which Spark's estimate of its size doesn't have, so it would be broadcast through the driver.
 Queries go down a tree some ``TOGETHER`` at a time. Each one that has no kth score yet looks into the leaf with its highest bound first; then all go
 down, the child that is higher for most of them first, and a query leaves a branch whose bound is under its current kth score.
@@ -183,6 +183,7 @@ def _grow(key: tuple, rows: pa.Table) -> pa.Table:
 
 def _pack(key: tuple, rows: pa.Table) -> pa.Table:
     d, block = (k.as_py() for k in key)
+    rows = rows.sort_by("id")  # a block made again has its queries in the same places
     columns = {"query_ids": rows.column("id").to_numpy().tobytes(), "queries": _written(_matrix(rows, d)), "floors": rows.column("floor").to_numpy().tobytes()}
     return pa.table({"d": pa.array([d], pa.int32()), "block": pa.array([block], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()}})
 
@@ -191,18 +192,16 @@ def _searched(met: DataFrame, k: int) -> DataFrame:
     """The k best of each query of a block in each shard that it has met, as far as they reach the query's floor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, floors = None, np.empty(0)
+        floors: dict[tuple[int, int], np.ndarray] = {}  # by block, with what this task has found so far
         for batch in batches:
             for n in range(len(batch)):
                 row = {c: batch.column(c)[n] for c in batch.schema.names}
                 d, block = row["d"].as_py(), row["block"].as_py()
                 ids = np.frombuffer(row["query_ids"].as_buffer(), np.int64)
                 queries = _read(row["queries"].as_buffer(), len(ids), d)
-                if last != (d, block):  # else what this task has found for the block so far holds
-                    last, floors = (d, block), np.frombuffer(row["floors"].as_buffer(), np.int64)
-                best = TopK(ids, queries, k, floors)
+                best = TopK(ids, queries, k, floors.get((d, block), np.frombuffer(row["floors"].as_buffer(), np.int64)))
                 best.search(BallTree.read(d, row))
-                floors = np.maximum(floors, best.scores[:, -1])
+                floors[d, block] = np.maximum(best.floor, best.scores[:, -1])
                 q, r = np.nonzero((best.scores > LOWEST) & (best.scores >= best.floor[:, None]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(best.found[q, r]), pa.array(best.scores[q, r])], names=["query_id", "vec_id", "score"])
 
@@ -235,7 +234,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
     floors = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
     known = queries.join(floors.hint("merge"), F.col("id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("kth", F.lit(LOWEST)))
     others = packed(known).withColumn("shard", F.explode(F.sequence(F.lit(0), _number(shards) - 1))).filter(F.col("shard") != home)
-    met = trees.withColumn("block", F.explode(F.sequence(F.lit(0), _number(blocks) - 1))).join(others.hint("merge"), ["d", "block", "shard"])
+    parts = 4 * max(1, sum(shards.values()))  # so that few tasks get two shards
+    met = others.repartition(parts, "d", "shard").hint("merge").join(trees.repartition(parts, "d", "shard"), ["d", "shard"])
     ranked = first.unionByName(_searched(met, k))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return ranked.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
